@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, mixing, ogg_media, quality
+from . import byte_bpe, line_dedup, mixing, ogg_media, quality, winnow
 
 QUERIES = {
     "op1_ogg_media": ogg_media.op1_ogg_media,
     "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_winnowing": winnow.op9_winnowing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
