@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, mixing, ogg_media, quality, winnow
+from . import byte_bpe, line_dedup, link_graph, mixing, ogg_media, personal_data, quality, winnow
 
 QUERIES = {
     "op1_ogg_media": ogg_media.op1_ogg_media,
+    "op2_link_graph": link_graph.op2_link_graph,
+    "op5_contextual_pii": personal_data.op5_contextual_pii,
     "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_line_dedup": line_dedup.op8_line_dedup,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_link_graph": link_graph.SQL,
     "op6_fair_queue_mix": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
