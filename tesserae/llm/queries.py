@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, link_graph, mixing, ogg_media, personal_data, quality, winnow
+from . import byte_bpe, line_dedup, link_graph, mixing, near_dedup, ogg_media, personal_data, quality, winnow
 
 QUERIES = {
     "op1_ogg_media": ogg_media.op1_ogg_media,
     "op2_link_graph": link_graph.op2_link_graph,
+    "op4_fast_minhash": near_dedup.op4_fast_minhash,
     "op5_contextual_pii": personal_data.op5_contextual_pii,
     "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
     "op7_quality_classifier": quality.op7_quality_classifier,
