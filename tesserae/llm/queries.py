@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, link_graph, mixing, near_dedup, ogg_media, personal_data, quality, winnow
+from . import byte_bpe, line_dedup, link_graph, mixing, near_dedup, ogg_media, personal_data, quality, warc_fixity, winnow
 
 QUERIES = {
     "op1_ogg_media": ogg_media.op1_ogg_media,
     "op2_link_graph": link_graph.op2_link_graph,
+    "op3_merkle_fixity": warc_fixity.op3_merkle_fixity,
     "op4_fast_minhash": near_dedup.op4_fast_minhash,
     "op5_contextual_pii": personal_data.op5_contextual_pii,
     "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_link_graph": link_graph.SQL,
+    "op3_merkle_fixity": warc_fixity.SQL,
     "op6_fair_queue_mix": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
