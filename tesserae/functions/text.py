@@ -1,0 +1,354 @@
+"""Text functions: column expressions, and Arrow UDFs where a document tree is needed."""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Tags around which a line ends.
+BLOCK_TAGS = frozenset(
+    "address article aside blockquote br caption dd div dl dt figcaption footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
+)
+#: Elements without content, which have no end tag.
+VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+def bind(value: Column, then) -> Column:
+    """`then` of a value that is computed once per row."""
+    return F.transform(F.array(value), then)[0]
+
+
+def strip(text: Column) -> Column:
+    """Without white space, Unicode's included, at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def single_line(text: Column) -> Column:
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def strip_text(text: Column) -> Column:
+    """On one line; nothing left is null."""
+    return F.nullif(single_line(text), F.lit(""))
+
+
+def normalize_article_text(text: Column) -> Column:
+    """Lines with blanks collapsed, empty ones dropped, parted by empty lines; nothing left is null."""
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), single_line)
+    return F.nullif(F.array_join(F.filter(lines, lambda x: x != ""), "\n\n"), F.lit(""))
+
+
+def normalize_filing_text(text: Column) -> Column:
+    """The last step of cleaning: plain blanks, quotes and dashes, and at most one empty line in a row."""
+    steps = ((r" ", " "), ("[“”]", '"'), ("[‘’]", "'"), ("[–—]", "-"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"))
+    for pattern, plain in steps:
+        text = F.regexp_replace(text, pattern, plain)
+    return strip(text)
+
+
+def content_hash(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def sec_date(value: Column) -> Column:
+    """YYYYMMDD as YYYY-MM-DD; other values unchanged; empty is null."""
+    bare = strip(value)
+    dashed = F.concat_ws("-", F.substring(bare, 1, 4), F.substring(bare, 5, 2), F.substring(bare, 7, 2))
+    return F.when(value == "", None).when(bare.rlike(r"^\d{8}$"), dashed).otherwise(bare)
+
+
+def entry_datetime(value: Column) -> Column:
+    """A timestamp as ISO text in UTC."""
+    return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def vector_id(name: Column) -> Column:
+    """UUID of version 5 of a name in the URL namespace."""
+    digest = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.pmod(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int"), F.lit(4)) + 1, F.lit(1))
+    return F.concat_ws(
+        "-",
+        F.substring(digest, 1, 8),
+        F.substring(digest, 9, 4),
+        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
+        F.concat(variant, F.substring(digest, 18, 3)),
+        F.substring(digest, 21, 12),
+    )
+
+
+def filing_vector_id(accession: Column, section: Column, index: Column) -> Column:
+    return vector_id(F.concat_ws(":", accession, section, index.cast("string")))
+
+
+def document_vector_id(document_id: Column, index: Column) -> Column:
+    return vector_id(F.concat_ws(":", F.lit("document"), document_id.cast("string"), index.cast("string")))
+
+
+# --- chunks ---------------------------------------------------------------------------------
+
+
+def check_chunk_sizes(size: int, overlap: int) -> None:
+    if size <= 0:
+        raise ValueError("chunk_size must be greater than zero")
+    if overlap < 0:
+        raise ValueError("overlap must be greater than or equal to zero")
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than chunk_size")
+
+
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """Windows of `size` characters at a fixed stride, stripped, blank ones dropped; a text that fits is one chunk."""
+    check_chunk_sizes(size, overlap)
+    stride = size - overlap
+
+    def many(t: Column) -> Column:
+        n = F.ceil((F.length(t) - size) / stride).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), n), lambda i: strip(F.substring(t, i * stride + 1, F.lit(size))))
+        return F.when(F.length(t) <= size, F.array(strip(t))).otherwise(F.filter(cut, lambda x: x != ""))
+
+    return bind(text, many)
+
+
+def chunks(text: Column, size: int = 4000, overlap: int = 500) -> Column:
+    """Paragraphs packed into chunks of at most `size` characters that overlap by up to `overlap`.
+
+    A fold over the paragraphs: its state is the chunk being filled and the chunks made.
+    """
+    check_chunk_sizes(size, overlap)
+    paragraphs = F.filter(F.transform(F.split(text, r"\n{2,}"), strip), lambda p: p != "")
+
+    def tail(t: Column) -> Column:
+        if overlap == 0:
+            return F.lit("")
+        return bind(strip(F.right(t, F.lit(overlap))), lambda x: F.when(F.instr(x, "\n\n") > 1, strip(F.substring(x, F.instr(x, "\n\n"), F.length(x)))).otherwise(x))
+
+    def step(state: Column, p: Column) -> Column:
+        now, made = state["now"], state["made"]
+        longer = F.concat(now, F.lit("\n\n"), p)
+        carried = bind(tail(now), lambda t: F.when(t != "", F.concat(t, F.lit("\n\n"), p)).otherwise(p))
+        flushed = F.struct(carried.alias("now"), F.concat(made, windows(now, size, overlap)).alias("made"))
+        return (
+            F.when(now == "", F.struct(p.alias("now"), made.alias("made")))
+            .when(F.length(longer) <= size, F.struct(longer.alias("now"), made.alias("made")))
+            .otherwise(flushed)
+        )
+
+    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("made"))
+    return F.aggregate(paragraphs, start, step, lambda s: F.when(s["now"] != "", F.concat(s["made"], windows(s["now"], size, overlap))).otherwise(s["made"]))
+
+
+# --- page references ------------------------------------------------------------------------
+
+
+def page_ranges(value: Column) -> Column:
+    """`1 - 2, 5` as array of struct(first, last); digits may be parted by blanks; inverted ranges are dropped."""
+    number = lambda x: F.expr("try_cast(null as int)") if x is None else F.regexp_replace(x, r"\s+", "").try_cast("int")
+
+    def of(part: Column) -> Column:
+        first = F.nullif(F.regexp_extract(part, r"(\d(?:\s*\d)*)\s*[-–—]\s*(\d(?:\s*\d)*)", 1), F.lit(""))
+        last = F.regexp_extract(part, r"(\d(?:\s*\d)*)\s*[-–—]\s*(\d(?:\s*\d)*)", 2)
+        single = F.nullif(F.regexp_extract(part, r"(\d(?:\s*\d)*)", 1), F.lit(""))
+        return F.struct(number(F.coalesce(first, single)).alias("first"), number(F.when(first.isNotNull(), last).otherwise(single)).alias("last"))
+
+    return F.filter(F.transform(F.split(value, ","), of), lambda r: r["first"] <= r["last"])
+
+
+# --- document trees -------------------------------------------------------------------------
+
+
+class _Text(HTMLParser):
+    """Text of a document without the dropped elements; a break where a block begins or ends."""
+
+    def __init__(self, dropped: frozenset[str], blocks: frozenset[str], hidden: bool, only: str | None = None):
+        super().__init__(convert_charrefs=True)
+        self.dropped, self.blocks, self.hidden, self.only = dropped, blocks, hidden, only
+        self.parts: list[str] = []
+        self.skip: list[str] = []  # open elements from a dropped one on
+        self.inside = 0
+        self.found = only is None
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip:
+            if tag not in VOID_TAGS:
+                self.skip.append(tag)
+            return
+        style = re.sub(r"\s+", "", (dict(attrs).get("style") or "").lower())
+        out = tag in self.dropped or self.hidden and ("display:none" in style or "visibility:hidden" in style or tag == "ix:header" or tag.startswith(("xbrli:", "xbrldi:", "link:")))
+        if out:
+            if tag not in VOID_TAGS:
+                self.skip.append(tag)
+            return
+        if tag == self.only:
+            self.inside += 1
+            self.found = True
+        if tag in self.blocks:
+            self.parts.append("\n")
+            if tag in VOID_TAGS:
+                self.parts.append("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        depth = len(self.skip)
+        self.handle_starttag(tag, attrs)
+        del self.skip[depth:]
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            if tag in self.skip:
+                while self.skip.pop() != tag:
+                    pass
+            return
+        if tag == self.only and self.inside:
+            self.inside -= 1
+        if tag in self.blocks:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.skip and (self.only is None or self.inside):
+            self.parts.append(data)
+
+
+def _tree_text(html: str, dropped: frozenset[str], blocks: frozenset[str], hidden: bool, only: str | None = None) -> str | None:
+    parser = _Text(dropped, blocks, hidden, only)
+    parser.feed(html)
+    parser.close()
+    return "".join(parser.parts) if parser.found else None
+
+
+_FILING_DROPPED = frozenset("script style noscript meta link".split())
+_ARTICLE_DROPPED = frozenset("script style noscript nav footer header head".split())
+_EVERY_TAG = type("Every", (frozenset,), {"__contains__": lambda self, tag: True})()
+
+
+@F.pandas_udf(T.StringType())
+def filing_tree_text(html: pd.Series) -> pd.Series:
+    """Text of a filing's HTML before normalization; inline tags don't part words."""
+    return html.map(lambda x: None if x is None else _tree_text(x, _FILING_DROPPED, BLOCK_TAGS, True))
+
+
+@F.pandas_udf(T.StringType())
+def article_tree_text(html: pd.Series) -> pd.Series:
+    """Text of a page's article, or of its body, with a line for each piece."""
+
+    def of(x: str | None) -> str | None:
+        if x is None:
+            return None
+        article = _tree_text(x, _ARTICLE_DROPPED, _EVERY_TAG, False, "article")
+        return article if article is not None else _tree_text(x, _ARTICLE_DROPPED, _EVERY_TAG, False)
+
+    return html.map(of)
+
+
+def clean_filing_html(html: Column) -> Column:
+    return normalize_filing_text(filing_tree_text(html))
+
+
+def article_text(html: Column) -> Column:
+    return normalize_article_text(article_tree_text(html))
+
+
+def html_title(html: Column) -> Column:
+    """The title on one line, its few common entities resolved; null if there is none."""
+    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        raw = F.replace(raw, F.lit(entity), F.lit(plain))
+    return strip_text(raw)
+
+
+class _Table(HTMLParser):
+    """Rows of a filing's index of items by page: texts and in-page links, and where each anchor's text begins."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[tuple[str, list[tuple[str, str]]]] = []
+        self.row: list[str] | None = None
+        self.links: list[list[str]] = []
+        self.link: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "tr":
+            self.row, self.links = [], []
+        elif tag == "a" and self.row is not None and (href := dict(attrs).get("href") or "").startswith("#"):
+            self.link = [href[1:]]
+
+    def handle_endtag(self, tag):
+        if tag == "tr" and self.row is not None:
+            self.rows.append((" ".join(" ".join(self.row).split()), [(x[0], "".join(x[1:])) for x in self.links]))
+            self.row = None
+        elif tag == "a" and self.link is not None:
+            self.links.append(self.link)
+            self.link = None
+
+    def handle_data(self, data):
+        if self.row is not None:
+            self.row.append(data)
+        if self.link is not None:
+            self.link.append(data)
+
+
+_ITEM = re.compile(r"^Item\s+(\d+[A-Z]?)\b", re.IGNORECASE)
+_PAGES = re.compile(r"Pages?\s+([\d\s,\-–—]+)|(\d[\d\s,\-–—]*)$", re.IGNORECASE)
+_BREAK = re.compile(r"<hr\b[^>]*page-break-(?:after|before)\s*:\s*always[^>]*>", re.IGNORECASE)
+
+
+def _merged(ranges: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Overlapping and adjacent page ranges as one, under the first one's anchor."""
+    out: list[tuple[int, int, str]] = []
+    for first, last, anchor in sorted(ranges, key=lambda r: r[:2]):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]), out[-1][2])
+        else:
+            out.append((first, last, anchor))
+    return out
+
+
+def _indexed_items(html: str | None) -> list[tuple[str, str]]:
+    """Item and raw HTML of its pages, by the filing's cross-reference index."""
+    if not html or "cross-reference" not in html.lower() and "cross reference" not in html.lower():
+        return []
+    at = max(html.lower().rfind("cross-reference"), html.lower().rfind("cross reference"))
+    parser = _Table()
+    for table in re.findall(r"(?is)<table\b.*?</table>", html[at:])[:5]:
+        found = _Table()
+        found.feed(table)
+        if any("Item Number" in t for t, _ in found.rows) and sum(bool(_ITEM.match(t)) for t, _ in found.rows) >= 2:
+            parser = found
+            break
+    ranges: dict[str, list[tuple[int, int, str]]] = {}
+    active = None
+    for text, links in parser.rows:
+        if m := _ITEM.match(text):
+            active = m[1].upper()
+        pages = _PAGES.search(text)
+        if not active or not pages:
+            continue
+        anchors = {}
+        for anchor, label in links:
+            if (digits := re.sub(r"\s+", "", label)).isdigit():
+                anchors.setdefault(int(digits), anchor)
+        for part in (pages[1] or pages[2]).split(","):
+            numbers = [int(re.sub(r"\s+", "", n)) for n in re.findall(r"\d(?:\s*\d)*", part)][:2]
+            if numbers and numbers[-1] >= numbers[0] and numbers[0] in anchors:
+                ranges.setdefault(active, []).append((numbers[0], numbers[-1], anchors[numbers[0]]))
+    out = []
+    for item, own in ranges.items():
+        spans = []
+        for first, last, anchor in _merged(own):
+            start = re.search(rf"""(?i)<[a-z]+\b[^>]*\bid\s*=\s*["']?{re.escape(anchor)}["']?[^>]*>""", html)
+            if start:
+                rest = _BREAK.split(html[start.end() :])
+                if not re.search(r"<\w", rest[0].split("</", 1)[-1] if rest[0].startswith("</") else rest[0]):
+                    rest = rest[1:]  # a break right after the anchor begins the page
+                spans.append("".join(rest[: last - first + 1]))
+        if spans:
+            out.append((item, "\n".join(spans)))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("html", T.StringType())])))
+def indexed_items(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: [{"item": i, "html": h} for i, h in _indexed_items(x)])
