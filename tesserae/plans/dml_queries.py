@@ -1 +1,126 @@
-"""."""
+"""Registered merges, replacements and state changes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import dml, relational as r
+from .domain import COLLECTION, MODEL, Domain, sql
+from .registry import query
+
+
+@query(sql("{T} SELECT min(id) AS id, content_hash, count(*) AS copies FROM articles GROUP BY content_hash"))
+def content_hash_dedup(spark, sf_dir):
+    """The first article of each content."""
+    return Domain(spark, sf_dir).articles.groupBy("content_hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query(sql("{T} SELECT a.id, a.url FROM articles a WHERE a.id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM articles b WHERE b.id % 2 = 0 AND b.content_hash = a.content_hash)"))
+def url_dedup(spark, sf_dir):
+    """Of the odd articles those whose url and content no even one has."""
+    a = Domain(spark, sf_dir).articles
+    return r.unseen(a.where("id % 2 = 1"), a.where("id % 2 = 0")).select("id", "url")
+
+
+@query(sql("""{T} , n AS (SELECT id + 5 AS id, 'renamed ' || name AS name, CASE WHEN id % 2 = 0 THEN cik END AS cik FROM companies)
+  SELECT coalesce(n.id, c.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE c.name END AS name, CASE WHEN n.id IS NOT NULL THEN n.cik ELSE c.cik END AS cik FROM companies c FULL JOIN n ON n.id = c.id"""))
+def upsert_merge(spark, sf_dir):
+    """New rows overwrite those of their key, nulls included, and add new keys."""
+    c = Domain(spark, sf_dir).companies.select("id", "name", "cik")
+    new = c.select((F.col("id") + 5).alias("id"), F.concat(F.lit("renamed "), "name").alias("name"), F.when(F.col("id") % 2 == 0, F.col("cik")).alias("cik"))
+    return dml.merge_upsert(c, new, ["id"])
+
+
+@query(sql("""{T} SELECT filing_id, section_id, chunk_index, text FROM chunks WHERE filing_id % 10 <> 0 UNION ALL SELECT id, '1', 0, 'new text of ' || accession_number FROM filings WHERE id % 10 = 0"""))
+def replace_chunks(spark, sf_dir):
+    """All chunks of every tenth filing are exchanged for one."""
+    d = Domain(spark, sf_dir)
+    new = d.filings.where("id % 10 = 0").select(F.col("id").alias("filing_id"), F.lit("1").alias("section_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("new text of "), "accession_number").alias("text"))
+    return dml.replace_children(d.chunks, new, "filing_id")
+
+
+@query(sql("""{T} SELECT filing_id, CASE WHEN filing_id % 10 = 0 THEN 'pending' ELSE status END AS status,
+  CAST(CASE WHEN filing_id % 10 = 0 THEN (SELECT count(*) FROM chunks c WHERE c.filing_id = e.filing_id) ELSE expected_point_count END AS BIGINT) AS expected_point_count,
+  CASE WHEN filing_id % 10 = 0 THEN 0 ELSE indexed_point_count END AS indexed_point_count FROM embedding_runs e"""))
+def embedding_status_reset(spark, sf_dir):
+    """Runs of filings whose chunks were replaced are pending again."""
+    d = Domain(spark, sf_dir)
+    reset = dml.reset_runs(d.embedding_runs, d.chunks, d.embedding_runs.where("filing_id % 10 = 0"))
+    return reset.select("filing_id", "status", "expected_point_count", "indexed_point_count")
+
+
+@query(sql("""{T} SELECT filing_id, CASE WHEN filing_id % 4 = 0 THEN 'ready' WHEN filing_id % 4 = 1 THEN 'indexing' ELSE status END AS status,
+  CASE WHEN filing_id % 4 = 1 THEN 't' END AS started, CASE WHEN filing_id % 4 = 0 THEN 't' END AS completed FROM embedding_runs"""))
+def embedding_status_change(spark, sf_dir):
+    """Only `indexing` sets a start; `ready` and `failed` set the end."""
+    runs = Domain(spark, sf_dir).embedding_runs.withColumns({"started_at": F.lit(None).cast("string"), "completed_at": F.lit(None).cast("string")})
+    status = F.when(F.col("filing_id") % 4 == 0, "ready").otherwise("indexing")
+    changes = runs.where("filing_id % 4 < 2").select("filing_id", "embedding_model", "vector_collection", status.alias("status"))
+    changed = dml.set_run_status(runs, changes, F.lit("t"))
+    return changed.select("filing_id", "status", F.col("started_at").alias("started"), F.col("completed_at").alias("completed"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def obsolete_ids(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return dml.obsolete_ids(d.table("documents").select(F.col("doc_id").alias("id")), d.table("labels").select(F.col("doc_id").alias("id")))
+
+
+@query("""SELECT doc_id AS id, 'stored' AS side FROM documents WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)
+  UNION ALL SELECT doc_id, 'expected' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0""")
+def id_set_verification(spark, sf_dir):
+    """Ids that are stored but not expected, and the other way round."""
+    ids = Domain(spark, sf_dir).table("documents").select(F.col("doc_id").alias("id"))
+    return dml.id_differences(ids.where("id % 3 <> 0"), ids.where("id % 2 = 0"))
+
+
+@query("""SELECT * FROM (SELECT 'documents' AS "table", (SELECT count(*) FROM documents) AS source_n, (SELECT count(*) FROM labels) AS target_n
+  UNION ALL SELECT 'pages', (SELECT count(*) FROM pages), (SELECT count(*) FROM pages) UNION ALL SELECT 'events', (SELECT count(*) FROM events), NULL) WHERE source_n IS DISTINCT FROM target_n""")
+def count_validation(spark, sf_dir):
+    """Tables whose counts differ between a copy's source and target."""
+    d = Domain(spark, sf_dir)
+    count = lambda name, of: d.table(of).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
+    source = count("documents", "documents").union(count("pages", "pages")).union(count("events", "events"))
+    return dml.count_mismatches(source, count("documents", "labels").union(count("pages", "pages")))
+
+
+@query(sql("""{T} SELECT id, CASE WHEN id IN (1, 5, 99) THEN 'approved' ELSE discovery_status END AS discovery_status, CASE WHEN id IN (1, 5, 99) THEN true ELSE enabled END AS enabled FROM sources"""))
+def approve_sources(spark, sf_dir):
+    return dml.decide_sources(Domain(spark, sf_dir).sources, [1, 5, 99], True).select("id", "discovery_status", "enabled")
+
+
+@query(sql("""{T} SELECT id, CASE WHEN id IN (0, 4) THEN 'rejected' ELSE discovery_status END AS discovery_status, CASE WHEN id IN (0, 4) THEN false ELSE enabled END AS enabled FROM sources"""))
+def reject_sources(spark, sf_dir):
+    return dml.decide_sources(Domain(spark, sf_dir).sources, [0, 4], False).select("id", "discovery_status", "enabled")
+
+
+@query(sql("""{T} SELECT url, CASE WHEN discovery_status <> 'candidate' THEN discovery_status ELSE 'candidate' END AS discovery_status, CASE WHEN discovery_status <> 'candidate' THEN enabled ELSE true END AS enabled FROM sources
+  UNION ALL SELECT 'https://new.example.com/', 'candidate', true"""))
+def rediscovery_state(spark, sf_dir):
+    """A person's decision on a source stays when it is found again."""
+    s = Domain(spark, sf_dir).sources
+    found = s.select("url").union(spark.range(1).select(F.lit("https://new.example.com/")))
+    return r.discovery_state(found, s).select("url", "discovery_status", "enabled")
+
+
+@query(sql("""{T} SELECT source_id, count(*) AS documents FROM articles WHERE source_id NOT IN (SELECT id FROM sources WHERE discovery_status = 'rejected') GROUP BY source_id"""))
+def cascade_delete(spark, sf_dir):
+    """Documents of deleted sources go with them."""
+    d = Domain(spark, sf_dir)
+    _, left = dml.delete_cascade(d.sources, d.articles, d.sources.where("discovery_status = 'rejected'"), "id", "source_id")
+    return left.groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(sql("""{T} SELECT id, CASE WHEN confidence_score > 0.6 THEN 'confidence_score' ELSE '' END AS faults FROM sources"""))
+def quarantined_rows(spark, sf_dir):
+    """Rows with scores outside 0 to 1 or values outside their domain, with what is wrong."""
+    s = Domain(spark, sf_dir).sources.withColumn("confidence_score", F.when(F.col("confidence_score") > 0.6, F.col("confidence_score") + 1).otherwise(F.col("confidence_score")))
+    return dml.quarantine(s).select("id", F.array_join("faults", ",").alias("faults"))
+
+
+@query(f"SELECT doc_id AS document_chunk_id, '{MODEL}' AS embedding_model, '{COLLECTION}' AS vector_collection, CASE WHEN doc_id % 2 = 0 THEN 'v' || doc_id ELSE 'old' END AS vector_id FROM labels")
+def record_embeddings(spark, sf_dir):
+    """Records of embedded chunks, overwritten by key."""
+    old = Domain(spark, sf_dir).article_records.withColumn("vector_id", F.lit("old"))
+    new = old.where("document_chunk_id % 2 = 0").withColumn("vector_id", F.concat(F.lit("v"), F.col("document_chunk_id").cast("string")))
+    return dml.merge_upsert(old, new, ["document_chunk_id", "embedding_model", "vector_collection"])

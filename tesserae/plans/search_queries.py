@@ -1 +1,76 @@
-"""."""
+"""Registered vector searches and retrieval strategies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import vectors as v
+from .domain import Domain, sql
+from .registry import query
+
+_DOT = "list_sum(list_transform(list_zip(CAST(v.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[])), lambda p: p[1] * p[2]))"
+_NORM = "sqrt(list_sum(list_transform(CAST({}.vector AS DOUBLE[]), lambda x: x * x)))"
+_SCORED = f"s AS (SELECT v.id, v.chunk_source, v.ticker, v.section_id, v.accession_number, round({_DOT} / ({_NORM.format('v')} * {_NORM.format('q')}), 6) AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 0) q)"
+_OUT = ["id", "chunk_source", "ticker", "section_id", "accession_number", "score"]
+_BEST = "ORDER BY score DESC, id LIMIT"
+
+
+@query(sql(f"{{T}} , {_SCORED} SELECT * FROM s {_BEST} 20"))
+def semantic_search_topk(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return v.search(d.vectors, d.query_vector(), 20).select(_OUT)
+
+
+@query(sql(f"{{T}} , {_SCORED} SELECT * FROM s WHERE ticker = 'T1' AND section_id = '1A' AND chunk_source = 'sec_filing' {_BEST} 5"))
+def semantic_search_filtered(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return v.search(d.vectors, d.query_vector(), 5, ticker="t1", section="1a", source="sec_filing").select(_OUT)
+
+
+@query(sql(f"{{T}} , {_SCORED} SELECT * FROM s WHERE accession_number IN ('A1', 'A5') {_BEST} 10"))
+def semantic_search_in_list(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return v.search(d.vectors, d.query_vector(), 10, accessions=["A1", "A5"]).select(_OUT)
+
+
+@query(sql(f"{{T}} , {_SCORED} SELECT * FROM s WHERE false"))
+def semantic_search_empty_scope(spark, sf_dir):
+    """An empty list of accession numbers finds nothing."""
+    d = Domain(spark, sf_dir)
+    return v.search(d.vectors, d.query_vector(), 10, accessions=[]).select(_OUT)
+
+
+@query(sql("{T} SELECT ticker, chunk_source, count(*) AS points FROM vectors GROUP BY ALL"))
+def count_points(spark, sf_dir):
+    return Domain(spark, sf_dir).vectors.groupBy("ticker", "chunk_source").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query(sql(f"""{{T}} , {_SCORED}, h AS (SELECT *, row_number() OVER (PARTITION BY ticker, section_id {_BEST.replace(' LIMIT', '')}) AS k FROM s WHERE ticker IN ('T1', 'T2') AND section_id IN ('1', '1A')
+  UNION ALL SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, id) FROM s WHERE ticker IN ('T1', 'T2') AND chunk_source = 'document')
+  SELECT DISTINCT * EXCLUDE (k) FROM h WHERE k <= 7 {_BEST} 7"""))
+def retrieve_mixed(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return v.retrieve(d.vectors, d.query_vector(), 7, ["T1", "T2"], ["1", "1A"]).select(_OUT)
+
+
+@query(sql(f"""{{T}} , {_SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY accession_number ORDER BY score DESC, id) AS k FROM s WHERE ticker IN ('T1', 'T2', 'T3') AND section_id IN ('1', '1A', '7') AND accession_number IN ('A1', 'A2', 'A4')),
+  b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, id) AS k FROM s WHERE ticker IN ('T1', 'T2', 'T3') AND chunk_source = 'document')
+  SELECT DISTINCT * EXCLUDE (k) FROM (SELECT * FROM a WHERE k <= 2 UNION ALL SELECT * FROM b WHERE k <= 5)"""))
+def retrieve_period_balanced(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return v.retrieve(d.vectors, d.query_vector(), 5, ["T1", "T2", "T3"], ["1", "1A", "7"], ["A1", "A2", "A4"], intent="trend").select(_OUT)
+
+
+@query(sql(f"""{{T}} , {_SCORED}, u AS (SELECT DISTINCT * FROM s WHERE ticker IN ('T0', 'T4') AND (chunk_source = 'document' OR section_id IN ('1', '7'))),
+  k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, id) AS k FROM u) SELECT * EXCLUDE (k) FROM k WHERE k <= 3"""))
+def retrieve_comparison_balanced(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return v.retrieve(d.vectors, d.query_vector(), 5, ["T0", "T4"], ["1", "7"], intent="comparison").select(_OUT)
+
+
+@query(sql(f"{{T}} , {_SCORED} SELECT * FROM s WHERE ticker IN ('T1', 'T2')"))
+def dedupe_results(spark, sf_dir):
+    """Hits found by two searches, each kept once."""
+    d = Domain(spark, sf_dir)
+    scored = d.vectors.withColumn("score", v.cosine(F.col("vector"), d.query_vector())).where("ticker in ('T1', 'T2')")
+    return v.dedupe(scored.unionByName(scored.where("chunk_source = 'document'"))).select(_OUT)

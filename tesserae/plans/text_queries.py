@@ -1 +1,84 @@
-"""."""
+"""Registered text functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from .domain import Domain
+from .registry import query
+
+_WINDOWS = """SELECT doc_id, unnest(range(len(c))) AS chunk_index, unnest(c) AS chunk FROM (SELECT doc_id, CASE WHEN length(text) <= 1000 THEN [trim(text, E' \\n')]
+  ELSE list_filter(list_transform(range(0, CAST(ceil((length(text) - 1000) / 800.0) AS BIGINT) + 1), lambda i: trim(substr(text, i * 800 + 1, 1000), E' \\n')), lambda x: x <> '') END AS c FROM documents)"""
+
+
+@query(_WINDOWS.replace("unnest(range(len(c))) AS chunk_index", "CAST(unnest(range(len(c))) AS INT) AS chunk_index"))
+def chunk_fixed_stride(spark, sf_dir):
+    docs = Domain(spark, sf_dir).table("documents")
+    return docs.select("doc_id", F.posexplode(t.windows(F.col("text"), 1000, 200)).alias("chunk_index", "chunk"))
+
+
+@query()
+def chunk_paragraph(spark, sf_dir):
+    """Lines as paragraphs, packed; held against a plain loop in the tests."""
+    docs = Domain(spark, sf_dir).table("documents")
+    return docs.select("doc_id", F.posexplode(t.chunks(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), 1000, 200)).alias("chunk_index", "chunk"))
+
+
+@query(r"""SELECT doc_id, nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM documents""")
+def normalize_article_text(spark, sf_dir):
+    return Domain(spark, sf_dir).table("documents").select("doc_id", t.normalize_article_text(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return Domain(spark, sf_dir).table("documents").select("doc_id", t.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN 'around ' || o_orderkey END AS filing_date FROM orders")
+def sec_date(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    value = F.when(k == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(k == 1, F.concat(F.lit(" around "), F.col("o_orderkey").cast("string"))).otherwise("")
+    return Domain(spark, sf_dir).table("orders").select("o_orderkey", t.sec_date(value).alias("filing_date"))
+
+
+@query("""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS vector_id
+  FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('document:' || doc_id || ':0')) AS h FROM documents)""")
+def vector_id_uuid5(spark, sf_dir):
+    return Domain(spark, sf_dir).table("documents").select("doc_id", t.document_vector_id(F.col("doc_id"), F.lit(0)).alias("vector_id"))
+
+
+@query()
+def clean_html(spark, sf_dir):
+    """Pages cleaned like filings."""
+    return Domain(spark, sf_dir).table("pages").select("page_id", t.clean_filing_html(F.col("html")).alias("text"))
+
+
+@query()
+def article_text(spark, sf_dir):
+    """The article of each page, and its title."""
+    return Domain(spark, sf_dir).table("pages").select("page_id", t.html_title(F.col("html")).alias("title"), t.article_text(F.col("html")).alias("text"))
+
+
+@query("""SELECT grp AS l_orderkey, min(a) AS first_page, max(b) AS last_page FROM (SELECT grp, a, b, sum(gap) OVER (PARTITION BY grp ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM
+  (SELECT grp, a, b, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY grp ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, -1) THEN 1 ELSE 0 END AS gap FROM
+  (SELECT l_orderkey AS grp, CAST(l_partkey % 40 AS BIGINT) AS a, CAST(l_partkey % 40 + l_quantity % 5 AS BIGINT) AS b FROM lineitem))) GROUP BY grp, island""")
+def page_range_merge(spark, sf_dir):
+    """Overlapping and adjacent ranges of each group as one."""
+    a = (F.col("l_partkey") % 40).cast("long")
+    pages = Domain(spark, sf_dir).table("lineitem").select("l_orderkey", a.alias("a"), (a + F.col("l_quantity") % 5).cast("long").alias("b"))
+    order = Window.partitionBy("l_orderkey").orderBy("a", "b")
+    last = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap = pages.withColumn("gap", F.when(last.isNull() | (F.col("a") > last + 1), 1).otherwise(0))
+    island = gap.withColumn("island", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("l_orderkey", "island").agg(F.min("a").alias("first_page"), F.max("b").alias("last_page")).drop("island")
+
+
+@query("""SELECT p_partkey, CAST(p_size AS VARCHAR) || '-' || (p_size + p_partkey % 4) || ';' || (p_size + 9) || '-' || (p_size + 9) AS ranges FROM part""")
+def page_references(spark, sf_dir):
+    """References such as `1 2 - 14, 21` as ranges."""
+    spaced = F.regexp_replace(F.col("p_size").cast("string"), r"(\d)(\d)", "$1 $2")
+    value = F.concat(spaced, F.lit(" - "), (F.col("p_size") + F.col("p_partkey") % 4).cast("string"), F.lit(", "), (F.col("p_size") + 9).cast("string"), F.lit(", 9-3, none"))
+    ranges = F.transform(t.page_ranges(value), lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string")))
+    return Domain(spark, sf_dir).table("part").select("p_partkey", F.array_join(ranges, ";").alias("ranges"))
