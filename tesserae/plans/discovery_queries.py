@@ -1 +1,92 @@
-"""."""
+"""Registered url functions and source discovery."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import urls as u
+from ..operators import discovery
+from .domain import Domain
+from .registry import query
+
+_HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
+_PATH = "lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1))"
+_TYPE = f"""CASE WHEN regexp_matches({_PATH}, '(\\.xml|\\.rss|/feed|/rss|/atom)$|/feed/') THEN 'news_feed' WHEN contains(hay, 'investor') OR contains(hay, '/ir') OR contains(hay, ' ir ') THEN 'investor_relations'
+  WHEN contains(hay, 'blog') THEN 'company_blog' WHEN contains(hay, 'news') OR contains(hay, 'press') OR contains(hay, 'media') THEN 'newsroom' END"""
+_PAGES = f"(SELECT page_id, url, {_HOST} || ' ' || rtrim({_PATH}, '/') || '   ' AS hay FROM pages)"
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^([^:]*)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || regexp_extract(url, '(\\?[^#]*)', 1) AS url FROM pages")
+def normalize_url(spark, sf_dir):
+    upper = F.concat(F.upper(F.substring("url", 1, 14)), F.substring("url", 15, 1000))
+    return Domain(spark, sf_dir).table("pages").select("page_id", u.normalize_url(upper).alias("url"))
+
+
+@query(f"SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS domain FROM pages")
+def normalize_domain(spark, sf_dir):
+    return Domain(spark, sf_dir).table("pages").select("page_id", u.normalize_domain(F.col("url")).alias("domain"))
+
+
+@query(f"SELECT page_id, {_HOST} = 'example.net' OR ends_with({_HOST}, '.example.net') AS official FROM pages")
+def official_domain(spark, sf_dir):
+    return Domain(spark, sf_dir).table("pages").select("page_id", u.is_official_domain(F.col("url"), F.lit("https://www.example.net/about")).alias("official"))
+
+
+@query(f"SELECT page_id, {_TYPE} AS source_type FROM {_PAGES}")
+def infer_source_type(spark, sf_dir):
+    return Domain(spark, sf_dir).table("pages").select("page_id", u.infer_source_type(F.col("url"), F.lit(None), F.lit(None)).alias("source_type"))
+
+
+_SCORE = f"""SELECT page_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN official THEN 0.35 ELSE -0.30 END::DOUBLE + CASE WHEN strong THEN 0.20 ELSE 0 END::DOUBLE + 0.10::DOUBLE + 0.05::DOUBLE)) AS score FROM
+  (SELECT page_id, {_HOST} = 'example.net' OR ends_with({_HOST}, '.example.net') AS official, list_contains(['blog', 'blogs', 'news', 'newsroom', 'media', 'press', 'investor', 'investors', 'ir'], string_split({_HOST}, '.')[1])
+   OR regexp_matches({_PATH}, 'blog|news|press|media|investor|/ir|feed|rss|atom') AS strong FROM pages)"""
+
+
+def _scored(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    url = F.col("url")
+    return Domain(spark, sf_dir).table("pages").withColumn("s", u.score_candidate(url, url, F.lit("example.net"), F.lit(None).cast("string"), none, F.lit(True), F.lit(True)))
+
+
+@query(f"SELECT page_id, round(score, 6) AS score FROM ({_SCORE})")
+def score_candidate(spark, sf_dir):
+    return _scored(spark, sf_dir).select("page_id", F.round("s.score", 6).alias("score"))
+
+
+@query(f"SELECT page_id, CASE WHEN score >= 0.80 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS trust_level FROM ({_SCORE})")
+def trust_level(spark, sf_dir):
+    return _scored(spark, sf_dir).select("page_id", u.trust_level(F.col("s.score")).alias("trust_level"))
+
+
+_PATHS = "[" + ", ".join(f"'{p}'" for p in ("/", *u.SOURCE_PATHS)) + "]"
+_SUBS = "[" + ", ".join(f"'{s}'" for s in u.SOURCE_SUBDOMAINS) + "]"
+
+
+@query(f"""SELECT 'nation' || n_nationkey || '.com' AS domain, unnest(list_concat(list_transform({_PATHS}, lambda p: 'https://nation' || n_nationkey || '.com' || p),
+  list_transform({_PATHS}, lambda p: 'https://www.nation' || n_nationkey || '.com' || p), list_transform({_SUBS}, lambda s: 'https://' || s || '.nation' || n_nationkey || '.com/'))) AS url FROM nation""")
+def candidate_urls(spark, sf_dir):
+    domain = F.concat(F.lit("nation"), F.col("n_nationkey").cast("string"), F.lit(".com"))
+    companies = Domain(spark, sf_dir).table("nation").select(F.lit("").alias("ticker"), domain.alias("website_domain"))
+    return discovery.candidates(companies).select("domain", "url")
+
+
+@query("""SELECT p_partkey, array_to_string(CASE len(t) WHEN 0 THEN [] WHEN 1 THEN [t[1] || '.com'] ELSE [t[1] || '.com', array_to_string(t, '') || '.com', array_to_string(t, '-') || '.com'] END, ',') AS domains FROM
+  (SELECT p_partkey, list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9& ]+', ' ', 'g'), ' +'), lambda x: x NOT IN ('', 'group', 'inc', 'holdings')) AS t FROM part)""")
+def domain_candidates(spark, sf_dir):
+    name = F.concat(F.col("p_name"), F.lit(" Holdings, Group INC. B"))
+    return Domain(spark, sf_dir).table("part").select("p_partkey", F.array_join(u.domain_candidates(name), ",").alias("domains"))
+
+
+@query("SELECT source AS url, max(n_chars) AS confidence_score, min(doc_id) FILTER (n_chars = m) AS final_url FROM (SELECT *, max(n_chars) OVER (PARTITION BY source) AS m FROM documents) GROUP BY source")
+def best_source_per_url(spark, sf_dir):
+    found = Domain(spark, sf_dir).table("documents").select(F.col("source").alias("url"), F.col("n_chars").alias("confidence_score"), F.col("doc_id").alias("final_url"))
+    return discovery.best_per_url(found)
+
+
+@query()
+def discover_sources(spark, sf_dir):
+    """Sources among all pages, each judged as a fetch result of its own registered domain."""
+    pages = Domain(spark, sf_dir).table("pages")
+    domain = F.regexp_extract(u.netloc(F.col("url")), r"([^.]+\.[^.]+)$", 1)
+    fetched = pages.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.col("html").alias("text"), domain.alias("domain"))
+    return discovery.best_per_url(discovery.classify(fetched))

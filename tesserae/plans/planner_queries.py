@@ -1 +1,74 @@
-"""."""
+"""Registered planner rules, over every text of the conversations as a question."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import planner as p
+from .domain import Domain
+from .registry import query
+
+# Words of the rules are mixed into the texts, so that all rules have work.
+_PHRASES = (
+    "latest risk factors", "compare revenue versus margins", "how did it change over time from 2021 to 2023", "item 7A", "business overview in 2022", "oldest filing", "what revenue was reported",
+    "interest rate and risks", "previous year liquidity", "item 12", "their business",
+)
+_LIST = "[" + ", ".join(f"'{x}'" for x in _PHRASES) + "]"
+_Q = f"(SELECT conv_id, turn, lower(substr(text, 1, 60) || ' ' || {_LIST}[CAST((conv_id + turn) % {len(_PHRASES)} AS INT) + 1]) AS q FROM conversations)"
+
+
+def _or(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def _questions(spark, sf_dir):
+    phrase = F.get(F.array(*map(F.lit, _PHRASES)), ((F.col("conv_id") + F.col("turn")) % len(_PHRASES)).cast("int"))
+    return Domain(spark, sf_dir).table("conversations").select("conv_id", "turn", F.concat_ws(" ", F.substring("text", 1, 60), phrase).alias("q"))
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(q, 'oldest|earliest') THEN '2020' WHEN regexp_matches(q, '\b20\d\d\b\s+(and|to|-|through)\s+\b20\d\d\b') THEN array_to_string(range(CAST(regexp_extract(q, '\b(20\d\d)\b\s+(?:and|to|-|through)\s+\b(20\d\d)\b', 1) AS INT),
+  CAST(regexp_extract(q, '\b(20\d\d)\b\s+(?:and|to|-|through)\s+\b(20\d\d)\b', 2) AS INT) + 1), ',') ELSE array_to_string(regexp_extract_all(q, '\b(20\d\d)\b', 1), ',') END AS years FROM {_Q}""")
+def infer_years(spark, sf_dir):
+    years = p.infer_years(F.col("q"), F.array(F.lit(2023), F.lit(2020)))
+    return _questions(spark, sf_dir).select("conv_id", "turn", F.array_join(years.cast("array<string>"), ",").alias("years"))
+
+
+_INTENT = f"CASE WHEN {_or('q', p.FACT)} THEN 'fact' WHEN {_or('q', p.TREND)} THEN 'trend' WHEN {_or('q', p.COMPARISON)} THEN 'comparison' ELSE 'summary' END"
+
+
+@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM {_Q}")
+def infer_intent(spark, sf_dir):
+    return _questions(spark, sf_dir).select("conv_id", "turn", p.infer_intent(F.col("q")).alias("intent"))
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN {_or('q', p.OLDEST)} OR regexp_matches(q, '\b20\d\d\b') THEN 'specific_years' WHEN ({_INTENT}) = 'trend' THEN 'all_available' WHEN {_or('q', p.PREVIOUS)} THEN 'latest_and_previous' ELSE 'latest' END AS time_scope FROM {_Q}""")
+def infer_time_scope(spark, sf_dir):
+    return _questions(spark, sf_dir).select("conv_id", "turn", p.infer_time_scope(F.col("q")).alias("time_scope"))
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN item <> '' THEN CASE WHEN upper(item) IN ('1', '1A', '7', '7A') THEN upper(item) ELSE '' END WHEN len(f) > 0 THEN array_to_string(f, ',') WHEN contains(q, 'business') THEN '1' END AS sections FROM
+  (SELECT conv_id, turn, q, regexp_extract(q, '\bitem\s+(\d+[a-z]?)\b', 1) AS item, list_filter([CASE WHEN {_or('q', p.BUSINESS)} THEN '1' END, CASE WHEN {_or('q', p.MARKET_RISK)} THEN '7A' END,
+   CASE WHEN contains(q, 'risk factor') OR (contains(q, 'risks') AND NOT {_or('q', p.MARKET_RISK)}) THEN '1A' END, CASE WHEN {_or('q', p.MANAGEMENT)} THEN '7' END], lambda x: x IS NOT NULL) AS f FROM {_Q})""")
+def infer_sections(spark, sf_dir):
+    return _questions(spark, sf_dir).select("conv_id", "turn", F.array_join(p.infer_sections(F.col("q")), ",").alias("sections"))
+
+
+@query("""SELECT o_custkey, scope, array_to_string(CASE scope WHEN 'latest' THEN list_slice(y, 1, 1) WHEN 'latest_and_previous' THEN list_slice(y, 1, 2) WHEN 'specific_years' THEN list_filter([1996, 1999], lambda x: list_contains(y, x)) ELSE y END, ',') AS years
+  FROM (SELECT o_custkey, list_sort(list(DISTINCT year(o_orderdate)), 'DESC') AS y FROM orders GROUP BY 1), (SELECT unnest(['latest', 'latest_and_previous', 'specific_years', 'all_available']) AS scope)""")
+def scope_years(spark, sf_dir):
+    """Of each customer's years those that each time scope takes."""
+    years = Domain(spark, sf_dir).table("orders").groupBy("o_custkey").agg(F.collect_set(F.year("o_orderdate")).alias("y"))
+    scopes = F.array(*map(F.lit, ("latest", "latest_and_previous", "specific_years", "all_available")))
+    taken = p.scope_years(F.col("scope"), F.array(F.lit(1996), F.lit(1999)), F.col("y"))
+    return years.withColumn("scope", F.explode(scopes)).select("o_custkey", "scope", F.array_join(taken.cast("array<string>"), ",").alias("years"))
+
+
+@query()
+def local_plans(spark, sf_dir):
+    """A plan for every question by the rules alone."""
+    years = F.create_map(F.lit("NVDA"), F.array(*map(F.lit, (2023, 2022, 2021))), F.lit("AMD"), F.array(F.lit(2022)))
+    names = F.create_map(F.lit("NVDA"), F.array(F.lit("NVIDIA CORP")), F.lit("AMD"), F.array(F.lit("ADVANCED MICRO DEVICES INC")))
+    context = F.struct(F.array(F.lit("AMD"), F.lit("NVDA")).alias("tickers"), F.array(*map(F.lit, p.SECTIONS)).alias("sections"), years.alias("years"), names.alias("names"))
+    named = _questions(spark, sf_dir).withColumn("q", F.concat("q", F.when(F.col("turn") % 3 == 0, " for Nvidia").when(F.col("turn") % 3 == 1, " (AMD)").otherwise("")))
+    planned = named.withColumn("context", context).select("conv_id", "turn", p.local_plan(F.col("q"), F.col("context")).alias("p"))
+    return planned.select("conv_id", "turn", F.array_join("p.tickers", ",").alias("tickers"), F.array_join("p.sections", ",").alias("sections"), "p.time_scope", "p.intent", F.array_join(F.col("p.filing_years").cast("array<string>"), ",").alias("years"))
