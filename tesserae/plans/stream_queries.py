@@ -1 +1,42 @@
-"""."""
+"""Registered streaming: the same result as the batch form, through a stream's micro-batches."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import ingest
+from .domain import Domain, sql
+from .registry import query
+
+_FIRST = "SELECT min(id) AS id, content_hash FROM articles WHERE length(text) >= 100 GROUP BY content_hash"
+
+
+@query(sql("{T} " + _FIRST))
+def stream_ingest_dedup(spark, sf_dir):
+    """Articles taken in by a stream, the first of each content; what has been seen is the table that the stream writes."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
+    root = f"{told.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    docs = Domain(spark, sf_dir).table("documents")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
+
+    def take(batch, batch_id):
+        fresh = batch.where("source is not null").where(F.length("text") >= ingest.LEAST_ARTICLE_CHARS)
+        fresh.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash")).groupBy("content_hash").agg(F.min("id").alias("id")).write.mode("append").parquet(f"{root}/seen")
+
+    run = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{root}/seen").groupBy("content_hash").agg(F.min("id").alias("id"))
+
+
+@query(sql("""{T} , a AS (SELECT source_id, url, content_hash, length(text) >= 100 AS long, id FROM articles), k AS (SELECT * FROM a WHERE id % 5 = 0), n AS (SELECT * FROM a WHERE id % 5 <> 0),
+  f AS (SELECT source_id, count(*) AS inserted_count FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY source_id, url) AS r FROM n WHERE long AND content_hash NOT IN (SELECT content_hash FROM k)) WHERE r = 1 GROUP BY source_id)
+  SELECT n.source_id, count(*) AS discovered_count, CAST(any_value(coalesce(inserted_count, 0)) AS BIGINT) AS inserted_count, count(*) FILTER (NOT long) AS error_count,
+  CAST(count(*) - any_value(coalesce(inserted_count, 0)) - count(*) FILTER (NOT long) AS BIGINT) AS skipped_count, CASE WHEN count(*) FILTER (NOT long) > 0 THEN 'partial' ELSE 'completed' END AS status FROM n LEFT JOIN f USING (source_id) GROUP BY n.source_id"""))
+def worker_cycle_batch(spark, sf_dir):
+    """One cycle's counts per source: four fifths of the articles arrive where the others are known."""
+    a = Domain(spark, sf_dir).articles
+    batch, known = a.where("id % 5 <> 0").drop("content_hash"), a.where("id % 5 = 0")
+    return ingest.run_counts(batch, ingest.new_articles(batch, known))
