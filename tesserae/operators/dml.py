@@ -148,3 +148,33 @@ def quarantine(rows: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: Sequence[str], start: int = 1) -> DataFrame:
     """rows with an `id` from start in a total order; for dimension-sized frames."""
     return rows.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("long"))
+
+
+def open_runs(current: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """current with rows added as running, under the next ids in the rows' order of columns."""
+    first = (current.agg(F.max("id")).first()[0] or 0) + 1
+    new = numbered(rows, rows.columns, first).withColumn("status", F.lit("running")).withColumn("started_at", now)
+    return current.unionByName(new, allowMissingColumns=True).select(*current.columns)
+
+
+def finish_runs(current: DataFrame, changes: DataFrame, allowed: Sequence[str], now: Column) -> DataFrame:
+    """Runs of changes(id, status, ...) ended; given values that are not null go over stored ones. An unknown id or status raises."""
+    missing = obsolete_ids(changes, current).limit(5).collect()
+    if missing:
+        raise RuntimeError(f"no run has the id {', '.join(str(r['id']) for r in missing)}")
+    given = [c for c in changes.columns if c != "id"]
+    ended = checked(changes, "status", allowed).withColumn("completed_at", now)
+    return merge_upsert(current, ended, ["id"], given)
+
+
+def upsert_sessions(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """Sessions by session_key: new ones added; title and metadata changed only where they are given and differ."""
+    joined = current.alias("c").join(incoming.alias("n"), "session_key", "full")
+    first = (current.agg(F.max("id")).first()[0] or 0) + 1
+    value = {c: F.coalesce(F.col(f"n.{c}"), F.col(f"c.{c}")) for c in ("title", "metadata_json")}
+    changed = F.col("c.id").isNull()
+    for c, v in value.items():
+        changed = changed | ~v.eqNullSafe(F.col(f"c.{c}"))
+    out = joined.select(F.col("c.id").alias("id"), "session_key", *(v.alias(c) for c, v in value.items()), F.coalesce("c.created_at", now).alias("created_at"), F.when(changed, now).otherwise(F.col("c.updated_at")).alias("updated_at"))
+    new = numbered(out.where("id is null").drop("id"), ["session_key"], first)
+    return out.where("id is not null").unionByName(new).select(*current.columns)
