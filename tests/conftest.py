@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -44,7 +45,7 @@ def rows_of(frame):
     """Rows of a pandas frame as sorted text, floats to 9 places, columns by name."""
 
     def plain(v):
-        if v is None or v != v if not hasattr(v, "__len__") else False:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         if isinstance(v, float):
             return f"{v:.9f}".rstrip("0").rstrip(".")
