@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import byte_bpe, line_dedup, mixing, near_dedup, quality
-from tesserae.llm.common import cut, table
+from tesserae.llm.common import cut, small, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         first = docs.where("doc_id is not null").withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
         docs = first.unionByName(docs.where("doc_id is null"))
     none = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(none)
+    return docs.join(small(kept), "doc_id", "left_semi").unionByName(none)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ class Engine:
         own = chunks.join(ids, "accession_number").drop("accession_number")
         before = store.read("chunks")
         last = before.agg(F.max("id")).first()[0] or 0
-        own = dml.numbered(own, ["filing_id", "section_id", "chunk_index"], last + 1)
+        own = store.numbered(own, ["filing_id", "section_id", "chunk_index"], last + 1)
         store.write("chunks", dml.replace_children(before, own, "filing_id"))
         runs = ids.select("filing_id", F.lit(self.config.model).alias("embedding_model"), F.lit(self.config.collection).alias("vector_collection"), F.lit("pending").alias("status"))
         merged = dml.merge_upsert(store.read("embedding_runs"), runs, ["filing_id", "embedding_model", "vector_collection"])

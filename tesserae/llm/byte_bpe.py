@@ -30,7 +30,7 @@ from xxhash import xxh3_64_intdigest
 
 from .common import bounded_batches, table
 
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 48  #: bounds of each of the two generations of pre-tokens a task remembers
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 48  #: bounds of each of the two generations of pre-tokens a task remembers
 _GOLDEN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -187,51 +187,88 @@ def tables(path: str) -> tuple[TokenHash, dict[int, int]]:
     return TokenHash(ranks), pair_ranks(ranks)
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add `ids`, the token ids of the column `text`. vocabulary: path of the ranks on the driver."""
+class Decoder:
+    def __init__(self, whole: TokenHash):
+        self.tokens = np.full(max(whole.ranks) + 1, None, object)
+        self.tokens[whole.ranks] = whole.keys
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
+            raise ValueError(f"ids {ids.min()} to {ids.max()}: not all are in the vocabulary")
+        return b"".join(self.tokens[ids])
+
+
+def _mapped(df: DataFrame, vocabulary: str, added: list[T.StructField], make: Callable) -> DataFrame:
+    """df with further columns, from make(encoder and decoder tables)(batch) -> arrays."""
     spark = df.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(tables(vocabulary))
-    schema = T.StructType([f for f in df.schema.fields if f.name.lower() != ids.lower()] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    own = {f.name.lower() for f in added}
+    schema = T.StructType([f for f in df.schema.fields if f.name.lower() not in own] + added)
+    passed = len(schema.fields) - len(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value, pattern)
+        of = make(*shared.value)
         for batch in batches:
-            rows = [encoder.encode(x or "") for x in batch.column(text).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.int32), *rows])
-            kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-            made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), made], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:passed]), *of(batch)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]).astype(np.int32)
+    flat = np.concatenate([np.empty(0, np.int32), *rows])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
+
+
+_IDS = T.ArrayType(T.IntegerType(), False)
+
+
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add `ids`, the token ids of the column `text`. vocabulary: path of the ranks on the driver."""
+
+    def make(whole, pairs):
+        encoder = Encoder(whole, pairs, pattern)
+        return lambda batch: [_lists([encoder.encode(x or "") for x in batch.column(text).to_pylist()])]
+
+    return _mapped(df, vocabulary, [T.StructField(ids, _IDS)], make)
+
+
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add `decoded`, the bytes that the column `ids` stands for."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(tables(vocabulary))
-    schema = T.StructType([f for f in df.schema.fields if f.name.lower() != decoded.lower()] + [T.StructField(decoded, T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = shared.value[0]
-        tokens = np.full(max(whole.ranks) + 1, None, object)
-        tokens[whole.ranks] = whole.keys
-        for batch in batches:
+    def make(whole, pairs):
+        decoder = Decoder(whole)
+
+        def of(batch: pa.RecordBatch) -> list[pa.Array]:
             lists = batch.column(ids)
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(tokens)):
-                raise ValueError(f"ids {flat.min()} to {flat.max()}: not all are in the vocabulary")
-            made = [b"".join(tokens[flat[a:b]]) if ok else None for a, b, ok in zip(offsets, offsets[1:], lists.is_valid().to_pylist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), pa.array(made, pa.binary())], names=schema.names)
+            told = lists.is_valid().to_pylist()
+            return [pa.array([decoder.decode(flat[a:b]) if ok else None for a, b, ok in zip(offsets, offsets[1:], told, strict=False)], pa.binary())]
 
-    return df.mapInArrow(run, schema)
+        return of
+
+    return _mapped(df, vocabulary, [T.StructField(decoded, T.BinaryType())], make)
+
+
+def encode_and_decode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode and then decode of its ids, by one Python process a task instead of two."""
+
+    def make(whole, pairs):
+        encoder, decoder = Encoder(whole, pairs, pattern), Decoder(whole)
+
+        def of(batch: pa.RecordBatch) -> list[pa.Array]:
+            rows = [encoder.encode(x or "") for x in batch.column(text).to_pylist()]
+            return [_lists(rows), pa.array([decoder.decode(x) for x in rows], pa.binary())]
+
+        return of
+
+    return _mapped(df, vocabulary, [T.StructField(ids, _IDS), T.StructField(decoded, T.BinaryType())], make)
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs (doc_id, text)."""
-    read = decode(encode(docs.select("doc_id", "text"), vocabulary, pattern).drop("text"), vocabulary)
+    read = encode_and_decode(docs.select("doc_id", "text"), vocabulary, pattern).drop("text")
     return read.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -50,3 +50,12 @@ def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
 
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
+
+
+#: Rows of a few short columns that may be broadcast: under 100 MB.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of a few short columns, with a broadcast hint if its rows are proven few; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df

@@ -9,7 +9,8 @@ ordered by finish time and cut where the words reach the total budget.
 Prefix sums are taken in two levels, so that no source and no global order meets in one task:
 sums per range of the shuffle hash (or of finish time), prefix sums over the ranges, and exact
 order only within one range. The number of ranges follows the number of rows and does not change
-results. Only (id, size, source) is shuffled, never a text.
+results. Only (id, size, source) is shuffled; texts stay where they are, or meet a larger table of
+copies in one join.
 
 Defined results: null texts and texts without words have size 0 and are taken 0 times; null
 sources are one source, ordered last; null ids order first; repeated rows are documents each; with
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, small, table
 
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
 ROWS_A_RANGE, FEWEST_RANGES, TIMES = 500_000, 256, 8  #: queues are cut near finish time 1; times of TIMES or more share a range
@@ -74,7 +75,7 @@ def queue(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MA
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut(placed.groupBy("source", "range").agg(F.sum("size").alias("in_range")), "mix-ranges")
     sums = sums.select("source", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("before"))
-    sums = sums.join(F.broadcast(shares) if shares.count() < 10_000 else shares, sums["source"].eqNullSafe(shares["source"])).drop(shares["source"])
+    sums = sums.join(small(shares), sums["source"].eqNullSafe(shares["source"])).drop(shares["source"])
     own = Window.partitionBy("source", "range").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("here", F.sum("size").over(own))
     joined = placed.alias("p").join(sums.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.range") == F.col("s.range")))
@@ -122,7 +123,7 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", source: str = "source",
     taken = mix(sizes).where("copies > 0").groupBy("id", "source", "size").agg(F.max("copies").alias("_mix_copies"))
     taken = cut(taken.toDF("_mix_id", "_mix_source", "_mix_size", "_mix_copies"), "mix-taken")
     same = F.col(id).eqNullSafe(F.col("_mix_id")) & F.col(source).eqNullSafe(F.col("_mix_source")) & (words(F.col(text)) == F.col("_mix_size"))
-    return docs.join(taken, same).withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    return docs.join(small(taken), same).withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

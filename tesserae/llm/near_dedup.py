@@ -9,8 +9,8 @@ pair at the threshold shares none with a probability of 2e-9. Links are confirme
 
 1. Rows with equal sets are one class (grouped by 128 bits of hash, summed in the map tasks first);
    the class is known by its smallest doc_id. Copies are never expanded into pairs.
-2. Each bucket's members are compared with its smallest and largest member only: pairs in proportion
-   to members, however large the bucket. Sketches filter the pairs, whole texts confirm them, and
+2. Each class is compared with two others only: the smallest and the largest members of its buckets
+   that it meets most often. So pairs are in proportion to classes, however large the buckets. Sketches filter the pairs, whole texts confirm them, and
    components are found by alternating large and small stars.
 3. Buckets that still hold several components are compared in full, in blocks of BLOCK members, so
    that no task holds more than two blocks. A block pair gives only the pairs of different components
@@ -37,13 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, cut, small, table
 
 SHINGLE, THRESHOLD = 5, 85  #: percent
-COORDINATES, BANDS, ROWS = 256, 42, 6
-MARGIN = 0.10  #: of the sketches' estimate: 4.5 standard deviations at the threshold
+COORDINATES, BANDS, ROWS = 512, 42, 6
+MARGIN = 0.075  #: of the sketches' estimate: over 4.7 standard deviations at the threshold
 BLOCK = 1024
-MAX_BROADCAST_ROWS = 1_000_000  #: of two or three integers: under 50 MB; beyond it the join shuffles
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 
@@ -77,11 +76,11 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     """COORDINATES values: the round in the upper bits, hash bits below."""
     n = len(hashes)
     out = np.full(COORDINATES, np.iinfo(_U).max, _U)
-    at, step = 0, max(1, min(COORDINATES, 2048 // n + 1))
+    at, step = 0, max(1, min(COORDINATES, 8 * COORDINATES // n + 1))
     while at < COORDINATES:
         rounds = np.arange(at, min(at + step, COORDINATES))
         x = _mixed(hashes[None, :] ^ _SALTS[rounds][:, None])
-        bins = (x >> _U(56)).astype(np.intp)  # COORDINATES is 2**8
+        bins = (x >> _U(65 - COORDINATES.bit_length())).astype(np.intp)  # COORDINATES is a power of two
         np.minimum.at(out, bins.ravel(), ((x & _U((1 << 48) - 1)) | (rounds.astype(_U)[:, None] << _U(48))).ravel())
         at += len(rounds)
         if out.max() != np.iinfo(_U).max:
@@ -125,11 +124,6 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its rows, a few integers each, are proven few."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def similar_enough(a: str, b: str) -> F.Column:
     """May sketches and sizes in columns `{a}_sketch`, `{a}_n` ... be those of a link?"""
     low, high = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
@@ -155,10 +149,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs(a, b) of doc_ids whose full sets are linked. Texts are fetched for these documents only."""
     bounded_batches(docs.sparkSession)
     ids = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "near-ids")
-    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(_small(ids), "id"), "near-texts")
+    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(small(ids), "id"), "near-texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
-    right = texts.join(_small(pairs.select(F.col("b").alias("id")).distinct()), "id").select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-    rows = left.join(_small(pairs), "a").join(right, "b").select("a", "b", "a_text", "b_text")
+    right = texts.join(small(pairs.select(F.col("b").alias("id")).distinct()), "id").select(F.col("id").alias("b"), F.col("text").alias("b_text"))
+    rows = left.join(small(pairs), "a").join(right, "b").select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, str], np.ndarray] = {}
@@ -261,6 +255,12 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
+def _most_shared(members: DataFrame, to: str) -> DataFrame:
+    """Each rep with that smallest (or largest) member of its buckets that it meets in most of them; at most BANDS rows a rep."""
+    shared = members.groupBy("rep", F.col(to).alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("rep").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs(doc_id, text)."""
     rows = cut(sketched(docs), "near-sketches")
@@ -277,8 +277,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = cut(members.select("rep").distinct(), "near-met")
     classes = cut(classes.select("rep", "n_shingles", "sketch").join(met, "rep", "left_semi"), "near-represented")
 
-    pairs = members.where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    pairs = pairs.union(members.where("rep < high").select(F.col("rep").alias("a"), F.col("high").alias("b"))).distinct()
+    pairs = _most_shared(members, "low").union(_most_shared(members, "high"))
+    pairs = pairs.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
     stars = cut(confirmed(cut(_pairs_by_sketch(pairs, classes), "near-stars"), docs), "near-links")
     found = cut(components(stars), "near-components")
 

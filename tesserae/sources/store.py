@@ -6,9 +6,10 @@ sees one whole version; a failed write leaves the pointer where it was.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dml
@@ -52,13 +53,27 @@ class Store:
     def update(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
         self.write(name, change(self.read(name)))
 
+    def numbered(self, rows: DataFrame, order: Sequence[str], first: int) -> DataFrame:
+        """rows with an `id` from `first` on, in their order by these columns.
+
+        Rows are written sorted by range; an id is the rows in the files before, plus the row's place in
+        its file. Only one row a file meets in one task.
+        """
+        path = f"{self.root}/_numbered/{uuid.uuid4().hex}"
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+        read = self.spark.read.schema(rows.schema).parquet(path)
+        placed = read.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        return placed.join(offsets, "_file").withColumn("id", (F.col("_before") + F.col("_row") + first).cast("long")).drop("_file", "_row", "_before")
+
     def upsert(self, name: str, incoming: DataFrame, keep_if_null: Sequence[str] = ()) -> None:
         """Merge by natural key; new rows of tables with an id get the next ones, in order of their key."""
         keys, current = KEYS[name], self.read(name)
         if "id" in current.columns and "id" not in incoming.columns:
             known = current.select("id", *keys)
             first = (current.agg(F.max("id")).first()[0] or 0) + 1
-            new = dml.numbered(incoming.join(known, list(keys), "left_anti"), keys, first)
+            new = self.numbered(incoming.join(known, list(keys), "left_anti"), keys, first)
             old = incoming.join(known, list(keys))
             incoming = old.unionByName(new)
         self.write(name, dml.merge_upsert(current, incoming, keys, keep_if_null))

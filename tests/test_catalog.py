@@ -90,3 +90,10 @@ def test_feed_entries(spark):
 def test_embedding_is_deterministic(spark):
     frame = spark.createDataFrame([("same words here",), ("same words here",), (None,)], "x string").select(vectors.embed(F.col("x")).alias("v")).collect()
     assert frame[0].v == frame[1].v and frame[2].v is None and abs(sum(x * x for x in frame[0].v) - 1) < 1e-6
+
+
+def test_numbers_follow_the_order(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = store.numbered(spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(5), ["k"], 10).orderBy("k").collect()
+    assert [r.id for r in rows] == list(range(10, 1010))
+    assert store.numbered(spark.range(0).select(F.col("id").alias("k")), ["k"], 1).count() == 0
