@@ -14,8 +14,8 @@ pair at the threshold shares none with a probability of 2e-9. Links are confirme
    components are found by alternating large and small stars.
 3. Buckets that still hold several components are compared in full, in blocks of BLOCK members, so
    that no task holds more than two blocks. A block pair gives only the pairs of different components
-   whose sizes and sketches allow a link. Those are confirmed and the components found again. No
-   bucket is capped, and after this step no pair that shares a bucket is left out.
+   whose sizes and sketches allow a link. Those are confirmed, and components that they link are
+   joined. No bucket is capped, and after this step no pair that shares a bucket is left out.
 
 Texts are fetched only for the ends of pairs left by the sketches. Everything that is used twice is written to the shared
 folder, so a lost executor costs one step.
@@ -182,10 +182,9 @@ def components(links: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every id in links(a, b), by alternating stars.
 
     A large star joins each id's larger neighbours to the smallest id next to it, a small star the
-    smaller ones; when neither changes anything, every id is joined to its component's smallest.
+    smaller ones; when nothing but stars is left, each around the smallest id of its component, this ends.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-edges")
-    state = None
     while True:
         both = edges.union(edges.select("v", "u"))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "star-least")
@@ -195,10 +194,10 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, F.col("u") == F.col("w"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
         edges = cut(small.distinct(), "star-small")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+        seen = ends.groupBy("id").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+        if seen.where("up > 1 or up = 1 and least = 0").isEmpty():  # no id has two smaller neighbours, or a smaller and a larger one
             break
-        state = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
@@ -286,10 +285,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
     rest = cut(placed.join(cut(open_.select("key"), "near-open"), "key"), "near-rest")
     rest = rest.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"), "rep")
-    links = stars.union(confirmed(cut(_block_pairs(rest), "near-pairs"), docs))
-    found = components(links)
-
-    named = cut(named.join(found, F.col("rep") == F.col("id"), "left").select(*(F.col(c).alias(f"_nd_{c}") for c in sets), F.coalesce("component", "rep").alias("component")), "near-named")
+    more = cut(confirmed(cut(_block_pairs(rest), "near-pairs"), docs), "near-more")
+
+    named = named.join(found, F.col("rep") == F.col("id"), "left").select(*(F.col(c).alias(f"_nd_{c}") for c in sets), F.coalesce("component", "rep").alias("component"))
+    if not more.isEmpty():  # these link components, which are joined as wholes
+        of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"{x}_of"))
+        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+        joined = cut(components(between).toDF("id", "whole"), "near-joined")
+        named = named.join(small(joined), F.col("component") == F.col("id"), "left").withColumn("component", F.coalesce("whole", "component")).drop("id", "whole")
+    named = cut(named, "near-named")
     joined = rows.select("doc_id", *sets).join(named, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
