@@ -14,7 +14,7 @@ pair at the threshold shares none with a probability of 2e-9. Links are confirme
    components are found by alternating large and small stars.
 3. Buckets that still hold several components are compared in full, in blocks of BLOCK members, so
    that no task holds more than two blocks. A block pair gives only the pairs of different components
-   whose sizes and sketches allow a link. Those are confirmed, and components that they link are
+   whose sizes and sketches allow a link, and each pair only in the first bucket it shares. Those are confirmed, and components that they link are
    joined. No bucket is capped, and after this step no pair that shares a bucket is left out.
 
 Texts are fetched only for the ends of pairs left by the sketches. Everything that is used twice is written to the shared
@@ -202,7 +202,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """a and b of pairs of members(key, rep, component, n, sketch) that share a bucket, are of different components and may be linked."""
+    """a and b of pairs of members(key, rep, component, n, sketch, bands) that share a bucket, are of different components and may be linked.
+
+    A pair comes from the bucket of the first band in which it agrees. All buckets of such a pair are
+    here, since each holds two components.
+    """
     spark = members.sparkSession
     bounded_batches(spark, rows=4096)
     counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -210,12 +214,13 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     placed = members.join(cut(counts, "near-blocks"), "key").withColumn("block", block)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    placed = placed.select("key", low.alias("i"), high.alias("j"), "block", "rep", "component", "n", "sketch")
+    placed = placed.select("key", low.alias("i"), high.alias("j"), "block", "rep", "component", "n", "sketch", "bands")
     placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compared(group: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    def compared(group: pa.Table, key: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         rep, comp, n, block = (group.column(c).to_numpy() for c in ("rep", "component", "n", "block"))
         marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        bands = np.concatenate([c.flatten().to_numpy() for c in group.column("bands").chunks]).reshape(-1, BANDS)
         firsts, seconds = [], []
         inside = np.flatnonzero(block == i) if i != j else np.arange(len(rep))
         others = np.flatnonzero(block == j) if i != j else inside
@@ -224,6 +229,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
             may = may[rep[may] > rep[x]] if i == j else may
             if len(may):
                 may = may[(marks[may] == marks[x]).mean(axis=1) >= THRESHOLD / 100 - MARGIN]
+                may = may[bands[x][(bands[may] == bands[x]).argmax(axis=1)] == key]
                 firsts.append(np.minimum(rep[may], rep[x]))
                 seconds.append(np.maximum(rep[may], rep[x]))
         none = np.empty(0, np.int64)
@@ -236,7 +242,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                a, b = compared(pa.Table.from_batches(held), *now[1:])
+                a, b = compared(pa.Table.from_batches(held), *now)
                 held.clear()
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -274,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = cut(entries.join(cut(buckets, "near-buckets"), "key"), "near-members")
     met = cut(members.select("rep").distinct(), "near-met")
-    classes = cut(classes.select("rep", "n_shingles", "sketch").join(met, "rep", "left_semi"), "near-represented")
+    classes = cut(classes.join(met, "rep", "left_semi"), "near-represented")
 
     pairs = _most_shared(members, "low").union(_most_shared(members, "high"))
     pairs = pairs.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
@@ -284,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
     rest = cut(placed.join(cut(open_.select("key"), "near-open"), "key"), "near-rest")
-    rest = rest.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"), "rep")
+    rest = rest.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch", "bands"), "rep")
     more = cut(confirmed(cut(_block_pairs(rest), "near-pairs"), docs), "near-more")
 
     named = named.join(found, F.col("rep") == F.col("id"), "left").select(*(F.col(c).alias(f"_nd_{c}") for c in sets), F.coalesce("component", "rep").alias("component"))
