@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tesserae.llm import byte_bpe, line_dedup, mixing, near_dedup, quality
 from tesserae.llm.common import cut, small, table
 
+#: Percent of shared five-word shingles from which the near-dedup stage takes two documents as near-duplicates (op4's contract has its own).
+NEAR = 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It is fitted on the rated ones among docs."""
@@ -27,7 +30,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest doc_id. Of rows with one id one stays; rows without an id stay."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_dedup.near_duplicates(docs, NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
     kept = cut(kept, "pipeline-kept")
     ids = docs.where("doc_id is not null").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] > ids["d"]:

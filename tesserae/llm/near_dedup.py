@@ -5,7 +5,8 @@ coordinates: in round i every shingle is hashed into a bin and leaves i plus a f
 is less than what the bin holds; after COORDINATES rounds, further rounds throw all shingles into one
 bin each, so every coordinate fills even for a set of one. Two sets agree in a coordinate with
 probability equal to their Jaccard similarity. BANDS bands of ROWS coordinates make the buckets: a
-pair at the threshold shares none with a probability of 2e-9. Links are confirmed on full sets.
+pair at a threshold of 85 percent shares none with a probability of 2e-9, at 80 with 3e-6. Links are
+confirmed on full sets.
 
 1. Rows with equal sets are one class (grouped by 128 bits of hash, summed in the map tasks first);
    the class is known by its smallest doc_id. Copies are never expanded into pairs.
@@ -41,7 +42,7 @@ from .common import bounded_batches, cut, small, table
 
 SHINGLE, THRESHOLD = 5, 85  #: percent
 COORDINATES, BANDS, ROWS = 512, 42, 6
-MARGIN = 0.075  #: of the sketches' estimate: over 4.7 standard deviations at the threshold
+MARGIN = 0.075  #: of the sketches' estimate: over 4.7 standard deviations at THRESHOLD
 BLOCK = 1024
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -95,11 +96,17 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(bands) * _POWERS[None, :ROWS]).sum(axis=1, dtype=_U) + np.arange(BANDS, dtype=_U) * _ODD).astype(np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def least_agreement(threshold: int) -> float:
+    """Share of coordinates in which the sketches of a pair at the threshold agree at least: MARGIN, in standard deviations of that threshold, below it."""
+    deviation = lambda t: (t * (100 - t)) ** 0.5
+    return threshold / 100 - MARGIN * deviation(threshold) / deviation(THRESHOLD)
+
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     if not len(a) or not len(b):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
+    return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -124,28 +131,29 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary")
 
 
-def similar_enough(a: str, b: str) -> F.Column:
+def similar_enough(a: str, b: str, threshold: int = THRESHOLD) -> F.Column:
     """May sketches and sizes in columns `{a}_sketch`, `{a}_n` ... be those of a link?"""
     low, high = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    return 100 * low >= THRESHOLD * high
+    return 100 * low >= threshold * high
 
 
-def _pairs_by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _pairs_by_sketch(pairs: DataFrame, classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Those pairs(a, b) whose sizes and sketches allow a link."""
     own = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b").where(similar_enough("a", "b"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").where(similar_enough("a", "b", threshold))
+    least = least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(f"{c}_sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in "ab")
-                near = (x == y).mean(axis=1) >= THRESHOLD / 100 - MARGIN
+                near = (x == y).mean(axis=1) >= least
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], names=["a", "b"])
 
     return both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Those pairs(a, b) of doc_ids whose full sets are linked. Texts are fetched for these documents only."""
     bounded_batches(docs.sparkSession)
     ids = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "near-ids")
@@ -171,7 +179,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                             known[key] = shingles(key[1])
                             held += len(known[key]) + 100
                         sets.append(known[key])
-                    if linked(*sets):
+                    if linked(*sets, threshold):
                         good.append(i)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([b[i] for i in good], pa.int64())})
 
@@ -201,7 +209,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """a and b of pairs of members(key, rep, component, n, sketch, bands) that share a bucket, are of different components and may be linked.
 
     A pair comes from the bucket of the first band in which it agrees. All buckets of such a pair are
@@ -209,6 +217,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     """
     spark = members.sparkSession
     bounded_batches(spark, rows=4096)
+    least = least_agreement(threshold)
     counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = members.join(cut(counts, "near-blocks"), "key").withColumn("block", block)
@@ -225,10 +234,10 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         inside = np.flatnonzero(block == i) if i != j else np.arange(len(rep))
         others = np.flatnonzero(block == j) if i != j else inside
         for x in inside:
-            may = others[(comp[others] != comp[x]) & (100 * np.minimum(n[others], n[x]) >= THRESHOLD * np.maximum(n[others], n[x]))]
+            may = others[(comp[others] != comp[x]) & (100 * np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x]))]
             may = may[rep[may] > rep[x]] if i == j else may
             if len(may):
-                may = may[(marks[may] == marks[x]).mean(axis=1) >= THRESHOLD / 100 - MARGIN]
+                may = may[(marks[may] == marks[x]).mean(axis=1) >= least]
                 may = may[bands[x][(bands[may] == bands[x]).argmax(axis=1)] == key]
                 firsts.append(np.minimum(rep[may], rep[x]))
                 seconds.append(np.maximum(rep[may], rep[x]))
@@ -266,8 +275,8 @@ def _most_shared(members: DataFrame, to: str) -> DataFrame:
     return shared.groupBy("rep").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs(doc_id, text); pairs are linked from a similarity of threshold percent on."""
     rows = cut(sketched(docs), "near-sketches")
     sets = ["set1", "set2", "n_shingles"]
     named = cut(rows.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "near-classes")
@@ -284,14 +293,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs = _most_shared(members, "low").union(_most_shared(members, "high"))
     pairs = pairs.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
-    stars = cut(confirmed(cut(_pairs_by_sketch(pairs, classes), "near-stars"), docs), "near-links")
+    stars = cut(confirmed(cut(_pairs_by_sketch(pairs, classes, threshold), "near-stars"), docs, threshold), "near-links")
     found = cut(components(stars), "near-components")
 
     placed = members.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
     rest = cut(placed.join(cut(open_.select("key"), "near-open"), "key"), "near-rest")
     rest = rest.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch", "bands"), "rep")
-    more = cut(confirmed(cut(_block_pairs(rest), "near-pairs"), docs), "near-more")
+    more = cut(confirmed(cut(_block_pairs(rest, threshold), "near-pairs"), docs, threshold), "near-more")
 
     named = named.join(found, F.col("rep") == F.col("id"), "left").select(*(F.col(c).alias(f"_nd_{c}") for c in sets), F.coalesce("component", "rep").alias("component"))
     if not more.isEmpty():  # these link components, which are joined as wholes

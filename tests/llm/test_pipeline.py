@@ -1,6 +1,7 @@
 """run() against plain loops. The first stage's decisions are its own (its accuracy is tested elsewhere); the others are done again."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,7 +9,7 @@ import tiktoken
 from conftest import SF
 from pyspark.sql import functions as F
 from test_mixing import share_out
-from test_near_dedup import brute, words_of
+from test_near_dedup import brute, set_of, words_of
 
 import corpus_pipeline
 from tesserae.llm import byte_bpe, line_dedup
@@ -87,3 +88,21 @@ def test_stages_take_odd_rows(spark, stage):
     empty = stage(spark, docs.limit(0), SF)
     assert empty.count() == 0
     assert empty.withColumn("x", F.lit(1)).columns[-1] == "x"
+
+
+def test_near_dedup_stage_links_from_80_percent(spark):
+    """Against all pairs at 0.80, with many pairs between 0.80 and op4's 0.85."""
+    rng = random.Random(21)
+    docs = []
+    for k in range(40):
+        base = [f"v{rng.randrange(5000)}" for _ in range(104)]  # 100 shingles
+        docs += [base, base + [f"t{k}x{i}" for i in range(14 + k % 15)]]  # similarity 100 / (100 + added): 0.78 to 0.88
+    texts = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    sets = {i: set_of(x) for i, x in texts}
+    shares = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    assert sum(0.80 <= s < 0.85 for s in shares) >= 10 and sum(s < 0.80 for s in shares) >= 5 and shares.count(0.80) >= 1
+    want = set(sets)
+    for a in sets:
+        want -= {b for b in sets if b > a and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    frame = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, SF).collect()} == want
