@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns find emails, IP addresses, card and phone numbers. These are the seeds: the words to
-the left and right of a seed's tokens become lexical patterns, and every identifier-like token of
-the corpus (a blank-free run of LEAST_CHARS or more characters with LEAST_DIGITS digits) is an
-instance. Patterns and instances form a weighted graph that Spark scores for ROUNDS rounds: a
-pattern's confidence is the mean score of its instances (damped by DAMPING), an instance's score is
-the noisy-or of its confident patterns. Instances that PATTERNS_NEEDED or more confident patterns
-support with a score of at least ACCEPT are unseen identifiers and add spans of kind `ctx`.
+Base patterns find emails, IP addresses, card and phone numbers. Each whole span of these is a seed,
+whatever its digits and blanks: the words to its left and right become lexical patterns, and every
+identifier-like token beside the spans (a blank-free run of LEAST_CHARS or more characters with
+LEAST_DIGITS digits) is an instance. Patterns and instances form a weighted graph: a pattern's
+confidence is the mean score of its instances (damped by DAMPING), an instance's score is the
+noisy-or of its confident patterns. Instances that PATTERNS_NEEDED or more confident patterns
+support with a score of at least ACCEPT are unseen identifiers and add spans of kind `ctx`; from the
+next round on they count like seeds among the LEAST_SEEDS that a pattern needs. Scores only rise, so
+rounds go on until nothing is added and the confidences rise by SETTLED or less in all.
 
 Positions come from the pieces between matches: the lengths of pieces and matches, summed, are the
 starts. The regular expressions take each run of their first class at once (possessive, and only
@@ -38,7 +40,7 @@ PATTERNS = {
 NEEDED = {"email": "@", "phone": "+"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 LEAST_CHARS, LEAST_DIGITS = 6, 3
-ROUNDS, DAMPING, CONFIDENT, LEAST_SEEDS, PATTERNS_NEEDED, ACCEPT = 3, 2.0, 0.6, 5, 2, 0.9
+DAMPING, CONFIDENT, LEAST_SEEDS, PATTERNS_NEEDED, ACCEPT, SETTLED = 2.0, 0.6, 5, 2, 0.9, 0.001
 CONTEXT_CHARS = 64  #: a context word longer than this is cut to it: it is a key, not content
 _BLOCK = 128
 
@@ -118,12 +120,28 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _patterns(left: Column, right: Column) -> Column:
+    """Lexical patterns of the words at both sides; none for an empty word."""
+    pattern = lambda side, word: F.when(word != "", F.concat(F.lit(side), F.substring(ascii_lower(word), 1, CONTEXT_CHARS)))
+    return F.array_compact(F.array(pattern("<", left), pattern(">", right)))
+
+
 def base_spans(text: Column) -> Column:
-    """start, order of the kind, end and kind of all base matches, sorted."""
+    """start, order of the kind, end and kind of all base matches, sorted; and each one's key and patterns as a seed.
+
+    What is glued to a span belongs to neither word beside it, and a word that another match cuts is none.
+    """
+
+    def around(m: Column) -> Column:
+        before = F.when(m["start"] == F.length(m["left"]), F.concat(F.lit(" "), m["left"])).otherwise(m["left"])
+        after = F.when(m["end"] + F.length(m["right"]) == F.length(text), F.concat(m["right"], F.lit(" "))).otherwise(m["right"])
+        left = F.regexp_extract(before, r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]*$", 1)
+        return _patterns(left, F.regexp_extract(after, r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]", 1))
 
     def of(k: int, kind: str) -> Column:
         kept = F.filter(matches(text, PATTERNS[kind], NEEDED.get(kind, "")), lambda m: valid(kind, m["value"]))
-        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("k"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+        told = lambda m: _digits(m["value"]) if kind in ("card", "phone") else ascii_lower(m["value"])
+        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("k"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.xxhash64(told(m)).alias("key"), around(m).alias("patterns")))
 
     return F.sort_array(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
@@ -133,47 +151,45 @@ def written(spans: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens: start, end, key (a hash of the token), their left and right patterns, and whether a base span overlaps."""
+    """start, end, key (a hash), patterns and seed of the base spans and of the identifier-like tokens that no base span overlaps."""
     left = lambda m: F.regexp_extract(m["left"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
     right = lambda m: F.regexp_extract(m["right"], r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-    pattern = lambda side, word: F.when(word != "", F.concat(F.lit(side), F.substring(ascii_lower(word), 1, CONTEXT_CHARS)))
     told = F.filter(matches(text, TOKEN), lambda m: (F.length(m["value"]) >= LEAST_CHARS) & (F.length(_digits(m["value"])) >= LEAST_DIGITS))
-    return F.transform(
-        told,
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            F.xxhash64(ascii_lower(m["value"])).alias("key"),
-            F.array_compact(F.array(pattern("<", left(m)), pattern(">", right(m)))).alias("patterns"),
-            F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])).alias("seed"),
-        ),
-    )
+    told = F.filter(told, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    row = lambda m, key, patterns, seed: F.struct(m["start"].alias("start"), m["end"].alias("end"), key.alias("key"), patterns.alias("patterns"), F.lit(seed).alias("seed"))
+    tokens = F.transform(told, lambda m: row(m, F.xxhash64(ascii_lower(m["value"])), _patterns(left(m), right(m)), False))
+    return F.concat(F.transform(base, lambda b: row(b, b["key"], b["patterns"], True)), tokens)
 
 
 def discovered(tokens: DataFrame) -> DataFrame:
     """Keys of unseen identifiers, from tokens(key, patterns, seed)."""
     edges = tokens.select("key", "seed", F.explode("patterns").alias("pattern"))
     edges = cut(edges.groupBy("pattern", "key").agg(F.count(F.lit(1)).alias("times"), F.max("seed").alias("seed")), "pii-edges")
-    scores = edges.where("seed").select("key", F.lit(1.0).alias("score")).distinct()
-    supported = None
-    for _ in range(ROUNDS):
+    seeds = edges.where("seed").select("key", F.lit(1.0).alias("score"), F.lit(True).alias("sure")).distinct()
+    scores, last = seeds, (0, 0, 0.0)
+    while True:
         rated = edges.join(scores, "key", "left").groupBy("pattern")
         confidence = (F.sum(F.col("times") * F.coalesce("score", F.lit(0.0))) / (F.sum("times") + DAMPING)).alias("confidence")
-        patterns = rated.agg(confidence, F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = cut(patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "confidence"), "pii-patterns")
+        patterns = rated.agg(confidence, F.count_if(F.coalesce("sure", F.lit(False))).alias("sure"))
+        patterns = cut(patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("sure") >= LEAST_SEEDS)).select("pattern", "confidence"), "pii-patterns")
         supported = edges.where("not seed").join(patterns, "pattern").groupBy("key")
         supported = supported.agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"), F.count(F.lit(1)).alias("patterns"))
-        supported = cut(supported, "pii-scores")
-        scores = edges.where("seed").select("key", F.lit(1.0).alias("score")).distinct().unionByName(supported.select("key", "score"))
-        scores = scores.groupBy("key").agg(F.max("score").alias("score"))
-    return supported.where((F.col("patterns") >= PATTERNS_NEEDED) & (F.col("score") >= ACCEPT)).select("key")
+        supported = cut(supported.withColumn("sure", (F.col("patterns") >= PATTERNS_NEEDED) & (F.col("score") >= ACCEPT)), "pii-scores")
+        rise = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        now = (rise[0], supported.where("sure").count(), rise[1])
+        if now[:2] == last[:2] and now[2] - last[2] <= SETTLED:
+            return supported.where("sure").select("key")
+        last = now
+        scores = seeds.unionByName(supported.select("key", "score", "sure"))
+        scores = scores.groupBy("key").agg(F.max("score").alias("score"), F.max("sure").alias("sure"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base (base spans) and added (spans of unseen identifiers) of each row of docs(doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    read = cut(read.select("doc_id", F.xxhash64("text").alias("mark"), "base", candidates(F.col("text"), F.col("base")).alias("tokens")), "pii-read")
+    spans = F.transform("base", lambda b: F.struct(*(b[c].alias(c) for c in ("start", "k", "end", "kind"))))
+    read = cut(read.select("doc_id", F.xxhash64("text").alias("mark"), spans.alias("base"), candidates(F.col("text"), F.col("base")).alias("tokens")), "pii-read")
     tokens = read.select("doc_id", "mark", F.explode("tokens").alias("t")).select("doc_id", "mark", "t.*")
     keys = cut(discovered(tokens), "pii-found")
     spans = tokens.where("not seed").join(keys, "key").groupBy("doc_id", "mark")

@@ -53,3 +53,25 @@ def test_unseen_identifiers_are_found_by_context(spark):
 
 def test_empty_table(spark):
     assert p.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_whole_base_spans_are_seeds(spark):
+    """Emails without digits and phone numbers with blanks teach patterns."""
+    letters = "abcdefghijklmnopqrst"
+    docs = [f"please write to contact {a}.doe@example.com for account help" for a in letters] + [f"you can ring +1 415 555 01{k:02} (at) any hour" for k in range(20)]
+    docs += ["please write to contact AB-9912-77 for account help", "you can ring XY-12345 (at) any hour", "you can ring 123456 instead"]
+    rows = p.find_personal_data(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    added = {r.doc_id: [docs[r.doc_id][s.start : s.end] for s in r.added] for r in rows if r.added}
+    assert added == {40: ["AB-9912-77"], 41: ["XY-12345"]}
+
+
+def test_found_identifiers_bring_in_patterns(spark):
+    """A chain of five hops: what stands in one hop's context leads to the next context."""
+    docs = [f"start lefta {a}{b}@example.com righta end" for a in "abcdef" for b in "uvwxyz"]
+    for hop, (here, then) in enumerate(zip("abcde", "bcdef", strict=True)):
+        for k in range(8):
+            docs += [f"start left{here} ID-{hop}-77{k} right{here} end"] + [f"start left{then} ID-{hop}-77{k} right{then} end"] * 6
+    docs += ["start leftf LAST-4711 rightf end", "start leftf LONE-4711 other end"]
+    rows = p.find_personal_data(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    found = {docs[r.doc_id][s.start : s.end] for r in rows for s in r.added}
+    assert found == {f"ID-{hop}-77{k}" for hop in range(5) for k in range(8)} | {"LAST-4711"}
