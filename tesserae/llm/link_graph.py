@@ -5,7 +5,8 @@ the rule's, and the longest rule wins. Where no rule fits, the host's standing d
 from hosts with allowed pages along host edges (personalised PageRank); distrust flows from hosts
 with blocked pages against them: a host that links to distrusted hosts is distrusted. Both start
 with each host's share of allowed and of blocked pages, and a host is blocked if its distrust
-exceeds MARGIN times its trust and FLOOR times the share of an average host.
+exceeds MARGIN times its trust and FLOOR times the share of an average host. Scores are those of the
+settled walk: rounds go on until what is still on its way is less than TOLERANCE times that floor.
 
 Host edges are the absolute links in pages' html, and both directions between a host and its
 nearest parent domain among the hosts (a subdomain and its parent link to each other). Edges and
@@ -35,6 +36,7 @@ RULES = (
     ("org", "/es/", "block"),
 )
 ROUNDS, DAMPING, MARGIN, FLOOR = 8, 0.85, 1.0, 0.5
+TOLERANCE = 1e-3  #: of FLOOR times an average host's share: the part of the scores of a kind that may still be on its way
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]*)"""
 
 
@@ -94,6 +96,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     return scores
 
 
+def converged(edges: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
+    """propagate() for as many rounds as it takes: the scores of a kind differ by less than tolerance in all from the settled ones.
+
+    All that is not sent goes to the seeds, so settled scores are in proportion to what the seeds and
+    all that they send, directly and on, add up to. A round sends the last one's part; DAMPING
+    bounds what all later rounds can add.
+    """
+    total = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
+    ways = cut(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("share")), "graph-ways")
+    state = seeds.groupBy("kind", "host").agg(F.sum("seed").alias("part")).withColumn("score", F.col("part"))
+    while True:
+        sent = ways.join(state.where("part > 0").select("kind", F.col("host").alias("src"), "part"), ["kind", "src"])
+        sent = sent.select("kind", F.col("dst").alias("host"), (DAMPING * F.col("part") * F.col("share")).alias("part"), F.lit(0.0).alias("score"))
+        both = sent.unionByName(state.select("kind", "host", F.lit(0.0).alias("part"), "score")).groupBy("kind", "host")
+        state = cut(both.agg(F.sum("part").alias("part"), (F.sum("score") + F.sum("part")).alias("score")), "graph-scores")
+        sums = state.groupBy("kind").agg(F.sum("part").alias("part"), F.sum("score").alias("whole")).collect()  # one row a kind
+        # what is to come is at most part * DAMPING / (1 - DAMPING), and changes the scaled scores by at most twice its share
+        if all(2 * r["part"] * DAMPING / (1 - DAMPING) < tolerance * r["whole"] for r in sums):
+            break
+    whole = F.lit(1.0)
+    for row in sums:
+        whole = F.when(F.col("kind") == row["kind"], F.lit(row["whole"])).otherwise(whole)
+    return state.select("kind", "host", (F.col("score") / whole).alias("score"))
+
+
 def host_standing(pages: DataFrame) -> DataFrame:
     """host, trust, distrust and blocked of every host, from pages(host, rule_verdict, html)."""
     kinds = {"trust": "allowed", "distrust": "refused"}
@@ -106,9 +133,10 @@ def host_standing(pages: DataFrame) -> DataFrame:
     seeds = [
         hosts.where(f"{c} > 0").select(F.lit(k).alias("kind"), "host", (F.col(c) / F.col("pages") / F.lit(totals[k] or 1.0)).alias("seed")) for k, c in kinds.items()
     ]
-    scores = propagate(edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(back), cut(seeds[0].unionByName(seeds[1]), "graph-seeds"))
+    floor = FLOOR / max(1, totals["n"])
+    scores = converged(edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(back), cut(seeds[0].unionByName(seeds[1]), "graph-seeds"), TOLERANCE * floor)
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k)
-    bad = (F.col("distrust") > MARGIN * F.col("trust") + 1e-12) & (F.col("distrust") > FLOOR / max(1, totals["n"]))
+    bad = (F.col("distrust") > MARGIN * F.col("trust") + 1e-12) & (F.col("distrust") > floor)
     return cut(scores.groupBy("host").agg(*map(of, kinds)).withColumn("blocked", bad), "graph-standing")
 
 

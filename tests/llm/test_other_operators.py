@@ -132,3 +132,24 @@ def test_pagerank_against_dense_loop(spark):
     frame = spark.createDataFrame([("k", a, b, float(n)) for (a, b), n in edges.items()], "kind string, src string, dst string, n double")
     made = {r.host: r.score for r in link_graph.propagate(frame, spark.createDataFrame([("k", h, s) for h, s in seeds.items()], "kind string, host string, seed double")).collect()}
     assert all(abs(made.get(h, 0) - score[h]) < 1e-12 for h in nodes)
+
+
+def test_scores_settle_along_a_chain(spark):
+    """Hosts 1 to 20 links from a blocked one, beside a cycle, against a dense loop of 400 rounds."""
+    link = lambda h: f"<a href='https://{h}/p'>t</a>"
+    chain = [("http://bad.org/es/1", link("round.io"))] + [(f"http://c{k}.io/", link(f"c{k - 1}.io" if k > 1 else "bad.org")) for k in range(1, 21)]
+    chain += [("http://round.io/", link("bad.org"))] + [(f"http://lone{k}.io/", "") for k in range(400)]
+    rows = [(i, url, html) for i, (url, html) in enumerate(chain)]
+    made = {r.host: r for r in link_graph.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    back = {"bad.org": {"c1.io": 0.5, "round.io": 0.5}, "round.io": {"bad.org": 1.0}} | {f"c{k}.io": {f"c{k + 1}.io": 1.0} for k in range(1, 20)}
+    score = {"bad.org": 1.0}
+    for _ in range(400):
+        sent = {}
+        for a, ways in back.items():
+            for b, share in ways.items():
+                sent[b] = sent.get(b, 0.0) + link_graph.DAMPING * score.get(a, 0.0) * share
+        sent["bad.org"] = sent.get("bad.org", 0.0) + 1 - sum(sent.values())
+        score = sent
+    floor = link_graph.FLOOR / len(made)
+    assert sum(abs(made[h].distrust - score.get(h, 0.0)) for h in made) < link_graph.TOLERANCE * floor
+    assert score["c12.io"] > floor and all((made[h].verdict == "block") == (score.get(h, 0.0) > floor) for h in made if h != "bad.org")
