@@ -18,7 +18,7 @@ _PAGES = f"(SELECT page_id, url, {_HOST} || ' ' || rtrim({_PATH}, '/') || '   '
 
 @query("SELECT page_id, lower(regexp_extract(url, '^([^:]*)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || regexp_extract(url, '(\\?[^#]*)', 1) AS url FROM pages")
 def normalize_url(spark, sf_dir):
-    upper = F.concat(F.upper(F.substring("url", 1, 14)), F.substring("url", 15, 1000))
+    upper = F.concat(F.upper(F.substring("url", 1, 14)), F.expr("substring(url, 15)"))
     return Domain(spark, sf_dir).table("pages").select("page_id", u.normalize_url(upper).alias("url"))
 
 

@@ -1,4 +1,4 @@
-"""Registered planner rules, over every text of the conversations as a question."""
+"""Registered planner rules, over every text of the conversations as a question: local_plans over whole texts, those with SQL over the prefix that it takes."""
 
 from __future__ import annotations
 
@@ -21,9 +21,10 @@ def _or(column: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-def _questions(spark, sf_dir):
+def _questions(spark, sf_dir, whole=False):
+    text = F.col("text") if whole else F.substring("text", 1, 60)
     phrase = F.get(F.array(*map(F.lit, _PHRASES)), ((F.col("conv_id") + F.col("turn")) % len(_PHRASES)).cast("int"))
-    return Domain(spark, sf_dir).table("conversations").select("conv_id", "turn", F.concat_ws(" ", F.substring("text", 1, 60), phrase).alias("q"))
+    return Domain(spark, sf_dir).table("conversations").select("conv_id", "turn", F.concat_ws(" ", text, phrase).alias("q"))
 
 
 @query(rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(q, 'oldest|earliest') THEN '2020' WHEN regexp_matches(q, '\b20\d\d\b\s+(and|to|-|through)\s+\b20\d\d\b') THEN array_to_string(range(CAST(regexp_extract(q, '\b(20\d\d)\b\s+(?:and|to|-|through)\s+\b(20\d\d)\b', 1) AS INT),
@@ -69,6 +70,6 @@ def local_plans(spark, sf_dir):
     years = F.create_map(F.lit("NVDA"), F.array(*map(F.lit, (2023, 2022, 2021))), F.lit("AMD"), F.array(F.lit(2022)))
     names = F.create_map(F.lit("NVDA"), F.array(F.lit("NVIDIA CORP")), F.lit("AMD"), F.array(F.lit("ADVANCED MICRO DEVICES INC")))
     context = F.struct(F.array(F.lit("AMD"), F.lit("NVDA")).alias("tickers"), F.array(*map(F.lit, p.SECTIONS)).alias("sections"), years.alias("years"), names.alias("names"))
-    named = _questions(spark, sf_dir).withColumn("q", F.concat("q", F.when(F.col("turn") % 3 == 0, " for Nvidia").when(F.col("turn") % 3 == 1, " (AMD)").otherwise("")))
+    named = _questions(spark, sf_dir, whole=True).withColumn("q", F.concat("q", F.when(F.col("turn") % 3 == 0, " for Nvidia").when(F.col("turn") % 3 == 1, " (AMD)").otherwise("")))
     planned = named.withColumn("context", context).select("conv_id", "turn", p.local_plan(F.col("q"), F.col("context")).alias("p"))
     return planned.select("conv_id", "turn", F.array_join("p.tickers", ",").alias("tickers"), F.array_join("p.sections", ",").alias("sections"), "p.time_scope", "p.intent", F.array_join(F.col("p.filing_years").cast("array<string>"), ",").alias("years"))
