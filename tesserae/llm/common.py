@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only on a local master without one (tests on one machine) a temporary folder is set; on a cluster
+    that folder would be lost with its machine, so there an unset one raises.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         told = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
@@ -39,11 +43,28 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once all that was made of them is written as well."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def named(*columns: str):
+    """Columns by their exact names, whatever marks these hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
-    """Bound what an Arrow batch holds, in rows and bytes: texts may be very long."""
+    """Bound what an Arrow batch holds, in rows and bytes: texts may be very long.
+
+    Spark reads these settings when a plan starts to run, so they stay set for the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 

@@ -7,8 +7,10 @@ and memory is bounded by one Arrow batch and one row's media.
 
 Defined results: a null text counts as empty; an empty text is stored as 192 blanks; equal texts
 give equal media and features (nothing depends on ids or order); further columns pass through
-unless a result column has their name, which then replaces them; an empty table gives no rows.
-Media that break the format raise ValueError, naming the fault.
+unless a result column has their name in any case, which then replaces them; an empty table gives no
+rows; repeated rows stay repeated; nothing is ordered, so there are no ties; texts are taken whole,
+and a very long one costs memory in proportion to its own length only. Media that break the format,
+or whose last granule position isn't the length in the track's header, raise ValueError, naming the fault.
 """
 
 from __future__ import annotations
@@ -165,12 +167,16 @@ def read_media(media: bytes) -> tuple[bytes, str]:
         if header[: len(MAGIC)] != MAGIC:
             raise ValueError("unknown codec")
         track, rate, length = struct.unpack_from("<BIQ", header, len(MAGIC))
-        samples = np.empty(length, np.uint8)
-        for (data, _), (start, end) in zip(packets[1:], packet_times(packets[1:]), strict=True):
-            if end > length:
-                raise ValueError("a packet lies beyond its track's end")
-            samples[start:end] = np.frombuffer(data, np.uint8)
-        tracks[track], count, seconds = samples, count + len(packets), max(seconds, length / rate)
+        times = packet_times(packets[1:])  # without gaps from sample 0 to the last granule position
+        last = times[-1][1] if times else 0
+        if last != length:
+            raise ValueError(f"track {track} ends at sample {last}, where its header says {length}")
+        if track in tracks:
+            raise ValueError(f"track {track} occurs twice")
+        tracks[track] = np.frombuffer(b"".join(data for data, _ in packets[1:]), np.uint8)
+        count, seconds = count + len(packets), max(seconds, last / rate)
+    if sorted(tracks) != [0, 1] or len(tracks[0]) != len(tracks[1]) or not len(tracks[0]) or len(tracks[0]) % (BLOCK // 2):
+        raise ValueError("not two tracks of the same whole number of blocks")
     payload = np.stack([tracks[t].reshape(-1, BLOCK // 2) for t in sorted(tracks)], axis=1).tobytes()
     level = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
     rms = float(np.sqrt(np.mean(np.square(level))))
