@@ -7,7 +7,9 @@ broadcast; documents are mapped where they lie, without a shuffle.
 
 Defined results: a null text counts as empty and has no ids; ids decode to the text's exact
 UTF-8 bytes; null ids decode to null; repeated rows stay repeated; further columns pass through
-unless a result column has their name. An id outside the vocabulary raises ValueError.
+unless a result column has their name in any case; whole texts are encoded, however long, a
+pre-token of n bytes in n log n steps; pairs of one rank are merged from the left, so ties have one
+result; an empty table gives no rows. An id outside the vocabulary raises ValueError.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_batches, table
+from .common import bounded_batches, map_batches, table
 
 MEMO_ENTRIES, MEMO_CHARS = 150_000, 48  #: bounds of each of the two generations of pre-tokens a task remembers
 _GOLDEN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -198,21 +200,21 @@ class Decoder:
         return b"".join(self.tokens[ids])
 
 
-def _mapped(df: DataFrame, vocabulary: str, added: list[T.StructField], make: Callable) -> DataFrame:
-    """df with further columns, from make(encoder and decoder tables)(batch) -> arrays."""
+def _mapped(df: DataFrame, vocabulary: str, column: str, added: list[T.StructField], make: Callable) -> DataFrame:
+    """df with further columns, from make(encoder and decoder tables)(values of column) -> arrays."""
     spark = df.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(tables(vocabulary))
     own = {f.name.lower() for f in added}
     schema = T.StructType([f for f in df.schema.fields if f.name.lower() not in own] + added)
-    passed = len(schema.fields) - len(added)
+    passed, at = [df.columns.index(f.name) for f in schema.fields[: len(schema.fields) - len(added)]], df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:passed]), *of(batch)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, passed), *of(batch.column(at))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -229,9 +231,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
     def make(whole, pairs):
         encoder = Encoder(whole, pairs, pattern)
-        return lambda batch: [_lists([encoder.encode(x or "") for x in batch.column(text).to_pylist()])]
+        return lambda texts: [_lists([encoder.encode(x or "") for x in texts.to_pylist()])]
 
-    return _mapped(df, vocabulary, [T.StructField(ids, _IDS)], make)
+    return _mapped(df, vocabulary, text, [T.StructField(ids, _IDS)], make)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -240,15 +242,14 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
     def make(whole, pairs):
         decoder = Decoder(whole)
 
-        def of(batch: pa.RecordBatch) -> list[pa.Array]:
-            lists = batch.column(ids)
+        def of(lists: pa.Array) -> list[pa.Array]:
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
             told = lists.is_valid().to_pylist()
             return [pa.array([decoder.decode(flat[a:b]) if ok else None for a, b, ok in zip(offsets, offsets[1:], told, strict=False)], pa.binary())]
 
         return of
 
-    return _mapped(df, vocabulary, [T.StructField(decoded, T.BinaryType())], make)
+    return _mapped(df, vocabulary, ids, [T.StructField(decoded, T.BinaryType())], make)
 
 
 def encode_and_decode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -257,13 +258,13 @@ def encode_and_decode(df: DataFrame, vocabulary: str, pattern: str, text: str =
     def make(whole, pairs):
         encoder, decoder = Encoder(whole, pairs, pattern), Decoder(whole)
 
-        def of(batch: pa.RecordBatch) -> list[pa.Array]:
-            rows = [encoder.encode(x or "") for x in batch.column(text).to_pylist()]
+        def of(texts: pa.Array) -> list[pa.Array]:
+            rows = [encoder.encode(x or "") for x in texts.to_pylist()]
             return [_lists(rows), pa.array([decoder.decode(x) for x in rows], pa.binary())]
 
         return of
 
-    return _mapped(df, vocabulary, [T.StructField(ids, _IDS), T.StructField(decoded, T.BinaryType())], make)
+    return _mapped(df, vocabulary, text, [T.StructField(ids, _IDS), T.StructField(decoded, T.BinaryType())], make)
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -60,6 +60,11 @@ def named(*columns: str):
     return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow by the places of columns: their names may hold dots, which mapInArrow itself doesn't take."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
     """Bound what an Arrow batch holds, in rows and bytes: texts may be very long.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table
+from .common import bounded_batches, map_batches, table
 
 RATE = 8000
 BLOCK = 192  #: samples dealt to the two tracks at a time: the first half to track 0, the rest to track 1
@@ -196,27 +196,29 @@ def write_ogg(df: DataFrame, payload: str = "payload", media: str = "media") ->
     """Add `media`, the Ogg bytes of the binary column `payload` (a positive multiple of 192 bytes)."""
     bounded_batches(df.sparkSession)
     schema = _added(df, [T.StructField(media, T.BinaryType())])
+    passed, at = [df.columns.index(f.name) for f in schema.fields[:-1]], df.columns.index(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([write_media(x) for x in batch.column(payload).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), made], names=schema.names)
+            made = pa.array([write_media(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, passed), made], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def read_ogg(df: DataFrame, media: str = "media") -> DataFrame:
     """Add `samples` (the payload read back) and `feature` from the binary column `media`."""
     bounded_batches(df.sparkSession)
     schema = _added(df, [T.StructField("samples", T.BinaryType()), T.StructField("feature", T.StringType())])
+    passed, at = [df.columns.index(f.name) for f in schema.fields[:-2]], df.columns.index(media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [read_media(x) for x in batch.column(media).to_pylist()]
+            read = [read_media(x) for x in batch.column(at).to_pylist()]
             made = [pa.array([x[0] for x in read], pa.binary()), pa.array([x[1] for x in read], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-2]), *made], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, passed), *made], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def padded(text: Column) -> Column:

@@ -10,8 +10,10 @@ it lies, on its whole text.
 
 Defined results: null and empty texts have only the features of an empty text and are scored like
 any other; ratings with a null or without a document are not used; with no usable ratings every
-document has the middle grade and is kept; repeated rows stay repeated; further columns pass
-through unless a result column has their name.
+document has the middle grade and is kept; of several ratings of one document the worst counts;
+ties at the bound of the sample are broken by doc_id; a document at the threshold itself is kept;
+repeated rows stay repeated; whole texts are read, however long; an empty table gives no rows;
+further columns pass through unless a result column has their name in any case.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, cut, map_batches, table
 
 BITS = 17
 GRADES = 3
@@ -180,28 +182,30 @@ def rated_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_RATED) -> Dat
     return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "grade")
 
 
-def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> DataFrame:
-    """Add `expected_grade`, `p_ge1` and `p_ge2` to docs, from the column `text`."""
+def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, prefix: str = "") -> DataFrame:
+    """Add `expected_grade`, `p_ge1` and `p_ge2`, their names begun with prefix, to docs, from the column `text`."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), thresholds))
-    names = ["expected_grade", "p_ge1", "p_ge2"]
+    names = [prefix + x for x in ("expected_grade", "p_ge1", "p_ge2")]
     schema = T.StructType([f for f in docs.schema.fields if f.name.lower() not in names] + [T.StructField(x, T.DoubleType()) for x in names])
 
+    passed, at = [docs.columns.index(f.name) for f in schema.fields[:-3]], docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, t = shared.value
         for b in batches:
-            margin = np.array([w[features(x)].sum(dtype=np.float64) for x in b.column("text").to_pylist()])
+            margin = np.array([w[features(x)].sum(dtype=np.float64) for x in b.column(at).to_pylist()])
             tail = tails(margin, t)
             made = [tail.sum(axis=1), tail[:, 0], tail[:, 1]]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in schema.fields[:-3]), *map(pa.array, made)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*map(b.column, passed), *map(pa.array, made)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with expected_grade, p_ge1, p_ge2 and `keep`."""
+def classify(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with expected_grade, p_ge1, p_ge2 and `keep`; prefix begins these names, so that docs may have columns of the bare ones."""
     weights, thresholds = fit(rated_rows(docs, labels))
-    return score(docs, weights, thresholds).withColumn("keep", F.col("p_ge2") >= KEEP_AT if weights.any() else F.lit(True))
+    return score(docs, weights, thresholds, prefix).withColumn(f"{prefix}keep", F.col(f"{prefix}p_ge2") >= KEEP_AT if weights.any() else F.lit(True))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
