@@ -15,7 +15,9 @@ copies in one join.
 Defined results: null texts and texts without words have size 0 and are taken 0 times; null
 sources are one source, ordered last; null ids order first; repeated rows are documents each; with
 no words at all every target is 0; an empty table gives no rows. The document at the cut is taken
-if more than half of it fits. Ties are broken by hash, id, size and round.
+if more than half of it fits. Ties are broken by hash, id, size and round; rows equal in id, source
+and size, whose queue places are interchangeable, by a hash of their texts. Whole texts are counted,
+however long. Working columns begin with `_mix_`; others, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, small, table
+from .common import WORD, cut, named, small, table
 
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
 ROWS_A_RANGE, FEWEST_RANGES, TIMES = 500_000, 256, 8  #: queues are cut near finish time 1; times of TIMES or more share a range
@@ -118,12 +120,34 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_
 
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs as the mix takes them: each row as often as its document is taken, with its own columns."""
-    sizes = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
-    taken = mix(sizes).where("copies > 0").groupBy("id", "source", "size").agg(F.max("copies").alias("_mix_copies"))
-    taken = cut(taken.toDF("_mix_id", "_mix_source", "_mix_size", "_mix_copies"), "mix-taken")
-    same = F.col(id).eqNullSafe(F.col("_mix_id")) & F.col(source).eqNullSafe(F.col("_mix_source")) & (words(F.col(text)) == F.col("_mix_size"))
-    return docs.join(small(taken), same).withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    """docs as the mix takes them: each row as often as its document is taken, with its own columns.
+
+    Rows of one id, source and size follow each other in their queue, so their copies differ by one at
+    most, and only where the cut goes between them: there the first ones, by a hash of the text, get
+    the greater number. They are counted by hash range first and ordered only within the range where
+    the numbers change.
+    """
+    of_id, of_source, of_text = named(id, source, text)
+    keys = ["_mix_id", "_mix_source", "_mix_size"]
+    sizes = docs.select(of_id.alias("id"), of_source.alias("source"), words(of_text).alias("size"))
+    taken = mix(sizes).groupBy("id", "source", "size").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("n"))
+    taken = cut(taken.where("most > 0").select(*(F.col(c).alias(k) for c, k in zip(("id", "source", "size"), keys, strict=True)), F.col("least").alias("_mix_least"), (F.col("sum") - F.col("least") * F.col("n")).alias("_mix_more")), "mix-taken")
+    same = of_id.eqNullSafe(F.col("_mix_id")) & of_source.eqNullSafe(F.col("_mix_source")) & (words(of_text) == F.col("_mix_size"))
+    joined = docs.join(small(taken), same).withColumn("_mix_copies", F.col("_mix_least"))
+    if not taken.where("_mix_more > 0").isEmpty():
+        joined = joined.withColumn("_mix_mark", F.xxhash64(of_text)).withColumn("_mix_part", F.shiftright("_mix_mark", 52))
+        uneven = joined.where("_mix_more > 0")
+        by_part = Window.partitionBy(*keys).orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = uneven.groupBy(*keys, "_mix_part").agg(F.count(F.lit(1)).alias("_mix_n")).withColumn("_mix_before", F.coalesce(F.sum("_mix_n").over(by_part), F.lit(0)))
+        parts = cut(parts, "mix-parts").select(*(F.col(c).alias(f"{c}_of") for c in (*keys, "_mix_part")), "_mix_before")
+        alike = F.lit(True)
+        for c in (*keys, "_mix_part"):
+            alike = alike & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+        place = F.row_number().over(Window.partitionBy(*keys, "_mix_part").orderBy("_mix_mark"))
+        uneven = uneven.join(small(parts), alike).withColumn("_mix_place", place + F.col("_mix_before"))
+        uneven = uneven.withColumn("_mix_copies", F.col("_mix_least") + F.when(F.col("_mix_place") <= F.col("_mix_more"), 1).otherwise(0)).select(*named(*joined.columns))
+        joined = joined.where("_mix_more = 0").unionByName(uneven)
+    return joined.where("_mix_copies > 0").withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*named(*docs.columns))
 
 
 def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
