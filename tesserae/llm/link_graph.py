@@ -8,14 +8,17 @@ with each host's share of allowed and of blocked pages, and a host is blocked if
 exceeds MARGIN times its trust and FLOOR times the share of an average host. Scores are those of the
 settled walk: rounds go on until what is still on its way is less than TOLERANCE times that floor.
 
-Host edges are the absolute links in pages' html, and both directions between a host and its
-nearest parent domain among the hosts (a subdomain and its parent link to each other). Edges and
+Host edges are the absolute and protocol-relative links in pages' html. Where pages tell nothing, a family
+edge stands in: a host without any link from or to another host and its nearest parent domain among
+the hosts (or such a parent and its subdomain) link to each other, with the weight of `family` links;
+0 leaves these edges out. Edges and
 scores are summed per host before each shuffle, so a hot host is one row; each round is one join and
 one sum over the edges and is written to the shared folder, so lost executors cost one round.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule, has no
-edges and is allowed; a null html has no links; links of a host to itself are left out; repeated
-pages count as often; a host without any score is allowed; hosts with nowhere to pass their score on
+edges and is allowed; a null html has no links; links of a host to itself are left out; whole pages
+are read, however long; repeated pages count as often; further columns go; distrust equal to the
+floor or to MARGIN times the trust doesn't block; a host without any score is allowed; hosts with nowhere to pass their score on
 give it back to the seeds; an empty table gives no rows. Equal rules count once; of rules equally
 long the blocking one wins.
 """
@@ -35,9 +38,10 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-ROUNDS, DAMPING, MARGIN, FLOOR = 8, 0.85, 1.0, 0.5
+DAMPING, MARGIN, FLOOR, FAMILY = 0.85, 1.0, 0.5, 1.0
+ROUNDS = 8  #: of propagate() and of the SQL, for graphs that settle in so many; filter_urls() goes on until the scores have settled
 TOLERANCE = 1e-3  #: of FLOOR times an average host's share: the part of the scores of a kind that may still be on its way
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]*)"""
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -58,8 +62,8 @@ def judged_by_rules(host: Column, path: Column, rules=RULES) -> Column:
     return chosen
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """src, dst and weight (shares of src's links, 1 in all) between the hosts of hosts(host)."""
+def host_edges(pages: DataFrame, hosts: DataFrame, family: float = FAMILY) -> DataFrame:
+    """src, dst and n, the links (or what stands in for them), between the hosts of hosts(host)."""
     links = (
         pages.where("host <> ''")
         .select("host", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to"))
@@ -67,12 +71,16 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
     known = links.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst", "n")
+    known = cut(known, "graph-links")
     labels = F.split("host", r"\.")
     parents = hosts.select("host", F.explode(F.expr("transform(sequence(2, greatest(2, size(split(host, '[.]')))), i -> i)")).alias("i"))
     parents = parents.select("host", F.array_join(F.slice(labels, F.col("i"), F.size(labels)), ".").alias("parent"), "i").where("parent <> ''")
     nearest = parents.join(hosts.select(F.col("host").alias("parent")), "parent", "left_semi").groupBy("host").agg(F.min_by("parent", "i").alias("parent"))
-    family = nearest.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(nearest.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
-    edges = known.unionByName(family.withColumn("n", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    met = known.select(F.col("src").alias("host")).union(known.select("dst")).distinct()
+    of = lambda c: met.select(F.col("host").alias(c), F.lit(True).alias(f"{c}_met"))
+    alone = nearest.join(of("host"), "host", "left").join(of("parent"), "parent", "left").where("host_met is null or parent_met is null")
+    both = alone.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(alone.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
+    edges = known.unionByName(both.withColumn("n", F.lit(float(family)))) if family > 0 else known
     return cut(edges, "graph-edges")
 
 
@@ -121,13 +129,13 @@ def converged(edges: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame
     return state.select("kind", "host", (F.col("score") / whole).alias("score"))
 
 
-def host_standing(pages: DataFrame) -> DataFrame:
+def host_standing(pages: DataFrame, family: float = FAMILY) -> DataFrame:
     """host, trust, distrust and blocked of every host, from pages(host, rule_verdict, html)."""
     kinds = {"trust": "allowed", "distrust": "refused"}
     allowed, refused = (F.count_if(F.col("rule_verdict") == v).cast("double") for v in ("allow", "block"))
     hosts = pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), allowed.alias("allowed"), refused.alias("refused"))
     hosts = cut(hosts, "graph-hosts")
-    edges = host_edges(pages, hosts)
+    edges = host_edges(pages, hosts, family)
     back = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     totals = hosts.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c) / F.col("pages")).alias(k) for k, c in kinds.items())).first()
     seeds = [
@@ -140,11 +148,11 @@ def host_standing(pages: DataFrame) -> DataFrame:
     return cut(scores.groupBy("host").agg(*map(of, kinds)).withColumn("blocked", bad), "graph-standing")
 
 
-def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, family: float = FAMILY) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each row of pages(page_id, url, html)."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     split = split.withColumn("told", judged_by_rules(F.col("host"), F.col("path"), rules))
-    standing = host_standing(split.select("host", F.col("told.verdict").alias("rule_verdict"), "html"))
+    standing = host_standing(split.select("host", F.col("told.verdict").alias("rule_verdict"), "html"), family)
     judged = split.drop("html").join(standing, "host", "left")
     by_graph = F.when(F.col("blocked"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "told.rule", F.coalesce("told.verdict", by_graph).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -166,9 +174,11 @@ def _sql() -> str:
   ORDER BY size DESC, verdict DESC LIMIT 1) AS told FROM p)""",
         "h AS (SELECT host, count(*) AS pages, count(*) FILTER (told.verdict = 'allow') AS good, count(*) FILTER (told.verdict = 'block') AS bad FROM j WHERE host <> '' GROUP BY host)",
         f"l AS (SELECT host AS src, {lower.format('x')} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS x FROM j WHERE host <> ''))",
+        "n AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst AND dst IN (SELECT host FROM h) GROUP BY ALL)",
+        "m AS (SELECT src AS host FROM n UNION SELECT dst FROM n)",
         """f AS (SELECT c.host AS child, arg_max(q.host, length(q.host)) AS parent FROM h c JOIN h q ON ends_with(c.host, '.' || q.host) GROUP BY c.host)""",
-        """e AS (SELECT src, dst, sum(n)::DOUBLE AS n FROM (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst AND dst IN (SELECT host FROM h) GROUP BY ALL
-  UNION ALL SELECT child, parent, 1 FROM f UNION ALL SELECT parent, child, 1 FROM f) GROUP BY ALL)""",
+        "a AS (SELECT child, parent FROM f WHERE child NOT IN (SELECT host FROM m) OR parent NOT IN (SELECT host FROM m))",
+        f"e AS (SELECT src, dst, n::DOUBLE AS n FROM n UNION ALL SELECT child, parent, {FAMILY} FROM a UNION ALL SELECT parent, child, {FAMILY} FROM a)",
     ]
     for k, share, src, dst in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
         parts.append(f"{k}s AS (SELECT host, {share} / pages / (SELECT sum({share} / pages) FROM h) AS seed FROM h WHERE {share} > 0)")

@@ -91,3 +91,16 @@ def test_mixed_documents_repeat(spark):
     assert mixed.columns == frame.columns
     counts = {r.source: r.n for r in mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert abs(counts["b"] - 28.9) <= 1 and abs(counts["a"] - 72.1) <= 2 and mixed.where("doc_id is null").count() == 0
+
+
+def test_rows_of_one_id_are_taken_one_by_one(spark):
+    """Rows equal in id, source and size of which some are taken once more than others: the sum is the mix's."""
+    docs = [(5, f"{k} " * 4, "a", 1) for k in range(7)] + [(None, "n " * 4, "a", 1)] * 9 + [(100 + k, "y", "b", 1) for k in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, Copies long").withColumn("a.b", F.lit(1))
+    sizes = frame.select(F.col("doc_id").alias("id"), "source", m.words(F.col("text")).alias("size"))
+    want = {(r.id, r.source): r.n for r in m.mix(sizes).groupBy("id", "source").agg(F.sum("copies").alias("n")).where("n > 0").collect()}
+    copies = {(r.id, r.c) for r in m.mix(sizes).select("id", F.col("copies").alias("c")).collect()}
+    assert len({c for i, c in copies if i == 5}) == 2 or len({c for i, c in copies if i is None}) == 2
+    mixed = m.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    assert {(r.doc_id, r.source): r.n for r in mixed.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()} == want

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from conftest import SF, rows_of
 from pyspark.sql import functions as F
@@ -25,9 +26,74 @@ def test_lines_of_a_site_go(spark):
     assert line_dedup.drop_boilerplate(frame.limit(0), "source").count() == 0
 
 
+def test_small_hosts_repeated_rows_and_clashing_columns(spark):
+    """A footer of a host of three pages goes; two copies of a page aren't a template; names in another case don't clash."""
+    rows = [(k, "h3", f"own {k}\nfoot") for k in range(3)] + [(7, "h2", "copy\nsame"), (7, "h2", "copy\nsame")] + [(k, "h100", f"own {k}" + "\nat" * (k < 7) + "\nover" * (k < 8)) for k in range(100, 200)]
+    rows = [(i, h, t + "\nat" * (h == "h100" and i < 107) + "\nover" * (h == "h100" and i < 108)) for i, h, t in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("N_Lines", F.lit("old")).withColumn("a.b", F.lit(1))
+    made = line_dedup.drop_boilerplate(frame, "source")
+    assert made.columns == ["doc_id", "source", "text", "a.b", "n_lines", "n_dropped"]
+    texts = [(r.doc_id, r.text) for r in made.collect()]
+    assert (0, "own 0") in texts and texts.count((7, "copy\nsame")) == 2
+    assert (100, "own 100\nat") in texts  # on 7 of 100 pages, which is not above the ratio; the other line is on 8
+    long = spark.createDataFrame([(1, "s", "x" * 300_000 + "\n" + "y " * 200_000)], "doc_id long, source string, text string")
+    assert line_dedup.drop_boilerplate(long, "source").first().n_lines == 2
+
+
 # --- quality
 
 
+def dense_loss(rows, grades, x, size):
+    """The penalised mean loss of the ordinal model by a loop over rows."""
+    import math
+
+    w, t0, t1 = x[:size], x[size], x[size] + math.exp(x[size + 1])
+    total = 0.0
+    for row, grade in zip(rows, grades, strict=True):
+        tail = [1.0] + [1 / (1 + math.exp(t - sum(w[i] for i in row))) for t in (t0, t1)] + [0.0]
+        total -= math.log(tail[grade] - tail[grade + 1])
+    return total / len(rows) + quality.RIDGE / 2 * sum(v * v for v in w)
+
+
+def test_gradient_is_the_difference_quotient():
+    rng = np.random.default_rng(4)
+    rows, grades = [np.unique(rng.integers(0, 12, 5)) for _ in range(40)], rng.integers(0, 3, 40)
+    x = np.concatenate([rng.normal(0, 0.4, 12), [-0.6, 0.3]])
+    g, gt, value = quality.gradient(rows, grades, x[:12], quality.thresholds_of(x))
+    gaps = np.diff(quality.thresholds_of(x), prepend=quality.thresholds_of(x)[0] - 1)
+    own = np.concatenate([g / 40 + quality.RIDGE * x[:12], np.cumsum(gt[::-1])[::-1] * gaps / 40])
+    for k in range(14):
+        step = np.eye(14)[k] * 1e-6
+        slope = (dense_loss(rows, grades, x + step, 12) - dense_loss(rows, grades, x - step, 12)) / 2e-6
+        assert abs(slope - own[k]) < 1e-6
+    assert abs(dense_loss(rows, grades, x, 12) - value / 40 - quality.RIDGE / 2 * x[:12] @ x[:12]) < 1e-9
+
+
+def test_fit_against_a_dense_descent(spark, monkeypatch):
+    """The distributed fit gives the probabilities of plain gradient descent on one dense matrix."""
+    monkeypatch.setattr(quality, "STEPS", 200)
+    rng = random.Random(5)
+    docs = [(" ".join(rng.choice(("alpha", "beta", "gamma", "delta") if g == 2 else ("alpha", "beta", "omega") if g else ("omega", "sigma")) for _ in range(6)), g) for g in (0, 1, 2) for _ in range(40)]
+    weights, thresholds = quality.fit(spark.createDataFrame(docs, "text string, grade int"))
+    rows = [quality.features(t) for t, _ in docs]
+    used = [i for i in sorted(set(np.concatenate(rows).tolist())) if sum(i in r for r in rows) >= quality.LEAST_ROWS]
+    dense = np.array([[float(i in r) for i in used] for r in rows])
+    grades, n = np.array([g for _, g in docs]), len(docs)
+    w, t, gap = np.zeros(len(used)), -1.0, 0.0
+    for _ in range(20_000):
+        m, cuts = dense @ w, np.array([t, t + np.exp(gap)])
+        up = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(cuts[None, :] - m[:, None])), np.zeros((n, 1))])
+        i = np.arange(n)
+        slope, p = up * (1 - up), up[i, grades] - up[i, grades + 1]
+        by_m = -(slope[i, grades] - slope[i, grades + 1]) / p
+        by_t = [float(np.sum((slope[:, k] / p)[grades == k] - 0) - np.sum((slope[:, k] / p)[grades == k - 1])) / n for k in (1, 2)]
+        w -= 0.1 * (dense.T @ by_m / n + quality.RIDGE * w)
+        t, gap = t - 0.1 * sum(by_t), gap - 0.1 * by_t[1] * np.exp(gap)
+    ours = quality.tails(dense @ weights[used], thresholds)  # features that all rows have and thresholds may stand in for each other
+    assert np.abs(ours - quality.tails(dense @ w, np.array([t, t + np.exp(gap)]))).max() < 0.01
+    assert not np.delete(weights, used).any()
+
+
 def documents(rng, n):
     words = [f"{a}{b}" for a in ("mer", "tol", "san", "vik", "rud") for b in ("e", "on", "ti", "ra", "us", "al")]
     out = []
@@ -153,3 +219,15 @@ def test_scores_settle_along_a_chain(spark):
     floor = link_graph.FLOOR / len(made)
     assert sum(abs(made[h].distrust - score.get(h, 0.0)) for h in made) < link_graph.TOLERANCE * floor
     assert score["c12.io"] > floor and all((made[h].verdict == "block") == (score.get(h, 0.0) > floor) for h in made if h != "bad.org")
+
+
+def test_links_go_before_family_edges(spark):
+    """Family edges stand in only for hosts without links, with the weight given; none at 0."""
+    link = lambda *hosts: "".join(f"<a href='//{h}/p'>t</a>" for h in hosts)
+    pages = [("a.com", link("b.com", "b.com")), ("x.a.com", link("b.com")), ("b.com", ""), ("y.a.com", "<p>" + "z" * 300_000), ("q.w.org", None), ("w.org", link("W.org"))]
+    frame = spark.createDataFrame(pages, "host string, html string")
+    hosts = frame.select("host").distinct()
+    edges = lambda f: {(r.src, r.dst): r.n for r in link_graph.host_edges(frame, hosts, f).collect()}
+    links = {("a.com", "b.com"): 2.0, ("x.a.com", "b.com"): 1.0}
+    stand_in = {("y.a.com", "a.com"): 0.25, ("a.com", "y.a.com"): 0.25, ("q.w.org", "w.org"): 0.25, ("w.org", "q.w.org"): 0.25}
+    assert edges(0.25) == links | stand_in and edges(0) == links

@@ -90,6 +90,19 @@ def test_stages_take_odd_rows(spark, stage):
     assert empty.withColumn("x", F.lit(1)).columns[-1] == "x"
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+def test_stages_leave_further_columns_alone(spark, stage):
+    """Columns named like the operators' own, in any case, come through unchanged."""
+    names = ["keep", "P_ge1", "p_ge2", "Expected_Grade", "N_Lines", "n_dropped", "copies", "Size", "component_id", "rep", "a.b"]
+    docs = spark.createDataFrame([(k, f"some words of text number {k} and more of it", "en", f"s{k % 2}", 40) for k in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")))
+    made = stage(spark, docs, SF)
+    assert made.columns == docs.columns and made.count()
+    for r in made.collect():
+        assert [r[c] for c in names] == [f"{c} of {r.doc_id}" for c in names]
+
+
 def test_near_dedup_stage_links_from_80_percent(spark):
     """Against all pairs at 0.80, with many pairs between 0.80 and op4's 0.85."""
     rng = random.Random(21)
