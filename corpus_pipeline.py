@@ -11,21 +11,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import byte_bpe, line_dedup, mixing, near_dedup, quality
-from tesserae.llm.common import cut, small, table
+from tesserae.llm.common import cut, named, small, table
 
 #: Percent of shared five-word shingles from which the near-dedup stage takes two documents as near-duplicates (op4's contract has its own).
 NEAR = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. It is fitted on the rated ones among docs."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    """Documents that the classifier does not reject. It is fitted on the rated ones among docs.
+
+    Rows without an id or text are scored like any other; repeated rows stay or go together; without
+    usable ratings all stay; columns stay as they are, whatever their names.
+    """
+    return quality.classify(docs, table(spark, sf_dir, "labels"), "_quality_").where("_quality_keep").select(*named(*docs.columns))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; n_chars follows the text. All documents stay."""
-    cleaned = line_dedup.drop_boilerplate(docs, host="source")
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the boilerplate lines of their source; n_chars follows the text. All documents stay.
+
+    Null texts stay null, with null n_chars; repeated rows stay repeated; further columns stay as they are.
+    """
+    cleaned = line_dedup.cleaned(docs, host="source")
+    return cleaned.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else named(c)[0] for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +49,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: not at all if they have no words, up to three times otherwise.
+
+    Rows without an id are documents each; columns stay as they are.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; a null text counts as empty, repeated rows stay repeated, further columns go."""
     return byte_bpe.digests(docs, *byte_bpe.production())
 
 
