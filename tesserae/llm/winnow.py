@@ -1,17 +1,18 @@
 """Document fingerprints by winnowing.
 
-The k-grams of a text are its runs of K words, lower-cased (A-Z); each gets a 64-bit hash, of which
-the upper HASH_BITS are used. Every window of WINDOW successive k-grams gives its smallest hash, the
-rightmost one on ties, with its position in words. So any match of at least K + WINDOW - 1 words is
-found, and none of fewer than K words is. A selected k-gram is one long: the hash above, and below it
-the bits of the position, turned round, so that the smallest long is the smallest hash furthest right.
-
-All of it is array expressions on one row; the number of steps is in proportion to the text's length.
+The k-grams of a text are its runs of K words, lower-cased (A-Z). Their 64-bit hashes roll: a gram's hash is
+a cyclic polynomial of its words' hashes, and the next gram's is that one turned by a bit, without
+the word that leaves and with the one that comes (shifts and exclusive ors only, which don't
+overflow). A block of BLOCK grams rolls on from its first gram, so arrays that grow are short and the
+number of steps is in proportion to the text's length. Every window of WINDOW successive k-grams
+gives its smallest hash, the rightmost one on ties, with its position in words. So any match of at
+least K + WINDOW - 1 words is found, and none of fewer than K words is. All of it is array expressions on one row.
 
 Defined results: a null text counts as empty and has an empty fingerprint; a text of fewer than K
 words has one k-gram, all its words; fewer than WINDOW k-grams are one window; equal texts have equal
-fingerprints; the likeness of two empty fingerprints is 1, of an empty and another one 0. Repeated
-rows stay repeated, and working columns have names that begin with `_w_`.
+fingerprints; the likeness of two empty fingerprints is 1, of an empty and another one 0; texts are
+read whole, and positions hold for up to 2**31 words. Repeated rows stay repeated: rows of one id
+follow each other by text. Further columns go, and working columns have names that begin with `_w_`.
 """
 
 from __future__ import annotations
@@ -21,51 +22,71 @@ from pyspark.sql import functions as F
 
 from .common import WORD, ascii_lower, cut, table
 
-K, WINDOW = 5, 4
-POSITION_BITS = 24
-_POSITIONS = (1 << POSITION_BITS) - 1
+K, WINDOW, BLOCK = 5, 4, 32
 SEGMENTS, ROWS_A_RANGE, MOST_RANGES = 64, 500, 100_000
 
 
-def _shifted(values: Column, by: int) -> Column:
-    return F.slice(values, F.lit(by + 1), F.greatest(F.size(values) - by, F.lit(0)))
+def bind(value: Column, then) -> Column:
+    """`then` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
-def selected(text: Column) -> Column:
-    """The selected k-grams of a text in order of position, one long each."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.transform(F.array(words), lambda w: _selected_words(w))[0]
+def turned(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
+
+
+def rolled(hashes: Column) -> Column:
+    """Hashes of all runs of K values (of all values, if they are fewer), each from the one before it."""
+    count = F.when(F.size(hashes) > 0, F.greatest(F.size(hashes) - (K - 1), F.lit(1))).otherwise(0)
+
+    def first(i: Column) -> Column:
+        own = F.lit(0).cast("bigint")
+        for j in range(K):
+            own = own.bitwiseXOR(turned(F.coalesce(F.get(hashes, i + j), F.lit(0).cast("bigint")), K - 1 - j))
+        return own
 
+    def block(start: Column) -> Column:
+        rest = F.slice(hashes, start + (K + 1), F.least(F.lit(BLOCK - 1), count - start - 1))  # the words that come, one a gram
+        step = lambda made, word: F.array_append(made, turned(F.element_at(made, -1), 1).bitwiseXOR(turned(F.get(hashes, start + F.size(made) - 1), K)).bitwiseXOR(word))
+        return F.aggregate(rest, F.array(first(start)), step)
 
-def _selected_words(words: Column) -> Column:
-    """The steps are lambdas over one-element arrays: each intermediate array is made once."""
-    bind = lambda value, then: F.transform(F.array(value), then)[0]
-    n = F.size(words)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)), F.lit(BLOCK)), block)
+    return F.when(F.size(hashes) > 0, F.flatten(blocks)).otherwise(F.array().cast("array<bigint>"))
 
-    def grams(hashes: Column) -> Column:
-        many = F.transform(
-            F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))),
-            lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(K))).bitwiseAND(F.lit(~_POSITIONS)).bitwiseOR(F.lit(_POSITIONS) - (i % F.lit(_POSITIONS + 1))),
-        )
-        return F.when(n > 0, many).otherwise(F.array().cast("array<bigint>"))
 
-    def halves(marks: Column) -> Column:
-        """Minima of windows of two, then of two windows of two."""
-        pairs = lambda a, by: F.slice(F.zip_with(a, _shifted(a, by), lambda x, y: F.least(x, y)), F.lit(1), F.size(a) - by)
-        whole = bind(pairs(marks, 1), lambda twos: pairs(twos, 2))
-        return F.when(F.size(marks) >= WINDOW, F.array_distinct(whole)).when(F.size(marks) > 0, F.array(F.array_min(marks))).otherwise(marks)
+def picked(grams: Column) -> Column:
+    """Positions of each window's smallest gram, the rightmost on ties, each once and in order."""
 
-    return bind(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: bind(grams(hashes), halves))
+    def least_of(j: Column) -> Column:
+        own = [F.get(grams, j + k) for k in range(WINDOW)]
+        place = j
+        for k in range(1, WINDOW):
+            place = F.when(own[k] <= F.least(*own[:k]) if k > 1 else own[1] <= own[0], j + k).otherwise(place)
+        return place
+
+    def few(size: Column) -> Column:
+        best = F.array_min(F.transform(grams, lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))
+        return F.when(size > 0, F.array(-best["i"])).otherwise(F.array().cast("array<int>"))
+
+    size = F.size(grams)
+    return F.when(size >= WINDOW, F.array_distinct(F.transform(F.sequence(F.lit(0), size - WINDOW), least_of))).otherwise(few(size))
+
+
+def selected(text: Column) -> Column:
+    """array of struct(hash, position) of the selected k-grams of a text, in order of position."""
+    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    chosen = lambda grams: F.transform(picked(grams), lambda i: F.struct(F.get(grams, i).alias("hash"), i.alias("position")))
+    return bind(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: bind(rolled(hashes), chosen))
 
 
 def hashes(fingerprint: Column) -> Column:
     """The distinct hashes of a fingerprint, without positions."""
-    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, POSITION_BITS)))
+    return F.array_distinct(fingerprint["hash"])
 
 
 def positions(fingerprint: Column) -> Column:
     """Where the selected k-grams begin, in words."""
-    return F.transform(fingerprint, lambda x: F.lit(_POSITIONS) - x.bitwiseAND(F.lit(_POSITIONS)))
+    return fingerprint["position"]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,7 +96,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def digest(fingerprint: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(fingerprint, lambda x: F.hex(x)), ","), 256)
+    return F.sha2(F.array_join(F.transform(fingerprint, lambda x: F.concat_ws(":", F.hex(x["hash"]), x["position"].cast("string"))), ","), 256)
 
 
 def by_range(docs: DataFrame) -> DataFrame:

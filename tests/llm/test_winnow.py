@@ -1,7 +1,6 @@
 import hashlib
 import random
 import re
-import struct
 
 import xxhash
 from pyspark.sql import functions as F
@@ -9,17 +8,23 @@ from pyspark.sql import functions as F
 from tesserae.llm import winnow as w
 
 
+def turned(x, by):
+    return (x << by | x >> 64 - by) & (1 << 64) - 1 if by else x
+
+
+def direct(words):
+    """A gram's hash from its words alone, without rolling."""
+    own = 0
+    for j, x in enumerate(words):
+        own ^= turned(xxhash.xxh64_intdigest(x.encode(), 42), w.K - 1 - j)
+    return own - (1 << 64) if own >> 63 else own
+
+
 def plain(text):
     """Selected (hash, position) pairs by a loop over windows."""
     lower = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.findall(r"[^\x20\x09-\x0d]+", lower)]
-    grams = []
-    for i in range(max(len(hashes) - w.K + 1, 1) if hashes else 0):
-        seed = 42
-        for h in hashes[i : i + w.K]:
-            seed = xxhash.xxh64_intdigest(struct.pack("<Q", h), seed)
-        signed = seed - (1 << 64) if seed >> 63 else seed
-        grams.append((signed & ~w._POSITIONS, i))
+    words = re.findall(r"[^\x20\x09-\x0d]+", lower)
+    grams = [(direct(words[i : i + w.K]), i) for i in range(max(len(words) - w.K + 1, 1) if words else 0)]
     out = []
     for j in range(max(len(grams) - w.WINDOW + 1, 1) if grams else 0):
         window = grams[j : j + w.WINDOW]
@@ -36,8 +41,17 @@ def near(a, b):
 
 
 def digest(picks):
-    marks = [(h | (w._POSITIONS - i)) & ((1 << 64) - 1) for h, i in picks]
-    return hashlib.sha256(",".join(f"{m:X}" for m in marks).encode()).hexdigest()
+    return hashlib.sha256(",".join(f"{h & (1 << 64) - 1:X}:{i}" for h, i in picks).encode()).hexdigest()
+
+
+def test_rolled_hashes_are_the_direct_ones(spark):
+    """Over many blocks, at their ends, and for texts of fewer words than a gram."""
+    rng = random.Random(12)
+    texts = [[f"v{rng.randrange(50)}" for _ in range(size)] for size in (0, 1, 4, 5, 6, 35, 36, 37, 38, 67, 68, 69, 400, 20_000)] + [["same"] * 300]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x array<string>")
+    made = {r.i: r.g for r in frame.select("i", w.rolled(F.transform("x", lambda v: F.xxhash64(v))).alias("g")).collect()}
+    for i, x in enumerate(texts):
+        assert made[i] == [direct(x[k : k + w.K]) for k in range(max(len(x) - w.K + 1, 1) if x else 0)]
 
 
 def test_query_against_loops(spark, tmp_path):
