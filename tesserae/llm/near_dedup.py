@@ -11,12 +11,14 @@ confirmed on full sets.
 1. Rows with equal sets are one class (grouped by 128 bits of hash, summed in the map tasks first);
    the class is known by its smallest doc_id. Copies are never expanded into pairs.
 2. Each class is compared with two others only: the smallest and the largest members of its buckets
-   that it meets most often. So pairs are in proportion to classes, however large the buckets. Sketches filter the pairs, whole texts confirm them, and
-   components are found by alternating large and small stars.
+   that it meets most often. So pairs are in proportion to classes, however large the buckets.
+   Sketches filter the pairs, whole texts confirm them, and components are found by alternating large
+   and small stars.
 3. Buckets that still hold several components are compared in full, in blocks of BLOCK members, so
    that no task holds more than two blocks. A block pair gives only the pairs of different components
-   whose sizes and sketches allow a link, and each pair only in the first bucket it shares. Those are confirmed, and components that they link are
-   joined. No bucket is capped, and after this step no pair that shares a bucket is left out.
+   whose sizes and sketches allow a link, and each pair only in the first bucket it shares. A member
+   goes only to the blocks of its own and the next size step (a step is the ratio of sizes that a link
+   allows). Those pairs are confirmed, and components that they link are joined. No bucket is capped, and after this step no pair that shares a bucket is left out.
 
 Texts are fetched only for the ends of pairs left by the sketches. Everything that is used twice is written to the shared
 folder, so a lost executor costs one step.
@@ -24,12 +26,14 @@ folder, so a lost executor costs one step.
 Defined results: without words (or text) n_shingles is 0 and the row is linked with nothing; with
 fewer words than a shingle has, all of them are one shingle; rows with equal ids count as versions
 of one document; rows with a null doc_id are not linked except to copies with ids, and their
-component is null if they have none; they are kept then. An empty table gives no rows. Working
-columns begin with `_nd_`.
+component is null if they have none; they are kept then; a similarity equal to the threshold links;
+whole texts are read, however long; further columns go. An empty table gives no rows. Working columns
+begin with `_nd_`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_batches, cut, small, table
+from .common import bounded_batches, cut, discard, small, table
 
 SHINGLE, THRESHOLD = 5, 85  #: percent
 COORDINATES, BANDS, ROWS = 512, 42, 6
@@ -154,34 +158,41 @@ def _pairs_by_sketch(pairs: DataFrame, classes: DataFrame, threshold: int = THRE
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Those pairs(a, b) of doc_ids whose full sets are linked. Texts are fetched for these documents only."""
-    bounded_batches(docs.sparkSession)
-    ids = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "near-ids")
-    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(small(ids), "id"), "near-texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
-    right = texts.join(small(pairs.select(F.col("b").alias("id")).distinct()), "id").select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-    rows = left.join(small(pairs), "a").join(right, "b").select("a", "b", "a_text", "b_text")
+    """Those pairs(a, b) of doc_ids whose full sets are linked. Texts are fetched for these documents only.
+
+    The end of a pair that is in more pairs is its hub. A hub's text goes once to each share of its
+    pairs (BLOCK of them), not once to each pair, so a hub of millions costs as many small tasks.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    counts = cut(ends.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "near-ids")
+    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(small(counts.select("id")), "id"), "near-texts")
+    of = lambda x: small(counts).select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    first = F.col("a_n") >= F.col("b_n")
+    hub, spoke = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    share = F.pmod(F.xxhash64(spoke), F.ceil(F.greatest("a_n", "b_n") / BLOCK)).cast("int")
+    turned = cut(both.select(hub.alias("hub"), spoke.alias("spoke"), share.alias("share")), "near-shares")
+    hubs = texts.join(turned.select("hub", "share").distinct(), F.col("id") == F.col("hub")).select("hub", "share", F.lit(None).cast("long").alias("spoke"), "text")
+    spokes = texts.join(turned, F.col("id") == F.col("spoke")).select("hub", "share", "spoke", "text")
+    rows = hubs.unionByName(spokes).repartition("hub", "share").sortWithinPartitions("hub", "share", F.asc_nulls_first("spoke"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, str], np.ndarray] = {}
-        held = 0
+        """A hub's own rows (versions of one id) come before those of its spokes."""
+        now, own = None, []
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            good = []
+            a, b = [], []
             with np.errstate(over="ignore"):
-                for i, (x, y) in enumerate(zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True)):
-                    sets = []
-                    for key in ((a[i], x), (b[i], y)):
-                        if key not in known:
-                            if held > 2_000_000:
-                                known.clear()
-                                held = 0
-                            known[key] = shingles(key[1])
-                            held += len(known[key]) + 100
-                        sets.append(known[key])
-                    if linked(*sets, threshold):
-                        good.append(i)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([b[i] for i in good], pa.int64())})
+                for *key, spoke, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if key != now:
+                        now, own = key, []
+                    if spoke is None:
+                        own.append(shingles(text))
+                    elif any(linked(x, other, threshold) for other in [shingles(text)] for x in own):
+                        a.append(min(key[0], spoke))
+                        b.append(max(key[0], spoke))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -195,13 +206,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-edges")
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "star-least")
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "star-least")
+        large = both.join(first, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "star-large")
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "star-least")
         joined = large.join(least, F.col("u") == F.col("w"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
-        edges = cut(small.distinct(), "star-small")
+        last, edges = edges, cut(small.distinct(), "star-small")
+        discard(last, first, large, least)
         ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
         seen = ends.groupBy("id").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
         if seen.where("up > 1 or up = 1 and least = 0").isEmpty():  # no id has two smaller neighbours, or a smaller and a larger one
@@ -218,23 +230,27 @@ def _block_pairs(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spark = members.sparkSession
     bounded_batches(spark, rows=4096)
     least = least_agreement(threshold)
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # sizes of a link lie in one step or in two next to each other: the smaller one is copied to the step above
+    step = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / threshold) * (1 + 1e-9))).cast("int")
+    members = members.withColumn("own", step).withColumn("step", F.explode(F.array("own", F.col("own") + 1)))
+    counts = members.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("own").alias("top"))
+    counts = counts.where("least < most and top = step").select("key", "step", "blocks")  # else no pair of this step has two components
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = members.join(cut(counts, "near-blocks"), "key").withColumn("block", block)
+    placed = members.join(cut(counts, "near-blocks"), ["key", "step"]).withColumn("block", block)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    placed = placed.select("key", low.alias("i"), high.alias("j"), "block", "rep", "component", "n", "sketch", "bands")
-    placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    placed = placed.select("key", "step", low.alias("i"), high.alias("j"), "block", "own", "rep", "component", "n", "sketch", "bands")
+    placed = placed.repartition("key", "step", "i", "j").sortWithinPartitions("key", "step", "i", "j")
 
-    def compared(group: pa.Table, key: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        rep, comp, n, block = (group.column(c).to_numpy() for c in ("rep", "component", "n", "block"))
+    def compared(group: pa.Table, key: int, step: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        rep, comp, n, block, own = (group.column(c).to_numpy() for c in ("rep", "component", "n", "block", "own"))
         marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         bands = np.concatenate([c.flatten().to_numpy() for c in group.column("bands").chunks]).reshape(-1, BANDS)
         firsts, seconds = [], []
         inside = np.flatnonzero(block == i) if i != j else np.arange(len(rep))
         others = np.flatnonzero(block == j) if i != j else inside
         for x in inside:
-            may = others[(comp[others] != comp[x]) & (100 * np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x]))]
+            may = others[(comp[others] != comp[x]) & (np.maximum(own[others], own[x]) == step) & (100 * np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x]))]
             may = may[rep[may] > rep[x]] if i == j else may
             if len(may):
                 may = may[(marks[may] == marks[x]).mean(axis=1) >= least]
@@ -257,7 +273,7 @@ def _block_pairs(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "step", "i", "j")], axis=1)
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else []
             for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
                 if tuple(keys[s]) != now:

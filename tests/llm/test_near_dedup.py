@@ -16,7 +16,7 @@ def set_of(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(docs):
+def brute(docs, threshold=85):
     """Components by comparing all pairs of full sets."""
     sets = {i: set_of(x) for i, x in docs}
     root = {i: i for i in sets}
@@ -30,7 +30,7 @@ def brute(docs):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= threshold * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (i, len(sets[i]), find(i), find(i) == i) for i in ids}
@@ -94,3 +94,17 @@ def test_components_of_a_path_and_a_star(spark):
     star = [(7, i) for i in range(300, 340)]
     found = {r.id: r.component for r in n.components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert all(found[i] == 100 for i in range(100, 161)) and all(found[i] == 7 for i in [7, *range(300, 340)])
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    """A text that is in hundreds of pairs is compared in shares; versions of one id count each."""
+    monkeypatch.setattr(n, "BLOCK", 16)
+    base = [f"b{k}" for k in range(100)]
+    docs = [(1, " ".join(base))] + [(10 + k, " ".join([*base[:90], *(f"x{k}y{i}" for i in range(k % 20))])) for k in range(150)] + [(7, "other words"), (7, " ".join(base))]
+    pairs = [(1, 10 + k) for k in range(150)] + [(7, 10 + k) for k in range(150)] + [(1, 7)]
+    made = n.confirmed(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(docs, "doc_id long, text string"))
+    sets = {}
+    for i, x in docs:
+        sets.setdefault(i, []).append(set_of(x))
+    want = {(a, b) for a, b in pairs if any(100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b])}
+    assert {tuple(r) for r in made.collect()} == want and 1 < len(want) < len(pairs)
