@@ -61,7 +61,7 @@ def test_run(spark):
     good = [i for i, x in labels.items() if x.quality == 1 and x.toxic == 0]
     assert sum(d["doc_id"] in set(good) for d in left) > 0.97 * len(good)
     without_boilerplate(left)
-    alone = brute([(d["doc_id"], d["text"]) for d in left])
+    alone = brute([(d["doc_id"], d["text"]) for d in left], corpus_pipeline.NEAR)
     left = [d for d in left if alone[d["doc_id"]][3]]
     copies = mixed(left)
     path, pattern = byte_bpe.production()
