@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,10 @@ class Config:
     collection: str = "research"
     chunk_size: int = 4000
     overlap: int = 500
+    planner_model: str = "rules"
+    answer_model: str = "extractive"
+    buckets: int = 64  #: of the table of vectors, for each corpus
+    limit_per_source: int | None = None
 
 
 @dataclass
@@ -53,6 +58,17 @@ class Answer:
     answer: str
     labels: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    used_fallback: bool = False
+    planner_error: str | None = None
+    sources: list[dict] = field(default_factory=list)
+    query_run_id: int | None = None
+
+    def response(self, include_plan: bool = True, include_source_text: bool = True) -> dict:
+        """The answer as a response gives it, without plan or source texts where they aren't asked for."""
+        told = asdict(self)
+        told["plan"] = told["plan"] if include_plan else None
+        told["sources"] = [s if include_source_text else {**s, "text": None} for s in self.sources]
+        return told
 
 
 class Engine:
@@ -62,14 +78,20 @@ class Engine:
     def __init__(self, spark: SparkSession, config: Config, planner: Callable | None = None, writer: Callable | None = None):
         self.spark, self.config, self.planner, self.writer = spark, config, planner, writer
         self.store = Store(spark, config.root)
-        self.worker = Worker(spark, self.store, config.vector_path, config.model, config.collection, config.chunk_size, config.overlap)
+        c = config
+        self.worker = Worker(spark, self.store, c.vector_path, c.model, c.collection, c.chunk_size, c.overlap, c.limit_per_source, c.buckets)
 
     # --- filings --------------------------------------------------------------------------
 
     def ingest_filings(self, raw_dir: str, ticker: str, form: str = "10-K", limit: int | None = None) -> None:
-        """Read downloaded filings, cut them into chunks, store both; their embedding runs are pending again."""
+        """Read downloaded filings, cut them into chunks, store both and the clean texts; their embedding runs are pending again.
+
+        What was recorded of chunks that are gone goes with them; vectors are exchanged when the filing is embedded.
+        """
         store = self.store
-        read = filings.ingest(filings.scan(self.spark, raw_dir, ticker, form, limit), form).withColumn("ticker", F.lit(ticker.upper()))
+        path = F.concat_ws("/", F.lit("filings"), F.lit(ticker.upper()), F.concat("accession_number", F.lit(".txt")))
+        read = filings.ingest(filings.scan(self.spark, raw_dir, ticker, form, limit), form).withColumns({"ticker": F.lit(ticker.upper()), "clean_text_path": path})
+        store.keep_texts(read.select(F.col("clean_text_path").alias("path"), "text"))
         store.upsert("filings", read.drop("html", "text"))
         chunks = filings.chunk_sections(filings.sections(read), self.config.chunk_size, self.config.overlap)
         ids = store.read("filings").select(F.col("id").alias("filing_id"), "accession_number").join(read.select("accession_number"), "accession_number", "left_semi")
@@ -77,34 +99,24 @@ class Engine:
         before = store.read("chunks")
         last = before.agg(F.max("id")).first()[0] or 0
         own = store.numbered(own, ["filing_id", "section_id", "chunk_index"], last + 1)
-        store.write("chunks", dml.replace_children(before, own, "filing_id"))
+        if before.join(ids, "filing_id", "left_semi").isEmpty():
+            store.append("chunks", own)
+        else:
+            gone = before.join(ids, "filing_id", "left_semi").select(F.col("id").alias("chunk_id"))
+            store.update("chunk_embeddings", lambda r: r.join(gone, "chunk_id", "left_anti"))
+            store.write("chunks", dml.replace_children(before, own, "filing_id"))
         runs = ids.select("filing_id", F.lit(self.config.model).alias("embedding_model"), F.lit(self.config.collection).alias("vector_collection"), F.lit("pending").alias("status"))
         merged = dml.merge_upsert(store.read("embedding_runs"), runs, ["filing_id", "embedding_model", "vector_collection"])
         store.write("embedding_runs", dml.reset_runs(merged, store.read("chunks"), ids))
 
     def vectorize_filings(self) -> None:
-        """Embed the chunks of filings that are not ready; a filing is ready when all its vectors are written."""
-        s, c = self.store, self.config
-        pending = relational.pending_filing_chunks(s.read("chunks"), s.read("filings"), s.read("embedding_runs"), c.model, c.collection)
-        key = filings.t.filing_vector_id(F.col("accession_number"), F.col("section_id"), F.col("chunk_index"))
-        made = pending.select(
-            key.alias("id"), vectors.embed(F.col("text")).alias("vector"), F.lit("sec_filing").alias("chunk_source"), F.lit(c.collection).alias("collection"), F.col("id").alias("chunk_id"),
-            "ticker", "accession_number", "filing_date", "form_type", "section_id", "section_title", "text", "chunk_index",
-        )
-        made.write.mode("append").partitionBy("collection").parquet(c.vector_path)
-        records = pending.select(F.col("id").alias("chunk_id"), F.lit(c.model).alias("embedding_model"), F.lit(c.collection).alias("vector_collection"), key.alias("vector_id")).withColumn("embedded_at", F.current_timestamp())
-        counts = pending.groupBy("filing_id").agg(F.count(F.lit(1)).alias("n"))
-        done = counts.select("filing_id", F.lit(c.model).alias("embedding_model"), F.lit(c.collection).alias("vector_collection"), F.lit("ready").alias("status"), F.col("n").alias("expected_point_count"), F.col("n").alias("indexed_point_count"))
-        runs = dml.set_run_status(s.read("embedding_runs"), done, F.current_timestamp())
-        s.upsert("chunk_embeddings", records)
-        s.write("embedding_runs", runs)
+        self.worker.vectorize_filings()
 
     # --- questions ------------------------------------------------------------------------
 
     def vectors(self) -> DataFrame:
-        """The stored vectors, each id once."""
-        shape = "id string, vector array<float>, chunk_source string, chunk_id long, document_chunk_id long, document_id long, ticker string, accession_number string, filing_date string, form_type string, section_id string, section_title string, source_name string, url string, title string, published_at string, text string, chunk_index int, collection string"
-        return self.spark.read.schema(shape).parquet(self.config.vector_path).where(F.col("collection") == self.config.collection).dropDuplicates(["id"])
+        """The stored vectors; each id is stored once."""
+        return self.worker.index.read()
 
     def context(self) -> DataFrame:
         """One row: tickers, sections, years and names that plans may use; one entry a ticker."""
@@ -123,25 +135,27 @@ class Engine:
         )
 
     def plan(self, question: str) -> SearchPlan:
+        return self._planned(question)[0]
+
+    def _planned(self, question: str) -> tuple[SearchPlan, str | None]:
+        """A plan, and the error of a planner that failed: then the plan is the fallback."""
         if not question.strip():
             raise ValueError("question must not be empty")
+        made, error = p.local_plan(F.lit(question.strip()), F.col("context")), None
         if self.planner:
             try:
-                return self.planner(question, self.context())
-            except Exception:  # noqa: BLE001  a model that fails leaves the rules
-                pass
-        row = self.context().select(p.local_plan(F.lit(question.strip()), F.col("context")).alias("plan")).first()["plan"]
-        return SearchPlan(**{k: tuple(v) if isinstance(v, list) else v for k, v in row.asDict().items()})
+                return self.planner(question, self.context()), None
+            except Exception as e:  # noqa: BLE001  a model that fails leaves the fallback
+                made, error = p.fallback_plan(F.lit(question)), f"{type(e).__name__}: {e}"
+        row = self.context().select(made.alias("plan")).first()["plan"]
+        return SearchPlan(**{k: tuple(v) if isinstance(v, list) else v for k, v in row.asDict().items()}), error
 
     def accessions(self, plan: SearchPlan) -> dict[str, list[str]]:
         """Of each planned ticker the ready filings in the plan's years; a handful a ticker."""
         ready = relational.ready_accessions(self.store.read("filings"), self.store.read("embedding_runs"), self.config.model, self.config.collection)
-        own = ready.where(F.col("ticker").isin(*plan.tickers)).withColumn("year", F.substring("filing_date", 1, 4).try_cast("int"))
-        years = own.groupBy("ticker").agg(F.collect_set("year").alias("years"))
-        wanted = F.array(*map(F.lit, plan.filing_years)).cast("array<int>")
-        kept = own.join(years, "ticker").where(F.array_contains(p.scope_years(F.lit(plan.time_scope), wanted, F.col("years")), F.col("year")))
+        kept = relational.accessions_in_scope(ready, F.lit(plan.time_scope), F.array(*map(F.lit, plan.filing_years)).cast("array<int>"), plan.tickers)
         found: dict[str, list[str]] = {t: [] for t in plan.tickers}
-        for row in kept.select("ticker", "accession_number").orderBy("accession_number").collect():  # filings in scope of one question
+        for row in kept.orderBy("accession_number").collect():  # filings in scope of one question
             found[row["ticker"]].append(row["accession_number"])
         return found
 
@@ -159,37 +173,74 @@ class Engine:
         query = self.spark.range(1).select(vectors.embed(F.lit(text)).alias("v")).first()["v"]
         return vectors.search(self.vectors().join(ready.select("accession_number"), "accession_number", "left_semi"), query, limit, ticker)
 
-    def ask(self, question: str) -> Answer:
+    def ask(self, question: str, session_key: str | None = None, session_title: str | None = None) -> Answer:
+        """Plan, retrieve and answer; the run is kept, whether it ends well or not, under the session if one is given."""
         question = question.strip()
         if not 3 <= len(question) <= 1000:
             raise ValueError("a question has 3 to 1000 characters")
-        plan = self.plan(question)
+        session_key = (session_key or "").strip() or None
+        if session_key and len(session_key) > 200:
+            raise ValueError("a session's key has at most 200 characters")
+        if self.health().first()["status"] == "degraded":
+            raise RuntimeError("the index is degraded")
+        session = self.session(session_key, session_title) if session_key else None
+        started = self.spark.range(1).select(F.current_timestamp()).first()[0]
+        try:
+            answer = self._answered(question)
+        except Exception as e:
+            self._record(question, session, started, "failed", error_message=f"{type(e).__name__}: {e}")
+            raise
+        told = {k: getattr(answer, k) for k in ("sources", "warnings", "used_fallback", "planner_error")}
+        told["sources"] = [{k: v for k, v in x.items() if k != "text"} for x in answer.sources]
+        answer.query_run_id = self._record(question, session, started, "completed", answer_text=answer.answer, planned_query_json=json.dumps(asdict(answer.plan)), retrieval_metadata_json=json.dumps(told))
+        return answer
+
+    def _answered(self, question: str) -> Answer:
+        plan, error = self._planned(question)
+        told = {"used_fallback": error is not None, "planner_error": error}
         rows = []
         if plan.tickers:
             hits = self.retrieve(plan, plan.semantic_queries[0] if plan.semantic_queries else question)
-            rows = hits.limit(20 * max(1, len(plan.tickers))).collect()  # a few chunks for one answer
+            rows = hits.drop("fetched_at").collect()  # at most top_k for each ticker and filing in the plan's scope
         if not rows:
-            told = self.context().select(a.no_evidence_answer(_plan_column(plan), F.col("context.years")).alias("x")).first()["x"]
-            return self._record(Answer(question, plan, told, [], ["no retrieved evidence"]))
-        labelled = self.spark.createDataFrame(rows, hits.schema).withColumn("i", F.row_number().over(_by_score()))
-        lines = labelled.select("i", a.source_label(F.col("i"), F.struct(*labelled.columns)).alias("label"), a.quote(F.col("text")).alias("quote")).orderBy("i").collect()
-        labels = [x["label"] for x in lines]
-        quotes = [f"{x['label']}: {x['quote']}" for x in lines]
+            text = self.context().select(a.no_evidence_answer(_plan_column(plan), F.col("context.years")).alias("x")).first()["x"]
+            return Answer(question, plan, text, [], ["no retrieved evidence"], **told)
+        labelled = self.spark.createDataFrame(rows, hits.drop("fetched_at").schema).withColumn("i", F.row_number().over(_by_score()))
+        payload = F.struct(*labelled.columns)
+        lines = labelled.select("i", a.source_chunk(F.col("i"), payload, True).alias("source"), a.quote(F.col("text")).alias("quote")).orderBy("i").collect()
+        sources = [x["source"].asDict() for x in lines]
+        quotes = [f"{x['source']['label']}: {x['quote']}" for x in lines]
+        labels = [x["label"] for x in sources]
         if self.writer:
-            return self._record(Answer(question, plan, self.writer(question, plan, quotes), labels))
-        return self._record(Answer(question, plan, "\n".join(["Retrieved evidence:", *quotes]), labels, ["no writer is set"]))
-
-    def _record(self, answer: Answer) -> Answer:
-        runs = self.store.read("query_runs")
-        row = self.spark.createDataFrame([((runs.agg(F.max("id")).first()[0] or 0) + 1, answer.question, "completed", answer.answer)], "id long, question string, status string, answer_text string")
-        stamped = row.withColumn("started_at", F.current_timestamp()).withColumn("completed_at", F.current_timestamp())
-        self.store.write("query_runs", runs.unionByName(stamped, allowMissingColumns=True))
-        return answer
+            return Answer(question, plan, self.writer(question, plan, quotes), labels, sources=sources, **told)
+        # The heading and the warning.
+        return Answer(question, plan, "\n".join(["Retrieved evidence:", *quotes]), labels, ["llm answer generation unavailable"], sources=sources, **told)
+
+    def _record(self, question: str, session: int | None, started, status: str, **more: str | None) -> int:
+        """Add a run that has ended; returns its id."""
+        runs, c = self.store.read("query_runs"), self.config
+        first = (runs.agg(F.max("id")).first()[0] or 0) + 1
+        row = {"id": first, "research_session_id": session, "question": question, "status": status, "started_at": started, "planner_model": c.planner_model, "answer_model": c.answer_model, "embedding_model": c.model, "vector_collection": c.collection, **more}
+        shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema if f.name in row)
+        ended = self.spark.createDataFrame([tuple(row[f.name] for f in runs.schema if f.name in row)], shape)
+        self.store.append("query_runs", dml.checked(ended, "status", dml.DOMAINS["query_status"]).withColumn("completed_at", F.current_timestamp()))
+        return first
+
+    def session(self, key: str, title: str | None = None, metadata_json: str | None = None) -> int:
+        """The id of a research session, made if there is none; title and metadata change where they are given and differ."""
+        shape = "session_key string, title string, metadata_json string"
+        self.store.update("research_sessions", lambda s: dml.upsert_sessions(s, self.spark.createDataFrame([(key, title, metadata_json)], shape), F.current_timestamp()))
+        return relational.research_session(self.store.read("research_sessions"), key).first()["id"]
+
+    def query_run(self, run_id: int):
+        """One run, or None."""
+        return relational.query_run(self.store.read("query_runs"), run_id).first()
 
     # --- sources and reports --------------------------------------------------------------
 
-    def sources(self, ticker: str | None = None, status: str | None = None, enabled: bool | None = None) -> DataFrame:
+    def sources(self, ticker: str | None = None, status: str | None = None, enabled: bool | str | None = None) -> DataFrame:
         s = self.store
+        enabled = relational.enabled_filter(enabled) if isinstance(enabled, str) else enabled
         return relational.list_sources(s.read("sources"), s.read("companies"), s.read("documents"), s.read("source_ingestion_runs"), ticker, status, enabled)
 
     def add_sources(self, rows: DataFrame) -> None:
@@ -201,7 +252,8 @@ class Engine:
 
     def discover_sources(self, fetched: DataFrame) -> DataFrame:
         """Sources of the catalog's companies among fetch results; stored without undoing a person's decision."""
-        found = discovery.discover(self.store.read("companies").select("ticker", "website_domain"), fetched)
+        companies = discovery.resolve_domains(self.store.read("companies"), fetched.select(discovery.u.normalize_domain(F.col("url")).alias("domain"), "status_code"))
+        found = discovery.discover(companies.select("ticker", "website_domain"), fetched)
         self.store.upsert("sources", relational.discovery_state(found, self.store.read("sources")).drop("final_url", "status_code", "feeds"))
         return found
 
@@ -225,12 +277,6 @@ class Engine:
         return relational.recent_query_runs(self.store.read("query_runs"), limit).withColumn("preview", a.answer_preview(F.col("answer_text")))
 
 
-def share(limit: int, groups: int) -> int:
-    """Of a limit the share of each of some groups."""
-    return max(1, math.ceil(limit / max(1, groups)))
-
-
-
 def _plan_column(plan: SearchPlan):
     text = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     return F.struct(text(plan.tickers).alias("tickers"), F.lit(plan.time_scope).alias("time_scope"), F.array(*map(F.lit, plan.filing_years)).cast("array<int>").alias("filing_years"))

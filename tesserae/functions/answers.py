@@ -35,8 +35,40 @@ def answer_preview(text: Column, chars: int = PREVIEW_CHARS) -> Column:
     return F.when(F.length(line) > chars, F.concat(F.substring(line, 1, chars - 1), F.lit("..."))).otherwise(line)
 
 
+# What is told of a chunk in an answer, of both corpora, then of each.
+_OF_ALL = ("score", "chunk_source", "ticker", "company_name", "chunk_index")
+_OF_DOCUMENTS = ("document_id", "document_chunk_id", "source_id", "source_name", "source_type", "ownership", "trust_level", "url", "title", "published_at", "document_type")
+_OF_FILINGS = ("filing_date", "form_type", "section_id", "section_title", "accession_number")
+_OF_SOURCES = (
+    "label", "score", "chunk_source", "ticker", "company_name", "filing_date", "published_at", "section_id", "section_title", "chunk_index", "accession_number", "document_id", "source_id", "source_name", "source_type", "url", "title",
+)
+
+
+def evidence_metadata(payload: Column) -> Column:
+    """JSON of what is told of a chunk: fields of its own corpus only, nulls included."""
+    shape = lambda names: F.to_json(F.struct(*(payload[c].alias(c) for c in _OF_ALL + names)), {"ignoreNullFields": "false"})
+    return F.when(payload["chunk_source"] == "document", shape(_OF_DOCUMENTS)).otherwise(shape(_OF_FILINGS))
+
+
+def evidence(index: Column, payload: Column) -> Column:
+    """struct(label, metadata, text) of a retrieved chunk."""
+    return F.struct(source_label(index, payload).alias("label"), evidence_metadata(payload).alias("metadata"), F.coalesce(payload["text"], F.lit("")).alias("text"))
+
+
+def source_chunk(index: Column, payload: Column, with_text: bool = False) -> Column:
+    """struct of a chunk as a response names it, with its label; the text only where it is asked for."""
+    fields = [source_label(index, payload).alias("label"), *(payload[c].alias(c) for c in _OF_SOURCES[1:])]
+    return F.struct(*fields, *([payload["text"].alias("text")] if with_text else []))
+
+
+def response_metadata(sources: Column, warnings: Column, used_fallback: Column, planner_error: Column) -> Column:
+    """JSON that a query run keeps of its response: sources without texts, warnings, and whether the planner failed."""
+    return F.to_json(F.struct(sources.alias("sources"), warnings.alias("warnings"), used_fallback.alias("used_fallback"), planner_error.alias("planner_error")), {"ignoreNullFields": "false"})
+
+
 def no_evidence_answer(plan: Column, years: Column) -> Column:
     """Why there is no answer. years: map of ticker to its available years."""
+    # The sentences.
     of = lambda t: F.coalesce(F.element_at(years, t), F.array().cast("array<int>"))
     listed = F.transform(plan["tickers"], lambda t: F.concat(t, F.lit(": "), F.when(F.size(of(t)) > 0, F.array_join(of(t).cast("array<string>"), ", ")).otherwise("no available filing years")))
     tickers = F.array_join(F.sort_array(F.map_keys(years)), ", ")

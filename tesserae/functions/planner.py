@@ -145,6 +145,16 @@ def local_plan(question: Column, context: Column, top_k: int = 5) -> Column:
     return normalize_plan(checked, raw, context)
 
 
+def fallback_plan(question: Column) -> Column:
+    """The plan where a planner failed: the question itself over the latest filings; a blank question raises."""
+    asked = F.when(F.trim(question) == "", F.raise_error(F.lit("question must not be empty"))).otherwise(F.trim(question))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    # The defaults.
+    return F.struct(
+        none("string").alias("tickers"), none("string").alias("sections"), F.array(asked).alias("semantic_queries"), F.lit("latest").alias("time_scope"), none("int").alias("filing_years"), F.lit(5).alias("top_k"), F.lit("summary").alias("intent")
+    )
+
+
 def scope_years(scope: Column, wanted: Column, years: Column) -> Column:
     """Of a ticker's years, latest first, those that a time scope takes."""
     latest = F.sort_array(F.array_distinct(years), asc=False)

@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,6 +158,18 @@ def page_ranges(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, ","), of), lambda r: r["first"] <= r["last"])
 
 
+def merged_ranges(ranges: DataFrame, by: str, first: str, last: str) -> DataFrame:
+    """by, first and last of each group's ranges(by, first, last), overlapping and adjacent ones as one.
+
+    A range that begins beyond the end of all before it opens an island.
+    """
+    order = Window.partitionBy(by).orderBy(first, last)
+    end = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = ranges.withColumn("_opens", F.when(end.isNull() | (F.col(first) > end + 1), 1).otherwise(0))
+    island = opened.withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(by, "_island").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_island")
+
+
 # --- document trees -------------------------------------------------------------------------
 
 
@@ -296,14 +308,12 @@ _BREAK = re.compile(r"<hr\b[^>]*page-break-(?:after|before)\s*:\s*always[^>]*>",
 
 
 def _merged(ranges: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Overlapping and adjacent page ranges as one, under the first one's anchor."""
-    out: list[tuple[int, int, str]] = []
-    for first, last, anchor in sorted(ranges, key=lambda r: r[:2]):
-        if out and first <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(last, out[-1][1]), out[-1][2])
-        else:
-            out.append((first, last, anchor))
-    return out
+    """Overlapping and adjacent page ranges as one, under the first one's anchor; few ranges of one item of one filing."""
+    pages = sorted({p for first, last, _ in ranges for p in range(first, last + 1)})
+    starts = [p for p in pages if p - 1 not in set(pages)]
+    ends = [p for p in pages if p + 1 not in set(pages)]
+    anchor = {first: a for first, _, a in sorted(ranges, key=lambda r: r[:2], reverse=True)}
+    return [(s, e, anchor[s]) for s, e in zip(starts, ends, strict=True)]
 
 
 def _indexed_items(html: str | None) -> list[tuple[str, str]]:

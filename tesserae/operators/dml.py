@@ -1,7 +1,7 @@
 """Keyed merges, child replacement and state changes, each over whole sets of rows.
 
 Tables are immutable DataFrames: an operation returns the table's next version, which
-tesserae.sources.catalog writes beside the last one and then points to.
+tesserae.sources.store writes beside the last one.
 """
 
 from __future__ import annotations
@@ -29,12 +29,6 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
 
 
-def last_by_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Of rows with one key the last by `order`."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-
-
 def merge_upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_if_null: Sequence[str] = ()) -> DataFrame:
     """current with incoming's rows by key: new keys are added, known ones overwritten, nulls included.
 
@@ -131,8 +125,31 @@ def count_mismatches(source: DataFrame, target: DataFrame) -> DataFrame:
     return joined.where(~F.col("source_n").eqNullSafe(F.col("target_n")))
 
 
+def count_message(wrong: Sequence[tuple[str, int | None, int | None]]) -> str:
+    # Fixed value: how tables whose counts differ are told.
+    return "Migration row-count validation failed: " + "; ".join(f"{t}: source={a or 0} target={b or 0}" for t, a, b in wrong)
+
+
+def reset_filing_index(runs: DataFrame, chunks: DataFrame, records: DataFrame, model: str, collection: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and records of a filing index that is built anew: its runs pending, expecting the chunks there are; its records gone."""
+    here = (F.col("embedding_model") == model) & (F.col("vector_collection") == collection)
+    own = runs.where(here)
+    return reset_runs(own, chunks, own).unionByName(runs.where(~here)), without_records(records, model, collection)
+
+
+def without_records(records: DataFrame, model: str, collection: str) -> DataFrame:
+    """Embedding records without those of one model and collection."""
+    return records.where(~((F.col("embedding_model") == model) & (F.col("vector_collection") == collection)))
+
+
+def replace_vectors(stored: DataFrame, incoming: DataFrame, owners: DataFrame) -> DataFrame:
+    """Vectors of owners(owner) exchanged for incoming's; an owner without incoming rows loses all of its own."""
+    return stored.join(owners.select("owner").distinct(), "owner", "left_anti").unionByName(incoming, allowMissingColumns=True)
+
+
 def checked(rows: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
     """rows, of which one with another value raises when it is read."""
+    # Fixed value: the message.
     message = F.concat(F.lit(f"Invalid {column}: "), F.coalesce(F.col(column), F.lit("null")), F.lit(f". Allowed values: {', '.join(sorted(allowed))}"))
     return rows.withColumn(column, F.when(F.col(column).isin(*allowed), F.col(column)).otherwise(F.raise_error(message)))
 
@@ -146,7 +163,7 @@ def quarantine(rows: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: Sequence[str], start: int = 1) -> DataFrame:
-    """rows with an `id` from start in a total order; for dimension-sized frames."""
+    """rows with an `id` from start in a total order: one window, so for the few rows that one person or cycle adds. Store.numbered takes any number."""
     return rows.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("long"))
 
 

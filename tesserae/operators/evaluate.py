@@ -20,6 +20,15 @@ def compare_plans(expected: DataFrame, actual: DataFrame, sets: tuple[str, ...]
     return joined.select("id", F.when(F.col("_made").isNull(), F.array(F.lit("missing"))).otherwise(F.array_compact(F.array(*tests))).alias("failures"))
 
 
+def evaluate_plans(cases: DataFrame) -> DataFrame:
+    """id and failures of cases(id, question, context, expected): the rules' plan of each question against the expected one."""
+    from ..functions import planner
+
+    fields = ("tickers", "sections", "time_scope", "intent", "filing_years")
+    actual = cases.select("id", planner.local_plan(F.col("question"), F.col("context")).alias("p")).select("id", *(F.col(f"p.{f}").alias(f) for f in fields))
+    return compare_plans(cases.select("id", *(F.col(f"expected.{f}").alias(f) for f in fields)), actual)
+
+
 def scope_failures(expected: DataFrame, hits: DataFrame) -> DataFrame:
     """id with missing tickers and years, and the number of hits outside the expected scope.
 

@@ -146,6 +146,34 @@ def recent_query_runs(runs: DataFrame, limit: int, session: str | None = None) -
     return found.orderBy(F.desc_nulls_last("started_at"), F.desc("id")).limit(limit)
 
 
+def query_run(runs: DataFrame, run_id: int) -> DataFrame:
+    return runs.where(F.col("id") == run_id)
+
+
+def research_session(sessions: DataFrame, session_key: str) -> DataFrame:
+    return sessions.where(F.col("session_key") == session_key)
+
+
+def enabled_filter(value: str | None) -> bool | None:
+    """`true`, `yes`, `1` and `false`, `no`, `0` in any case; None is no filter."""
+    if value is None:
+        return None
+    found = {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}.get(value.lower())
+    if found is None:
+        raise ValueError("enabled must be one of: true, false, yes, no, 1, 0")
+    return found
+
+
+def accessions_in_scope(ready: DataFrame, scope: Column, wanted: Column, tickers: Sequence[str] | None = None) -> DataFrame:
+    """Of ready(ticker, accession_number, filing_date) those in the years that a plan's time scope takes of each ticker."""
+    from ..functions import planner
+
+    own = ready if tickers is None else ready.where(F.col("ticker").isin(*tickers))
+    own = own.withColumn("year", F.substring("filing_date", 1, 4).try_cast("int"))
+    years = own.groupBy("ticker").agg(F.collect_set("year").alias("years"))
+    return own.join(years, "ticker").where(F.array_contains(planner.scope_years(scope, wanted, F.col("years")), F.col("year"))).select("ticker", "accession_number", "year")
+
+
 def unseen(entries: DataFrame, documents: DataFrame) -> DataFrame:
     """Entries whose url is new for their source and whose content is new everywhere."""
     by_url = entries.join(documents.select("source_id", "url"), ["source_id", "url"], "left_anti")

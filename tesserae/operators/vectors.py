@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -42,13 +41,17 @@ def search(vectors: DataFrame, query: Sequence[float], limit: int, ticker: str |
     return vectors.withColumn("score", cosine(F.col("vector"), query)).orderBy(F.desc("score"), F.asc("id")).limit(limit)
 
 
-def count_points(vectors: DataFrame | None, **equal: object) -> int:
-    """Vectors with these values; none in a collection that is missing."""
-    if vectors is None:
-        return 0
+def count_points(vectors: DataFrame, *by: str, **equal: object) -> DataFrame:
+    """points, the number of vectors with these values, for each value of the columns `by`; 0 in all where there are none."""
     for name, value in equal.items():
         vectors = vectors.where(F.col(name) == value)
-    return vectors.count()
+    return vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("points"))
+
+
+def vector_ids(vectors: DataFrame, accession: str | None = None, document_id: int | None = None) -> DataFrame:
+    """Ids of the vectors of one filing or one document."""
+    own = F.col("accession_number") == accession if accession is not None else F.col("document_id") == document_id
+    return vectors.where((F.col("chunk_source") == ("sec_filing" if accession is not None else "document")) & own).select("id")
 
 
 def _rank(*by: str) -> Column:
@@ -59,16 +62,6 @@ def _scored(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
     return vectors.withColumn("score", cosine(F.col("vector"), query)).drop("vector")
 
 
-def _scoped(scored: DataFrame, tickers: Sequence[str], sections: Sequence[str], accessions: Sequence[str] | None) -> DataFrame:
-    if tickers:
-        scored = scored.where(F.col("ticker").isin(*tickers))
-    if sections:
-        scored = scored.where(F.col("section_id").isin(*sections))
-    if accessions is not None:
-        scored = scored.where(F.col("accession_number").isin(*accessions) if accessions else F.lit(False))
-    return scored
-
-
 def dedupe(hits: DataFrame) -> DataFrame:
     """One row of each (chunk_source, id), the best; sorted by score."""
     return hits.withColumn("_rank", _rank("chunk_source", "id")).where("_rank = 1").drop("_rank")
@@ -83,42 +76,50 @@ def retrieve(vectors: DataFrame, query: Sequence[float], limit: int, tickers: Se
     return retrieve_mixed(vectors, query, limit, tickers, sections, accessions)
 
 
+def _within(tickers: Sequence[str], sections: Sequence[str], accessions: Sequence[str] | None) -> Column:
+    """What a plan takes: filings in its tickers, sections and accessions, documents in its tickers alone."""
+    of = lambda c, xs: F.col(c).isin(*xs) if xs else F.lit(True)
+    inside = of("ticker", tickers)
+    filed = of("section_id", sections)
+    if accessions is not None:
+        filed = filed & (F.col("accession_number").isin(*accessions) if accessions else F.lit(False))
+    return inside & ((F.col("chunk_source") == "document") | filed)
+
+
+def _best(vectors: DataFrame, query: Sequence[float], within: Column) -> DataFrame:
+    """Vectors within a plan's scope, each scored once; the filter reaches the scan."""
+    return _scored(vectors.where(within), query)
 
 
 def retrieve_mixed(vectors: DataFrame, query: Sequence[float], limit: int, tickers: Sequence[str], sections: Sequence[str], accessions: Sequence[str] | None) -> DataFrame:
     """The best chunks per ticker and section, and documents per ticker whatever their section; the best `limit` of all.
 
-    A hit below rank `limit` in its own group can't be among the best of all, so one limit over the union will do.
+    A hit below rank `limit` in its own group can't be among the best of all, so one limit will do.
     """
-    scored = _scored(vectors, query)
-    documents = scored.where(F.col("chunk_source") == "document")
-    both = _scoped(scored, tickers, sections, accessions).unionByName(_scoped(documents, tickers, (), None))
-    return dedupe(both.orderBy(F.desc("score"), F.asc("id")).limit(2 * limit)).orderBy(F.desc("score"), F.asc("id")).limit(limit)
+    return _best(vectors, query, _within(tickers, sections, accessions)).orderBy(F.desc("score"), F.asc("id")).limit(limit)
 
 
 def retrieve_period(vectors: DataFrame, query: Sequence[float], limit: int, tickers: Sequence[str], sections: Sequence[str], accessions: Sequence[str]) -> DataFrame:
     """Of each filing its share of the limit, and the best documents of each ticker; the total may exceed the limit."""
     share = max(1, math.ceil(limit / len(accessions)))
-    scored = _scored(vectors, query)
-    filings = _scoped(scored, tickers, sections, accessions).withColumn("_rank", _rank("accession_number")).where(F.col("_rank") <= share)
-    documents = _scoped(scored.where(F.col("chunk_source") == "document"), tickers, (), None)
-    documents = documents.withColumn("_rank", _rank(*(["ticker"] if tickers else ["chunk_source"]))).where(F.col("_rank") <= limit)
-    return dedupe(filings.unionByName(documents).drop("_rank")).orderBy(F.desc("score"), F.asc("id"))
+    web = F.col("chunk_source") == "document"
+    group = F.when(web, F.col("ticker") if tickers else F.lit("")).otherwise(F.col("accession_number"))
+    ranked = _best(vectors, query, _within(tickers, sections, accessions)).withColumn("_group", group).withColumn("_rank", _rank("chunk_source", "_group"))
+    return ranked.where((web & (F.col("_rank") <= limit)) | (~web & (F.col("_rank") <= share))).drop("_group", "_rank").orderBy(F.desc("score"), F.asc("id"))
 
 
 def retrieve_comparison(vectors: DataFrame, query: Sequence[float], limit: int, tickers: Sequence[str], sections: Sequence[str], accessions: Sequence[str] | None, by_ticker: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Of each ticker its share of the limit, filings and documents together; the total may exceed the limit."""
     share = max(1, math.ceil(limit / len(tickers)))
-    scored = _scored(vectors, query).where(F.col("ticker").isin(*tickers))
-    filings = _scoped(scored, (), sections, accessions if by_ticker is None else None)
+    within = _within(tickers, sections, accessions if by_ticker is None else None)
     if by_ticker is not None:
-        inside = F.lit(False)
+        inside = F.col("chunk_source") == "document"
         for t in tickers:
             own = by_ticker.get(t)
             inside = inside | ((F.col("ticker") == t) & (F.lit(True) if own is None else F.col("accession_number").isin(*own) if own else F.lit(False)))
-        filings = filings.where(inside)
-    both = dedupe(filings.unionByName(scored.where(F.col("chunk_source") == "document")))
-    return both.withColumn("_rank", _rank("ticker")).where(F.col("_rank") <= share).drop("_rank").orderBy(F.desc("score"), F.asc("id"))
+        within = within & inside
+    ranked = _best(vectors, query, within).withColumn("_rank", _rank("ticker"))
+    return ranked.where(F.col("_rank") <= share).drop("_rank").orderBy(F.desc("score"), F.asc("id"))
 
 
 DIMENSIONS = 64

@@ -18,6 +18,8 @@ SCHEMAS = {
     "research_sessions": f"id long, session_key string, title string, metadata_json string, {_STAMPS}",
     "query_runs": f"id long, research_session_id long, question string, status string, planner_model string, answer_model string, embedding_model string, vector_collection string, planned_query_json string, retrieval_metadata_json string, answer_text string, error_message string, started_at timestamp, completed_at timestamp, {_STAMPS}",
 }
+#: Written by a job for itself: what one run of the worker is to embed, fixed before the tables change.
+WORKING = {"_pending": "filing_id long, accession_number string, expected_point_count long"}
 #: Natural keys.
 KEYS = {
     "companies": ("ticker",),

@@ -1,7 +1,10 @@
-"""A catalog of Parquet tables with versions: a write makes a new directory and then moves a pointer.
+"""A catalog of Parquet tables with versions: a write makes a new directory and then marks it whole.
 
-All file access goes through Spark, so the catalog may be in any store that Spark reads. A reader
-sees one whole version; a failed write leaves the pointer where it was.
+A version is a base, which is the whole table, or an addition to the versions before it. Rows with
+new keys are only added, so what a small batch costs doesn't grow with the table; reading is one
+scan over the base and its additions, without a merge. compact() makes one base of them, vacuum()
+deletes what older versions left. All file access goes through Spark, so the catalog may be in any
+store that Spark reads. A reader sees whole versions only; a failed write leaves no mark.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dml
-from .schemas import KEYS, SCHEMAS
+from .schemas import KEYS, SCHEMAS, WORKING
 
 
 class Store:
@@ -21,35 +24,73 @@ class Store:
         if "://" in root and root.split("://")[0] not in ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss", "viewfs"):
             raise ValueError(f"unknown store: {root}")
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas or SCHEMAS
+        self._all_schemas = self.schemas | WORKING
 
     def _path(self, text: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def version(self, name: str) -> int:
-        """The number of the last whole version; 0 if there is none."""
+    def versions(self, name: str) -> tuple[int, list[int]]:
+        """The number of the last version, and the versions that make up the table: its last base and what was added since."""
         fs, path = self._path(f"{self.root}/{name}")
         if not fs.exists(path):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return max([0, *(int(n[1:]) for n in names if n.startswith("v") and f"{n}.done" in names)])
+            return 0, []
+        names = [s.getPath().getName().split(".") for s in fs.listStatus(path)]
+        marked = {int(n[0][1:]): n[1] for n in names if len(n) == 2 and n[0][0] == "v"}
+        base = max((v for v, kind in marked.items() if kind == "done"), default=0)
+        return max(marked, default=0), sorted(v for v in marked if v >= base)
 
-    def read(self, name: str) -> DataFrame:
-        """The last version; an empty table of the right schema before the first."""
-        v = self.version(name)
-        if not v:
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}/v{v}")
+    def version(self, name: str) -> int:
+        """The number of the last whole version; 0 if there is none."""
+        return self.versions(name)[0]
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        typed = self.spark.createDataFrame([], self.schemas[name]).schema
+    def read(self, name: str) -> DataFrame:
+        """The table as of the last version; an empty one of the right schema before the first."""
+        parts = self.versions(name)[1]
+        if not parts:
+            return self.spark.createDataFrame([], self._all_schemas[name])
+        return self.spark.read.schema(self._all_schemas[name]).parquet(*(f"{self.root}/{name}/v{v}" for v in parts))
+
+    def _write(self, name: str, rows: DataFrame, mark: str) -> None:
+        typed = self.spark.createDataFrame([], self._all_schemas[name]).schema
         missing = [c for c in typed.names if c not in rows.columns]
         rows = rows.withColumns({c: F.lit(None) for c in missing}) if missing else rows
         v = self.version(name) + 1
         rows.select(*(F.col(f.name).cast(f.dataType) for f in typed)).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
-        fs, done = self._path(f"{self.root}/{name}/v{v}.done")
+        fs, done = self._path(f"{self.root}/{name}/v{v}.{mark}")
         fs.create(done, True).close()
 
+    def write(self, name: str, rows: DataFrame) -> None:
+        """rows as the whole table."""
+        self._write(name, rows, "done")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows whose keys the table doesn't have."""
+        self._write(name, rows, "more")
+
+    def compact(self, name: str) -> None:
+        self.write(name, self.read(name))
+
+    def vacuum(self, name: str) -> None:
+        """Delete the versions that the table no longer consists of; for when no reader holds them."""
+        parts = self.versions(name)[1]
+        fs, path = self._path(f"{self.root}/{name}")
+        for s in fs.listStatus(path) if fs.exists(path) else []:
+            n = s.getPath().getName()
+            if n[0] == "v" and int(n[1:].split(".")[0]) < min(parts, default=0):
+                fs.delete(s.getPath(), True)
+
+    def keep_texts(self, rows: DataFrame) -> None:
+        """Keep clean texts, rows(path, text), beside the tables; a table's clean_text_path names one."""
+        rows.select("path", "text").write.mode("append").parquet(f"{self.root}/clean_texts")
+
+    def texts(self) -> DataFrame:
+        """path and text of the clean texts, each path once."""
+        fs, path = self._path(f"{self.root}/clean_texts")
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], "path string, text string")
+        return self.spark.read.schema("path string, text string").parquet(f"{self.root}/clean_texts").dropDuplicates(["path", "text"])
+
     def update(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
         self.write(name, change(self.read(name)))
 
@@ -68,15 +109,25 @@ class Store:
         return placed.join(offsets, "_file").withColumn("id", (F.col("_before") + F.col("_row") + first).cast("long")).drop("_file", "_row", "_before")
 
     def upsert(self, name: str, incoming: DataFrame, keep_if_null: Sequence[str] = ()) -> None:
-        """Merge by natural key; new rows of tables with an id get the next ones, in order of their key."""
-        keys, current = KEYS[name], self.read(name)
-        if "id" in current.columns and "id" not in incoming.columns:
-            known = current.select("id", *keys)
+        """Merge by natural key; new rows of tables with an id get the next ones, in order of their key. Tickers of companies are upper case.
+
+        Where all keys are new the rows are added; only where known ones change is the table written anew.
+        """
+        keys, current = list(KEYS[name]), self.read(name)
+        if name == "companies":
+            incoming = incoming.withColumn("ticker", F.upper("ticker"))
+        with_id = "id" in current.columns and "id" not in incoming.columns
+        known = current.select(*(["id"] if with_id else []), *keys).withColumn("_known", F.lit(True)).alias("k")
+        old = incoming.alias("n").join(known, dml.same_keys("n", "k", keys))
+        old = old.select("n.*", *(["k.id"] if with_id else []))
+        new = incoming.alias("n").join(known, dml.same_keys("n", "k", keys), "left_anti")
+        if with_id:
             first = (current.agg(F.max("id")).first()[0] or 0) + 1
-            new = self.numbered(incoming.join(known, list(keys), "left_anti"), keys, first)
-            old = incoming.join(known, list(keys))
-            incoming = old.unionByName(new)
-        self.write(name, dml.merge_upsert(current, incoming, keys, keep_if_null))
+            new = self.numbered(new, keys, first)
+        if old.isEmpty():
+            self.append(name, new)
+        else:
+            self.write(name, dml.merge_upsert(current, old.unionByName(new), keys, keep_if_null))
 
     def sql(self, text: str, args=None) -> DataFrame:
         """A query over the tables by name, with ? or :name parameters; a wrong number of ? values raises."""
@@ -101,13 +152,21 @@ class Store:
         return whole
 
     def copy_to(self, target: Store, dry_run: bool = False, replace: bool = False) -> DataFrame:
-        """Copy all tables; a target with rows raises unless it is replaced. Returns tables whose counts differ afterwards."""
+        """Copy all tables; a target with rows raises unless it is replaced, and so do counts that differ afterwards."""
         if dry_run:
             return self.counts()
+        if self.schemas.keys() != target.schemas.keys():
+            raise RuntimeError(f"tables on one side only: {', '.join(sorted(self.schemas.keys() ^ target.schemas.keys()))}")
         if not replace:
             full = [r["table"] for r in target.counts().where("n > 0").collect()]  # one row a table
             if full:
                 raise RuntimeError(f"Target tables are not empty: {', '.join(sorted(full))}")
         for name in self.schemas:
+            if replace:
+                target.write(name, target.spark.createDataFrame([], target.schemas[name]))
             target.write(name, self.read(name))
-        return dml.count_mismatches(self.counts(), target.counts())
+        wrong = dml.count_mismatches(self.counts(), target.counts())
+        told = wrong.orderBy("table").collect()  # at most one row a table
+        if told:
+            raise RuntimeError(dml.count_message([(r["table"], r["source_n"], r["target_n"]) for r in told]))
+        return wrong

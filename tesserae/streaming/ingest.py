@@ -2,24 +2,51 @@
 
 Each micro-batch is one worker cycle: take in articles whose url and content are new, repair an
 index that disagrees with its records, embed what is pending. What has been seen is the catalog's
-own tables, so a restart or a repeated batch adds nothing twice.
+own tables, so a restart or a repeated batch adds nothing twice. A cycle that fails leaves its batch
+to the next one and doesn't end the stream.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import health, relational, vectors
+from ..functions import urls as u
+from ..operators import dml, health, relational, vectors
+from ..sources.index import VectorIndex
 from ..sources.store import Store
 
 LEAST_ARTICLE_CHARS = 100
+ERRORS_TOLD = 3
+SHAPE = "source_id long, url string, title string, author string, published_at string, text string, error string, position int, metadata map<string,string>"
+
+log = logging.getLogger(__name__)
+
+
+def shaped(batch: DataFrame) -> DataFrame:
+    """batch with all columns of SHAPE; those it lacks are null."""
+    empty = batch.sparkSession.createDataFrame([], SHAPE)
+    return empty.unionByName(batch.select(*(c for c in empty.columns if c in batch.columns)), allowMissingColumns=True)
+
+
+def first_entries(batch: DataFrame, limit: int | None) -> DataFrame:
+    """Of each source the first `limit` entries, in their feed's order."""
+    if limit is None:
+        return batch
+    order = Window.partitionBy("source_id").orderBy(F.asc_nulls_last("position"), "url")
+    return batch.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
+
+
+def _short() -> F.Column:
+    return F.length(t.strip(F.coalesce("text", F.lit("")))) < LEAST_ARTICLE_CHARS
 
 
 def new_articles(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Of batch(source_id, url, text, ...) the rows to insert: long enough, of new url and content, the first of each."""
-    told = batch.where(F.length(F.coalesce("text", F.lit(""))) >= LEAST_ARTICLE_CHARS).withColumn("content_hash", t.content_hash(F.col("text")))
+    told = batch.where(~_short()).withColumn("content_hash", t.content_hash(F.col("text")))
     fresh = relational.unseen(told, known)
     by_url = F.row_number().over(Window.partitionBy("source_id", "url").orderBy("content_hash"))
     fresh = fresh.withColumn("_rank", by_url).where("_rank = 1")
@@ -27,80 +54,189 @@ def new_articles(batch: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.withColumn("_rank", by_hash).where("_rank = 1").drop("_rank")
 
 
-def run_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:
-    """Per source what was found, inserted and skipped, and how the run ended."""
-    short = F.length(F.coalesce("text", F.lit(""))) < LEAST_ARTICLE_CHARS
-    found = batch.groupBy("source_id").agg(F.count(F.lit(1)).alias("discovered_count"), F.count_if(short).alias("error_count"))
+def run_counts(batch: DataFrame, inserted: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Per source what was found, inserted and skipped, and how the run ended: failed if its feed did, partial if some entries did.
+
+    An entry of a known url isn't looked at. Skipped are all that were not inserted, errors among them;
+    of the errors the first few are told.
+    """
+    rows = batch.withColumns({c: F.lit(None).cast(k) for c, k in (("error", "string"), ("position", "int")) if c not in batch.columns})
+    if known is not None:
+        rows = rows.join(known.select("source_id", "url").distinct().withColumn("_seen", F.lit(True)), ["source_id", "url"], "left")
+    seen = F.coalesce("_seen", F.lit(False)) if known is not None else F.lit(False)
+    # What is told of an entry.
+    wrong = F.when(seen, None).when(F.col("error").isNotNull(), F.concat_ws(": ", "url", "error")).when(_short(), F.concat(F.lit("no extractable text: "), F.coalesce("url", F.lit(""))))
+    rows = rows.withColumns({"_wrong": wrong, "_feed": F.when(F.col("url").isNull(), F.col("error"))})
+    order = Window.partitionBy("source_id", F.col("_wrong").isNull()).orderBy(F.asc_nulls_last("position"), "url", "_wrong")
+    rows = rows.withColumn("_rank", F.row_number().over(order))
+    told = F.transform(F.sort_array(F.collect_list(F.when((F.col("_rank") <= ERRORS_TOLD) & F.col("_wrong").isNotNull(), F.struct("_rank", "_wrong")))), lambda x: x["_wrong"])
+    found = rows.groupBy("source_id").agg(
+        F.count_if(F.col("_feed").isNull()).alias("discovered_count"),
+        F.count_if(F.col("_wrong").isNotNull() & F.col("_feed").isNull()).alias("error_count"),
+        F.max("_feed").alias("_feed"),
+        F.array_join(told, "; ").alias("_told"),
+    )
     added = inserted.groupBy("source_id").agg(F.count(F.lit(1)).alias("inserted_count"))
     joined = found.join(added, "source_id", "left").withColumn("inserted_count", F.coalesce("inserted_count", F.lit(0)))
-    return joined.withColumn("skipped_count", F.col("discovered_count") - F.col("inserted_count") - F.col("error_count")).withColumn("status", F.when(F.col("error_count") > 0, "partial").otherwise("completed"))
+    return joined.select(
+        "source_id", "discovered_count", "inserted_count", "error_count", (F.col("discovered_count") - F.col("inserted_count")).alias("skipped_count"),
+        F.when(F.col("_feed").isNotNull(), "failed").when(F.col("error_count") > 0, "partial").otherwise("completed").alias("status"),
+        F.coalesce("_feed", F.nullif("_told", F.lit(""))).alias("error_message"),
+    )
 
 
 class Worker:
-    def __init__(self, spark: SparkSession, store: Store, vector_path: str, model: str = "hashed-64", collection: str = "research", size: int = 4000, overlap: int = 500):
+    def __init__(self, spark: SparkSession, store: Store, vector_path: str, model: str = "hashed-64", collection: str = "research", size: int = 4000, overlap: int = 500, limit_per_source: int | None = None, buckets: int = 64):
         t.check_chunk_sizes(size, overlap)
-        self.spark, self.store, self.vector_path, self.model, self.collection, self.size, self.overlap = spark, store, vector_path, model, collection, size, overlap
+        self.spark, self.store, self.model, self.collection, self.size, self.overlap, self.limit = spark, store, model, collection, size, overlap, limit_per_source
+        self.index = VectorIndex(spark, vector_path, collection, buckets)
+        self._retry = f"{store.root}/_retry"
 
-    def ingest(self, batch: DataFrame) -> None:
-        store = self.store
-        batch = batch.join(store.read("sources").where(relational.eligible()).select(F.col("id").alias("source_id")), "source_id", "left_semi")
-        before = store.read("documents")
-        fresh = new_articles(batch, before)
-        columns = [c for c in ("source_id", "url", "title", "author", "published_at", "content_hash") if c in fresh.columns]
-        store.upsert("documents", fresh.select(*columns).withColumn("fetched_at", F.current_timestamp()))
-        ids = store.read("documents").join(before.select("id"), "id", "left_anti").select(F.col("id").alias("document_id"), "content_hash")
-        texts = batch.withColumn("content_hash", t.content_hash(F.col("text"))).select("content_hash", "text").dropDuplicates(["content_hash"])
-        chunks = ids.join(texts, "content_hash").select("document_id", F.posexplode(t.chunks(F.col("text"), self.size, self.overlap)).alias("chunk_index", "text"))
-        store.upsert("document_chunks", chunks.withColumn("char_count", F.length("text")))
+    # --- articles -------------------------------------------------------------------------
 
-    def vectorize(self) -> None:
-        """Embed chunks without a record, append their vectors, then record them; a repeat after a failure writes the same ids."""
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """Take in a batch of entries; a run is recorded for each source that has any. Returns these runs' counts."""
         store = self.store
-        pending = relational.pending_document_chunks(store.read("document_chunks"), store.read("documents"), store.read("sources"), store.read("document_chunk_embeddings"), self.model, self.collection)
-        made = pending.select(
-            t.document_vector_id(F.col("document_id"), F.col("chunk_index")).alias("id"),
-            vectors.embed(F.col("text")).alias("vector"),
-            F.lit("document").alias("chunk_source"),
-            F.lit(self.collection).alias("collection"),
-            F.col("id").alias("document_chunk_id"),
-            "document_id",
-            "source_id",
-            "source_name",
-            "trust_level",
-            "url",
-            "title",
-            "text",
-            "chunk_index",
+        eligible = store.read("sources").where(relational.eligible())
+        companies = store.read("companies").select(F.col("id").alias("company_id"), "ticker", F.col("name").alias("company_name"))
+        own = eligible.join(companies, "company_id", "left").select(F.col("id").alias("source_id"), "source_type", F.col("url").alias("source_url"), "ticker", "company_name")
+        before = store.read("documents")
+        started = self.spark.range(1).select(F.current_timestamp()).first()[0]
+        batch = first_entries(shaped(batch).join(own.select("source_id"), "source_id", "left_semi"), self.limit)
+        fresh = store.numbered(new_articles(batch, before).drop("position").join(own, "source_id"), ["source_id", "url"], (before.agg(F.max("id")).first()[0] or 0) + 1)
+        text_path = F.concat(F.lit("sources/"), F.col("source_id").cast("string"), F.lit("/"), F.substring("content_hash", 1, 16), F.lit(".txt"))
+        told = F.create_map(F.lit("ticker"), F.col("ticker"), F.lit("company_name"), F.col("company_name"), F.lit("source_url"), F.col("source_url"))
+        made = fresh.withColumns(
+            {"fetched_at": F.current_timestamp(), "clean_text_path": text_path, "document_type": u.document_type(F.col("source_type")), "metadata_json": F.to_json(F.map_concat(told, F.coalesce("metadata", F.create_map().cast("map<string,string>"))))}
         )
-        made.write.mode("append").partitionBy("collection").parquet(self.vector_path)
-        records = pending.select(F.col("id").alias("document_chunk_id"), F.lit(self.model).alias("embedding_model"), F.lit(self.collection).alias("vector_collection"), t.document_vector_id(F.col("document_id"), F.col("chunk_index")).alias("vector_id"))
-        store.upsert("document_chunk_embeddings", records.withColumn("embedded_at", F.current_timestamp()))
+        store.keep_texts(made.select(F.col("clean_text_path").alias("path"), "text"))
+        cut = fresh.select(F.col("id").alias("document_id"), F.posexplode(t.chunks(F.col("text"), self.size, self.overlap)).alias("chunk_index", "text"))
+        last = store.read("document_chunks").agg(F.max("id")).first()[0] or 0
+        counts = run_counts(batch, fresh, before)
+        counts = self.spark.createDataFrame(counts.collect(), counts.schema)  # a row a source of this batch, before its tables change
+        store.append("documents", made.drop("text"))
+        store.append("document_chunks", store.numbered(cut.withColumn("char_count", F.length("text")), ["document_id", "chunk_index"], last + 1))
+        runs = store.read("source_ingestion_runs")
+        ended = dml.checked(counts.withColumns({"started_at": F.lit(started), "completed_at": F.current_timestamp()}), "status", dml.DOMAINS["ingestion_status"])
+        store.append("source_ingestion_runs", dml.numbered(ended, ["source_id"], (runs.agg(F.max("id")).first()[0] or 0) + 1))
+        return counts
+
+    # --- vectors --------------------------------------------------------------------------
 
-    def health(self) -> DataFrame:
+    def vectorize(self) -> None:
+        """Embed what is pending of both corpora."""
+        self.vectorize_filings()
+        self.vectorize_documents()
+
+    def vectorize_filings(self) -> None:
+        """Embed the chunks of filings that are not ready: their runs are indexing, then ready, or failed with the error."""
+        s, here = self.store, {"embedding_model": F.lit(self.model), "vector_collection": F.lit(self.collection)}
+        pending = relational.pending_filing_chunks(s.read("chunks"), s.read("filings"), s.read("embedding_runs"), self.model, self.collection)
+        counts = pending.groupBy("filing_id").agg(F.count(F.lit(1)).alias("expected_point_count"))
+        s.write("_pending", counts.join(s.read("filings").select(F.col("id").alias("filing_id"), "accession_number"), "filing_id"))
+        todo = s.read("_pending")
+        if todo.isEmpty():
+            return
+        keys = todo.select("filing_id", "expected_point_count").withColumns(here)
+        change = lambda status, **more: s.update("embedding_runs", lambda r: dml.set_run_status(r, keys.withColumns({"status": F.lit(status), **more}), F.current_timestamp()))
+        change("indexing", indexed_point_count=F.lit(0))
+        try:
+            own = s.read("chunks").join(todo.select("filing_id"), "filing_id", "left_semi").join(s.read("filings").withColumnRenamed("id", "filing_id"), "filing_id")
+            key = t.filing_vector_id(F.col("accession_number"), F.col("section_id"), F.col("chunk_index"))
+            made = own.select(
+                key.alias("id"), vectors.embed(F.col("text")).alias("vector"), F.col("accession_number").alias("owner"), F.col("id").alias("chunk_id"), "filing_id", "ticker", "cik", "company_name", "accession_number", "filing_date",
+                "period_of_report", "form_type", "section_id", "section_title", "text", "chunk_index", here["embedding_model"].alias("embedding_model"),
+            )
+            self.index.replace("sec_filing", made, todo.select(F.col("accession_number").alias("owner")))
+            done = todo.select("filing_id", F.col("expected_point_count").alias("indexed_point_count")).withColumns(here)
+            s.update("embedding_runs", lambda r: dml.set_run_progress(r, done))
+            records = own.select(F.col("id").alias("chunk_id"), key.alias("vector_id")).withColumns({**here, "embedded_at": F.current_timestamp()})
+            s.upsert("chunk_embeddings", records)
+        except Exception as e:
+            change("failed", error_message=F.lit(str(e)[:2000]))
+            raise
+        change("ready", indexed_point_count=F.col("expected_point_count"), error_message=F.lit(None).cast("string"))
+
+    def vectorize_documents(self) -> None:
+        """Embed documents of which a chunk has no record, each as a whole, then record all its chunks."""
+        s = self.store
+        args = s.read("document_chunks"), s.read("documents"), s.read("sources"), s.read("document_chunk_embeddings"), self.model, self.collection
+        todo = relational.pending_document_chunks(*args).select(F.col("document_id").alias("filing_id"), F.lit(None).cast("string").alias("accession_number"), F.lit(0).alias("expected_point_count")).distinct()
+        s.write("_pending", todo)
+        todo = s.read("_pending").select(F.col("filing_id").alias("document_id"))
+        if todo.isEmpty():
+            return
+        companies = s.read("companies").select(F.col("id").alias("company_id"), "ticker", F.col("name").alias("company_name"))
+        sources = s.read("sources").select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "source_type", "ownership", "trust_level", "company_id").join(companies, "company_id", "left").drop("company_id")
+        documents = s.read("documents").join(sources, "source_id").withColumnRenamed("id", "document_id")
+        own = s.read("document_chunks").join(todo, "document_id", "left_semi").join(documents, "document_id")
+        key = t.document_vector_id(F.col("document_id"), F.col("chunk_index"))
+        made = own.select(
+            key.alias("id"), vectors.embed(F.col("text")).alias("vector"), F.col("document_id").cast("string").alias("owner"), F.col("id").alias("document_chunk_id"), "document_id", "source_id", "source_name", "source_type",
+            "ownership", "trust_level", "url", "title", "author", "published_at", "fetched_at", "document_type", "ticker", "company_name", "text", "chunk_index", F.lit(self.model).alias("embedding_model"),
+        )
+        self.index.replace("document", made, todo.select(F.col("document_id").cast("string").alias("owner")))
+        records = own.select(F.col("id").alias("document_chunk_id"), key.alias("vector_id"))
+        s.upsert("document_chunk_embeddings", records.withColumns({"embedding_model": F.lit(self.model), "vector_collection": F.lit(self.collection), "embedded_at": F.current_timestamp()}))
+
+    # --- health ---------------------------------------------------------------------------
+
+    def corpora(self) -> DataFrame:
+        """The two corpora's counts; points are counted where they lie, by corpus."""
         s = self.store
         counts = relational.health_counts(s.read("chunks"), s.read("embedding_runs"), s.read("chunk_embeddings"), s.read("document_chunks"), s.read("documents"), s.read("sources"), s.read("document_chunk_embeddings"), self.model, self.collection)
-        exists = s._path(self.vector_path)[0].exists(s._path(self.vector_path)[1])
-        points = 0
-        if exists:
-            points = self.spark.read.parquet(self.vector_path).where(F.col("collection") == self.collection).select("id").distinct().count()
-        return health.index_status(health.corpora_from_counts(counts, 0, points), exists)
-
-    def repair(self) -> bool:
-        """Forget the records of a degraded index, so that the same cycle embeds its chunks again."""
+        points = {r["chunk_source"]: r["n"] for r in self.index.points().collect()}  # two rows
+        return health.corpora_from_counts(counts, points.get("sec_filing", 0), points.get("document", 0))
+
+    def health(self) -> DataFrame:
+        return health.index_status(self.corpora(), self.index.exists())
+
+    def repair(self) -> list[str]:
+        """Of a degraded index the corpora that disagree with their records, reset so that the same cycle embeds them again.
+
+        The other corpus stays as it is. Vectors of owners that the catalog no longer has are deleted;
+        those of the others are exchanged when they are embedded.
+        """
         if self.health().first()["status"] != "degraded":
-            return False
-        here = (F.col("embedding_model") == self.model) & (F.col("vector_collection") == self.collection)
-        self.store.update("document_chunk_embeddings", lambda r: r.where(~here))
-        fs, path = self.store._path(f"{self.vector_path}/collection={self.collection}")
-        fs.delete(path, True)
-        return True
+            return []
+        s = self.store
+        wrong = [r["name"] for r in health.corpus_health(self.corpora()).where("not consistent").collect()]  # two rows at most
+        stored = self.index.read().select("chunk_source", "owner").distinct()
+        nothing = self.spark.createDataFrame([], "id string, vector array<float>, owner string")
+        if "sec" in wrong:
+            runs, records = dml.reset_filing_index(s.read("embedding_runs"), s.read("chunks"), s.read("chunk_embeddings"), self.model, self.collection)
+            s.write("embedding_runs", runs)
+            s.write("chunk_embeddings", records)
+            known = s.read("chunks").join(s.read("filings").withColumnRenamed("id", "filing_id"), "filing_id").select(F.col("accession_number").alias("owner"))
+            self.index.replace("sec_filing", nothing, stored.where("chunk_source = 'sec_filing'").join(known, "owner", "left_anti"))
+        if "documents" in wrong:
+            s.write("document_chunk_embeddings", dml.without_records(s.read("document_chunk_embeddings"), self.model, self.collection))
+            known = s.read("document_chunks").select(F.col("document_id").cast("string").alias("owner"))
+            self.index.replace("document", nothing, stored.where("chunk_source = 'document'").join(known, "owner", "left_anti"))
+        return wrong
+
+    # --- cycles ---------------------------------------------------------------------------
 
     def cycle(self, batch: DataFrame, batch_id: int = 0) -> None:
         self.ingest(batch)
         self.repair()
         self.vectorize()
 
+    def surviving_cycle(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """A cycle over the batch and those that failed before; if it fails, the batch is kept for the next one."""
+        fs, path = self.store._path(self._retry)
+        whole = shaped(batch)
+        if fs.exists(path):
+            whole = self.spark.read.schema(SHAPE).parquet(self._retry).unionByName(whole)
+        try:
+            self.cycle(whole, batch_id)
+        except Exception:
+            log.exception("worker cycle failed")
+            shaped(batch).write.mode("append").parquet(self._retry)
+            return
+        fs.delete(path, True)
+
     def stream(self, articles: DataFrame, checkpoint: str, every: str | None = "300 seconds"):
         """Run a cycle for each micro-batch of a stream; with every=None once over what there is."""
         trigger = {"processingTime": every} if every else {"availableNow": True}
-        return articles.writeStream.foreachBatch(self.cycle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        return articles.writeStream.foreachBatch(self.surviving_cycle).option("checkpointLocation", checkpoint).trigger(**trigger).start()

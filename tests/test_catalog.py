@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,10 +57,140 @@ def test_engine_end_to_end(spark, tmp_path):
     assert answer.labels[0].startswith("[1] EXM 2026 10-K Item 1A chunk") and "supply of things" in answer.answer
     assert "Available tickers are EXM" in engine.ask("What about the weather?").answer
     assert engine.search("supply of things", "EXM", 3).count() == 3
+    run = engine.query_run(1)
+    assert run.status == "completed" and json.loads(run.planned_query_json)["tickers"] == ["EXM"] and json.loads(run.retrieval_metadata_json)["sources"][0]["label"] == answer.labels[0] and engine.query_run(99) is None
+    assert answer.response(include_plan=False, include_source_text=False)["sources"][0]["text"] is None and answer.sources[0]["text"]
+    assert engine.store.texts().first().path == "filings/EXM/0000000000-26-000001.txt"
     assert engine.query_runs(5).count() == 2
     assert engine.index().first().state == "ready"
 
 
+def filing(folder, business, risk):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "full-submission.txt").write_text(SUBMISSION.format(business=business, risk=risk))
+
+
+LONG = "An article about things that are long enough to be kept. " * 10
+
+
+def mixed_engine(spark, tmp_path):
+    filing(tmp_path / "raw" / "sec-edgar-filings" / "EXM" / "10-K" / "0000000000-26-000001", "<p>We make useful things for customers.</p>" * 60, "<p>Our supply of things may break.</p>" * 60)
+    engine = Engine(spark, Config(str(tmp_path / "catalog"), str(tmp_path / "vectors"), chunk_size=600, overlap=60, buckets=4))
+    engine.store.initialize()
+    engine.add_sources(spark.createDataFrame([("https://e.example/", "Example", "newsroom", "official", "high"), ("https://f.example/", "Other", "company_blog", "unknown", "low")], "url string, name string, source_type string, ownership string, trust_level string"))
+    engine.ingest_filings(str(tmp_path / "raw"), "exm")
+    return engine
+
+
+def state(engine):
+    return {r.name: (r.expected, r.ready, r.records, r.points) for r in engine.worker.corpora().collect()}
+
+
+def test_mixed_index_stays_whole(spark, tmp_path):
+    """Filings and documents through two cycles, damage to one corpus, a filing that comes again with fewer chunks."""
+    engine = mixed_engine(spark, tmp_path)
+    batch = spark.createDataFrame([(1, "u1", LONG), (1, "u2", "Another article, about other things than the first one. " * 40)], "source_id long, url string, text string")
+    engine.worker.cycle(batch)
+    assert engine.health().first().status == "healthy"
+    first = state(engine)
+    assert first["sec"][3] > 5 and first["documents"][3] > 2
+    engine.worker.cycle(batch)
+    assert state(engine) == first and engine.store.read("embedding_runs").first().status == "ready"
+    hits = vectors.search(engine.vectors(), list(range(1, 65)), 3, "EXM")
+    plan = hits._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "EqualTo(ticker,EXM)" in plan and "Exchange" not in plan.split("TakeOrderedAndProject")[-1]
+    # one corpus is damaged beside a sound one
+    owners = engine.vectors().where("chunk_source = 'document'").select("owner").distinct()
+    engine.worker.index.replace("document", spark.createDataFrame([], "id string, vector array<float>, owner string"), owners.limit(1))
+    assert engine.health().first().status == "degraded"
+    with pytest.raises(RuntimeError, match="degraded"):
+        engine.ask("What are the risk factors of EXM?")
+    sec = {(r.chunk_id, r.embedded_at) for r in engine.store.read("chunk_embeddings").collect()}
+    assert engine.worker.repair() == ["documents"] and engine.worker.repair() != ["sec"]
+    engine.worker.vectorize()
+    assert state(engine) == first and {(r.chunk_id, r.embedded_at) for r in engine.store.read("chunk_embeddings").collect()} == sec
+    # the other corpus: a filing's vectors that no catalog row stands for
+    index = engine.worker.index
+    stray = engine.vectors().where("chunk_source = 'sec_filing'").limit(1).select(F.concat("id", F.lit("x")).alias("id"), "vector", F.lit("stray").alias("owner"))
+    index.replace("sec_filing", stray, spark.createDataFrame([("stray",)], "owner string"))
+    assert engine.worker.repair() == ["sec"] and engine.store.read("embedding_runs").first().status == "pending"
+    engine.worker.vectorize()
+    assert state(engine) == first
+    # the filing again, shorter and with another text
+    filing(tmp_path / "raw" / "sec-edgar-filings" / "EXM" / "10-K" / "0000000000-26-000001", "<p>We make nothing any more at all now.</p>" * 30, "<p>Nothing of ours may break any more.</p>" * 30)
+    engine.ingest_filings(str(tmp_path / "raw"), "exm")
+    engine.worker.cycle(batch.limit(0))
+    now = state(engine)
+    assert now["sec"][3] < first["sec"][3] and len(set(now["sec"])) == 1 and now["documents"] == first["documents"] and engine.health().first().status == "healthy"
+    texts = [r.text for r in engine.vectors().where("chunk_source = 'sec_filing'").collect()]
+    assert all("more" in x for x in texts) and index.ids_of("sec_filing", "0000000000-26-000001").count() == len(texts) == vectors.vector_ids(engine.vectors(), "0000000000-26-000001").count()
+
+
+def test_failed_indexing_is_recorded(spark, tmp_path, monkeypatch):
+    engine = mixed_engine(spark, tmp_path)
+    monkeypatch.setattr(engine.worker.index, "size", 63)
+    with pytest.raises(Exception, match="vector size must be 63"):
+        engine.vectorize_filings()
+    run = engine.store.read("embedding_runs").first()
+    assert run.status == "failed" and "vector size" in run.error_message and run.completed_at and run.indexed_point_count == 0
+    monkeypatch.setattr(engine.worker.index, "size", 64)
+    engine.vectorize_filings()
+    run = engine.store.read("embedding_runs").first()
+    assert run.status == "ready" and run.error_message is None and run.indexed_point_count == run.expected_point_count > 0
+    monkeypatch.setattr(engine.worker.index, "size", 32)
+    with pytest.raises(ValueError, match="has vector size 64"):
+        engine.worker.index.ensure()
+
+
+def test_failed_questions_and_planners_are_recorded(spark, tmp_path):
+    engine = mixed_engine(spark, tmp_path)
+    engine.planner = lambda question, context: 1 / 0
+    answer = engine.ask("What are the risk factors of EXM?", " one ", "Title")
+    assert answer.used_fallback and answer.planner_error.startswith("ZeroDivisionError") and answer.plan.tickers == () and answer.plan.semantic_queries == ("What are the risk factors of EXM?",)
+    engine.planner = lambda question, context: "no plan"
+    with pytest.raises(AttributeError):
+        engine.ask("What are the risk factors of EXM?", "one")
+    runs = {r.id: r for r in engine.query_runs(5).collect()}
+    assert (runs[1].status, runs[2].status) == ("completed", "failed") and "AttributeError" in runs[2].error_message and runs[1].research_session_id == runs[2].research_session_id == 1
+    assert engine.session("one") == 1 and engine.session("two") == 2
+
+
+def test_runs_of_sources_and_a_cycle_that_fails(spark, tmp_path, monkeypatch):
+    engine = mixed_engine(spark, tmp_path)
+    rows = [(1, "u1", LONG, None, 1), (1, "u2", "short", None, 2), (1, "u3", None, "TimeoutError: late", 3), (1, "u4", LONG + "more", None, 4), (2, None, None, "HTTPError: gone", 1), (9, "u9", LONG + "nine", None, 1)]
+    batch = spark.createDataFrame(rows, "source_id long, url string, text string, error string, position int")
+    engine.worker.limit = 3
+    cycle = engine.worker.cycle
+    monkeypatch.setattr(engine.worker, "cycle", lambda *x: 1 / 0)
+    engine.worker.surviving_cycle(batch)
+    assert engine.store.read("documents").count() == 0
+    monkeypatch.setattr(engine.worker, "cycle", cycle)
+    engine.worker.surviving_cycle(batch.limit(0))  # takes in what the failed cycle had
+    runs = {r.source_id: r for r in engine.store.read("source_ingestion_runs").collect()}
+    assert (runs[1].status, runs[1].discovered_count, runs[1].inserted_count, runs[1].skipped_count) == ("partial", 3, 1, 2) and runs[1].error_message == "no extractable text: u2; u3: TimeoutError: late"
+    assert (runs[2].status, runs[2].discovered_count, runs[2].error_message) == ("failed", 0, "HTTPError: gone") and set(runs) == {1, 2}
+    document = engine.store.read("documents").first()
+    assert document.url == "u1" and document.document_type == "press_release" and json.loads(document.metadata_json)["source_url"] == "https://e.example/" and document.fetched_at
+    assert engine.store.texts().where(F.col("path") == document.clean_text_path).first().text == LONG
+    engine.worker.surviving_cycle(batch)
+    again = engine.store.read("source_ingestion_runs").where("source_id = 1").orderBy(F.desc("id")).first()
+    assert (again.inserted_count, again.skipped_count) == (0, 3) and engine.store.read("documents").count() == 1 and engine.store.read("document_chunks").count() > 0
+
+
+def test_store_adds_and_compacts(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    row = lambda ticker, name: spark.createDataFrame([(ticker, name)], "ticker string, name string")
+    store.upsert("companies", row("a", "one"))
+    store.upsert("companies", row("B", "two"))
+    assert store.versions("companies") == (2, [1, 2])  # added, nothing rewritten
+    store.upsert("companies", row("A", "three"))
+    assert store.versions("companies")[1] == [3] and {(r.ticker, r.name) for r in store.read("companies").collect()} == {("A", "three"), ("B", "two")}
+    store.upsert("companies", row("C", "four"))
+    store.compact("companies")
+    store.vacuum("companies")
+    assert store.versions("companies") == (5, [5]) and store.read("companies").count() == 3
+
+
 def test_worker_cycle(spark, tmp_path):
     engine = Engine(spark, Config(str(tmp_path / "catalog"), str(tmp_path / "vectors"), chunk_size=300, overlap=30))
     engine.store.initialize()
