@@ -42,7 +42,7 @@ def semantic_search_empty_scope(spark, sf_dir):
 
 @query(sql("{T} SELECT ticker, chunk_source, count(*) AS points FROM vectors GROUP BY ALL"))
 def count_points(spark, sf_dir):
-    return Domain(spark, sf_dir).vectors.groupBy("ticker", "chunk_source").agg(F.count(F.lit(1)).alias("points"))
+    return v.count_points(Domain(spark, sf_dir).vectors, "ticker", "chunk_source")
 
 
 @query(sql(f"""{{T}} , {_SCORED}, h AS (SELECT *, row_number() OVER (PARTITION BY ticker, section_id {_BEST.replace(' LIMIT', '')}) AS k FROM s WHERE ticker IN ('T1', 'T2') AND section_id IN ('1', '1A')

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -67,12 +66,8 @@ def article_text(spark, sf_dir):
 def page_range_merge(spark, sf_dir):
     """Overlapping and adjacent ranges of each group as one."""
     a = (F.col("l_partkey") % 40).cast("long")
-    pages = Domain(spark, sf_dir).table("lineitem").select("l_orderkey", a.alias("a"), (a + F.col("l_quantity") % 5).cast("long").alias("b"))
-    order = Window.partitionBy("l_orderkey").orderBy("a", "b")
-    last = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gap = pages.withColumn("gap", F.when(last.isNull() | (F.col("a") > last + 1), 1).otherwise(0))
-    island = gap.withColumn("island", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("l_orderkey", "island").agg(F.min("a").alias("first_page"), F.max("b").alias("last_page")).drop("island")
+    pages = Domain(spark, sf_dir).table("lineitem").select("l_orderkey", a.alias("first_page"), (a + F.col("l_quantity") % 5).cast("long").alias("last_page"))
+    return t.merged_ranges(pages, "l_orderkey", "first_page", "last_page")
 
 
 @query("""SELECT p_partkey, CAST(p_size AS VARCHAR) || '-' || (p_size + p_partkey % 4) || ';' || (p_size + 9) || '-' || (p_size + 9) AS ranges FROM part""")
