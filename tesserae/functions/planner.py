@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 # Sections in order, and the words that the rules look for.
 SECTIONS = ("1", "1A", "7", "7A")
 BUSINESS = ("business overview", "business description", "products", "services", "customers", "strategy", "operations")
@@ -33,14 +35,22 @@ def _has(text: Column, words: tuple[str, ...]) -> Column:
 
 def infer_sections(question: Column) -> Column:
     """Sections that the question names; an empty array for an item that is not supported; null if it names none."""
-    q = F.lower(question)
-    item = F.upper(F.regexp_extract(q, r"\bitem\s+(\d+[a-z]?)\b", 1))
-    market = _has(q, MARKET_RISK)
-    risk = F.contains(q, F.lit("risk factor")) | (F.contains(q, F.lit("risks")) & ~market)
-    found = F.array_compact(F.array(F.when(_has(q, BUSINESS), "1"), F.when(market, "7A"), F.when(risk, "1A"), F.when(_has(q, MANAGEMENT), "7")))
-    named = F.when(item.isin(*SECTIONS), F.array(item)).otherwise(F.array().cast("array<string>"))
-    fallback = F.when(F.contains(q, F.lit("business")), F.array(F.lit("1")))
-    return F.when(item != "", named).when(F.size(found) > 0, found).otherwise(fallback)
+
+    def found(q: Column, market: Column) -> Column:
+        risk = F.contains(q, F.lit("risk factor")) | (F.contains(q, F.lit("risks")) & ~market)
+        return F.array_compact(F.array(F.when(_has(q, BUSINESS), "1"), F.when(market, "7A"), F.when(risk, "1A"), F.when(_has(q, MANAGEMENT), "7")))
+
+    def chosen(x: Column) -> Column:
+        named = F.when(x["item"].isin(*SECTIONS), F.array(x["item"])).otherwise(F.array().cast("array<string>"))
+        fallback = F.when(F.contains(x["q"], F.lit("business")), F.array(F.lit("1")))
+        return F.when(x["item"] != "", named).when(F.size(x["found"]) > 0, x["found"]).otherwise(fallback)
+
+    def of(q: Column) -> Column:
+        item = F.upper(F.regexp_extract(q, r"\bitem\s+(\d+[a-z]?)\b", 1))
+        own = bind(_has(q, MARKET_RISK), lambda market: found(q, market))
+        return bind(F.struct(q.alias("q"), item.alias("item"), own.alias("found")), chosen)
+
+    return bind(F.lower(question), of)
 
 
 def infer_intent(question: Column) -> Column:
@@ -90,59 +100,72 @@ def available_years(tickers: Column, years: Column) -> Column:
 
 def infer_tickers(question: Column, context: Column) -> Column:
     """Tickers that the question names as words, or whose company's name it holds."""
-    q = match_text(question)
 
-    def named(ticker: Column) -> Column:
-        names = F.coalesce(F.element_at(context["names"], ticker), F.array().cast("array<string>"))
-        by_name = F.exists(names, lambda n: (company_match_name(n) != "") & F.contains(q, company_match_name(n)))
-        word = F.concat(F.lit(" "), F.lower(ticker), F.lit(" "))
-        return F.contains(F.concat(F.lit(" "), q, F.lit(" ")), word) | by_name
+    def found(q: Column) -> Column:
+        def named(ticker: Column) -> Column:
+            names = F.coalesce(F.element_at(context["names"], ticker), F.array().cast("array<string>"))
+            by_name = F.exists(F.transform(names, company_match_name), lambda n: (n != "") & F.contains(q, n))
+            word = F.concat(F.lit(" "), F.lower(ticker), F.lit(" "))
+            return F.contains(q, word) | by_name
 
-    return F.filter(context["tickers"], named)
+        return F.filter(context["tickers"], named)
+
+    return bind(F.concat(F.lit(" "), match_text(question), F.lit(" ")), found)
 
 
 def normalize_plan(question: Column, plan: Column, context: Column) -> Column:
     """A plan that the context can serve: struct(tickers, sections, semantic_queries, time_scope, filing_years, top_k, intent).
 
     plan: struct of the same fields as a planner gave them; top_k is kept between 1 and 20, the
-    question itself is the first of at most four queries.
+    question itself is the first of at most four queries. Each step is a value that the next ones
+    share, so the expression stays small.
     """
-    tickers = F.array_distinct(F.filter(F.transform(plan["tickers"], lambda t: F.upper(t)), lambda t: F.array_contains(context["tickers"], t)))
-    wanted = F.coalesce(infer_sections(question), F.transform(plan["sections"], lambda s: F.upper(s)))
-    sections = F.array_distinct(F.filter(wanted, lambda s: F.array_contains(context["sections"], s)))
-    queries = F.slice(F.array_distinct(F.concat(F.array(F.trim(question)), F.filter(plan["semantic_queries"], lambda x: F.trim(x) != ""))), 1, 4)
-    intent = normalize_intent(question, plan["intent"])
-    available = available_years(tickers, context["years"])
-    asked = F.when(requests_years(question), F.array_distinct(plan["filing_years"])).otherwise(F.array().cast("array<int>"))
-    years = F.when(F.size(asked) > 0, asked).otherwise(infer_years(question, available))
     none = F.array().cast("array<int>")
-    scope = F.when(F.size(years) > 0, "specific_years").when((plan["time_scope"] == "specific_years") & (plan["intent"] == "trend"), "all_available")
-    scope = scope.when(plan["time_scope"] == "specific_years", "latest").otherwise(plan["time_scope"])
-    return F.struct(
-        tickers.alias("tickers"),
-        sections.alias("sections"),
-        queries.alias("semantic_queries"),
-        scope.alias("time_scope"),
-        F.when(F.size(years) > 0, F.filter(years, lambda y: F.array_contains(available, y))).otherwise(none).alias("filing_years"),
-        F.least(F.greatest(plan["top_k"], F.lit(1)), F.lit(20)).alias("top_k"),
-        intent.alias("intent"),
-    )
+
+    def given(g: Column) -> Column:
+        q, plan, context = g["q"], g["plan"], g["context"]
+        tickers = F.array_distinct(F.filter(F.transform(plan["tickers"], lambda t: F.upper(t)), lambda t: F.array_contains(context["tickers"], t)))
+        return bind(tickers, lambda t: bind(F.struct(t.alias("t"), available_years(t, context["years"]).alias("have"), requests_years(q).alias("asks")), lambda own: with_years(q, plan, context, own)))
+
+    def with_years(q: Column, plan: Column, context: Column, own: Column) -> Column:
+        asked = F.when(own["asks"], F.array_distinct(plan["filing_years"])).otherwise(none)
+        return bind(asked, lambda x: bind(F.when(F.size(x) > 0, x).otherwise(infer_years(q, own["have"])), lambda years: made(q, plan, context, own, years)))
+
+    def made(q: Column, plan: Column, context: Column, own: Column, years: Column) -> Column:
+        wanted = F.coalesce(infer_sections(q), F.transform(plan["sections"], lambda s: F.upper(s)))
+        scope = F.when(F.size(years) > 0, "specific_years").when((plan["time_scope"] == "specific_years") & (plan["intent"] == "trend"), "all_available")
+        return F.struct(
+            own["t"].alias("tickers"),
+            F.array_distinct(F.filter(wanted, lambda s: F.array_contains(context["sections"], s))).alias("sections"),
+            F.slice(F.array_distinct(F.concat(F.array(F.trim(q)), F.filter(F.transform(plan["semantic_queries"], F.trim), lambda x: x != ""))), 1, 4).alias("semantic_queries"),
+            scope.when(plan["time_scope"] == "specific_years", "latest").otherwise(plan["time_scope"]).alias("time_scope"),
+            F.when(F.size(years) > 0, F.filter(years, lambda y: F.array_contains(own["have"], y))).otherwise(none).alias("filing_years"),
+            F.least(F.greatest(plan["top_k"], F.lit(1)), F.lit(20)).alias("top_k"),
+            normalize_intent(q, plan["intent"]).alias("intent"),
+        )
+
+    return bind(F.struct(question.alias("q"), plan.alias("plan"), context.alias("context")), given)
 
 
 def local_plan(question: Column, context: Column, top_k: int = 5) -> Column:
     """The plan of the rules alone; a blank question raises."""
     checked = F.when(F.trim(question) == "", F.raise_error(F.lit("question must not be empty"))).otherwise(question)
-    tickers = infer_tickers(checked, context)
-    raw = F.struct(
-        tickers.alias("tickers"),
-        F.coalesce(infer_sections(checked), F.array().cast("array<string>")).alias("sections"),
-        F.array(checked).alias("semantic_queries"),
-        infer_time_scope(checked).alias("time_scope"),
-        infer_years(checked, available_years(tickers, context["years"])).alias("filing_years"),
-        F.lit(top_k).alias("top_k"),
-        infer_intent(checked).alias("intent"),
-    )
-    return normalize_plan(checked, raw, context)
+
+    def raw(g: Column) -> Column:
+        q, tickers, context = g["q"], g["tickers"], g["context"]
+        plan = F.struct(
+            tickers.alias("tickers"),
+            F.coalesce(infer_sections(q), F.array().cast("array<string>")).alias("sections"),
+            F.array(q).alias("semantic_queries"),
+            infer_time_scope(q).alias("time_scope"),
+            infer_years(q, available_years(tickers, context["years"])).alias("filing_years"),
+            F.lit(top_k).alias("top_k"),
+            infer_intent(q).alias("intent"),
+        )
+        return normalize_plan(q, plan, context)
+
+    asked = lambda g: F.struct(g["q"].alias("q"), infer_tickers(g["q"], g["context"]).alias("tickers"), g["context"].alias("context"))
+    return bind(F.struct(checked.alias("q"), context.alias("context")), lambda g: bind(asked(g), raw))
 
 
 def fallback_plan(question: Column) -> Column:

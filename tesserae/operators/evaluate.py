@@ -25,7 +25,7 @@ def evaluate_plans(cases: DataFrame) -> DataFrame:
     from ..functions import planner
 
     fields = ("tickers", "sections", "time_scope", "intent", "filing_years")
-    actual = cases.select("id", planner.local_plan(F.col("question"), F.col("context")).alias("p")).select("id", *(F.col(f"p.{f}").alias(f) for f in fields))
+    actual = cases.select("id", F.explode(F.array(planner.local_plan(F.col("question"), F.col("context")))).alias("p")).select("id", *(F.col(f"p.{f}").alias(f) for f in fields))
     return compare_plans(cases.select("id", *(F.col(f"expected.{f}").alias(f) for f in fields)), actual)
 
 
