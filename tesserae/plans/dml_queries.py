@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dml, relational as r
+from ..operators import dml
+from ..operators import relational as r
+from ..streaming import ingest
 from .domain import COLLECTION, MODEL, Domain, sql
 from .registry import query
 
@@ -124,3 +126,72 @@ def record_embeddings(spark, sf_dir):
     old = Domain(spark, sf_dir).article_records.withColumn("vector_id", F.lit("old"))
     new = old.where("document_chunk_id % 2 = 0").withColumn("vector_id", F.concat(F.lit("v"), F.col("document_chunk_id").cast("string")))
     return dml.merge_upsert(old, new, ["document_chunk_id", "embedding_model", "vector_collection"])
+
+
+@query(sql(f"""{{T}} , n AS (SELECT filing_id, count(*) AS n FROM chunks GROUP BY 1) SELECT e.filing_id, CASE WHEN e.filing_id % 5 > 0 THEN 'pending' ELSE e.status END AS status, CASE WHEN e.filing_id % 5 > 0 THEN coalesce(n, 0) ELSE expected_point_count END AS expected_point_count,
+  CASE WHEN e.filing_id % 5 > 0 THEN 0 ELSE indexed_point_count END AS indexed_point_count, (SELECT count(*) FROM filing_records WHERE vector_collection <> '{COLLECTION}') AS records_left FROM embedding_runs e LEFT JOIN n ON n.filing_id = e.filing_id"""))
+def reset_index(spark, sf_dir):
+    """The index of one collection built anew: its runs pending, expecting the chunks there are, its records gone; other collections' stay."""
+    d = Domain(spark, sf_dir)
+    runs = d.embedding_runs.withColumn("vector_collection", F.when(F.col("filing_id") % 5 == 0, "other").otherwise(COLLECTION))
+    runs, records = dml.reset_filing_index(runs, d.chunks, d.filing_records, MODEL, COLLECTION)
+    left = records.agg(F.count(F.lit(1)).alias("records_left"))
+    return runs.select("filing_id", "status", "expected_point_count", "indexed_point_count").join(F.broadcast(left), F.lit(True))  # one row
+
+
+@query(sql(f"{{T}} SELECT chunk_id FROM filing_records WHERE vector_collection <> '{COLLECTION}'"))
+def reset_document_records(spark, sf_dir):
+    return dml.without_records(Domain(spark, sf_dir).filing_records, MODEL, COLLECTION).select("chunk_id")
+
+
+@query(sql("""{T} SELECT id, accession_number AS owner, 'old' AS version FROM vectors WHERE accession_number NOT IN ('A1', 'A5', 'A7') UNION ALL SELECT id + 1000000, accession_number, 'new' FROM vectors WHERE accession_number IN ('A1', 'A5') AND id % 2 = 0"""))
+def replace_vectors(spark, sf_dir):
+    """Filings indexed again: their old vectors go, the ones left of them come; one comes without any."""
+    stored = Domain(spark, sf_dir).vectors.where("accession_number is not null").select("id", F.col("accession_number").alias("owner"), F.lit("old").alias("version"))
+    new = stored.where("owner in ('A1', 'A5') and id % 2 = 0").select((F.col("id") + 1000000).alias("id"), "owner", F.lit("new").alias("version"))
+    return dml.replace_vectors(stored, new, stored.where("owner in ('A1', 'A5', 'A7')").select("owner"))
+
+
+@query(sql("{T} SELECT filing_id, indexed_point_count + CASE WHEN filing_id % 3 = 0 AND filing_id % 2 = 0 AND filing_id % 4 = 0 THEN 100 ELSE 0 END AS indexed_point_count FROM embedding_runs"))
+def index_progress(spark, sf_dir):
+    """Counts of indexed points: taken only for runs that are indexing."""
+    runs = Domain(spark, sf_dir).embedding_runs.withColumn("status", F.when(F.col("filing_id") % 4 == 0, "indexing").otherwise("ready"))
+    told = runs.where("filing_id % 6 = 0").select("filing_id", "embedding_model", "vector_collection", (F.col("indexed_point_count") + 100).alias("indexed_point_count"))
+    return dml.set_run_progress(runs, told).select("filing_id", "indexed_point_count")
+
+
+@query("""SELECT conv_id AS id, CASE conv_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'running' END AS status, CASE WHEN conv_id % 3 = 0 THEN 'new' ELSE 'old' END AS answer_text, CASE WHEN conv_id % 3 < 2 THEN 't' END AS completed_at FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def finish_query_runs(spark, sf_dir):
+    """Runs that end: given values go over stored ones, the others stay."""
+    runs = Domain(spark, sf_dir).table("conversations").select(F.col("conv_id").alias("id")).distinct().withColumns({"status": F.lit("running"), "answer_text": F.lit("old"), "completed_at": F.lit(None).cast("string")})
+    k = F.col("id") % 3
+    changes = runs.where("id % 3 < 2").select("id", F.when(k == 0, "completed").otherwise("failed").alias("status"), F.when(k == 0, "new").alias("answer_text"))
+    return dml.finish_runs(runs, changes, dml.DOMAINS["query_status"], F.lit("t"))
+
+
+@query("""SELECT coalesce(c.id, m.last + row_number() OVER (PARTITION BY c.id IS NULL ORDER BY n.session_key)) AS id, coalesce(c.session_key, n.session_key) AS session_key, CASE WHEN n.title IS NOT NULL THEN n.title ELSE c.title END AS title,
+  CASE WHEN c.id IS NULL OR n.title <> c.title THEN '2026-02-02' ELSE '2026-01-01' END AS updated FROM (SELECT conv_id AS id, 's' || conv_id AS session_key, 'title ' || conv_id % 4 AS title FROM conversations WHERE turn = 0) c
+  FULL JOIN (SELECT 's' || conv_id + 3 AS session_key, CASE WHEN conv_id % 2 = 0 THEN 'title 0' END AS title FROM conversations WHERE turn = 0) n USING (session_key), (SELECT max(conv_id) AS last FROM conversations WHERE turn = 0) m""")
+def upsert_sessions(spark, sf_dir):
+    """Sessions that come again: a title changes only where one is given and differs; new ones get the next ids."""
+    first = Domain(spark, sf_dir).table("conversations").where("turn = 0")
+    at = lambda x: F.lit(f"{x} 00:00:00").cast("timestamp")
+    told = F.concat(F.lit("title "), (F.col("conv_id") % 4).cast("string"))
+    key = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    current = first.select(F.col("conv_id").alias("id"), key(F.col("conv_id")).alias("session_key"), told.alias("title"), F.lit(None).cast("string").alias("metadata_json"), at("2026-01-01").alias("created_at"), at("2026-01-01").alias("updated_at"))
+    incoming = first.select(key(F.col("conv_id") + 3).alias("session_key"), F.when(F.col("conv_id") % 2 == 0, "title 0").alias("title"), F.lit(None).cast("string").alias("metadata_json"))
+    return dml.upsert_sessions(current, incoming, at("2026-02-02")).select("id", "session_key", "title", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query(sql("{T} SELECT id, CASE WHEN id % 4 < 2 THEN NULL ELSE company_id END AS company_id FROM sources"))
+def set_null_reference(spark, sf_dir):
+    """Sources of deleted companies stay, without a company."""
+    s = Domain(spark, sf_dir).sources
+    return dml.set_null_reference(s, s.where("id % 4 < 2").select(F.col("company_id").alias("gone")).where("gone is not null"), "gone", "company_id").select("id", "company_id")
+
+
+@query(sql("{T} SELECT source_id, url, doc FROM (SELECT source_id, url, id AS doc, row_number() OVER (PARTITION BY source_id ORDER BY -id, url) AS k FROM articles) WHERE k <= 3"))
+def entries_per_source(spark, sf_dir):
+    """The first three entries of each source, in their feed's order."""
+    a = Domain(spark, sf_dir).articles.select("source_id", "url", F.col("id").alias("doc"), (-F.col("id")).cast("int").alias("position"))
+    return ingest.first_entries(a, 3).drop("position")

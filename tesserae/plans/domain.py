@@ -29,6 +29,7 @@ RELATIONS = {
   sha256(text) AS content_hash FROM documents WHERE source IS NOT NULL""",
     "article_chunks": "SELECT doc_id AS id, doc_id AS document_id, 0 AS chunk_index, text FROM documents",
     "article_records": f"SELECT doc_id AS document_chunk_id, '{MODEL}' AS embedding_model, '{COLLECTION}' AS vector_collection FROM labels",
+    "filing_records": f"SELECT l_orderkey * 10 + l_linenumber AS chunk_id, '{MODEL}' AS embedding_model, CASE WHEN l_linenumber % 3 = 0 THEN 'other' ELSE '{COLLECTION}' END AS vector_collection FROM lineitem WHERE l_orderkey % 2 = 0",
     "ingestion_runs": """SELECT event_id AS id, user_id % 20 AS source_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'partial' ELSE 'completed' END AS status, ts AS started_at,
   CASE WHEN event_type = 'signup' THEN NULL ELSE ts + INTERVAL 1 HOUR END AS completed_at FROM events""",
     "vectors": """SELECT vec_id AS id, embedding AS vector, label, CASE WHEN vec_id % 3 = 0 THEN 'document' ELSE 'sec_filing' END AS chunk_source, 'T' || (label % 5) AS ticker,
@@ -109,6 +110,12 @@ class Domain:
     def article_records(self) -> DataFrame:
         return self.table("labels").select(F.col("doc_id").alias("document_chunk_id"), F.lit(MODEL).alias("embedding_model"), F.lit(COLLECTION).alias("vector_collection"))
 
+    @property
+    def filing_records(self) -> DataFrame:
+        collection = F.when(F.col("l_linenumber") % 3 == 0, "other").otherwise(COLLECTION)
+        rows = self.table("lineitem").where("l_orderkey % 2 = 0")
+        return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("chunk_id"), F.lit(MODEL).alias("embedding_model"), collection.alias("vector_collection"))
+
     @property
     def ingestion_runs(self) -> DataFrame:
         status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "partial").otherwise("completed")

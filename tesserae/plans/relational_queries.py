@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import health, relational as r
+from ..operators import health, vectors
+from ..operators import relational as r
 from .domain import COLLECTION, MODEL, Domain, sql
 from .registry import query
 
@@ -126,13 +127,12 @@ def ticker_sections_nested(spark, sf_dir):
 
 
 _COUNTS = f"""SELECT (SELECT count(*) FROM chunks) AS sec_expected_points, (SELECT CAST(coalesce(sum(expected_point_count), 0) AS BIGINT) FROM embedding_runs WHERE status = 'ready' AND {_HERE}) AS sec_ready_points,
-  CAST(0 AS BIGINT) AS sec_embedding_records, (SELECT count(*) FROM article_chunks k JOIN articles a ON a.id = k.document_id JOIN sources s ON s.id = a.source_id WHERE {_ELIGIBLE}) AS document_expected_points,
+  (SELECT count(*) FROM filing_records WHERE {_HERE}) AS sec_embedding_records, (SELECT count(*) FROM article_chunks k JOIN articles a ON a.id = k.document_id JOIN sources s ON s.id = a.source_id WHERE {_ELIGIBLE}) AS document_expected_points,
   (SELECT count(*) FROM article_records WHERE {_HERE}) AS document_embedding_records"""
 
 
 def _counts(d: Domain):
-    none = d.article_records.limit(0)
-    return r.health_counts(d.chunks, d.embedding_runs, none, d.article_chunks, d.articles, d.sources, d.article_records, MODEL, COLLECTION)
+    return r.health_counts(d.chunks, d.embedding_runs, d.filing_records, d.article_chunks, d.articles, d.sources, d.article_records, MODEL, COLLECTION)
 
 
 @query(sql("{T} " + _COUNTS))
@@ -174,3 +174,34 @@ def ticker_rollup(spark, sf_dir):
 def index_summary(spark, sf_dir):
     d = Domain(spark, sf_dir)
     return r.index_summary(r.index_metadata(d.filings, d.embedding_runs, MODEL, COLLECTION), r.list_sources(d.sources, d.companies, d.articles, d.ingestion_runs))
+
+
+@query(sql("{T} SELECT id, session_key, status, started_at FROM query_runs WHERE id = 5003"))
+def query_run_lookup(spark, sf_dir):
+    return r.query_run(Domain(spark, sf_dir).query_runs, 5003).select("id", "session_key", "status", "started_at")
+
+
+@query("SELECT conv_id AS id, CAST(conv_id AS VARCHAR) AS session_key, count(*) AS turns FROM conversations WHERE conv_id = 7 GROUP BY conv_id")
+def research_session_lookup(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    sessions = d.query_runs.groupBy("session_key").agg(F.count(F.lit(1)).alias("turns")).withColumn("id", F.col("session_key").cast("long"))
+    return r.research_session(sessions, "7").select("id", "session_key", "turns")
+
+
+@query(sql("{T} " + _LISTED + " WHERE NOT s.enabled"))
+def list_sources_disabled(spark, sf_dir):
+    """Sources by the text of an enabled filter."""
+    d = Domain(spark, sf_dir)
+    return r.list_sources(d.sources, d.companies, d.articles, d.ingestion_runs, enabled=r.enabled_filter("No")).select(_LIST)
+
+
+@query(sql("{T} SELECT id AS vector_id FROM vectors WHERE chunk_source = 'sec_filing' AND accession_number = 'A5'"))
+def vector_ids_of_filing(spark, sf_dir):
+    return vectors.vector_ids(Domain(spark, sf_dir).vectors, accession="A5").select(F.col("id").alias("vector_id"))
+
+
+@query(sql("{T} SELECT id AS vector_id FROM vectors WHERE chunk_source = 'document' AND id // 6 = 2"))
+def vector_ids_of_document(spark, sf_dir):
+    """Ids of the vectors of one document; six ids in a row are of one."""
+    v = Domain(spark, sf_dir).vectors.withColumn("document_id", F.floor(F.col("id") / 6))
+    return vectors.vector_ids(v, document_id=2).select(F.col("id").alias("vector_id"))

@@ -48,6 +48,15 @@ def vector_id_uuid5(spark, sf_dir):
     return Domain(spark, sf_dir).table("documents").select("doc_id", t.document_vector_id(F.col("doc_id"), F.lit(0)).alias("vector_id"))
 
 
+@query("""SELECT n_nationkey, 'Net' || n_name || ' "x" - y' || chr(10) || chr(10) || 'Second one' || chr(10) || chr(10) || 'end' AS text, 'Head' || chr(10) || chr(10) || n_name || chr(10) || chr(10) || 'Some text' AS article, n_name || ' & B' AS title FROM nation""")
+def html_cleaning(spark, sf_dir):
+    """Made-up pages cleaned like filings and like articles: hidden and dropped elements go, inline tags don't part words."""
+    name = F.col("n_name")
+    page = F.concat(F.lit("<html><style>p{}</style><body><p>Net<b>"), name, F.lit("</b> “x” – y</p><p>Second&nbsp; one</p><div style='display: none'>no<p>no</p></div><ix:header>no</ix:header><!-- no --><br/>end</body></html>"))
+    article = F.concat(F.lit("<html><head><title> "), name, F.lit(" &amp;\n B </title></head><body><nav>no</nav><article><h1>Head</h1><p>"), name, F.lit("</p>Some  text<script>no</script></article>out<footer>no</footer></body></html>"))
+    return Domain(spark, sf_dir).table("nation").select("n_nationkey", t.clean_filing_html(page).alias("text"), t.article_text(article).alias("article"), t.html_title(article).alias("title"))
+
+
 @query()
 def clean_html(spark, sf_dir):
     """Pages cleaned like filings."""
