@@ -194,7 +194,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
                         b.append(max(key[0], spoke))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")  # twice where an id's versions are linked twice
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,14 +206,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-edges")
     while True:
         both = edges.union(edges.select("v", "u"))
-        first = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "star-least")
+        first = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(first, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "star-large")
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "star-least")
         joined = large.join(least, F.col("u") == F.col("w"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
         last, edges = edges, cut(small.distinct(), "star-small")
-        discard(last, first, large, least)
+        discard(last, large, least)
         ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
         seen = ends.groupBy("id").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
         if seen.where("up > 1 or up = 1 and least = 0").isEmpty():  # no id has two smaller neighbours, or a smaller and a larger one
@@ -285,10 +285,10 @@ def _block_pairs(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def _most_shared(members: DataFrame, to: str) -> DataFrame:
-    """Each rep with that smallest (or largest) member of its buckets that it meets in most of them; at most BANDS rows a rep."""
-    shared = members.groupBy("rep", F.col(to).alias("to")).agg(F.count(F.lit(1)).alias("n"))
-    return shared.groupBy("rep").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
+def _most_shared(members: DataFrame, to: tuple[str, ...]) -> DataFrame:
+    """Each rep with that member of its buckets, of each kind in `to`, that it meets in most of them; a rep has at most BANDS rows."""
+    met = members.groupBy("rep").agg(*(F.mode(c, True).alias(c) for c in to))
+    return met.select("rep", F.explode(F.array(*to)).alias("to"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -304,10 +304,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     entries = classes.select("rep", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = cut(entries.join(cut(buckets, "near-buckets"), "key"), "near-members")
-    met = cut(members.select("rep").distinct(), "near-met")
-    classes = cut(classes.join(met, "rep", "left_semi"), "near-represented")
+    classes = cut(classes.join(members.select("rep"), "rep", "left_semi"), "near-represented")
 
-    pairs = _most_shared(members, "low").union(_most_shared(members, "high"))
+    pairs = _most_shared(members, ("low", "high"))
     pairs = pairs.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
     stars = cut(confirmed(cut(_pairs_by_sketch(pairs, classes, threshold), "near-stars"), docs, threshold), "near-links")
     found = cut(components(stars), "near-components")
