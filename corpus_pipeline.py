@@ -7,7 +7,7 @@ with docs in the columns of `documents`, and all but the last return these colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import byte_bpe, line_dedup, mixing, near_dedup, quality
@@ -40,11 +40,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = near_dedup.near_duplicates(docs, NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
     kept = cut(kept, "pipeline-kept")
     ids = docs.where("doc_id is not null").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids["n"] > ids["d"]:
-        order = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
-        first = docs.where("doc_id is not null").withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
-        docs = first.unionByName(docs.where("doc_id is null"))
     none = docs.where("doc_id is null")
+    if ids["n"] > ids["d"]:
+        # the least row of an id, taken in the map tasks first: one id may have very many rows; maps have no order
+        ordered = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        least = F.min_by(F.struct(*named(*docs.columns)), F.struct(*named(*ordered)))
+        docs = docs.where("doc_id is not null").groupBy("doc_id").agg(least.alias("_row")).select("_row.*")
     return docs.join(small(kept), "doc_id", "left_semi").unionByName(none)
 
 

@@ -103,6 +103,17 @@ def test_stages_leave_further_columns_alone(spark, stage):
         assert [r[c] for c in names] == [f"{c} of {r.doc_id}" for c in names]
 
 
+def test_near_dedup_stage_keeps_the_least_row_of_an_id(spark):
+    """Rows of one id that differ, beside columns without an order or of odd names; a third of all rows are one id's."""
+    rows = [(k if k % 3 else 0, f"words of text {k} that no other text has", "en", "s", k, f"x{k}", f"y{k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _first string")
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("n_chars")))
+    made = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert made.columns == docs.columns
+    got = sorted((r.doc_id, r["a.b"], r._first, r.m["k"]) for r in made.collect())
+    assert got == [(0, "x0", "y0", 0)] + [(k, f"x{k}", f"y{k}", k) for k in range(30) if k % 3]
+
+
 def test_near_dedup_stage_links_from_80_percent(spark):
     """Against all pairs at 0.80, with many pairs between 0.80 and op4's 0.85."""
     rng = random.Random(21)
