@@ -60,6 +60,12 @@ def named(*columns: str):
     return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
 
 
+def picked(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns by their exact names, though others may differ from them in case only."""
+    places = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return places.select(*(F.col(f"c{df.columns.index(c)}").alias(c) for c in columns))
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow by the places of columns: their names may hold dots, which mapInArrow itself doesn't take."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)

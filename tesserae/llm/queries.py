@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, link_graph, mixing, near_dedup, ogg_media, personal_data, quality, warc_fixity, winnow
+from . import byte_bpe, line_dedup, lexical, link_graph, manifest, mixing, near_dedup, ogg_media, personal_data, quality, rule_forest, warc_fixity, winnow
 
 QUERIES = {
     "op1_ogg_media": ogg_media.op1_ogg_media,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_winnowing": winnow.op9_winnowing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_fractal_manifest": manifest.op11_fractal_manifest,
+    "op12_rule_forest": rule_forest.op12_rule_forest,
+    "op13_bit_sliced_search": lexical.op13_bit_sliced_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_merkle_fixity": warc_fixity.SQL,
     "op6_fair_queue_mix": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op11_fractal_manifest": manifest.SQL,
+    "op13_bit_sliced_search": lexical.SQL,
 }
