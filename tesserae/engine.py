@@ -47,7 +47,6 @@ class Config:
     overlap: int = 500
     planner_model: str = "rules"
     answer_model: str = "extractive"
-    buckets: int = 64  #: of the table of vectors, for each corpus
     limit_per_source: int | None = None
 
 
@@ -79,7 +78,7 @@ class Engine:
         self.spark, self.config, self.planner, self.writer = spark, config, planner, writer
         self.store = Store(spark, config.root)
         c = config
-        self.worker = Worker(spark, self.store, c.vector_path, c.model, c.collection, c.chunk_size, c.overlap, c.limit_per_source, c.buckets)
+        self.worker = Worker(spark, self.store, c.vector_path, c.model, c.collection, c.chunk_size, c.overlap, c.limit_per_source)
 
     # --- filings --------------------------------------------------------------------------
 
@@ -91,23 +90,21 @@ class Engine:
         store = self.store
         path = F.concat_ws("/", F.lit("filings"), F.lit(ticker.upper()), F.concat("accession_number", F.lit(".txt")))
         read = filings.ingest(filings.scan(self.spark, raw_dir, ticker, form, limit), form).withColumns({"ticker": F.lit(ticker.upper()), "clean_text_path": path})
+        read = store.kept(dml.one_per_key(read, ["accession_number"], ["raw_path"]))  # read and parsed once; of one filing in two folders the last counts
         store.keep_texts(read.select(F.col("clean_text_path").alias("path"), "text"))
         store.upsert("filings", read.drop("html", "text"))
         chunks = filings.chunk_sections(filings.sections(read), self.config.chunk_size, self.config.overlap)
-        ids = store.read("filings").select(F.col("id").alias("filing_id"), "accession_number").join(read.select("accession_number"), "accession_number", "left_semi")
+        ids = store.kept(store.read("filings").select(F.col("id").alias("filing_id"), "accession_number").join(read.select("accession_number"), "accession_number", "left_semi"))
         own = chunks.join(ids, "accession_number").drop("accession_number")
-        before = store.read("chunks")
-        last = before.agg(F.max("id")).first()[0] or 0
-        own = store.numbered(own, ["filing_id", "section_id", "chunk_index"], last + 1)
-        if before.join(ids, "filing_id", "left_semi").isEmpty():
-            store.append("chunks", own)
-        else:
-            gone = before.join(ids, "filing_id", "left_semi").select(F.col("id").alias("chunk_id"))
-            store.update("chunk_embeddings", lambda r: r.join(gone, "chunk_id", "left_anti"))
-            store.write("chunks", dml.replace_children(before, own, "filing_id"))
+        gone = store.kept(store.read("chunks").join(ids, "filing_id", "left_semi").select(F.col("id").alias("chunk_id")))
+        store.exchange("chunks", own, ["filing_id"], ids)
+        if not gone.isEmpty():
+            store.exchange("chunk_embeddings", None, ["chunk_id"], gone)
         runs = ids.select("filing_id", F.lit(self.config.model).alias("embedding_model"), F.lit(self.config.collection).alias("vector_collection"), F.lit("pending").alias("status"))
-        merged = dml.merge_upsert(store.read("embedding_runs"), runs, ["filing_id", "embedding_model", "vector_collection"])
-        store.write("embedding_runs", dml.reset_runs(merged, store.read("chunks"), ids))
+        known = store.read("embedding_runs").join(ids.select("filing_id"), "filing_id", "left_semi")
+        merged = dml.merge_upsert(known, runs, ["filing_id", "embedding_model", "vector_collection"])
+        store.upsert("embedding_runs", dml.reset_runs(merged, store.read("chunks"), ids))
+        store.done(read, ids, gone)
 
     def vectorize_filings(self) -> None:
         self.worker.vectorize_filings()
@@ -184,15 +181,16 @@ class Engine:
         if self.health().first()["status"] == "degraded":
             raise RuntimeError("the index is degraded")
         session = self.session(session_key, session_title) if session_key else None
-        started = self.spark.range(1).select(F.current_timestamp()).first()[0]
+        run = self._begin(question, session)
         try:
             answer = self._answered(question)
         except Exception as e:
-            self._record(question, session, started, "failed", error_message=f"{type(e).__name__}: {e}")
+            self._finish(run, "failed", error_message=f"{type(e).__name__}: {e}")
             raise
         told = {k: getattr(answer, k) for k in ("sources", "warnings", "used_fallback", "planner_error")}
         told["sources"] = [{k: v for k, v in x.items() if k != "text"} for x in answer.sources]
-        answer.query_run_id = self._record(question, session, started, "completed", answer_text=answer.answer, planned_query_json=json.dumps(asdict(answer.plan)), retrieval_metadata_json=json.dumps(told))
+        answer.query_run_id = run
+        self._finish(run, "completed", answer_text=answer.answer, planned_query_json=json.dumps(asdict(answer.plan)), retrieval_metadata_json=json.dumps(told))
         return answer
 
     def _answered(self, question: str) -> Answer:
@@ -216,21 +214,31 @@ class Engine:
         # The heading and the warning.
         return Answer(question, plan, "\n".join(["Retrieved evidence:", *quotes]), labels, ["llm answer generation unavailable"], sources=sources, **told)
 
-    def _record(self, question: str, session: int | None, started, status: str, **more: str | None) -> int:
-        """Add a run that has ended; returns its id."""
-        runs, c = self.store.read("query_runs"), self.config
-        first = (runs.agg(F.max("id")).first()[0] or 0) + 1
-        row = {"id": first, "research_session_id": session, "question": question, "status": status, "started_at": started, "planner_model": c.planner_model, "answer_model": c.answer_model, "embedding_model": c.model, "vector_collection": c.collection, **more}
-        shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema if f.name in row)
-        ended = self.spark.createDataFrame([tuple(row[f.name] for f in runs.schema if f.name in row)], shape)
-        self.store.append("query_runs", dml.checked(ended, "status", dml.DOMAINS["query_status"]).withColumn("completed_at", F.current_timestamp()))
-        return first
+    def _begin(self, question: str, session: int | None) -> int:
+        """Add a run that is running; returns its id. One whose driver dies stays so."""
+        c = self.config
+        row = [(session, question, "running", c.planner_model, c.answer_model, c.model, c.collection)]
+        shape = "research_session_id long, question string, status string, planner_model string, answer_model string, embedding_model string, vector_collection string"
+        rows = dml.checked(self.spark.createDataFrame(row, shape), "status", dml.DOMAINS["query_status"])
+        return self.store.insert("query_runs", rows.withColumns({c: F.current_timestamp() for c in ("started_at", "created_at", "updated_at")}), ["question"])
+
+    def _finish(self, run: int, status: str, **more: str | None) -> None:
+        """End a run: what is given goes over what it holds."""
+        row = {"id": run, "status": status, **more}
+        ended = self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'long' if k == 'id' else 'string'}" for k in row))
+        ended = dml.checked(ended, "status", dml.DOMAINS["query_status"])
+        self.store.upsert("query_runs", ended.withColumns({c: F.current_timestamp() for c in ("completed_at", "updated_at")}))
 
     def session(self, key: str, title: str | None = None, metadata_json: str | None = None) -> int:
         """The id of a research session, made if there is none; title and metadata change where they are given and differ."""
-        shape = "session_key string, title string, metadata_json string"
-        self.store.update("research_sessions", lambda s: dml.upsert_sessions(s, self.spark.createDataFrame([(key, title, metadata_json)], shape), F.current_timestamp()))
-        return relational.research_session(self.store.read("research_sessions"), key).first()["id"]
+        own = relational.research_session(self.store.read("research_sessions"), key).first()
+        new = {"title": title, "metadata_json": metadata_json}
+        if own is None or any(v is not None and v != own[k] for k, v in new.items()):
+            row = self.spark.createDataFrame([(key, title, metadata_json, own and own["created_at"])], "session_key string, title string, metadata_json string, created_at timestamp")
+            row = row.withColumns({"created_at": F.coalesce("created_at", F.current_timestamp()), "updated_at": F.current_timestamp()})
+            self.store.upsert("research_sessions", row, keep_if_null=["title", "metadata_json"])
+            own = relational.research_session(self.store.read("research_sessions"), key).first()
+        return own["id"]
 
     def query_run(self, run_id: int):
         """One run, or None."""
@@ -251,10 +259,17 @@ class Engine:
         self.store.upsert("sources", rows)
 
     def discover_sources(self, fetched: DataFrame) -> DataFrame:
-        """Sources of the catalog's companies among fetch results; stored without undoing a person's decision."""
-        companies = discovery.resolve_domains(self.store.read("companies"), fetched.select(discovery.u.normalize_domain(F.col("url")).alias("domain"), "status_code"))
-        found = discovery.discover(companies.select("ticker", "website_domain"), fetched)
-        self.store.upsert("sources", relational.discovery_state(found, self.store.read("sources")).drop("final_url", "status_code", "feeds"))
+        """Sources of the catalog's companies among fetch results, with their company; stored without undoing a person's decision.
+
+        A url that several companies lead to is stored once, for the company of the best score; a source that has a company keeps it.
+        """
+        store = self.store
+        companies = discovery.resolve_domains(store.read("companies"), fetched.select(discovery.u.normalize_domain(F.col("url")).alias("domain"), "status_code"))
+        found = store.kept(discovery.discover(companies.select("ticker", "website_domain"), fetched))
+        rows = found.join(companies.select("ticker", F.col("id").alias("company_id")), "ticker")
+        known = store.read("sources").select("url", F.col("company_id").alias("_company"))
+        rows = discovery.one_per_url(rows).join(known, "url", "left").withColumn("company_id", F.coalesce("_company", "company_id"))
+        store.upsert("sources", relational.discovery_state(rows, store.read("sources")).drop("_company", "ticker", "final_url", "status_code", "feeds"))
         return found
 
     def decide(self, ids: Sequence[int], approve: bool) -> None:

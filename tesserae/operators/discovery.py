@@ -36,7 +36,7 @@ def absolute(href: Column, base_url: Column) -> Column:
 
 
 def classify(fetched: DataFrame) -> DataFrame:
-    """Sources among fetched(url, final_url, status_code, content_type, text, domain), with score and reasons.
+    """Sources among fetched(url, final_url, status_code, content_type, text, domain), with score and reasons, and the ticker if fetched has it.
 
     Left out are gone and unreachable pages, those of no kind or without a sign of a source, and low scores.
     """
@@ -70,14 +70,22 @@ def classify(fetched: DataFrame) -> DataFrame:
         F.col("s.reasons").alias("discovery_reason"),
         "status_code",
         "feeds",
+        *(c for c in ("ticker",) if c in fetched.columns),
     )
 
 
 def best_per_url(found: DataFrame) -> DataFrame:
-    """Of each url the source of the highest score, the first by final url on ties; sorted."""
-    order = Window.partitionBy("url").orderBy(F.desc("confidence_score"), "final_url")
+    """Of each company and url the source of the highest score, the first by final url on ties; sorted."""
+    company = [c for c in ("ticker",) if c in found.columns]
+    order = Window.partitionBy(*company, "url").orderBy(F.desc("confidence_score"), "final_url")
     best = found.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
-    return best.orderBy(F.desc("confidence_score"), "url")
+    return best.orderBy(F.desc("confidence_score"), "url", *company)
+
+
+def one_per_url(found: DataFrame) -> DataFrame:
+    """Of each url one source, whatever the company: an official one first, then by score, then by ticker."""
+    order = Window.partitionBy("url").orderBy(F.desc(F.col("ownership") == "official"), F.desc("confidence_score"), "ticker")
+    return found.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
 def candidates(companies: DataFrame) -> DataFrame:

@@ -47,6 +47,18 @@ def merge_upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], k
     return joined.select(*map(value, current.columns))
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Of each key the row with the greatest values of `order`, then of its other columns; nulls are least.
+
+    A maximum, taken in the map tasks first: a key may have very many rows.
+    """
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    if not rest and not order:
+        return rows.distinct()
+    best = F.max(F.struct(*order, *rest)).alias("_best")
+    return rows.groupBy(*keys).agg(best).select(*(F.col(c) if c in keys else F.col(f"_best.{c}") for c in rows.columns))
+
+
 def replace_children(current: DataFrame, incoming: DataFrame, parent: str) -> DataFrame:
     """Children of every parent in incoming are exchanged for its rows; those of other parents stay."""
     rest = current.join(incoming.select(parent).distinct(), parent, "left_anti")

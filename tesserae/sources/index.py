@@ -1,99 +1,79 @@
-"""The table of vectors: one row an id, in partitions by collection, corpus and bucket of owners.
+"""The table of vectors: one row an id, exchanged by owner.
 
-An owner is what is indexed as a whole, a filing or a document. Indexing an owner exchanges all its
-rows, so none is stale or stored twice, and a search needs neither a shuffle nor a merge: its filters
-reach the scan. Only the buckets of the owners that change are written, so a small batch costs a
-small part of the table; `buckets` is chosen with the table's size in mind.
+An owner is what is indexed as a whole, a filing or a document. Indexing some owners commits their
+vectors and the list of these owners, which hides what they had before; so a batch writes bytes in proportion to
+itself, and a search scans the base and what was added, without a shuffle: hidden owners are left out
+by a join with their list alone. compact() makes one base, ordered by corpus, ticker and owner, so
+that a search for a ticker reads few parts of few files.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dml, vectors
+from .store import Change, Store
 
 SHAPE = (
     "id string, vector array<float>, owner string, chunk_id long, document_chunk_id long, document_id long, filing_id long, ticker string, cik string, company_name string, accession_number string, filing_date string, "
     "period_of_report string, form_type string, section_id string, section_title string, source_id long, source_name string, source_type string, ownership string, trust_level string, url string, title string, author string, "
-    "published_at string, fetched_at timestamp, document_type string, text string, chunk_index int, embedding_model string, collection string, chunk_source string, bucket int"
+    "published_at string, fetched_at timestamp, document_type string, text string, chunk_index int, embedding_model string, collection string, chunk_source string"
 )
-PARTITIONS = ("collection", "chunk_source", "bucket")
+OWNER = ("chunk_source", "owner")
 
 
 class VectorIndex:
-    def __init__(self, spark: SparkSession, path: str, collection: str, buckets: int = 64, size: int = vectors.DIMENSIONS):
-        if "://" in path and path.split("://")[0] not in ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss", "viewfs"):
-            raise ValueError(f"unknown store: {path}")
-        self.spark, self.path, self.collection, self.buckets, self.size = spark, path.rstrip("/"), collection, buckets, size
-
-    def _files(self, text: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def __init__(self, spark: SparkSession, path: str, collection: str, size: int = vectors.DIMENSIONS):
+        self.spark, self.collection, self.size = spark, collection, size
+        self.store = Store(spark, path, {collection: SHAPE}, {collection: ("chunk_source", "ticker", "owner")})
 
     def exists(self) -> bool:
-        fs, path = self._files(f"{self.path}/collection={self.collection}")
-        return fs.exists(path)
+        return self.store.version(self.collection) > 0
 
-    def _all(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], SHAPE)
-        return self.spark.read.schema(SHAPE).option("basePath", self.path).parquet(f"{self.path}/collection={self.collection}")
+    def version(self) -> int:
+        return self.store.version(self.collection)
 
     def read(self) -> DataFrame:
-        return self._all().drop("bucket")
-
-    def bucket(self, owner: Column) -> Column:
-        return F.pmod(F.xxhash64(owner), F.lit(self.buckets)).cast("int")
+        return self.store.read(self.collection)
 
     def ids_of(self, chunk_source: str, owner: str) -> DataFrame:
-        """Ids of one filing (its accession number) or document (its id): one bucket is read."""
-        return self._all().where((F.col("chunk_source") == chunk_source) & (F.col("bucket") == self.bucket(F.lit(owner))) & (F.col("owner") == owner)).select("id")
+        """Ids of one filing (its accession number) or document (its id)."""
+        return self.read().where((F.col("chunk_source") == chunk_source) & (F.col("owner") == owner)).select("id")
 
     def points(self) -> DataFrame:
         """chunk_source and n, the number of vectors, of each corpus."""
-        return self._all().groupBy("chunk_source").agg(F.count(F.lit(1)).alias("n"))
+        return self.read().groupBy("chunk_source").agg(F.count(F.lit(1)).alias("n"))
 
     def ensure(self) -> None:
         """Stored vectors of another size than this model's raise."""
-        stored = self._all().select(F.size("vector").alias("n")).first()
+        stored = self.read().select(F.size("vector").alias("n")).first()
         if stored and stored["n"] != self.size:
             # Fixed value: the message.
             raise ValueError(f"Collection {self.collection!r} has vector size {stored['n']}, but the model produces {self.size}")
 
     def replace(self, chunk_source: str, rows: DataFrame, owners: DataFrame) -> None:
-        """Exchange the vectors of owners(owner) for rows(id, vector, owner, ...), and raise unless exactly rows' ids are stored then.
-
-        What the buckets are to hold is written beside the table first; then these partitions are
-        overwritten. A repeat after a failure does the same again.
-        """
+        """Exchange the vectors of owners(owner) for rows(id, vector, owner, ...). Raises, with nothing changed, unless exactly rows' ids were written, once each, and all are of these owners."""
         self.ensure()
-        work = f"{self.path}/_staged/{uuid.uuid4().hex}"
-        owners.select("owner").distinct().withColumn("bucket", self.bucket(F.col("owner"))).write.parquet(f"{work}/owners")  # it may come from the table that changes
-        owners = self.spark.read.schema("owner string, bucket int").parquet(f"{work}/owners")
-        hit = [r["bucket"] for r in owners.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        if not hit:
-            fs, path = self._files(work)
-            fs.delete(path, True)
-            return
-        staged = f"{work}/rows"
-        rows = vectors.check_dimensions(rows, self.size).withColumns({"collection": F.lit(self.collection), "chunk_source": F.lit(chunk_source), "bucket": self.bucket(F.col("owner"))})
-        names = [f.split()[0] for f in SHAPE.split(", ")]
-        made = self.spark.createDataFrame([], SHAPE).unionByName(rows.select(*(c for c in names if c in rows.columns)), allowMissingColumns=True)
-        before = self._all().where((F.col("chunk_source") == chunk_source) & F.col("bucket").isin(hit))
-        dml.replace_vectors(before, made, owners).write.parquet(staged)
-        whole = self.spark.read.schema(SHAPE).parquet(staged)
-        whole.repartition(len(hit), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path)
-        full = {r["bucket"] for r in whole.select("bucket").distinct().collect()}
-        for b in set(hit) - full:  # nothing is left in these
-            fs, path = self._files(f"{self.path}/collection={self.collection}/chunk_source={chunk_source}/bucket={b}")
-            fs.delete(path, True)
-        stored = self._all().where((F.col("chunk_source") == chunk_source) & F.col("bucket").isin(hit)).join(owners.select("owner"), "owner", "left_semi")
-        wrong = dml.id_differences(stored.select("id"), whole.join(owners.select("owner"), "owner", "left_semi").select("id")).count()
-        twice = stored.groupBy("id").count().where("count > 1").count()
-        if wrong or twice:
-            raise RuntimeError(f"Vector verification failed: {wrong} ids differ, {twice} occur twice")
-        fs, path = self._files(work)
-        fs.delete(path, True)
+        named = {"collection": F.lit(self.collection), "chunk_source": F.lit(chunk_source)}
+        empty = self.spark.createDataFrame([], SHAPE)
+        given = rows.withColumns(named)
+        checked = vectors.check_dimensions(given, self.size)
+        made = self.store.kept(empty.unionByName(checked.select(*(c for c in empty.columns if c in checked.columns)), allowMissingColumns=True))
+        owners = self.store.kept(owners.select("owner").distinct().withColumn("chunk_source", F.lit(chunk_source)))
+        try:
+            wrong = dml.id_differences(made.select("id"), given.select("id")).count()
+            twice = made.groupBy("id").count().where("count > 1").count()
+            strange = made.join(owners, "owner", "left_anti").count()
+            if wrong or twice or strange:
+                raise RuntimeError(f"Vector verification failed: {wrong} ids differ, {twice} occur twice, {strange} are of other owners")
+            if not owners.isEmpty():
+                self.store.commit(self.collection, lambda _: Change(made, by=OWNER, keys=owners))
+        finally:
+            self.store.done(made, owners)
+
+    def compact(self) -> None:
+        self.store.compact(self.collection)
+
+    def vacuum(self) -> None:
+        self.store.vacuum(self.collection)

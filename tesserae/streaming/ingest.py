@@ -2,15 +2,22 @@
 
 Each micro-batch is one worker cycle: take in articles whose url and content are new, repair an
 index that disagrees with its records, embed what is pending. What has been seen is the catalog's
-own tables, so a restart or a repeated batch adds nothing twice. A cycle that fails leaves its batch
-to the next one and doesn't end the stream.
+own tables, so a restart or a repeated batch adds nothing twice.
+
+An article, document or filing that can't be worked on fails alone: what fails as a whole is tried in halves,
+until single owners fail. Failed entries and documents are kept with the number of attempts and tried
+again after a while that doubles, MAX_ATTEMPTS times; then they are dead, and stay so until someone looks. A
+cycle in which much fails (over MOST_FAILURES owners) is taken for trouble of its surroundings: its batch
+is left to the next cycle, and the stream goes on.
 """
 
 from __future__ import annotations
 
+import json
 import logging
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -21,6 +28,7 @@ from ..sources.store import Store
 
 LEAST_ARTICLE_CHARS = 100
 ERRORS_TOLD = 3
+MAX_ATTEMPTS, FIRST_WAIT, MOST_FAILURES = 5, 60, 32  #: of one owner; seconds; of one cycle
 SHAPE = "source_id long, url string, title string, author string, published_at string, text string, error string, position int, metadata map<string,string>"
 
 log = logging.getLogger(__name__)
@@ -40,20 +48,57 @@ def first_entries(batch: DataFrame, limit: int | None) -> DataFrame:
     return batch.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def _short() -> F.Column:
+def _short() -> Column:
     return F.length(t.strip(F.coalesce("text", F.lit("")))) < LEAST_ARTICLE_CHARS
 
 
 def new_articles(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Of batch(source_id, url, text, ...) the rows to insert: long enough, of new url and content, the first of each."""
-    told = batch.where(~_short()).withColumn("content_hash", t.content_hash(F.col("text")))
-    fresh = relational.unseen(told, known)
+    long = batch.where(~_short())
+    long = long if "content_hash" in batch.columns else long.withColumn("content_hash", t.content_hash(F.col("text")))
+    fresh = relational.unseen(long, known)
     by_url = F.row_number().over(Window.partitionBy("source_id", "url").orderBy("content_hash"))
     fresh = fresh.withColumn("_rank", by_url).where("_rank = 1")
     by_hash = F.row_number().over(Window.partitionBy("content_hash").orderBy("source_id", "url"))
     return fresh.withColumn("_rank", by_hash).where("_rank = 1").drop("_rank")
 
 
+def told(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"[:500]
+
+
+def isolated(owners: DataFrame, run: Callable[[DataFrame], None]) -> list[tuple[str, str]]:
+    """run(owners), and where that fails, run on halves of it by a hash; returns the owners that fail alone, with their errors.
+
+    owners(owner) is a written table. One failing owner of n costs about 2 log n runs. Over MOST_FAILURES raise.
+    """
+    failed: list[tuple[str, str]] = []
+
+    def attempt(part: DataFrame, depth: int) -> None:
+        if part.isEmpty():
+            return
+        try:
+            run(part)
+        except Exception as e:
+            first = [r["owner"] for r in part.select("owner").distinct().limit(2).collect()]
+            if len(first) > 1:
+                for half in (0, 1):
+                    attempt(part.where(F.pmod(F.xxhash64("owner", F.lit(depth)), F.lit(2)) == half), depth + 1)
+                return
+            log.warning("%s failed: %s", first[0], told(e))
+            failed.append((first[0], told(e)))
+            if len(failed) > MOST_FAILURES:
+                raise
+
+    attempt(owners, 0)
+    return failed
+
+
+def prepared(entries: DataFrame, size: int, overlap: int) -> DataFrame:
+    """entries with content_hash and chunks: all that is worked out of an article's text."""
+    return entries.withColumns({"content_hash": t.content_hash(F.col("text")), "chunks": F.when(~_short(), t.chunks(F.col("text"), size, overlap))})
+
+
 def run_counts(batch: DataFrame, inserted: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per source what was found, inserted and skipped, and how the run ended: failed if its feed did, partial if some entries did.
 
@@ -86,39 +131,100 @@ def run_counts(batch: DataFrame, inserted: DataFrame, known: DataFrame | None =
 
 
 class Worker:
-    def __init__(self, spark: SparkSession, store: Store, vector_path: str, model: str = "hashed-64", collection: str = "research", size: int = 4000, overlap: int = 500, limit_per_source: int | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, store: Store, vector_path: str, model: str = "hashed-64", collection: str = "research", size: int = 4000, overlap: int = 500, limit_per_source: int | None = None):
         t.check_chunk_sizes(size, overlap)
         self.spark, self.store, self.model, self.collection, self.size, self.overlap, self.limit = spark, store, model, collection, size, overlap, limit_per_source
-        self.index = VectorIndex(spark, vector_path, collection, buckets)
+        self.index = VectorIndex(spark, vector_path, collection)
         self._retry = f"{store.root}/_retry"
 
+    # --- failures -------------------------------------------------------------------------
+
+    def _failed(self, kind: str, failed: list[tuple[str, str]], entries: DataFrame | None = None) -> None:
+        """Keep owners of a kind that failed alone, with their entries, for a later attempt; a bounded number."""
+        if not failed:
+            return
+        before = self.store.read("_failures").select("owner", F.col("attempts").alias("_n"))
+        rows = self.spark.createDataFrame(failed, "owner string, error string").withColumn("owner", F.concat(F.lit(f"{kind}:"), "owner"))
+        if entries is not None:
+            rows = rows.join(entries.select(F.concat(F.lit(f"{kind}:"), "owner").alias("owner"), "entry"), "owner", "left")
+        rows = rows.join(before, "owner", "left").withColumn("attempts", F.coalesce("_n", F.lit(0)) + 1)
+        wait = FIRST_WAIT * F.pow(F.lit(2), F.col("attempts") - 1)
+        rows = rows.withColumns({"next_at": F.timestamp_seconds(F.unix_timestamp(F.current_timestamp()) + wait), "dead": F.col("attempts") >= MAX_ATTEMPTS})
+        self.store.upsert("_failures", rows.drop("_n"), keep_if_null=["entry"])
+
+    def _recovered(self, kind: str, owners: DataFrame) -> None:
+        known = self.store.read("_failures").select("owner")
+        gone = known.join(owners.select(F.concat(F.lit(f"{kind}:"), "owner").alias("owner")), "owner", "left_semi")
+        if not gone.isEmpty():
+            self.store.exchange("_failures", None, ["owner"], gone)
+
+    def _due(self, kind: str) -> DataFrame:
+        """Failed owners of a kind whose time for another attempt has come."""
+        rows = self.store.read("_failures").where(F.startswith("owner", F.lit(f"{kind}:")) & ~F.col("dead") & (F.col("next_at") <= F.current_timestamp()))
+        return rows.withColumn("owner", F.substring("owner", F.lit(len(kind) + 2), F.length("owner")))
+
+    def dead(self) -> DataFrame:
+        """Owners that are not tried any more, with their last errors and entries."""
+        return self.store.read("_failures").where("dead")
+
     # --- articles -------------------------------------------------------------------------
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch of entries; a run is recorded for each source that has any. Returns these runs' counts."""
+        """Take in a batch of entries; a run is recorded for each source that has any, running at first. Returns these runs' counts."""
         store = self.store
         eligible = store.read("sources").where(relational.eligible())
         companies = store.read("companies").select(F.col("id").alias("company_id"), "ticker", F.col("name").alias("company_name"))
         own = eligible.join(companies, "company_id", "left").select(F.col("id").alias("source_id"), "source_type", F.col("url").alias("source_url"), "ticker", "company_name")
+        batch = shaped(batch)
+        again = self._due("entry").select(F.from_json("entry", batch.schema).alias("e")).select("e.*")
+        batch = store.kept(first_entries(batch.unionByName(again).join(own.select("source_id"), "source_id", "left_semi"), self.limit))
+        start = store.kept(batch.select("source_id").distinct().withColumns({"status": F.lit("running"), "started_at": F.current_timestamp()}))
+        if start.isEmpty():
+            return run_counts(batch, batch)
+        first = store.insert("source_ingestion_runs", start, ["source_id"])
+        running = dml.numbered(start, ["source_id"], first)
+        try:
+            counts = self._ingested(batch, own)
+        except Exception as e:
+            store.upsert("source_ingestion_runs", running.withColumns({"status": F.lit("failed"), "error_message": F.lit(told(e)), "completed_at": F.current_timestamp()}))
+            raise
+        ended = dml.checked(counts, "status", dml.DOMAINS["ingestion_status"]).join(running.select("source_id", "id", "started_at"), "source_id")
+        store.upsert("source_ingestion_runs", ended.withColumn("completed_at", F.current_timestamp()).drop("error_count"))
+        store.done(batch, start)
+        return counts
+
+    def _ingested(self, batch: DataFrame, own: DataFrame) -> DataFrame:
+        store = self.store
+        owner = F.concat_ws("|", "source_id", "url")
+        owned = batch.withColumn("owner", F.coalesce(owner, F.lit("")))
+        good: list[DataFrame] = []
+        failed = isolated(owned, lambda part: good.append(store.kept(prepared(part, self.size, self.overlap))))
+        if failed:
+            told_of = self.spark.createDataFrame(failed, "owner string, told string")
+            lost = owned.join(told_of, "owner")
+            self._failed("entry", failed, lost.select("owner", F.to_json(F.struct(*batch.columns)).alias("entry")))
+            lost = lost.withColumn("error", F.col("told")).drop("told").withColumns({"text": F.lit(None).cast("string"), "content_hash": F.lit(None).cast("string"), "chunks": F.lit(None).cast("array<string>")})
+            good.append(store.kept(lost))
+        entries = good[0]
+        for more in good[1:]:
+            entries = entries.unionByName(more.select(*entries.columns))
         before = store.read("documents")
-        started = self.spark.range(1).select(F.current_timestamp()).first()[0]
-        batch = first_entries(shaped(batch).join(own.select("source_id"), "source_id", "left_semi"), self.limit)
-        fresh = store.numbered(new_articles(batch, before).drop("position").join(own, "source_id"), ["source_id", "url"], (before.agg(F.max("id")).first()[0] or 0) + 1)
+        fresh = new_articles(entries, before).drop("position", "owner").join(own, "source_id")
         text_path = F.concat(F.lit("sources/"), F.col("source_id").cast("string"), F.lit("/"), F.substring("content_hash", 1, 16), F.lit(".txt"))
-        told = F.create_map(F.lit("ticker"), F.col("ticker"), F.lit("company_name"), F.col("company_name"), F.lit("source_url"), F.col("source_url"))
+        told_by = F.create_map(F.lit("ticker"), F.col("ticker"), F.lit("company_name"), F.col("company_name"), F.lit("source_url"), F.col("source_url"))
         made = fresh.withColumns(
-            {"fetched_at": F.current_timestamp(), "clean_text_path": text_path, "document_type": u.document_type(F.col("source_type")), "metadata_json": F.to_json(F.map_concat(told, F.coalesce("metadata", F.create_map().cast("map<string,string>"))))}
+            {"fetched_at": F.current_timestamp(), "clean_text_path": text_path, "document_type": u.document_type(F.col("source_type")), "metadata_json": F.to_json(F.map_concat(told_by, F.coalesce("metadata", F.create_map().cast("map<string,string>"))))}
         )
+        made = store.kept(made)
+        counts = store.kept(run_counts(entries, made, before))  # before its tables change
         store.keep_texts(made.select(F.col("clean_text_path").alias("path"), "text"))
-        cut = fresh.select(F.col("id").alias("document_id"), F.posexplode(t.chunks(F.col("text"), self.size, self.overlap)).alias("chunk_index", "text"))
-        last = store.read("document_chunks").agg(F.max("id")).first()[0] or 0
-        counts = run_counts(batch, fresh, before)
-        counts = self.spark.createDataFrame(counts.collect(), counts.schema)  # a row a source of this batch, before its tables change
-        store.append("documents", made.drop("text"))
-        store.append("document_chunks", store.numbered(cut.withColumn("char_count", F.length("text")), ["document_id", "chunk_index"], last + 1))
-        runs = store.read("source_ingestion_runs")
-        ended = dml.checked(counts.withColumns({"started_at": F.lit(started), "completed_at": F.current_timestamp()}), "status", dml.DOMAINS["ingestion_status"])
-        store.append("source_ingestion_runs", dml.numbered(ended, ["source_id"], (runs.agg(F.max("id")).first()[0] or 0) + 1))
+        store.upsert("documents", made.drop("text", "chunks"))
+        ids = store.read("documents").select(F.col("id").alias("document_id"), "source_id", "url").join(made.select("source_id", "url", "chunks"), ["source_id", "url"])
+        cut = ids.select("document_id", F.posexplode("chunks").alias("chunk_index", "text")).withColumn("char_count", F.length("text"))
+        if not made.isEmpty():
+            store.exchange("document_chunks", cut, ["document_id"], ids.select("document_id"))
+        self._recovered("entry", good[0].join(self.spark.createDataFrame(failed, "owner string, told string"), "owner", "left_anti"))
+        store.done(*good, made)
         return counts
 
     # --- vectors --------------------------------------------------------------------------
@@ -129,64 +235,91 @@ class Worker:
         self.vectorize_documents()
 
     def vectorize_filings(self) -> None:
-        """Embed the chunks of filings that are not ready: their runs are indexing, then ready, or failed with the error."""
+        """Embed the chunks of filings that are not ready: their runs are indexing, then ready, or failed with the error.
+
+        Filings that failed before go after the others. If none can be embedded, the error is raised.
+        """
+        s = self.store
+        pending = relational.pending_filing_chunks(s.read("chunks").select("filing_id"), s.read("filings").select("id", "accession_number"), s.read("embedding_runs"), self.model, self.collection)
+        failed = s.read("embedding_runs").where((F.col("embedding_model") == self.model) & (F.col("vector_collection") == self.collection) & (F.col("status") == "failed")).select("filing_id", F.lit(True).alias("again"))
+        counts = pending.groupBy("filing_id", "accession_number").agg(F.count(F.lit(1)).alias("expected_point_count"))
+        todo = s.kept(counts.join(failed, "filing_id", "left").select("filing_id", "accession_number", F.col("accession_number").alias("owner"), "expected_point_count", F.coalesce("again", F.lit(False)).alias("again")))
+        for again in (False, True):
+            part = todo.where(F.col("again") == again)
+            wrong = isolated(part, self._embed_filings)
+            if wrong:
+                told_of = self.spark.createDataFrame(wrong, "owner string, error_message string")
+                self._filing_status(todo.join(told_of, "owner"), "failed", error_message=F.col("error_message"))
+                if part.count() == len(wrong):
+                    raise RuntimeError(wrong[0][1])
+        s.done(todo)
+
+    def _filing_status(self, todo: DataFrame, status: str, **more: Column) -> None:
+        here = {"embedding_model": F.lit(self.model), "vector_collection": F.lit(self.collection)}
+        keys = todo.withColumns({**here, "status": F.lit(status), **more}).select("filing_id", "expected_point_count", *here, "status", *more)
+        own = self.store.read("embedding_runs").join(F.broadcast(todo.select("filing_id")) if todo.count() < 100_000 else todo.select("filing_id"), "filing_id", "left_semi")
+        self.store.upsert("embedding_runs", dml.set_run_status(own, keys, F.current_timestamp()))
+
+    def _embed_filings(self, todo: DataFrame) -> None:
         s, here = self.store, {"embedding_model": F.lit(self.model), "vector_collection": F.lit(self.collection)}
-        pending = relational.pending_filing_chunks(s.read("chunks"), s.read("filings"), s.read("embedding_runs"), self.model, self.collection)
-        counts = pending.groupBy("filing_id").agg(F.count(F.lit(1)).alias("expected_point_count"))
-        s.write("_pending", counts.join(s.read("filings").select(F.col("id").alias("filing_id"), "accession_number"), "filing_id"))
-        todo = s.read("_pending")
-        if todo.isEmpty():
-            return
-        keys = todo.select("filing_id", "expected_point_count").withColumns(here)
-        change = lambda status, **more: s.update("embedding_runs", lambda r: dml.set_run_status(r, keys.withColumns({"status": F.lit(status), **more}), F.current_timestamp()))
-        change("indexing", indexed_point_count=F.lit(0))
-        try:
-            own = s.read("chunks").join(todo.select("filing_id"), "filing_id", "left_semi").join(s.read("filings").withColumnRenamed("id", "filing_id"), "filing_id")
-            key = t.filing_vector_id(F.col("accession_number"), F.col("section_id"), F.col("chunk_index"))
-            made = own.select(
-                key.alias("id"), vectors.embed(F.col("text")).alias("vector"), F.col("accession_number").alias("owner"), F.col("id").alias("chunk_id"), "filing_id", "ticker", "cik", "company_name", "accession_number", "filing_date",
-                "period_of_report", "form_type", "section_id", "section_title", "text", "chunk_index", here["embedding_model"].alias("embedding_model"),
-            )
-            self.index.replace("sec_filing", made, todo.select(F.col("accession_number").alias("owner")))
-            done = todo.select("filing_id", F.col("expected_point_count").alias("indexed_point_count")).withColumns(here)
-            s.update("embedding_runs", lambda r: dml.set_run_progress(r, done))
-            records = own.select(F.col("id").alias("chunk_id"), key.alias("vector_id")).withColumns({**here, "embedded_at": F.current_timestamp()})
-            s.upsert("chunk_embeddings", records)
-        except Exception as e:
-            change("failed", error_message=F.lit(str(e)[:2000]))
-            raise
-        change("ready", indexed_point_count=F.col("expected_point_count"), error_message=F.lit(None).cast("string"))
+        self._filing_status(todo, "indexing", indexed_point_count=F.lit(0))
+        own = s.read("chunks").join(todo.select("filing_id"), "filing_id", "left_semi").join(s.read("filings").withColumnRenamed("id", "filing_id"), "filing_id")
+        key = t.filing_vector_id(F.col("accession_number"), F.col("section_id"), F.col("chunk_index"))
+        made = own.select(
+            key.alias("id"), vectors.embed(F.col("text")).alias("vector"), F.col("accession_number").alias("owner"), F.col("id").alias("chunk_id"), "filing_id", "ticker", "cik", "company_name", "accession_number", "filing_date",
+            "period_of_report", "form_type", "section_id", "section_title", "text", "chunk_index", here["embedding_model"].alias("embedding_model"),
+        )
+        self.index.replace("sec_filing", made, todo.select("owner"))
+        records = own.select(F.col("id").alias("chunk_id"), key.alias("vector_id")).withColumns({**here, "embedded_at": F.current_timestamp()})
+        s.upsert("chunk_embeddings", records)
+        self._filing_status(todo, "ready", indexed_point_count=F.col("expected_point_count"), error_message=F.lit(None).cast("string"))
 
     def vectorize_documents(self) -> None:
-        """Embed documents of which a chunk has no record, each as a whole, then record all its chunks."""
+        """Embed documents of which a chunk has no record, each as a whole, then record all its chunks. Failed ones wait."""
+        s = self.store
+        args = s.read("document_chunks").select("id", "document_id"), s.read("documents"), s.read("sources"), s.read("document_chunk_embeddings"), self.model, self.collection
+        waiting = s.read("_failures").where(F.startswith("owner", F.lit("document:"))).join(self._due("document").select(F.concat(F.lit("document:"), "owner").alias("owner")), "owner", "left_anti")
+        todo = relational.pending_document_chunks(*args).select("document_id", F.col("document_id").cast("string").alias("owner")).distinct()
+        todo = s.kept(todo.join(waiting.select(F.substring("owner", F.lit(len("document:") + 1), F.length("owner")).alias("owner")), "owner", "left_anti"))
+        if not todo.isEmpty():
+            failed = isolated(todo, self._embed_documents)
+            self._failed("document", failed)
+            self._recovered("document", todo.join(self.spark.createDataFrame(failed, "owner string, told string"), "owner", "left_anti"))
+        s.done(todo)
+
+    def _embed_documents(self, todo: DataFrame) -> None:
         s = self.store
-        args = s.read("document_chunks"), s.read("documents"), s.read("sources"), s.read("document_chunk_embeddings"), self.model, self.collection
-        todo = relational.pending_document_chunks(*args).select(F.col("document_id").alias("filing_id"), F.lit(None).cast("string").alias("accession_number"), F.lit(0).alias("expected_point_count")).distinct()
-        s.write("_pending", todo)
-        todo = s.read("_pending").select(F.col("filing_id").alias("document_id"))
-        if todo.isEmpty():
-            return
         companies = s.read("companies").select(F.col("id").alias("company_id"), "ticker", F.col("name").alias("company_name"))
         sources = s.read("sources").select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "source_type", "ownership", "trust_level", "company_id").join(companies, "company_id", "left").drop("company_id")
         documents = s.read("documents").join(sources, "source_id").withColumnRenamed("id", "document_id")
-        own = s.read("document_chunks").join(todo, "document_id", "left_semi").join(documents, "document_id")
+        own = s.read("document_chunks").join(todo.select("document_id"), "document_id", "left_semi").join(documents, "document_id")
         key = t.document_vector_id(F.col("document_id"), F.col("chunk_index"))
         made = own.select(
             key.alias("id"), vectors.embed(F.col("text")).alias("vector"), F.col("document_id").cast("string").alias("owner"), F.col("id").alias("document_chunk_id"), "document_id", "source_id", "source_name", "source_type",
             "ownership", "trust_level", "url", "title", "author", "published_at", "fetched_at", "document_type", "ticker", "company_name", "text", "chunk_index", F.lit(self.model).alias("embedding_model"),
         )
-        self.index.replace("document", made, todo.select(F.col("document_id").cast("string").alias("owner")))
+        self.index.replace("document", made, todo.select("owner"))
         records = own.select(F.col("id").alias("document_chunk_id"), key.alias("vector_id"))
         s.upsert("document_chunk_embeddings", records.withColumns({"embedding_model": F.lit(self.model), "vector_collection": F.lit(self.collection), "embedded_at": F.current_timestamp()}))
 
     # --- health ---------------------------------------------------------------------------
 
     def corpora(self) -> DataFrame:
-        """The two corpora's counts; points are counted where they lie, by corpus."""
+        """The two corpora's counts; points are counted where they lie, by corpus.
+
+        Counts are kept with the versions of the tables that they are of, so tables are read again only after one has changed.
+        """
         s = self.store
-        counts = relational.health_counts(s.read("chunks"), s.read("embedding_runs"), s.read("chunk_embeddings"), s.read("document_chunks"), s.read("documents"), s.read("sources"), s.read("document_chunk_embeddings"), self.model, self.collection)
-        points = {r["chunk_source"]: r["n"] for r in self.index.points().collect()}  # two rows
-        return health.corpora_from_counts(counts, points.get("sec_filing", 0), points.get("document", 0))
+        tables = ("chunks", "embedding_runs", "chunk_embeddings", "document_chunks", "documents", "sources", "document_chunk_embeddings")
+        versions = json.dumps([self.model, self.collection, self.index.version(), *map(s.version, tables)])
+        kept = s.read("_health").where(F.col("versions") == versions).drop("versions")
+        if kept.isEmpty():
+            counts = relational.health_counts(*map(s.read, tables), self.model, self.collection)
+            points = {r["chunk_source"]: r["n"] for r in self.index.points().collect()}  # two rows
+            found = health.corpora_from_counts(counts, points.get("sec_filing", 0), points.get("document", 0))
+            s.write("_health", found.withColumn("versions", F.lit(versions)).coalesce(1))
+            kept = s.read("_health").where(F.col("versions") == versions).drop("versions")
+        return kept
 
     def health(self) -> DataFrame:
         return health.index_status(self.corpora(), self.index.exists())
@@ -204,13 +337,12 @@ class Worker:
         stored = self.index.read().select("chunk_source", "owner").distinct()
         nothing = self.spark.createDataFrame([], "id string, vector array<float>, owner string")
         if "sec" in wrong:
-            runs, records = dml.reset_filing_index(s.read("embedding_runs"), s.read("chunks"), s.read("chunk_embeddings"), self.model, self.collection)
-            s.write("embedding_runs", runs)
-            s.write("chunk_embeddings", records)
+            s.update("embedding_runs", lambda now: dml.reset_filing_index(now, s.read("chunks"), s.read("chunk_embeddings"), self.model, self.collection)[0])
+            s.update("chunk_embeddings", lambda now: dml.without_records(now, self.model, self.collection))
             known = s.read("chunks").join(s.read("filings").withColumnRenamed("id", "filing_id"), "filing_id").select(F.col("accession_number").alias("owner"))
             self.index.replace("sec_filing", nothing, stored.where("chunk_source = 'sec_filing'").join(known, "owner", "left_anti"))
         if "documents" in wrong:
-            s.write("document_chunk_embeddings", dml.without_records(s.read("document_chunk_embeddings"), self.model, self.collection))
+            s.update("document_chunk_embeddings", lambda now: dml.without_records(now, self.model, self.collection))
             known = s.read("document_chunks").select(F.col("document_id").cast("string").alias("owner"))
             self.index.replace("document", nothing, stored.where("chunk_source = 'document'").join(known, "owner", "left_anti"))
         return wrong
@@ -221,20 +353,22 @@ class Worker:
         self.ingest(batch)
         self.repair()
         self.vectorize()
+        self.health().first()  # counted here, so that questions find it kept
 
     def surviving_cycle(self, batch: DataFrame, batch_id: int = 0) -> None:
-        """A cycle over the batch and those that failed before; if it fails, the batch is kept for the next one."""
-        fs, path = self.store._path(self._retry)
+        """A cycle over the batch and those left over; if it fails as a whole, the batch is left to the next one. Single failures don't make it fail."""
+        left = self.store._names(self._retry)
         whole = shaped(batch)
-        if fs.exists(path):
-            whole = self.spark.read.schema(SHAPE).parquet(self._retry).unionByName(whole)
+        for name in left:
+            whole = whole.unionByName(self.spark.read.schema(SHAPE).parquet(f"{self._retry}/{name}"))
         try:
             self.cycle(whole, batch_id)
         except Exception:
             log.exception("worker cycle failed")
-            shaped(batch).write.mode("append").parquet(self._retry)
+            shaped(batch).write.mode("overwrite").parquet(f"{self._retry}/batch-{batch_id}")
             return
-        fs.delete(path, True)
+        for name in left:
+            self.store._delete(f"{self._retry}/{name}")
 
     def stream(self, articles: DataFrame, checkpoint: str, every: str | None = "300 seconds"):
         """Run a cycle for each micro-batch of a stream; with every=None once over what there is."""

@@ -119,3 +119,56 @@ def test_indexed_items(spark):
     <hr style="page-break-after: always"><p>fourth page</p>"""
     made = {i["item"]: i["html"] for i in one(spark, t.indexed_items, html)}
     assert set(made) == {"1", "1A"} and "second page" in made["1"] and "third" not in made["1"] and "third page" in made["1A"] and "fourth" not in made["1A"]
+
+
+INDEX = """<h2>Form 10-K Cross-Reference Index</h2><table><tr><th>Item Number</th><th>Item</th></tr>{rows}</table>"""
+
+
+def indexed(spark, html):
+    return {i["item"]: i["html"] for i in one(spark, t.indexed_items, html)}
+
+
+def test_indexed_items_that_are_not_contiguous(spark):
+    """A break right after an anchor begins its page; rows without an item of their own belong to the last one; text between elements is left out."""
+    rule = '<hr style="page-break-after: always">'
+    page = lambda k, *texts: f'<div id="page-{k}"></div>{rule}' + rule.join(f"<p>{x}</p>" for x in texts) + rule
+    rows = """<tr><td>Item 1.</td><td>Business</td></tr><tr><td>Description of business</td><td>Pages <a href="#page-1">1</a> - 2</td></tr><tr><td>Item 1A.</td><td>Risk Factors</td><td>Page <a href="#page-3">3</a></td></tr>
+    <tr><td>Item 7.</td><td>Discussion</td></tr><tr><td>Critical estimates</td><td>Page <a href="#page-5"> 5 </a></td></tr><tr><td>Item 7A.</td><td>Market Risk</td><td>None</td></tr>"""
+    body = page(1, "first of one", "second of one") + page(3, "risks") + "stray text" + page(5, "estimates")
+    made = indexed(spark, f"<html><body>{body}{INDEX.format(rows=rows)}</body></html>")
+    assert made == {"1": "<p>first of one</p><p>second of one</p>", "1A": "<p>risks</p>", "7": "<p>estimates</p>"}
+
+
+ROWS = '<tr><td>Item 1.</td><td>Page <a href="#a">1</a></td></tr><tr><td>Item 2.</td><td>Pages <a href="#b">2</a>, <a href="#c">4</a></td></tr>'
+
+
+def test_index_is_found_from_the_last_heading_that_has_one(spark):
+    """Later mentions without a table, five other tables after one, a table of one item."""
+    body = '<a id="a"></a><p>A</p><hr style="page-break-before:always"><a id="b"></a><p>B</p><hr style="page-break-before:always"><hr style="page-break-before:always"><div><a id="c"></a><b>C</b></div><p>beside</p>'
+    later = "<p>See the cross reference index above.</p>" + "<table><tr><td>x</td></tr></table>" * 3 + "<p>Cross-Reference Index</p><table><tr><td>Item Number</td></tr><tr><td>Item 9. only</td></tr></table>"
+    assert indexed(spark, body + INDEX.format(rows=ROWS) + later) == {"1": "<p>A</p>", "2": "<p>B</p>\n<b>C</b>"}
+    between = "<table><tr><td>y</td></tr></table>" * 5
+    assert indexed(spark, body + "<p>cross-reference index</p>" + between + INDEX.format(rows=ROWS).replace("Cross-Reference Index", "Contents")) == {}
+    assert indexed(spark, body + "<p>cross-reference index</p>" + between[: len(between) // 5 * 4] + INDEX.format(rows=ROWS).replace("Cross-Reference Index", "Contents")).keys() == {"1", "2"}
+    assert indexed(spark, None) == {} == indexed(spark, "cross-reference index <table>")
+
+
+def test_page_ranges_are_merged_by_their_ends():
+    assert t._merged([(5, 6, "e"), (1, 2, "a"), (3, 3, "c"), (9, 3_000_000_000, "z"), (10, 12, "y")]) == [(1, 3, "a"), (5, 6, "e"), (9, 3_000_000_000, "z")]
+    assert t._page_ranges("1, 3 - 5, x, 1 2-1 3, 9-8, 7") == [(1, 1), (3, 5), (12, 13), (7, 7)]
+
+
+def test_index_pages_are_read_in_linear_time():
+    """Twice the page takes about twice the time: many breaks, headings, open tags, stray end tags and a huge range."""
+    import time
+
+    def took(n):
+        rows = "".join(f'<tr><td>Item {k % 20}.</td><td>Pages <a href="#p{k}">{k}</a> - 3000000000</td></tr>' for k in range(1, 21))
+        body = "".join(f'<a id="p{k}"></a><p>text {k}<b>{"</i>" * 3}<hr style="page-break-after:always">' for k in range(n)) + "<div>" * n + "<p>cross-reference index</p>" * 50
+        html = "<table><tr><td>no</td></tr></table>" * n + body.replace("<p>cross", "<p>Cross") + INDEX.format(rows=rows)
+        began = time.perf_counter()
+        found = t._indexed_items(html)
+        return time.perf_counter() - began, found
+
+    (small, _), (large, found) = min(took(2000) for _ in range(2)), took(8000)
+    assert found and large < 4 * small * 2.5 + 0.5
