@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: A word is a maximal run of bytes other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII letters only: other letters keep their case.
@@ -19,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only on a local master without one (tests on one machine) a temporary folder is set; on a cluster
-    that folder would be lost with its machine, so there an unset one raises.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        told = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
-        spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -45,9 +32,27 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._cut_to = path
+    if _open:
+        _open[-1].append(made)
     return made
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that are cut() inside are deleted at the end, but for those put into the list: what is returned still reads these."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        discard(*(df for df in _open.pop() if not any(df is k for k in kept)))
+        if _open:
+            _open[-1].extend(kept)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, once all that was made of them is written as well."""
     for df in tables:
@@ -84,6 +89,22 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def lowest(rows: DataFrame, most: int, key: str, *order: str) -> DataFrame:
+    """The `most` rows with the lowest 64-bit hashes of the column key, ties in this order of columns; all, if they are fewer. rows is a written table.
+
+    A share of the range of hashes is cut off first, so that what is sorted is not `most` rows of every task but little more than `most` in all.
+    """
+    n, mark = rows.count(), F.xxhash64(key)
+    share = 1.0 if n <= most else min(1.0, (most + 8 * most**0.5 + 64) / n)
+    found = rows
+    while share < 1.0:
+        found = rows.where(mark < F.lit(int(share * 2**64) - 2**63))
+        if found.count() >= most:
+            break
+        found, share = rows, 2 * share  # many rows of few keys
+    return found.orderBy(mark, key, *order).limit(most)
+
+
 #: Rows of a few short columns that may be broadcast: under 100 MB.
 MAX_BROADCAST_ROWS = 1_000_000
 

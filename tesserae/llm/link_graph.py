@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, cut, discard, scratch, table
 
 #: The rules of the registered query: host, path, verdict.
 RULES = (
@@ -39,9 +39,9 @@ RULES = (
     ("org", "/es/", "block"),
 )
 DAMPING, MARGIN, FLOOR, FAMILY = 0.85, 1.0, 0.5, 1.0
-ROUNDS = 8  #: of propagate() and of the SQL, for graphs that settle in so many; filter_urls() goes on until the scores have settled
+ROUNDS = 250  #: of the SQL: what is on its way then is far below any tolerance
 TOLERANCE = 1e-3  #: of FLOOR times an average host's share: the part of the scores of a kind that may still be on its way
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -72,10 +72,12 @@ def host_edges(pages: DataFrame, hosts: DataFrame, family: float = FAMILY) -> Da
     )
     known = links.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst", "n")
     known = cut(known, "graph-links")
-    labels = F.split("host", r"\.")
-    parents = hosts.select("host", F.explode(F.expr("transform(sequence(2, greatest(2, size(split(host, '[.]')))), i -> i)")).alias("i"))
-    parents = parents.select("host", F.array_join(F.slice(labels, F.col("i"), F.size(labels)), ".").alias("parent"), "i").where("parent <> ''")
-    nearest = parents.join(hosts.select(F.col("host").alias("parent")), "parent", "left_semi").groupBy("host").agg(F.min_by("parent", "i").alias("parent"))
+    # a parent is a known host, so only endings as long as one are looked up, however many labels a host has
+    lengths = hosts.where("host <> ''").select(F.length("host").alias("n")).distinct().agg(F.sort_array(F.collect_list("n"))).first()[0]
+    n = F.length("host")
+    endings = F.filter(F.lit(lengths).cast("array<int>"), lambda x: (x < n) & (F.substr("host", n - x, F.lit(1)) == "."))
+    parents = hosts.select("host", F.explode(F.transform(endings, lambda x: F.right("host", x))).alias("parent"))
+    nearest = parents.join(hosts.select(F.col("host").alias("parent")), "parent", "left_semi").groupBy("host").agg(F.max_by("parent", F.length("parent")).alias("parent"))
     met = known.select(F.col("src").alias("host")).union(known.select("dst")).distinct()
     of = lambda c: met.select(F.col("host").alias(c), F.lit(True).alias(f"{c}_met"))
     alone = nearest.join(of("host"), "host", "left").join(of("parent"), "parent", "left").where("host_met is null or parent_met is null")
@@ -84,30 +86,12 @@ def host_edges(pages: DataFrame, hosts: DataFrame, family: float = FAMILY) -> Da
     return cut(edges, "graph-edges")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def converged(edges: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
     """kind, host and score: for each kind the personalised PageRank of seeds(kind, host, seed) over edges(kind, src, dst, n).
 
     The seeds of a kind sum to 1. A round sends DAMPING of each score along the edges; what is not
-    sent, or has no edge to go along, goes to the seeds.
-    """
-    total = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    ways = cut(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("share")), "graph-ways")
-    scores = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for _ in range(rounds):
-        sent = ways.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host"))
-        sent = cut(sent.agg((DAMPING * F.sum(F.col("score") * F.col("share"))).alias("score")), "graph-sent")
-        kept = F.lit(1.0)
-        for row in sent.groupBy("kind").agg(F.sum("score").alias("score")).collect():  # one row a kind
-            kept = F.when(F.col("kind") == row["kind"], F.lit(1 - row["score"])).otherwise(kept)
-        back = seeds.select("kind", "host", (F.col("seed") * kept).alias("score"))
-        scores = sent.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-    return scores
-
-
-def converged(edges: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
-    """propagate() for as many rounds as it takes: the scores of a kind differ by less than tolerance in all from the settled ones.
-
-    All that is not sent goes to the seeds, so settled scores are in proportion to what the seeds and
+    sent, or has no edge to go along, goes to the seeds. Rounds go on until the scores of a kind differ by less than tolerance
+    in all from the settled ones. All that is not sent goes to the seeds, so settled scores are in proportion to what the seeds and
     all that they send, directly and on, add up to. A round sends the last one's part; DAMPING
     bounds what all later rounds can add.
     """
@@ -118,7 +102,9 @@ def converged(edges: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame
         sent = ways.join(state.where("part > 0").select("kind", F.col("host").alias("src"), "part"), ["kind", "src"])
         sent = sent.select("kind", F.col("dst").alias("host"), (DAMPING * F.col("part") * F.col("share")).alias("part"), F.lit(0.0).alias("score"))
         both = sent.unionByName(state.select("kind", "host", F.lit(0.0).alias("part"), "score")).groupBy("kind", "host")
-        state = cut(both.agg(F.sum("part").alias("part"), (F.sum("score") + F.sum("part")).alias("score")), "graph-scores")
+        last, state = state, cut(both.agg(F.sum("part").alias("part"), (F.sum("score") + F.sum("part")).alias("score")), "graph-scores")
+        if hasattr(last, "_cut_to"):
+            discard(last)
         sums = state.groupBy("kind").agg(F.sum("part").alias("part"), F.sum("score").alias("whole")).collect()  # one row a kind
         # what is to come is at most part * DAMPING / (1 - DAMPING), and changes the scaled scores by at most twice its share
         if all(2 * r["part"] * DAMPING / (1 - DAMPING) < tolerance * r["whole"] for r in sums):
@@ -131,6 +117,12 @@ def converged(edges: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame
 
 def host_standing(pages: DataFrame, family: float = FAMILY) -> DataFrame:
     """host, trust, distrust and blocked of every host, from pages(host, rule_verdict, html)."""
+    with scratch() as kept:
+        kept.append(_standing(pages, family))
+        return kept[0]
+
+
+def _standing(pages: DataFrame, family: float) -> DataFrame:
     kinds = {"trust": "allowed", "distrust": "refused"}
     allowed, refused = (F.count_if(F.col("rule_verdict") == v).cast("double") for v in ("allow", "block"))
     hosts = pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), allowed.alias("allowed"), refused.alias("refused"))
@@ -183,15 +175,13 @@ def _sql() -> str:
     for k, share, src, dst in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
         parts.append(f"{k}s AS (SELECT host, {share} / pages / (SELECT sum({share} / pages) FROM h) AS seed FROM h WHERE {share} > 0)")
         parts.append(f"{k}w AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM e)")
-        parts.append(f"{k}0 AS (SELECT host, seed AS score FROM {k}s)")
-        for i in range(ROUNDS):
-            parts.append(f"{k}x{i} AS MATERIALIZED (SELECT dst AS host, {DAMPING} * sum(score * share) AS score FROM {k}w JOIN {k}{i} ON host = src GROUP BY dst)")
-            parts.append(f"{k}{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT * FROM {k}x{i} UNION ALL SELECT host, seed * (1 - coalesce((SELECT sum(score) FROM {k}x{i}), 0)) FROM {k}s) GROUP BY host)")
+        parts.append(f"{k}r AS (SELECT 0 AS round, host, seed AS part FROM {k}s UNION ALL SELECT any_value(round) + 1, dst, {DAMPING} * sum(part * share) FROM {k}r JOIN {k}w ON host = src WHERE round < {ROUNDS} GROUP BY dst)")
+        parts.append(f"{k}x AS MATERIALIZED (SELECT host, sum(part) / (SELECT sum(part) FROM {k}r) AS score FROM {k}r GROUP BY host)")
     return (
-        "WITH " + ",\n".join(parts) + f"""
+        "WITH RECURSIVE " + ",\n".join(parts) + f"""
 SELECT page_id, j.host, path, told.rule AS rule, coalesce(told.verdict, CASE WHEN coalesce(d.score, 0) > {MARGIN} * coalesce(t.score, 0) + 1e-12
   AND coalesce(d.score, 0) > {FLOOR} / (SELECT count(*) FROM h) THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN t{ROUNDS} t ON t.host = j.host LEFT JOIN d{ROUNDS} d ON d.host = j.host"""
+FROM j LEFT JOIN tx t ON t.host = j.host LEFT JOIN dx d ON d.host = j.host"""
     )
 
 

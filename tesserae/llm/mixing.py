@@ -8,7 +8,7 @@ ordered by finish time and cut where the words reach the total budget.
 
 Prefix sums are taken in two levels, so that no source and no global order meets in one task:
 sums per range of the shuffle hash (or of finish time), prefix sums over the ranges, and exact
-order only within one range. The number of ranges follows the number of rows and does not change
+order only within one range, of rows that differ in id or size. The number of ranges follows the number of rows and does not change
 results. Only (id, size, source) is shuffled; texts stay where they are, or meet a larger table of
 copies in one join.
 
@@ -70,18 +70,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int =
 
 def queue(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> DataFrame:
     """sizes(id, source, size) with source_size, target, hash and end: the source's words in the shuffled order up to here."""
-    sizes = cut(sizes.withColumn("hash", shuffle_hash(F.col("id"))), "mix-sizes")
+    # rows equal in id, source and size follow each other: one row stands for them until ends are known
+    sizes = cut(sizes.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("hash", shuffle_hash(F.col("id"))), "mix-sizes")
     ranges = max(FEWEST_RANGES, sizes.count() // ROWS_A_RANGE)
-    shares = cut(targets(sizes, weights, repeat), "mix-targets")
+    all_words = F.col("size") * F.col("n")
+    shares = cut(targets(sizes.select("source", all_words.alias("size")), weights, repeat), "mix-targets")
     placed = sizes.withColumn("range", F.floor(F.col("hash") * (ranges / _HASHES)).cast("int"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(placed.groupBy("source", "range").agg(F.sum("size").alias("in_range")), "mix-ranges")
+    sums = cut(placed.groupBy("source", "range").agg(F.sum(all_words).alias("in_range")), "mix-ranges")
     sums = sums.select("source", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("before"))
     sums = sums.join(small(shares), sums["source"].eqNullSafe(shares["source"])).drop(shares["source"])
-    own = Window.partitionBy("source", "range").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("here", F.sum("size").over(own))
+    own = Window.partitionBy("source", "range").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("here", F.coalesce(F.sum(all_words).over(own), F.lit(0)))
     joined = placed.alias("p").join(sums.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.range") == F.col("s.range")))
-    return joined.select("p.id", "p.source", "p.size", "p.hash", "source_size", "target", (F.col("before") + F.col("here")).alias("end"))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return joined.select("p.id", "p.source", "p.size", "p.hash", "source_size", "target", (F.col("before") + F.col("here") + F.col("copy") * F.col("p.size")).alias("end"))
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> DataFrame:

@@ -24,8 +24,8 @@ Texts are fetched only for the ends of pairs left by the sketches. Everything th
 folder, so a lost executor costs one step.
 
 Defined results: without words (or text) n_shingles is 0 and the row is linked with nothing; with
-fewer words than a shingle has, all of them are one shingle; rows with equal ids count as versions
-of one document; rows with a null doc_id are not linked except to copies with ids, and their
+fewer words than a shingle has, all of them are one shingle; rows with equal ids are versions of one
+document, so the classes of all its versions are of one component (but for a version without words); rows with a null doc_id are not linked except to copies with ids, and their
 component is null if they have none; they are kept then; a similarity equal to the threshold links;
 whole texts are read, however long; further columns go. An empty table gives no rows. Working columns
 begin with `_nd_`.
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_batches, cut, discard, small, table
+from .common import bounded_batches, cut, discard, scratch, small, table
 
 SHINGLE, THRESHOLD = 5, 85  #: percent
 COORDINATES, BANDS, ROWS = 512, 42, 6
@@ -291,8 +291,25 @@ def _most_shared(members: DataFrame, to: tuple[str, ...]) -> DataFrame:
     return met.select("rep", F.explode(F.array(*to)).alias("to"))
 
 
+def _between_versions(rows: DataFrame, named: DataFrame) -> DataFrame | None:
+    """Links a and b between the classes of each id whose rows(doc_id, set1, ...) differ; None if no id has such rows."""
+    sets = ["set1", "set2", "n_shingles"]
+    versions = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", *sets)
+    several = cut(versions.groupBy("doc_id").agg(F.min(F.struct(*sets)).alias("a"), F.max(F.struct(*sets)).alias("b")).where("a <> b").select("doc_id"), "near-versions")
+    if several.isEmpty():
+        return None
+    own = versions.join(small(several), "doc_id", "left_semi").distinct().join(named, sets)
+    least = cut(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "near-least")
+    return own.join(small(least), "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs(doc_id, text); pairs are linked from a similarity of threshold percent on."""
+    with scratch() as kept:
+        return _near_duplicates(docs, threshold, kept)
+
+
+def _near_duplicates(docs: DataFrame, threshold: int, kept: list[DataFrame]) -> DataFrame:
     rows = cut(sketched(docs), "near-sketches")
     sets = ["set1", "set2", "n_shingles"]
     named = cut(rows.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "near-classes")
@@ -309,6 +326,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = _most_shared(members, ("low", "high"))
     pairs = pairs.where("rep <> to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
     stars = cut(confirmed(cut(_pairs_by_sketch(pairs, classes, threshold), "near-stars"), docs, threshold), "near-links")
+    versions = _between_versions(rows, named)
+    stars = stars if versions is None else stars.unionByName(versions)
     found = cut(components(stars), "near-components")
 
     placed = members.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -324,6 +343,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         joined = cut(components(between).toDF("id", "whole"), "near-joined")
         named = named.join(small(joined), F.col("component") == F.col("id"), "left").withColumn("component", F.coalesce("whole", "component")).drop("id", "whole")
     named = cut(named, "near-named")
+    kept += [rows, named]
     joined = rows.select("doc_id", *sets).join(named, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))

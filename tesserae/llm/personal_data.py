@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, cut, discard, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each from a run's first character (or where the last match ended), runs taken whole.
@@ -191,7 +191,7 @@ def discovered(tokens: DataFrame, told: Callable[[int, int], None] | None = None
     edges = cut(edges.groupBy("pattern", "key").agg(F.count(F.lit(1)).alias("times"), F.max("seed").alias("seed"), F.max("span").alias("span")), "pii-edges")
     sides = ("label", "left", "right")
     seeds = edges.where("seed").select("key", F.lit(1.0).alias("score"), F.lit(True).alias("sure")).distinct()
-    scores, last = seeds, (0, 0, 0.0)
+    scores, last, before = seeds, (0, 0, 0.0), []
     while True:
         rated = edges.join(scores, "key", "left").groupBy("pattern")
         confidence = (F.sum(F.col("times") * F.coalesce("score", F.lit(0.0))) / (F.sum("times") + DAMPING)).alias("confidence")
@@ -204,6 +204,8 @@ def discovered(tokens: DataFrame, told: Callable[[int, int], None] | None = None
         supported = cut(supported.select("key", "score", (F.col("enough") & (F.col("score") >= ACCEPT)).alias("sure")), "pii-scores")
         rise = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
         now = (rise[0], supported.where("sure").count(), rise[1])
+        discard(*before)  # of the last round; this one's tables are written
+        before = [patterns, supported]
         if told:
             told(*now[:2])
         if now[:2] == last[:2] and now[2] - last[2] <= SETTLED * max(1, now[0]):

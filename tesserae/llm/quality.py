@@ -10,7 +10,7 @@ it lies, on its whole text.
 
 Defined results: null and empty texts have only the features of an empty text and are scored like
 any other; ratings with a null or without a document are not used; with no usable ratings every
-document has the middle grade and is kept; of several ratings of one document the worst counts;
+document has the same score and is kept, with any the score decides (of very few, by the grades' shares alone); of several ratings of one document the worst counts;
 ties at the bound of the sample are broken by doc_id; a document at the threshold itself is kept;
 repeated rows stay repeated; whole texts are read, however long; an empty table gives no rows;
 further columns pass through unless a result column has their name in any case.
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_batches, cut, map_batches, table
+from .common import bounded_batches, cut, lowest, map_batches, table
 
 BITS = 17
 GRADES = 3
 MAX_RATED = 20_000  #: the bound of the sample of rated rows
 STEPS, RIDGE, PARTS, MEMORY, LEAST_ROWS = 30, 1e-3, 12, 8, 10
-#: LEAST_ROWS: features that fewer rated rows have get no weight
+#: LEAST_ROWS: features that fewer rated rows have get no weight, so that none is learnt from a handful of documents
 KEEP_AT = 0.5  #: a document is kept if P(grade >= 2) is at least this
 _PUNCTUATION = [bytes([b]) for b in b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"]
 _EDGES = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -115,8 +115,8 @@ def thresholds_of(x: np.ndarray) -> np.ndarray:
     return x[-(GRADES - 1)] + np.concatenate([[0.0], np.cumsum(np.exp(x[len(x) - GRADES + 2 :]))])
 
 
-def fit(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds from rated(text, grade)."""
+def fit(rated: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Weights, thresholds and the number of rows from rated(text, grade)."""
     spark = rated.sparkSession
     bounded_batches(spark)
     size = 1 << BITS
@@ -153,7 +153,7 @@ def fit(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros(size + GRADES - 1)
     x[size] = -1.0
     if not n:
-        return x[:size], thresholds_of(x)
+        return x[:size], thresholds_of(x), 0
     used = met >= LEAST_ROWS
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -165,21 +165,20 @@ def fit(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return v / n + RIDGE / 2 * float(w @ w), np.concatenate([np.where(used, g / n + RIDGE * w, 0), np.cumsum(gt[::-1])[::-1] * gaps / n])
 
     x = minimise(loss, x, STEPS)
-    return x[:size], thresholds_of(x)
+    return x[:size], thresholds_of(x), int(n)
 
 
 def rated_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_RATED) -> DataFrame:
-    """text and grade of at most `most` rated documents, the lowest by a hash of doc_id."""
+    """text and grade of at most `most` rated documents, the lowest by a hash of doc_id; of rows of one id the least text."""
     marks = (
         labels.select("doc_id", F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("x"))
         .where("doc_id is not null and q in (0, 1) and x in (0, 1)")
         .groupBy("doc_id")
         .agg(F.min("q").alias("q"), F.max("x").alias("x"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
-    marks = cut(marks.select("doc_id", (F.col("q") + 1 - F.col("x")).cast("int").alias("grade")), "quality-ratings")
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "grade")
+    marks = cut(marks.select("doc_id", (F.col("q") + 1 - F.col("x")).cast("int").alias("grade")), "quality-marks")
+    marks = cut(lowest(marks, most, "doc_id"), "quality-ratings")
+    return docs.select("doc_id", "text").join(marks, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("text", "grade")
 
 
 def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, prefix: str = "") -> DataFrame:
@@ -204,8 +203,8 @@ def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, prefix:
 
 def classify(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
     """docs with expected_grade, p_ge1, p_ge2 and `keep`; prefix begins these names, so that docs may have columns of the bare ones."""
-    weights, thresholds = fit(rated_rows(docs, labels))
-    return score(docs, weights, thresholds, prefix).withColumn(f"{prefix}keep", F.col(f"{prefix}p_ge2") >= KEEP_AT if weights.any() else F.lit(True))
+    weights, thresholds, n = fit(rated_rows(docs, labels))
+    return score(docs, weights, thresholds, prefix).withColumn(f"{prefix}keep", F.col(f"{prefix}p_ge2") >= KEEP_AT if n else F.lit(True))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ ranges of a file: LEAF_RANGE bytes, then ARITY times as many a level, up to one
 node's hash is the SHA-256 of its children's positions and hashes in order. Two replicas are compared
 by roots; only the children of nodes that differ are compared a level below, so the rows compared are
 in proportion to the damage. Children of a node are few by construction (a range holds no more records
-than fit into it), so no group grows with the corpus; only hashes are shuffled, never records.
+than fit into it), so no group grows with the corpus; only hashes are shuffled, never records. Offsets
+are sums over a file's parts first (an id and the first digits of a hash), then over the different
+records of a part, so an id of very many records, or none, makes no task of its own.
 
 Defined results: a null url or html counts as empty; pages without an id make up a file of their own,
 numbered -1, after which nothing depends on ids but order; repeated pages are records each; a record at
 an offset where a replica has none is `missing`, the other way round `extra`, and one of another hash
-`changed`; two replicas without records give no rows.
+`changed`; records of one id are in the order of their hashes, equal ones side by side; pages are hashed whole,
+however long; further columns go, whatever their names; two replicas without records give no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from .common import cut, table
 
 LEAF_RANGE, ARITY = 1 << 16, 16
 PAGES_A_FILE = 1000
+PART_DIGITS = 3  #: rows of one id are placed in parts by so many digits of their hash, whose sizes are summed first
 
 
 def record_text(page_id: Column, url: Column, html: Column) -> Column:
@@ -93,8 +97,19 @@ def replicas(pages: DataFrame) -> DataFrame:
     broken = record_text(page, F.col("url"), F.concat(F.lit("\0"), F.substring(body, F.lit(2), F.length(body))))
     theirs = F.when(F.col("ours").startswith("00"), F.sha2(broken, 256)).when(~F.col("ours").startswith("01"), F.col("ours"))
     hashed = hashed.select("page_id", "file", "length", "ours", theirs.alias("theirs"))
-    before = Window.partitionBy("file").orderBy("page_id", "ours").rowsBetween(Window.unboundedPreceding, -1)
-    return hashed.withColumn("at", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    # equal records stand one after the other: one row stands for them until offsets are known
+    own = ["file", "page_id", "part"]
+    hashed = hashed.withColumn("part", F.substring("ours", 1, PART_DIGITS)).groupBy(*own, "ours", "theirs", "length").agg(F.count(F.lit(1)).alias("copies"))
+    hashed = cut(hashed, "warc-distinct")
+    size = F.col("length") * F.col("copies")
+    earlier = Window.partitionBy("file").orderBy("page_id", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut(hashed.groupBy(*own).agg(F.sum(size).alias("size")), "warc-parts")
+    parts = parts.select(F.col("file").alias("_file"), F.col("page_id").alias("_page"), F.col("part").alias("_part"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    before = Window.partitionBy(*own).orderBy("ours").rowsBetween(Window.unboundedPreceding, -1)
+    placed = hashed.withColumn("inside", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    placed = placed.join(parts, (F.col("file") == F.col("_file")) & F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("part") == F.col("_part")))
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return placed.select("page_id", "file", "length", "ours", "theirs", (F.col("start") + F.col("inside") + F.col("copy") * F.col("length")).alias("at"))
 
 
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

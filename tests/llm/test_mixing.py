@@ -104,3 +104,18 @@ def test_rows_of_one_id_are_taken_one_by_one(spark):
     mixed = m.mixed_documents(frame)
     assert mixed.columns == frame.columns
     assert {(r.doc_id, r.source): r.n for r in mixed.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()} == want
+
+
+def test_hot_and_missing_ids_are_counted_together(spark):
+    """Rows equal in id, source and size are one row until ends are known; ends are those of a plain queue."""
+    from tesserae.llm import mixing
+
+    rows = [(None, "s", 3)] * 200 + [(None, "s", 5)] * 50 + [(4, "s", 2)] * 100 + [(k, "s", 1 + k % 4) for k in range(50)] + [(k, None, 7) for k in range(20)]
+    queued = mixing.queue(spark.createDataFrame(rows, "id long, source string, size long"))
+    assert queued.count() == len(rows)
+    for source in ("s", None):
+        own = sorted((r.hash, r.id is not None, r.id or 0, r.size, r.end) for r in queued.where(F.col("source").eqNullSafe(F.lit(source))).collect())
+        end = 0
+        for *_, size, at in own:
+            end += size
+            assert at == end

@@ -108,3 +108,46 @@ def test_hubs_are_split(spark, monkeypatch):
         sets.setdefault(i, []).append(set_of(x))
     want = {(a, b) for a, b in pairs if any(100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b])}
     assert {tuple(r) for r in made.collect()} == want and 1 < len(want) < len(pairs)
+
+
+def test_versions_of_an_id_are_of_one_component(spark, monkeypatch):
+    """Rows of one id link the classes of all its versions, however far apart; against a plain union of classes."""
+    a, b = "a b c d e f g", "q r s t u v w x"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    made = {(r.doc_id, r.component_id) for r in n.near_duplicates(frame([(3, a), (5, a), (5, b), (6, b)])).collect()}
+    assert made == {(3, 3), (5, 3), (6, 3)}
+    made = sorted((r.doc_id, r.n_shingles, r.component_id) for r in n.near_duplicates(frame([(5, ""), (5, a), (3, a), (5, None)])).collect())
+    assert made == [(3, 3, 3), (5, 0, 5), (5, 0, 5), (5, 3, 3)]
+    rng = random.Random(17)
+    texts = [" ".join(f"t{k}w{i}" for i in range(8)) for k in range(40)]
+    rows = [(rng.randrange(60), rng.choice(texts)) for _ in range(90)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, x in rows:
+        root[find(x)] = find(i)
+    least = {}
+    for i, _ in rows:
+        least[find(i)] = min(i, least.get(find(i), i))
+    assert {(r.doc_id, r.component_id) for r in n.near_duplicates(frame(rows)).collect()} == {(i, least[find(i)]) for i, _ in rows}
+
+
+def test_very_long_texts(spark):
+    base = " ".join(f"w{k}" for k in range(200_000))
+    docs = [(1, base), (2, base + " end"), (3, "w" * 1_000_000), (4, base[: len(base) // 2])]
+    assert {r.doc_id: tuple(r) for r in n.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == brute(docs)
+
+
+def test_tables_of_a_run_are_deleted(spark):
+    from pathlib import Path
+
+    from tesserae.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    assert n.near_duplicates(spark.createDataFrame(corpus(random.Random(3)), "doc_id long, text string")).count()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before) == ["near-named", "near-sketches"]

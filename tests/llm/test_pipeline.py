@@ -130,3 +130,18 @@ def test_near_dedup_stage_links_from_80_percent(spark):
         want -= {b for b in sets if b > a and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     frame = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in texts], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, SF).collect()} == want
+
+
+def test_near_dedup_stage_keeps_no_two_equal_texts(spark):
+    """An id with two versions, each copied under another id: the row that stays is the one of the group."""
+    a, b = "a b c d e f g", "q r s t u v w x"
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in ((3, a), (5, a), (5, b), (6, b), (7, "own words of seven only"), (7, "own words of seven only"))], shape)
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [(3, a), (7, "own words of seven only")]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_stages_take_very_long_texts(spark, stage):
+    rows = [(1, "word " * 200_000, "en", "s", 1_000_000), (2, "x" * 1_000_000, "en", "s", 1_000_000), (3, "line\n" * 100_000, "en", "t", 500_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in stage(spark, docs, SF).select("doc_id").collect()} <= {1, 2, 3}
