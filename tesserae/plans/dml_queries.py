@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import dml
 from ..operators import relational as r
+from ..sources.index import VectorIndex
+from ..sources.shared import shared_dir
+from ..sources.store import Store
 from ..streaming import ingest
 from .domain import COLLECTION, MODEL, Domain, sql
 from .registry import query
@@ -195,3 +200,50 @@ def entries_per_source(spark, sf_dir):
     """The first three entries of each source, in their feed's order."""
     a = Domain(spark, sf_dir).articles.select("source_id", "url", F.col("id").alias("doc"), (-F.col("id")).cast("int").alias("position"))
     return ingest.first_entries(a, 3).drop("position")
+
+
+def _store(spark):
+    return Store(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+
+
+@query("""WITH c AS (SELECT c_custkey % 3 AS k, upper('t' || c_custkey % 40) AS ticker, c_name AS name FROM customer),
+  a AS (SELECT ticker, max(name) AS name FROM c WHERE k <> 0 GROUP BY ticker), b AS (SELECT ticker, max(name) AS name FROM c WHERE k <> 1 GROUP BY ticker)
+  SELECT ticker, coalesce(b.name, a.name) AS name, CAST(row_number() OVER (ORDER BY a.ticker IS NULL, ticker) AS BIGINT) AS id FROM a FULL JOIN b USING (ticker)""")
+def upsert_repeated_keys(spark, sf_dir):
+    """Two batches whose keys repeat, in two cases of letters, and a repeat of the second: one row a key, ids in order of arrival."""
+    store = _store(spark)
+    k = F.col("c_custkey")
+    letter = F.when(k % 2 == 0, "t").otherwise("T")
+    rows = Domain(spark, sf_dir).table("customer").select((k % 3).alias("k"), F.concat(letter, (k % 40).cast("string")).alias("ticker"), F.col("c_name").alias("name"))
+    for part in (rows.where("k <> 0"), rows.where("k <> 1"), rows.where("k <> 1")):
+        store.upsert("companies", part.drop("k"))
+    return store.read("companies").select("ticker", "name", "id")
+
+
+@query(sql("""{T} , c AS (SELECT filing_id, section_id, chunk_index, min(text) AS text FROM chunks GROUP BY ALL)
+  SELECT filing_id, section_id, chunk_index, CASE WHEN filing_id % 5 = 2 THEN 'upserted ' || text ELSE text END AS text FROM c WHERE filing_id % 7 <> 0 OR filing_id % 5 = 2
+  UNION ALL SELECT id, '1', 0, 'new text of ' || accession_number FROM filings WHERE id % 7 = 0 AND id % 2 = 0 AND id NOT IN (SELECT filing_id FROM c WHERE filing_id % 5 = 2 AND section_id = '1' AND chunk_index = 0)"""))
+def chunks_of_versions(spark, sf_dir):
+    """A table of four commits, read without compaction: chunks, an exchange by filing (some of no new chunks), then an upsert by key."""
+    d, store = Domain(spark, sf_dir), _store(spark)
+    chunks = d.chunks.groupBy("filing_id", "section_id", "chunk_index").agg(F.min("text").alias("text"))
+    store.append("chunks", chunks)
+    sevenths = d.filings.where("id % 7 = 0")
+    new = sevenths.where("id % 2 = 0").select(F.col("id").alias("filing_id"), F.lit("1").alias("section_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("new text of "), "accession_number").alias("text"))
+    store.exchange("chunks", new, ["filing_id"], sevenths.select(F.col("id").alias("filing_id")))
+    store.upsert("chunks", chunks.where("filing_id % 5 = 2").withColumn("text", F.concat(F.lit("upserted "), "text")))
+    return store.read("chunks").select("filing_id", "section_id", "chunk_index", "text")
+
+
+@query(sql("""{T} SELECT CAST(id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS owner, 'first' AS text FROM vectors WHERE label % 4 <> 1 UNION ALL SELECT 'n' || id, CAST(label AS VARCHAR), 'second' FROM vectors WHERE label % 4 = 1 AND id % 2 = 0"""))
+def vectors_of_versions(spark, sf_dir):
+    """Vectors of which some owners were exchanged, read without compaction."""
+    d = Domain(spark, sf_dir)
+    index = VectorIndex(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", COLLECTION)
+    made = lambda rows, mark, text: rows.select(F.concat(F.lit(mark), F.col("id").cast("string")).alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("label").cast("string").alias("owner"), "ticker", F.lit(text).alias("text"))
+    owners = lambda rows: rows.select(F.col("label").cast("string").alias("owner"))
+    index.size = len(d.query_vector())
+    index.replace("document", made(d.vectors, "", "first"), owners(d.vectors))
+    some = d.vectors.where("label % 4 = 1")
+    index.replace("document", made(some.where("id % 2 = 0"), "n", "second"), owners(some))
+    return index.read().select("id", "owner", "text")

@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+from ..sources.store import Store
 from ..streaming import ingest
 from .domain import Domain, sql
 from .registry import query
 
-_FIRST = "SELECT min(id) AS id, content_hash FROM articles WHERE length(text) >= 100 GROUP BY content_hash"
-
-
-@query(sql("{T} " + _FIRST))
+@query(sql(r"""{T} , a AS (SELECT id, source_id, url, content_hash, id % 3 AS batch FROM articles WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 100)
+  SELECT id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY batch, source_id, url) AS r FROM a) WHERE r = 1"""))
 def stream_ingest_dedup(spark, sf_dir):
-    """Articles taken in by a stream, the first of each content; what has been seen is the table that the stream writes."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
-    root = f"{told.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    docs = Domain(spark, sf_dir).table("documents")
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
-
-    def take(batch, batch_id):
-        fresh = batch.where("source is not null").where(F.length("text") >= ingest.LEAST_ARTICLE_CHARS)
-        fresh.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash")).groupBy("content_hash").agg(F.min("id").alias("id")).write.mode("append").parquet(f"{root}/seen")
-
-    run = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{root}/seen").groupBy("content_hash").agg(F.min("id").alias("id"))
+    """Articles taken in by the worker from a stream that is started anew for each of three deliveries; what has been seen is the catalog's own tables."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    d = Domain(spark, sf_dir)
+    store = Store(spark, f"{root}/catalog")
+    approved = {"source_type": F.lit("newsroom"), "discovery_status": F.lit("approved"), "enabled": F.lit(True)}
+    store.append("sources", d.sources.select("id", "url", "name").withColumns(approved))
+    worker = ingest.Worker(spark, store, f"{root}/vectors")
+    entries = ingest.shaped(d.articles)
+    for k in range(3):
+        entries.where(F.regexp_extract("url", r"(\d+)$", 1).cast("long") % 3 == k).write.mode("append").parquet(f"{root}/inbox")
+        stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/inbox")
+        run = stream.writeStream.foreachBatch(lambda batch, _: worker.ingest(batch)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return store.read("documents").select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("id"), "content_hash")
 
 
 @query(sql(r"""{T} , a AS (SELECT source_id, url, content_hash, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 100 AS long, id FROM articles), k AS (SELECT * FROM a WHERE id % 5 = 0), n AS (SELECT * FROM a WHERE id % 5 <> 0),

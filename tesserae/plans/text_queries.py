@@ -86,3 +86,27 @@ def page_references(spark, sf_dir):
     value = F.concat(spaced, F.lit(" - "), (F.col("p_size") + F.col("p_partkey") % 4).cast("string"), F.lit(", "), (F.col("p_size") + 9).cast("string"), F.lit(", 9-3, none"))
     ranges = F.transform(t.page_ranges(value), lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string")))
     return Domain(spark, sf_dir).table("part").select("p_partkey", F.array_join(ranges, ";").alias("ranges"))
+
+
+_PART = "replace(replace(replace(coalesce(substr(text, {}, {}), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT doc_id, unnest(['1', '1A', '7']) AS item, sha256(unnest(['<p>' || a || '</p><a id="p2"></a><p>' || b || '</p>', '<p>' || b || '</p>' || chr(10) || '<p>' || c || '</p>', '<p>' || c || '</p>'])) AS html FROM
+  (SELECT doc_id, {_PART.format(1, 'length(text) // 3')} AS a, {_PART.format('length(text) // 3 + 1', 'length(text) // 3')} AS b, {_PART.format('2 * (length(text) // 3) + 1', 'length(text)')} AS c FROM documents)""")
+def indexed_items(spark, sf_dir):
+    """Each document as a filing whose pages 1, 2 and 4 hold a third of it, with an index of items by page between other tables and mentions of an index: the pages of each item."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    escaped = lambda x: F.replace(F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = lambda start, n: F.concat(F.lit("<p>"), escaped(F.substring("text", start, n)), F.lit("</p>"))
+    rule = F.lit('<hr style="page-break-after: always">')
+    index = (
+        '<h2>Form 10-K Cross-Reference Index</h2><table><tr><th>Item Number</th><th>Pages</th></tr><tr><td>Item 1.</td><td>Business</td></tr><tr><td>all of it</td><td>Pages <a href="#p1">1</a> - 2</td></tr>'
+        '<tr><td>Item 1A.</td><td>Page <a href="#p2"> 2 </a>, <a href="#p4">4</a></td></tr><tr><td>Item 7.</td><td>Pages <a href="#p4">4</a>-<a href="#p5">5</a></td></tr></table>'
+        "<p>See the cross reference index above.</p><table><tr><td>Item Number</td></tr><tr><td>Item 9. alone</td></tr></table>"
+    )
+    html = F.concat(
+        F.lit('<html><body><table><tr><td>Item Number</td></tr></table><a id="p1"></a>stray'), rule, page(F.lit(1), third), rule, F.lit('<a id="p2"></a>'), page(third + 1, third), rule, F.lit('<a id="p4"></a>'), page(2 * third + 1, F.length("text")), rule,
+        rule, F.lit(index), F.lit("</body></html>"),
+    )
+    found = Domain(spark, sf_dir).table("documents").select("doc_id", F.explode(t.indexed_items(html)).alias("i"))
+    return found.select("doc_id", "i.item", F.sha2("i.html", 256).alias("html"))

@@ -229,3 +229,104 @@ def test_numbers_follow_the_order(spark, tmp_path):
     rows = store.numbered(spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(5), ["k"], 10).orderBy("k").collect()
     assert [r.id for r in rows] == list(range(10, 1010))
     assert store.numbered(spark.range(0).select(F.col("id").alias("k")), ["k"], 1).count() == 0
+
+
+def poisoned(monkeypatch, url):
+    """Working out an article's text raises for one url."""
+    from tesserae.streaming import ingest
+
+    real = ingest.prepared
+    monkeypatch.setattr(ingest, "prepared", lambda entries, *x: real(entries, *x).withColumn("content_hash", F.when(F.col("url") == url, F.raise_error(F.lit("poison")).cast("string")).otherwise(F.col("content_hash"))))
+    return lambda: monkeypatch.setattr(ingest, "prepared", real)
+
+
+def test_one_poisoned_article_fails_alone(spark, tmp_path, monkeypatch):
+    """It is told in its source's run, kept with its attempts, tried again when its time has come, and dead after the last one."""
+    from tesserae.streaming import ingest
+
+    monkeypatch.setattr(ingest, "FIRST_WAIT", 0)
+    monkeypatch.setattr(ingest, "MAX_ATTEMPTS", 3)
+    engine = Engine(spark, Config(str(tmp_path / "catalog"), str(tmp_path / "vectors"), chunk_size=300, overlap=30))
+    engine.add_sources(spark.createDataFrame([("https://e.example/", "Example", "newsroom", "official", "high")], "url string, name string, source_type string, ownership string, trust_level string"))
+    batch = spark.createDataFrame([(1, f"u{k}", f"{LONG} number {k}") for k in range(24)], "source_id long, url string, text string")
+    cure = poisoned(monkeypatch, "u7")
+    worker = engine.worker
+    worker.ingest(batch)
+    run = engine.store.read("source_ingestion_runs").first()
+    assert (run.status, run.discovered_count, run.inserted_count, run.skipped_count) == ("partial", 24, 23, 1) and run.error_message.startswith("u7: ") and "poison" in run.error_message
+    assert engine.store.read("documents").count() == 23 and engine.store.read("_failures").first().attempts == 1
+    worker.ingest(batch.limit(0))  # its time has come: it fails again
+    assert engine.store.read("_failures").first().attempts == 2 and worker.dead().count() == 0
+    cure()
+    worker.ingest(batch.limit(0))
+    assert engine.store.read("documents").count() == 24 and engine.store.read("_failures").count() == 0
+    poisoned(monkeypatch, "u900")
+    again = batch.limit(1).withColumns({"url": F.lit("u900"), "text": F.lit(LONG + "nine hundred")})
+    worker.ingest(again)
+    for _ in range(3):
+        worker.ingest(batch.limit(0))
+    dead = worker.dead().first()
+    assert dead.owner == "entry:1|u900" and dead.attempts == 3 and json.loads(dead.entry)["url"] == "u900"
+
+
+def test_one_poisoned_filing_fails_alone(spark, tmp_path, monkeypatch):
+    for k in range(1, 6):
+        filing(tmp_path / "raw" / "sec-edgar-filings" / "EXM" / "10-K" / f"0000000000-26-00000{k}", f"<p>We make useful things of kind {k} for customers.</p>" * 60, "<p>Our supply of things may break.</p>" * 60)
+    text = (tmp_path / "raw" / "sec-edgar-filings" / "EXM" / "10-K" / "0000000000-26-000001" / "full-submission.txt").read_text()
+    for k in range(2, 6):
+        path = tmp_path / "raw" / "sec-edgar-filings" / "EXM" / "10-K" / f"0000000000-26-00000{k}" / "full-submission.txt"
+        path.write_text(text.replace("0000000000-26-000001", f"0000000000-26-00000{k}"))
+    engine = Engine(spark, Config(str(tmp_path / "catalog"), str(tmp_path / "vectors"), chunk_size=600, overlap=60))
+    engine.ingest_filings(str(tmp_path / "raw"), "exm")
+    real = engine.worker.index.replace
+
+    def replace(corpus, rows, owners):
+        if not owners.where("owner = '0000000000-26-000003'").isEmpty():
+            raise ValueError("bad filing")
+        real(corpus, rows, owners)
+
+    monkeypatch.setattr(engine.worker.index, "replace", replace)
+    engine.vectorize_filings()
+    status = lambda: {r.accession_number: r.status for r in engine.store.read("embedding_runs").join(engine.store.read("filings").select(F.col("id").alias("filing_id"), "accession_number"), "filing_id").collect()}
+    assert status() == {f"0000000000-26-00000{k}": "failed" if k == 3 else "ready" for k in range(1, 6)}
+    assert "bad filing" in engine.store.read("embedding_runs").where("status = 'failed'").first().error_message
+    monkeypatch.setattr(engine.worker.index, "replace", real)
+    engine.vectorize_filings()
+    assert set(status().values()) == {"ready"} and engine.health().first().status == "healthy"
+
+
+def test_from_discovery_to_an_answer_that_cites_the_article(spark, tmp_path):
+    """A source that is found for a company is its own: listed under its ticker, and its articles answer questions about it."""
+    engine = mixed_engine(spark, tmp_path)
+    engine.store.upsert("companies", spark.createDataFrame([("EXM", "Example Corp", "exm.example"), ("OTH", "Other", "oth.example")], "ticker string, name string, website_domain string"))
+    page = lambda name: f"<html><head><title>{name} Newsroom</title></head><body><article>{'<p>News of the company, told at some length.</p>' * 12}</article></body></html>"
+    fetched = spark.createDataFrame([(f"https://{d}.example/newsroom", f"https://{d}.example/newsroom", 200, "text/html", page(d)) for d in ("exm", "oth")], "url string, final_url string, status_code int, content_type string, text string")
+    engine.discover_sources(fetched)
+    found = engine.sources("EXM").collect()
+    assert [(s.url, s.discovery_status, s.ticker) for s in found] == [("https://exm.example/newsroom", "candidate", "EXM")] and engine.sources("OTH").count() == 1
+    engine.decide([found[0].id], True)
+    engine.discover_sources(fetched)
+    assert engine.sources("EXM").first().discovery_status == "approved"
+    article = "Our supply of things may break, says the newsroom of the company. " * 8
+    engine.worker.cycle(spark.createDataFrame([(found[0].id, "https://exm.example/newsroom/1", "Supply", "2026-03-01T00:00:00+00:00", article)], "source_id long, url string, title string, published_at string, text string"))
+    counted = engine.store.version("_health")
+    answer = engine.ask("What are the latest risk factors of EXM?")
+    cited = [x for x in answer.sources if x["chunk_source"] == "document"]
+    assert cited and cited[0]["ticker"] == "EXM" and cited[0]["url"] == "https://exm.example/newsroom/1" and any('2026-03-01, "Supply"' in x for x in answer.labels) and "says the newsroom" in answer.answer
+    assert engine.store.version("_health") == counted  # health was kept with the cycle: the question counted nothing
+    run = engine.query_run(answer.query_run_id)
+    assert run.status == "completed" and run.started_at and run.completed_at
+
+
+def test_runs_are_running_until_they_end(spark, tmp_path, monkeypatch):
+    engine = mixed_engine(spark, tmp_path)
+    seen = []
+    monkeypatch.setattr(engine, "_answered", lambda q: seen.append([r.status for r in engine.store.read("query_runs").collect()]) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        engine.ask("What are the risk factors of EXM?")
+    assert seen == [["running"]] and engine.store.read("query_runs").first().status == "failed"
+    monkeypatch.setattr(engine.worker, "_ingested", lambda *x: seen.append([r.status for r in engine.store.read("source_ingestion_runs").collect()]) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        engine.worker.ingest(spark.createDataFrame([(1, "u", LONG)], "source_id long, url string, text string"))
+    run = engine.store.read("source_ingestion_runs").first()
+    assert seen[1] == ["running"] and run.status == "failed" and run.error_message.startswith("ZeroDivisionError") and run.completed_at
