@@ -66,9 +66,10 @@ def named(*columns: str):
 
 
 def picked(df: DataFrame, *columns: str) -> DataFrame:
-    """These columns by their exact names, though others may differ from them in case only."""
-    places = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return places.select(*(F.col(f"c{df.columns.index(c)}").alias(c) for c in columns))
+    """These columns by their exact names, though others may differ from them in case only; without an exact one, in any case."""
+    places, lower = df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [c.lower() for c in df.columns]
+    at = lambda c: df.columns.index(c) if c in df.columns else lower.index(c.lower())
+    return places.select(*(F.col(f"c{at(c)}").alias(c) for c in columns))
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:

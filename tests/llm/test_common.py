@@ -36,3 +36,4 @@ def test_scratch_deletes_all_but_what_is_kept(spark):
 def test_columns_by_their_exact_names(spark):
     frame = spark.createDataFrame([(1, 2, 3)], "a int, A int, `a.b` int")
     assert tuple(common.picked(frame, "A", "a.b").first()) == (2, 3)
+    assert common.picked(frame, "A.B").columns == ["A.B"]

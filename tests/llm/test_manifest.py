@@ -98,7 +98,7 @@ def test_blocks_and_tiers_against_whole_trees(spark, monkeypatch):
 
 def test_nulls_ties_repeated_rows_and_names(spark):
     rows = [(None, None, None, None, None), (None, None, "", 0, ""), (5, None, "en", 3, "abc"), (5, None, "en", 3, "abc"), (5, None, "en", 3, "abd"), (7, "", "en", 1, "x" * 2_000_000), (8, "é", None, None, "-"), (9, "z", None, None, "0:")]
-    frame = spark.createDataFrame(rows, SCHEMA).withColumn("TEXT", F.lit("other")).withColumn("tree", F.lit(1)).withColumn("a.b", F.lit(2))
+    frame = spark.createDataFrame(rows, SCHEMA).select("*", F.lit("other").alias("TEXT"), F.lit(1).alias("tree"), F.lit(2).alias("a.b"))
     found, root = manifest.manifest(frame)
     got = [(r.doc_id, r.leaf, r.subroot) for r in found.collect()]
     want, want_root = plain(rows)
