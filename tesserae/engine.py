@@ -116,8 +116,9 @@ class Engine:
         return self.worker.index.read()
 
     def context(self) -> DataFrame:
-        """One row: tickers, sections, years and names that plans may use; one entry a ticker."""
-        per = relational.planner_context(relational.planner_metadata(self.store.read("filings"), self.store.read("chunks")), p.SECTIONS)
+        """One row: tickers, sections, years and names that plans may use; one entry a ticker. Filings and chunks are read for it only after they have changed."""
+        s = self.store
+        per = s.remembered("_context", ("filings", "chunks"), lambda: relational.planner_context(relational.planner_metadata(s.read("filings"), s.read("chunks")), p.SECTIONS))
         entry = F.collect_list(F.struct("ticker", "years", "names", "sections")).alias("all")
         all_ = per.agg(F.sort_array(entry).alias("all"))
         known = F.array(*map(F.lit, p.SECTIONS))

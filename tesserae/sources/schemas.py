@@ -19,10 +19,11 @@ SCHEMAS = {
     "research_sessions": f"id long, session_key string, title string, metadata_json string, {_STAMPS}",
     "query_runs": f"id long, research_session_id long, question string, status string, planner_model string, answer_model string, embedding_model string, vector_collection string, planned_query_json string, retrieval_metadata_json string, answer_text string, error_message string, started_at timestamp, completed_at timestamp, {_STAMPS}",
 }
-#: Kept beside the relations: clean texts, what a cycle couldn't take in, and health as of some versions.
+#: Kept beside the relations: clean texts, what a cycle couldn't take in, and health and planner context as of some versions.
 WORKING = {
     "clean_texts": "path string, text string",
     "_failures": "owner string, attempts int, next_at timestamp, dead boolean, error string, entry string",
+    "_context": "versions string, ticker string, years array<int>, names array<string>, sections array<string>",
     "_health": "versions string, name string, expected long, ready long, records long, points long",
 }
 #: Natural keys.

@@ -316,6 +316,14 @@ class Store:
         self.commit(name, make)
         self.done(incoming, *made)
 
+    def remembered(self, name: str, tables: Sequence[str], make: Callable[[], DataFrame], also: Sequence[object] = ()) -> DataFrame:
+        """What make() tells of these tables, kept in table `name` with their versions: made again only after one of them (or of `also`) has changed."""
+        versions = json.dumps([*also, *map(self.version, tables)])
+        read = lambda: self.read(name).where(F.col("versions") == versions).drop("versions")
+        if read().isEmpty():
+            self.write(name, make().withColumn("versions", F.lit(versions)).coalesce(1))
+        return read()
+
     def keep_texts(self, rows: DataFrame) -> None:
         """Keep clean texts, rows(path, text), beside the tables, one a path; a table's clean_text_path names one."""
         self.upsert("clean_texts", rows.select("path", "text"))

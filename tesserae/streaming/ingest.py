@@ -13,7 +13,6 @@ is left to the next cycle, and the stream goes on.
 
 from __future__ import annotations
 
-import json
 import logging
 from collections.abc import Callable
 
@@ -311,15 +310,13 @@ class Worker:
         """
         s = self.store
         tables = ("chunks", "embedding_runs", "chunk_embeddings", "document_chunks", "documents", "sources", "document_chunk_embeddings")
-        versions = json.dumps([self.model, self.collection, self.index.version(), *map(s.version, tables)])
-        kept = s.read("_health").where(F.col("versions") == versions).drop("versions")
-        if kept.isEmpty():
+
+        def counted() -> DataFrame:
             counts = relational.health_counts(*map(s.read, tables), self.model, self.collection)
             points = {r["chunk_source"]: r["n"] for r in self.index.points().collect()}  # two rows
-            found = health.corpora_from_counts(counts, points.get("sec_filing", 0), points.get("document", 0))
-            s.write("_health", found.withColumn("versions", F.lit(versions)).coalesce(1))
-            kept = s.read("_health").where(F.col("versions") == versions).drop("versions")
-        return kept
+            return health.corpora_from_counts(counts, points.get("sec_filing", 0), points.get("document", 0))
+
+        return s.remembered("_health", tables, counted, [self.model, self.collection, self.index.version()])
 
     def health(self) -> DataFrame:
         return health.index_status(self.corpora(), self.index.exists())
