@@ -12,5 +12,6 @@ def register(spark: SparkSession) -> None:
 
     for name, udf in (("filing_tree_text", text.filing_tree_text), ("article_tree_text", text.article_tree_text), ("indexed_items", text.indexed_items), ("embed", vectors.embed)):
         spark.udf.register(name, udf)
+    spark.udtf.register("chunk_table", text.ChunkTable)
     spark.sql("create or replace temporary function content_hash(x string) returns string return sha2(x, 256)")
     spark.sql(r"create or replace temporary function single_line(x string) returns string return regexp_replace(regexp_replace(x, '(?U)\\s+', ' '), '(?U)^\\s+|\\s+$', '')")

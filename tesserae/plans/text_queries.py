@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import functions
 from ..functions import text as t
 from .domain import Domain
 from .registry import query
@@ -110,3 +111,10 @@ def indexed_items(spark, sf_dir):
     )
     found = Domain(spark, sf_dir).table("documents").select("doc_id", F.explode(t.indexed_items(html)).alias("i"))
     return found.select("doc_id", "i.item", F.sha2("i.html", 256).alias("html"))
+
+
+@query(_WINDOWS.replace("unnest(range(len(c))) AS chunk_index", "CAST(unnest(range(len(c))) AS INT) AS chunk_index").replace("FROM documents)", "FROM (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS text FROM documents))"))
+def chunk_table(spark, sf_dir):
+    """Chunks by the table function from SQL, of texts of one paragraph."""
+    functions.register(spark)
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.chunk FROM {docs} AS d, LATERAL chunk_table(replace(d.text, chr(10), ' '), 1000, 200) AS c", docs=Domain(spark, sf_dir).table("documents"))

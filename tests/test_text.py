@@ -172,3 +172,22 @@ def test_index_pages_are_read_in_linear_time():
 
     (small, _), (large, found) = min(took(2000) for _ in range(2)), took(8000)
     assert found and large < 4 * small * 2.5 + 0.5
+
+
+def test_table_function_gives_the_same_chunks(spark):
+    """In SQL, beside rows, against the column form: paragraphs, long ones, blank ones, other white space, and nothing."""
+    import random
+
+    from tesserae.functions import register
+
+    rng = random.Random(4)
+    texts = [None, "", " \n\n ", "x" * 95, "\u3000a\u2003\n\n\n\nb\x1c"]
+    texts += ["".join(rng.choice(["word ", "\n\n", "\n", "é", "y" * rng.randrange(30), "\u00a0"]) for _ in range(rng.randrange(80))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    register(spark)
+    for size, overlap in ((40, 0), (40, 12), (7, 6)):
+        want = {tuple(r) for r in frame.select("i", F.posexplode(t.chunks(F.col("text"), size, overlap))).collect()}
+        got = {tuple(r) for r in spark.sql(f"select d.i, c.* from {{d}} as d, lateral chunk_table(d.text, {size}, {overlap}) as c", d=frame).collect()}
+        assert got == want and len(want) > 60
+    with pytest.raises(Exception, match="overlap must be smaller"):
+        spark.sql("select * from chunk_table('x', 5, 5)").collect()
