@@ -232,15 +232,17 @@ class Store:
         """rows in place of all rows of owners, which are given by the columns `by`; an owner without rows loses all. Rows of tables with an id get the next ones."""
         rows = None if rows is None else self.kept(rows)
         owners = self.kept(owners.select(*by).distinct())
+        made = [owners, *([] if rows is None else [rows])]
 
         def make(current: DataFrame) -> Change:
             numbered = rows
             if rows is not None and "id" in current.columns and "id" not in rows.columns:
                 numbered = self.numbered(rows, [*by, *(k for k in KEYS[name] if k not in by)], self.next_id(name))
+                made.append(numbered)
             return Change(numbered, by=tuple(by), keys=owners)
 
         self.commit(name, make)
-        self.done(owners, *([] if rows is None else [rows]))
+        self.done(*made)
 
     def insert(self, name: str, rows: DataFrame, order: Sequence[str]) -> int:
         """Add rows under the next ids, in this order; for the few rows that one person or cycle adds. Returns the first id."""
@@ -279,15 +281,17 @@ class Store:
         """rows with an `id` from `first` on, in their order by these columns.
 
         Rows are written sorted by range; an id is the rows in the files before, plus the row's place in
-        its file. Only one row a file meets in one task.
+        its file. Only one row a file meets in one task. done() deletes these files.
         """
-        path = f"{self.root}/_numbered/{uuid.uuid4().hex}"
+        path = f"{self.root}/_work/{uuid.uuid4().hex}"
         rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
         read = self.spark.read.schema(rows.schema).parquet(path)
         placed = read.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
         offsets = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        return placed.join(offsets, "_file").withColumn("id", (F.col("_before") + F.col("_row") + first).cast("long")).drop("_file", "_row", "_before")
+        made = placed.join(offsets, "_file").withColumn("id", (F.col("_before") + F.col("_row") + first).cast("long")).drop("_file", "_row", "_before")
+        made._kept_at = path
+        return made
 
     def upsert(self, name: str, incoming: DataFrame, keep_if_null: Sequence[str] = (), order: Sequence[str] = ()) -> None:
         """Merge by natural key: new keys are added, known ones overwritten, nulls included (but for keep_if_null). Tickers of companies are upper case.
@@ -307,8 +311,10 @@ class Store:
             value = lambda c: F.col(f"c.{c}") if c not in incoming.columns else F.coalesce(f"n.{c}", f"c.{c}") if c in keep_if_null or c in keys else F.col(f"n.{c}")
             old = self.kept(incoming.alias("n").join(current.alias("c"), dml.same_keys("n", "c", keys)).select(*(value(c).alias(c) for c in current.columns)))
             new = incoming.alias("n").join(old.select(*keys).alias("o"), dml.same_keys("n", "o", keys), "left_anti")
-            new = self.numbered(new, keys, self.next_id(name)) if with_id else new
             made.append(old)
+            if with_id:
+                new = self.numbered(new, keys, self.next_id(name))
+                made.append(new)
             if old.isEmpty():
                 return None if new.isEmpty() else Change(new)
             return Change(old.unionByName(new, allowMissingColumns=True), by=tuple(keys), keys=old)

@@ -169,7 +169,7 @@ class Worker:
     # --- articles -------------------------------------------------------------------------
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch of entries; a run is recorded for each source that has any, running at first. Returns these runs' counts."""
+        """Take in a batch of entries; a run is recorded for each source that has any, running at first. Returns these runs' counts, kept until store.done()."""
         store = self.store
         eligible = store.read("sources").where(relational.eligible())
         companies = store.read("companies").select(F.col("id").alias("company_id"), "ticker", F.col("name").alias("company_name"))
@@ -179,7 +179,9 @@ class Worker:
         batch = store.kept(first_entries(batch.unionByName(again).join(own.select("source_id"), "source_id", "left_semi"), self.limit))
         start = store.kept(batch.select("source_id").distinct().withColumns({"status": F.lit("running"), "started_at": F.current_timestamp()}))
         if start.isEmpty():
-            return run_counts(batch, batch)
+            store.done(batch, start)
+            nothing = self.spark.createDataFrame([], batch.schema)
+            return run_counts(nothing, nothing)
         first = store.insert("source_ingestion_runs", start, ["source_id"])
         running = dml.numbered(start, ["source_id"], first)
         try:
@@ -222,7 +224,7 @@ class Worker:
         cut = ids.select("document_id", F.posexplode("chunks").alias("chunk_index", "text")).withColumn("char_count", F.length("text"))
         if not made.isEmpty():
             store.exchange("document_chunks", cut, ["document_id"], ids.select("document_id"))
-        self._recovered("entry", good[0].join(self.spark.createDataFrame(failed, "owner string, told string"), "owner", "left_anti"))
+        self._recovered("entry", entries.join(self.spark.createDataFrame(failed, "owner string, told string"), "owner", "left_anti"))
         store.done(*good, made)
         return counts
 
@@ -347,7 +349,9 @@ class Worker:
     # --- cycles ---------------------------------------------------------------------------
 
     def cycle(self, batch: DataFrame, batch_id: int = 0) -> None:
-        self.ingest(batch)
+        counts = self.ingest(batch)
+        if hasattr(counts, "_kept_at"):
+            self.store.done(counts)
         self.repair()
         self.vectorize()
         self.health().first()  # counted here, so that questions find it kept

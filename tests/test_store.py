@@ -48,6 +48,7 @@ def test_rows_that_change_are_added_and_hide_the_old(spark, tmp_path):
     assert len(list((tmp_path / "companies" / "data").iterdir())) == 1
     store.upsert("companies", companies(spark, ("Y", "later")))
     assert store.read("companies").where("ticker = 'Y'").first().id == 52
+    assert not list((tmp_path / "_work").iterdir())  # what commits kept for themselves is gone
 
 
 def test_children_are_exchanged_by_parent(spark, tmp_path):
