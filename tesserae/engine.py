@@ -87,10 +87,36 @@ class Engine:
 
         What was recorded of chunks that are gone goes with them; vectors are exchanged when the filing is embedded.
         """
+        self._take_in(filings.ingest(filings.scan(self.spark, raw_dir, ticker, form, limit), form).withColumn("ticker", F.lit(ticker.upper())))
+
+    def stream_filings(self, raw_dir: str, checkpoint: str, form: str = "10-K", every: str | None = "300 seconds", **options):
+        """The same for filings of this form of all tickers, as they are downloaded; with `every` None for those there are. Options are the data source's.
+
+        A filing without a document of this form fails alone and is among the worker's dead ones.
+        """
+        rows = filings.source(self.spark, stream=True, path=f"{raw_dir}/sec-edgar-filings", files="true", **options)
+        folder = lambda k: F.try_element_at(F.split("path", "/"), F.lit(k))
+
+        def take_in(batch: DataFrame, _: int) -> None:
+            own = batch.where((folder(-3) == form) & folder(-4).isNotNull())
+            self._take_in(filings.ingest_source(own, form).withColumn("ticker", F.upper(F.try_element_at(F.split("raw_path", "/"), F.lit(-4)))))
+
+        trigger = {"availableNow": True} if every is None else {"processingTime": every}
+        return rows.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+    def _take_in(self, read: DataFrame) -> None:
+        """Filings, read and with their tickers, into the tables."""
         store = self.store
-        path = F.concat_ws("/", F.lit("filings"), F.lit(ticker.upper()), F.concat("accession_number", F.lit(".txt")))
-        read = filings.ingest(filings.scan(self.spark, raw_dir, ticker, form, limit), form).withColumns({"ticker": F.lit(ticker.upper()), "clean_text_path": path})
-        read = store.kept(dml.one_per_key(read, ["accession_number"], ["raw_path"]))  # read and parsed once; of one filing in two folders the last counts
+        path = F.concat_ws("/", F.lit("filings"), "ticker", F.concat("accession_number", F.lit(".txt")))
+        read = read.withColumn("clean_text_path", path)
+        written = store.kept(dml.one_per_key(read, ["accession_number"], ["raw_path"]))  # read and parsed once; of one filing in two folders the last counts
+        read = written
+        if "error" in written.columns:
+            bad = written.where("error is not null")
+            read = written.where("error is null").drop("error")
+            if not bad.isEmpty():
+                told = {"owner": F.concat(F.lit("submission:"), "raw_path"), "attempts": F.lit(1), "dead": F.lit(True)}
+                store.upsert("_failures", bad.withColumns(told).select(*told, "error"))
         store.keep_texts(read.select(F.col("clean_text_path").alias("path"), "text"))
         store.upsert("filings", read.drop("html", "text"))
         chunks = filings.chunk_sections(filings.sections(read), self.config.chunk_size, self.config.overlap)
@@ -104,7 +130,7 @@ class Engine:
         known = store.read("embedding_runs").join(ids.select("filing_id"), "filing_id", "left_semi")
         merged = dml.merge_upsert(known, runs, ["filing_id", "embedding_model", "vector_collection"])
         store.upsert("embedding_runs", dml.reset_runs(merged, store.read("chunks"), ids))
-        store.done(read, ids, gone)
+        store.done(written, ids, gone)
 
     def vectorize_filings(self) -> None:
         self.worker.vectorize_filings()

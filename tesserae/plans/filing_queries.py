@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..sources import filings
+from ..sources.shared import shared_dir
 from .domain import Domain
 from .registry import query
 
@@ -53,6 +56,42 @@ def filing_sections(spark, sf_dir):
     return filings.sections(read).select(F.col("accession_number").cast("long").alias("doc_id"), "section_id", "section_title", F.sha2("text", 256).alias("text"))
 
 
+_SOURCE_SQL = f"SELECT doc_id, unnest(['EX-1', '10-k']) AS form_type, unnest(['e', 'f']) || doc_id || '.htm' AS filename, unnest(['first', NULL]) AS description, unnest([sha256('a <DOCUMENT> of ' || doc_id), sha256(trim({_BODY}))]) AS text FROM documents"
+
+
+def _written(spark, sf_dir):
+    """Two documents of each of the table's, as lines of text for files of very many of them; one names a document's tag in its text."""
+    key, body = F.col("doc_id").cast("string"), F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " ")
+    first = F.concat(F.lit("<DOCUMENT>\n<TYPE>EX-1\n<FILENAME>e"), key, F.lit(".htm\n<DESCRIPTION>first\n<TEXT>\na <DOCUMENT> of "), key, F.lit("\n</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>GRAPHIC\n</DOCUMENT>\n"))
+    second = F.concat(F.lit("<document>\n<type>10-k\n<FILENAME>f"), key, F.lit(".htm\n<TEXT>\n"), body, F.lit("\n</TEXT>\n</document>"))
+    return Domain(spark, sf_dir).table("documents").select("doc_id", F.concat(first, second).alias("value"))
+
+
+def _read(rows):
+    found = filings.source_documents(rows)
+    return found.select(F.regexp_extract("filename", r"(\d+)", 1).cast("long").alias("doc_id"), "form_type", "filename", "description", F.sha2("text", 256).alias("text"))
+
+
+@query(_SOURCE_SQL)
+def submission_source(spark, sf_dir):
+    """Documents from large files, cut into splits that begin and end inside them."""
+    root = f"{shared_dir(spark)}/submissions-{uuid.uuid4().hex}"
+    _written(spark, sf_dir).select("value").write.text(root)
+    return _read(filings.source(spark, path=root, name="part-*.txt", split_bytes=100_000))
+
+
+@query(_SOURCE_SQL)
+def submission_stream(spark, sf_dir):
+    """The same files in three deliveries, by a stream that is started anew for each and goes on where it ended."""
+    root = f"{shared_dir(spark)}/submissions-{uuid.uuid4().hex}"
+    written = _written(spark, sf_dir)
+    for k in range(3):
+        written.where(F.col("doc_id") % 3 == k).select("value").write.mode("append").text(f"{root}/in")
+        rows = filings.source(spark, stream=True, path=f"{root}/in", name="part-*.txt", split_bytes=1_000_000, settle_seconds=0)
+        _read(rows).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 @query(r"""SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS line FROM documents""")
 def strip_text(spark, sf_dir):
     return Domain(spark, sf_dir).table("documents").select("doc_id", t.strip_text(F.col("text")).alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import submissions
 
 # Sections in order, with their titles.
 TITLES = {
@@ -45,20 +46,25 @@ def metadata(submission: Column) -> Column:
     )
 
 
+def _has_text(document: Column) -> Column:
+    return document.rlike(r"(?is)<TEXT>.*?</TEXT>")
+
+
+def document_fields(document: Column) -> Column:
+    """struct(form_type, filename, description, text) of what is between a document's tags."""
+    field = lambda name: _last(document, rf"(?im)^\s*<{name}>[ \t]*(.*)$")
+    return F.struct(
+        F.coalesce(field("TYPE"), F.lit("")).alias("form_type"),
+        field("FILENAME").alias("filename"),
+        field("DESCRIPTION").alias("description"),
+        t.strip(F.regexp_extract(document, r"(?is)<TEXT>\s*(.*?)\s*</TEXT>", 1)).alias("text"),
+    )
+
+
 def documents(submission: Column) -> Column:
     """array of struct(form_type, filename, description, text); those without a text are left out."""
     raw = F.regexp_extract_all(submission, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))
-    field = lambda d, name: _last(d, rf"(?im)^\s*<{name}>[ \t]*(.*)$")
-    told = F.filter(raw, lambda d: d.rlike(r"(?is)<TEXT>.*?</TEXT>"))
-    return F.transform(
-        told,
-        lambda d: F.struct(
-            F.coalesce(field(d, "TYPE"), F.lit("")).alias("form_type"),
-            field(d, "FILENAME").alias("filename"),
-            field(d, "DESCRIPTION").alias("description"),
-            t.strip(F.regexp_extract(d, r"(?is)<TEXT>\s*(.*?)\s*</TEXT>", 1)).alias("text"),
-        ),
-    )
+    return F.transform(F.filter(raw, _has_text), document_fields)
 
 
 def primary_text(submission: Column, form: str = "10-K") -> Column:
@@ -113,7 +119,11 @@ def chunk_sections(found: DataFrame, size: int = 4000, overlap: int = 500) -> Da
 
 def ingest(scanned: DataFrame, form: str = "10-K") -> DataFrame:
     """One row a filing: header fields, hash, path, primary HTML and clean text; the folder's name where the header has no accession number."""
-    m = scanned.withColumn("m", metadata(F.col("submission"))).withColumn("html", primary_text(F.col("submission"), form))
+    return _filings(scanned.withColumn("html", primary_text(F.col("submission"), form)), form)
+
+
+def _filings(found: DataFrame, form: str, *more: str) -> DataFrame:
+    m = found.withColumn("m", metadata(F.col("submission")))
     folder = F.try_element_at(F.split("path", "/"), F.lit(-2))
     return m.select(
         F.coalesce("m.accession_number", folder).alias("accession_number"),
@@ -126,4 +136,40 @@ def ingest(scanned: DataFrame, form: str = "10-K") -> DataFrame:
         "raw_sha256",
         "html",
         t.clean_filing_html(F.col("html")).alias("text"),
+        *more,
+    )
+
+
+def source(spark: SparkSession, stream: bool = False, **options) -> DataFrame:
+    """Rows of the data source of submissions (its options are told there), as a batch or a stream."""
+    spark.dataSource.register(submissions.Submissions)
+    reader = spark.readStream if stream else spark.read
+    return reader.format("submissions").options(**options).load()
+
+
+def source_documents(rows: DataFrame) -> DataFrame:
+    """path, position, accession_number, form_type, filename, description and text of the documents among rows of the data source; those without a text are left out."""
+    own = rows.where(F.col("position").isNotNull() & _has_text(F.col("document"))).withColumn("d", document_fields(F.col("document")))
+    return own.select("path", "position", metadata(F.col("header"))["accession_number"].alias("accession_number"), "d.*")
+
+
+def ingest_source(rows: DataFrame, form: str = "10-K") -> DataFrame:
+    """As ingest() gives them, filings of rows of the data source with `files`: each filing's documents meet, but only the main one's text moves.
+
+    `error` tells of a filing with documents of which none has this form, with the forms there are; it has no text.
+    """
+    rows = rows.withColumn("d", F.when(F.col("position").isNotNull() & _has_text(F.col("document")), document_fields(F.col("document"))))
+    ours = F.upper("d.form_type") == form.upper()
+    rows = rows.select(
+        "path",
+        F.when(F.col("position").isNull(), F.struct(F.col("header").alias("header"), F.col("raw_sha256").alias("raw_sha256"), t.strip(F.col("document")).alias("whole"))).alias("file"),
+        F.when(ours, F.struct("position", F.col("d.text").alias("text"))).alias("main"),
+        F.when(F.col("d").isNotNull(), F.struct("position", "d.form_type")).alias("told"),
     )
+    met = rows.groupBy("path").agg(F.max("file").alias("file"), F.min("main").alias("main"), F.sort_array(F.collect_list("told")).alias("told"))
+    forms = F.array_join(F.transform(F.slice("told", 1, 10), lambda d: d["form_type"]), ", ")
+    none = F.col("main").isNull() & (F.size("told") > 0)
+    error = F.when(none, F.concat(F.lit(f"No {form} document found. Available document types: "), forms))
+    html = F.when(F.col("main").isNotNull(), F.col("main.text")).when(~none, F.col("file.whole"))
+    found = met.select("path", F.col("file.raw_sha256").alias("raw_sha256"), F.col("file.header").alias("submission"), html.alias("html"), error.alias("error"))
+    return _filings(found, form, "error")
