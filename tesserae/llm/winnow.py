@@ -12,7 +12,7 @@ Defined results: a null text counts as empty and has an empty fingerprint; a tex
 words has one k-gram, all its words; fewer than WINDOW k-grams are one window; equal texts have equal
 fingerprints; the likeness of two empty fingerprints is 1, of an empty and another one 0; texts are
 read whole, and positions hold for up to 2**31 words. Repeated rows stay repeated: rows of one id
-follow each other by text. Further columns go, and working columns have names that begin with `_w_`.
+follow each other by a hash of their text, so that a common id's rows can be dealt to many tasks. Further columns go, and working columns have names that begin with `_w_`.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import WORD, ascii_lower, cut, table
 
 K, WINDOW, BLOCK = 5, 4, 32
 SEGMENTS, ROWS_A_RANGE, MOST_RANGES = 64, 500, 100_000
+QUANTILES = 1024  #: an id of more than two of these shares of all rows is found to be common, so there are few common ones
+MARK_BITS = 31
 
 
 def bind(value: Column, then) -> Column:
@@ -100,37 +102,51 @@ def digest(fingerprint: Column) -> Column:
 
 
 def by_range(docs: DataFrame) -> DataFrame:
-    """docs with `_w_range`, which grows with doc_id: equal parts of the segments between quantiles.
+    """docs with `_w_mark`, a hash of the text, and `_w_range`, which grows with (doc_id, mark): equal parts of the segments between quantiles.
 
-    Clumped ids so don't meet in one range. A null id comes first. The results don't depend on the ranges.
+    Clumped ids so don't meet in one range. A null id comes first. Rows without an id, and those of an id that two successive
+    quantiles name, are parted by their marks. The results don't depend on the ranges.
     """
-    probabilities = ",".join(str(i / SEGMENTS) for i in range(SEGMENTS + 1))
-    found = docs.agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(doc_id, array({probabilities}), 1000)").alias("q")).first()
-    edges = sorted(set(found["q"] or []))
-    if not edges:
-        return docs.withColumn("_w_range", F.lit(0))
-    parts = min(MOST_RANGES, found["n"] // ROWS_A_RANGE) // SEGMENTS + 1
-    place = F.when(F.col("doc_id") > edges[-1], len(edges) * parts + 1)
-    for k in range(len(edges) - 1, 0, -1):
-        low, high = edges[k - 1 : k + 1]
-        inside = F.floor((F.col("doc_id") - low) * (parts / (high - low))).cast("int")
-        place = place.when(F.col("doc_id") >= low, 1 + k * parts + F.least(inside, F.lit(parts - 1)))
-    return docs.withColumn("_w_range", F.coalesce(place, F.lit(0)))
+    docs = docs.withColumn("_w_mark", F.pmod(F.xxhash64("text"), F.lit(1 << MARK_BITS)))
+    probabilities = ",".join(str(i / QUANTILES) for i in range(QUANTILES + 1))
+    found = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("with_id"), F.expr(f"percentile_approx(doc_id, array({probabilities}), {8 * QUANTILES})").alias("q")).first()
+    named = found["q"] or []
+    by_mark = lambda parts: F.shiftrightunsigned(F.col("_w_mark") * F.least(parts, F.lit(MOST_RANGES)), MARK_BITS)
+    parted = F.when(F.col("doc_id").isNull(), by_mark(F.lit((found["n"] - found["with_id"]) // ROWS_A_RANGE + 1)))
+    place = F.lit(0)
+    edges = sorted(set(named[:: QUANTILES // SEGMENTS]))
+    if edges:
+        parts = min(MOST_RANGES, found["with_id"] // ROWS_A_RANGE) // SEGMENTS + 1
+        within = F.when(F.col("doc_id") > edges[-1], len(edges) * parts + 1)
+        for k in range(len(edges) - 1, 0, -1):
+            low, high = edges[k - 1 : k + 1]
+            inside = F.floor((F.col("doc_id") - low) * (parts / (high - low))).cast("int")
+            within = within.when(F.col("doc_id") >= low, 1 + k * parts + F.least(inside, F.lit(parts - 1)))
+        place = F.coalesce(within, F.lit(0))
+    common = sorted({x for x, y in zip(named, named[1:], strict=False) if x == y})
+    if common:
+        rows = [(named.count(x) + 1) * found["with_id"] // QUANTILES for x in common]
+        ids, sizes = (F.array(*(F.lit(x).cast("bigint") for x in xs)) for xs in (common, [n // ROWS_A_RANGE + 1 for n in rows]))
+        before = F.size(F.filter(ids, lambda x: x < F.col("doc_id")))
+        is_common = F.array_contains(ids, F.col("doc_id"))
+        place = place * (2 * QUANTILES) + F.coalesce(2 * before + is_common.cast("int"), F.lit(0))
+        parted = parted.when(is_common, by_mark(F.get(sizes, before)))
+    return docs.withColumn("_w_range", place.cast("bigint") * (1 << MARK_BITS) + F.coalesce(parted, F.lit(0)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with fp, next_text and next_fp, of the row that follows by (doc_id, text); the first follows the last.
+    """docs(doc_id, text) with fp, next_text and next_fp, of the row that follows by doc_id, then by mark and text; the first follows the last.
 
-    Texts move once, to their ranges of ids; within a range a window looks one row on, and the last
+    Texts move once, to their ranges; within a range a window looks one row on, and the last
     row of a range gets the first row of the next from a small table of one row a range.
     """
     ranged = by_range(docs)
-    firsts = ranged.groupBy("_w_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "text")).alias("first"))
+    firsts = ranged.groupBy("_w_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "_w_mark", "text")).alias("first"))
     firsts = cut(firsts.select("_w_range", F.col("first.text").alias("_w_head")), "winnow-firsts")
     around = firsts.select("_w_range", F.lead("_w_range").over(Window.orderBy("_w_range")).alias("after"), F.min("_w_range").over(Window.partitionBy()).alias("least"))
     around = around.select(F.col("_w_range").alias("_w_of"), F.coalesce("after", "least").alias("_w_range"))
     heads = cut(around.join(firsts, "_w_range").select("_w_of", "_w_head"), "winnow-heads")
-    own = Window.partitionBy("_w_range").orderBy(F.asc_nulls_first("doc_id"), "text")
+    own = Window.partitionBy("_w_range").orderBy(F.asc_nulls_first("doc_id"), "_w_mark", "text")
     placed = ranged.repartition("_w_range").withColumn("fp", selected(F.col("text")))
     seen = placed.select("*", F.lead("text").over(own).alias("_w_text"), F.lead("fp").over(own).alias("_w_fp"))
     seen = seen.join(heads, F.col("_w_range") == F.col("_w_of"), "left")

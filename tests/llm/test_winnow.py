@@ -87,3 +87,24 @@ def test_clumped_and_repeated_ids(spark, tmp_path):
     assert len(rows) == len(docs) and sum(r.near_next == 1.0 for r in rows) == 40
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none/documents.parquet"))
     assert w.op9_winnowing(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_common_ids_are_dealt_to_many_ranges(spark, tmp_path, monkeypatch):
+    """Ids that hold a third or a twentieth of the rows, and as many rows without one: no range holds many, and each row's next is the right one."""
+    monkeypatch.setattr(w, "ROWS_A_RANGE", 10)
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(["ab", "Cd", "x1", "q", "zz"]) for _ in range(rng.randint(1, 30)))
+    ids = [7 << 40] * 700 + [None] * 600 + [3] * 100 + [(7 << 40) + 1] * 100 + rng.sample(range(1 << 45), 500)
+    docs = [(i, text()) for i in ids]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    ranged = w.by_range(frame)
+    assert ranged.groupBy("_w_range").count().agg(F.max("count")).first()[0] < 60
+    # ranges grow with the order of rows
+    ordered = [r._w_range for r in ranged.orderBy(F.asc_nulls_first("doc_id"), "_w_mark", "text").collect()]
+    assert ordered == sorted(ordered)
+    key = lambda d: (d[0] is not None, d[0] or 0, xxhash.xxh64_intdigest(d[1].encode(), 42) & (1 << w.MARK_BITS) - 1, d[1].encode())
+    want = sorted(docs, key=key)
+    made = w.with_next(frame).select("doc_id", "text", "next_text", "fp", "next_fp").collect()
+    assert sorted(((r.doc_id, r.text, r.next_text) for r in made), key=repr) == sorted(((i, x, y) for (i, x), (_, y) in zip(want, want[1:] + want[:1], strict=True)), key=repr)
+    by_text = {r.text: r.fp for r in made}
+    assert all(r.next_fp == by_text[r.next_text] for r in made)
