@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, ascii_lower, cut, table
 
-K, WINDOW, BLOCK = 5, 4, 32
+K, WINDOW, BLOCK = 5, 4, 8
 SEGMENTS, ROWS_A_RANGE, MOST_RANGES = 64, 500, 100_000
 QUANTILES = 1024  #: an id of more than two of these shares of all rows is found to be common, so there are few common ones
 MARK_BITS = 31
