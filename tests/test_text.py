@@ -1,3 +1,4 @@
+import random
 import re
 import uuid
 
@@ -191,3 +192,22 @@ def test_table_function_gives_the_same_chunks(spark):
         assert got == want and len(want) > 60
     with pytest.raises(Exception, match="overlap must be smaller"):
         spark.sql("select * from chunk_table('x', 5, 5)").collect()
+
+
+def test_merged_ranges_with_equal_ranges(spark):
+    """Equal ranges of a group are one island, in whatever order and partition they come; against a plain sweep."""
+    rng = random.Random(4)
+    rows = [(g, a, a + rng.randrange(3)) for g in range(200) for a in rng.choices(range(12), k=9)]
+    rows += rng.sample(rows, 400)
+    want = []
+    for g in range(200):
+        merged = []
+        for a, b in sorted((a, b) for k, a, b in rows if k == g):
+            if merged and a <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        want += [(g, *m) for m in merged]
+    frame = spark.createDataFrame(rows, "k long, a long, b long")
+    for n in (1, 7):
+        assert sorted(map(tuple, t.merged_ranges(frame.repartition(n), "k", "a", "b").collect())) == sorted(want)
