@@ -105,7 +105,7 @@ def sections(filings: DataFrame, least_chars: int = LEAST_SECTION_CHARS) -> Data
     """
     titles = F.create_map(*(F.lit(x) for pair in TITLES.items() for x in pair))
     by_heading = filings.select("accession_number", F.explode(heading_sections(F.col("text"))).alias("s")).select("accession_number", "s.section_id", F.col("s.text").alias("by_heading"))
-    indexed = filings.select("accession_number", F.explode(t.indexed_items(F.col("html"))).alias("i"))
+    indexed = filings.select("accession_number", F.explode(t.in_small_batches(t.indexed_items, F.col("html"))).alias("i"))
     indexed = indexed.select("accession_number", F.col("i.item").alias("section_id"), t.clean_filing_html(F.col("i.html")).alias("by_index")).where(F.length("by_index") >= least_chars)
     joined = by_heading.join(indexed, ["accession_number", "section_id"], "left").withColumn("text", F.coalesce("by_index", "by_heading"))
     return joined.where(F.length("text") >= least_chars).select("accession_number", "section_id", F.element_at(titles, F.col("section_id")).alias("section_title"), "text")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
+from tesserae.operators import discovery
 from tesserae.sources import filings
 
 
@@ -211,3 +212,17 @@ def test_merged_ranges_with_equal_ranges(spark):
     frame = spark.createDataFrame(rows, "k long, a long, b long")
     for n in (1, 7):
         assert sorted(map(tuple, t.merged_ranges(frame.repartition(n), "k", "a", "b").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["filing", "article", "index"])
+def test_pages_are_parsed_once_and_in_small_batches(spark, name):
+    """Whatever the session had: the rows of an Arrow batch are bounded, and a filter on what is parsed doesn't parse again."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    pages = spark.range(3).select(F.lit("https://blog.a.com/news").alias("url"), F.lit("<p>t</p>").alias("text"))
+    if name == "discovery":
+        found = discovery.classify(pages.withColumns({"final_url": F.col("url"), "status_code": F.lit(200), "content_type": F.lit("text/html"), "domain": F.lit("a.com")}))
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    else:
+        made = {"filing": t.clean_filing_html, "article": t.article_text, "index": lambda x: t.in_small_batches(t.indexed_items, x)}[name]
+        assert pages.select(made(F.col("text")).alias("x")).count() == 3
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
