@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as u
-from ..functions.text import article_tree_text, html_title, single_line
+from ..functions.text import article_tree_text_once, html_title, in_small_batches, single_line
 
 
 def alternate_feeds(html: Column, base_url: Column) -> Column:
@@ -47,18 +47,19 @@ def classify(fetched: DataFrame) -> DataFrame:
             "final_url": final,
             "feeds": F.when(feed, F.array(final)).otherwise(alternate_feeds(F.col("text"), final)),
             "title": html_title(F.col("text")),
-            "content": F.when(feed, F.regexp_extract(F.col("text"), r"(?is)<(item|entry)\b", 1)).otherwise(single_line(article_tree_text(F.col("text")))),
             "reachable": F.coalesce(F.col("status_code").between(200, 299), F.lit(False)),
         }
     )
-    seen = seen.withColumn("source_type", u.infer_source_type(F.col("url"), F.col("final_url"), F.col("title")))
+    signal = u.has_source_signal(F.col("url"), F.col("title"), F.col("feeds")) | u.has_source_signal(F.col("final_url"), F.col("title"), F.col("feeds"))
+    seen = seen.withColumn("source_type", u.infer_source_type(F.col("url"), F.col("final_url"), F.col("title"))).where(F.col("reachable") & F.col("source_type").isNotNull() & signal)
+    words = single_line(in_small_batches(article_tree_text_once, F.col("text")))
+    seen = seen.withColumn("content", F.when(feed, F.regexp_extract(F.col("text"), r"(?is)<(item|entry)\b", 1)).otherwise(words))
     selected = u.preferred_source_url(F.col("final_url"), F.col("feeds"), F.col("source_type"))
     judged = F.when(u.is_official_domain(F.col("url"), F.col("domain")), F.col("url")).otherwise(F.col("final_url"))
     extractable = F.when(feed, F.col("content") != "").otherwise(F.length("content") >= 200)
     official = u.is_official_domain(F.col("url"), F.col("domain")) | u.is_official_domain(F.col("final_url"), F.col("domain"))
-    signal = u.has_source_signal(F.col("url"), F.col("title"), F.col("feeds")) | u.has_source_signal(F.col("final_url"), F.col("title"), F.col("feeds"))
     scored = seen.withColumn("selected", selected).withColumn("s", u.score_candidate(judged, F.col("selected"), F.col("domain"), F.col("title"), F.col("feeds"), F.col("reachable"), F.coalesce(extractable, F.lit(False))))
-    kept = scored.where(F.col("reachable") & F.col("source_type").isNotNull() & signal & (F.col("s.score") >= u.LEAST_SCORE))
+    kept = scored.where(F.col("s.score") >= u.LEAST_SCORE)
     return kept.select(
         u.source_name(F.col("final_url"), F.col("title"), F.col("source_type")).alias("name"),
         F.col("selected").alias("url"),

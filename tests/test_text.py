@@ -214,7 +214,7 @@ def test_merged_ranges_with_equal_ranges(spark):
         assert sorted(map(tuple, t.merged_ranges(frame.repartition(n), "k", "a", "b").collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["filing", "article", "index"])
+@pytest.mark.parametrize("name", ["filing", "article", "index", "discovery"])
 def test_pages_are_parsed_once_and_in_small_batches(spark, name):
     """Whatever the session had: the rows of an Arrow batch are bounded, and a filter on what is parsed doesn't parse again."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
