@@ -228,15 +228,18 @@ class Store:
         """Write the table anew as change makes it of the last version."""
         self.commit(name, lambda current: Change(change(current), base=True))
 
-    def exchange(self, name: str, rows: DataFrame | None, by: Sequence[str], owners: DataFrame) -> None:
-        """rows in place of all rows of owners, which are given by the columns `by`; an owner without rows loses all. Rows of tables with an id get the next ones."""
-        rows = None if rows is None else self.kept(rows)
+    def exchange(self, name: str, rows: DataFrame | Callable[[int], DataFrame] | None, by: Sequence[str], owners: DataFrame) -> None:
+        """rows in place of all rows of owners, which are given by the columns `by`; an owner without rows loses all. Rows of tables with an id get the next ones.
+
+        Rows that can be numbered without being moved are given as a function of the next id; they are written once, where they are made.
+        """
+        rows = rows if rows is None or callable(rows) else self.kept(rows)
         owners = self.kept(owners.select(*by).distinct())
-        made = [owners, *([] if rows is None else [rows])]
+        made = [owners, *([rows] if isinstance(rows, DataFrame) else [])]
 
         def make(current: DataFrame) -> Change:
-            numbered = rows
-            if rows is not None and "id" in current.columns and "id" not in rows.columns:
+            numbered = rows(self.next_id(name)) if callable(rows) else rows
+            if isinstance(rows, DataFrame) and "id" in current.columns and "id" not in rows.columns:
                 numbered = self.numbered(rows, [*by, *(k for k in KEYS[name] if k not in by)], self.next_id(name))
                 made.append(numbered)
             return Change(numbered, by=tuple(by), keys=owners)
@@ -293,6 +296,20 @@ class Store:
         made._kept_at = path
         return made
 
+    def counted(self, rows: DataFrame, order: str, n: str) -> DataFrame:
+        """rows with `_before`, the sum of n over the rows before in the order of one column of distinct values; for short rows, as they are moved.
+
+        Rows are written by range; sums of whole files and sums within a file add up. done() deletes these files.
+        """
+        written = self.kept(rows.repartitionByRange(order))
+        placed = written.withColumn("_file", F.col("_metadata.file_name"))
+        until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        files = placed.groupBy("_file").agg(F.sum(n).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(until(Window.orderBy("_file"))), F.lit(0)).alias("_files"))
+        within = F.coalesce(F.sum(n).over(until(Window.partitionBy("_file").orderBy(order))), F.lit(0))
+        made = placed.withColumn("_within", within).join(files, "_file").withColumn("_before", F.col("_files") + F.col("_within")).drop("_file", "_files", "_within")
+        made._kept_at = written._kept_at
+        return made
+
     def upsert(self, name: str, incoming: DataFrame, keep_if_null: Sequence[str] = (), order: Sequence[str] = ()) -> None:
         """Merge by natural key: new keys are added, known ones overwritten, nulls included (but for keep_if_null). Tickers of companies are upper case.
 
@@ -331,8 +348,24 @@ class Store:
         return read()
 
     def keep_texts(self, rows: DataFrame) -> None:
-        """Keep clean texts, rows(path, text), beside the tables, one a path; a table's clean_text_path names one."""
-        self.upsert("clean_texts", rows.select("path", "text"))
+        """Keep clean texts, rows(path, text), beside the tables, one a path; a table's clean_text_path names one. rows is made of written tables.
+
+        What is new is found by the paths alone; only if a path comes twice are the texts themselves brought together.
+        """
+        paths = self.kept(rows.select("path"))
+        n = paths.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("path").alias("distinct"), F.count_if(F.col("path").isNull()).alias("null")).first()
+        made = [paths]
+
+        def make(current: DataFrame) -> Change:
+            old = self.kept(current.select("path").join(paths, "path", "left_semi"))
+            made.append(old)
+            return Change(rows) if old.isEmpty() else Change(rows, by=("path",), keys=old)
+
+        if n["distinct"] < n["rows"] or n["null"]:
+            self.upsert("clean_texts", rows.select("path", "text"))
+        elif n["rows"]:
+            self.commit("clean_texts", make)
+        self.done(*made)
 
     def texts(self) -> DataFrame:
         """path and text of the clean texts, each path once."""

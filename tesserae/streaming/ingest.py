@@ -27,6 +27,7 @@ from ..sources.store import Store
 
 LEAST_ARTICLE_CHARS = 100
 ERRORS_TOLD = 3
+MAX_BROADCAST_ROWS = 500_000  #: with a key and a path each, under 50 MB
 MAX_ATTEMPTS, FIRST_WAIT, MOST_FAILURES = 5, 60, 32  #: of one owner; seconds; of one cycle
 SHAPE = "source_id long, url string, title string, author string, published_at string, text string, error string, position int, metadata map<string,string>"
 
@@ -47,13 +48,13 @@ def first_entries(batch: DataFrame, limit: int | None) -> DataFrame:
     return batch.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def _short() -> Column:
-    return F.length(t.strip(F.coalesce("text", F.lit("")))) < LEAST_ARTICLE_CHARS
+def _short(rows: DataFrame) -> Column:
+    return F.col("_short") if "_short" in rows.columns else F.length(t.strip(F.coalesce("text", F.lit("")))) < LEAST_ARTICLE_CHARS
 
 
 def new_articles(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Of batch(source_id, url, text, ...) the rows to insert: long enough, of new url and content, the first of each."""
-    long = batch.where(~_short())
+    long = batch.where(~_short(batch))
     long = long if "content_hash" in batch.columns else long.withColumn("content_hash", t.content_hash(F.col("text")))
     fresh = relational.unseen(long, known)
     by_url = F.row_number().over(Window.partitionBy("source_id", "url").orderBy("content_hash"))
@@ -94,8 +95,15 @@ def isolated(owners: DataFrame, run: Callable[[DataFrame], None]) -> list[tuple[
 
 
 def prepared(entries: DataFrame, size: int, overlap: int) -> DataFrame:
-    """entries with content_hash and chunks: all that is worked out of an article's text."""
-    return entries.withColumns({"content_hash": t.content_hash(F.col("text")), "chunks": F.when(~_short(), t.chunks(F.col("text"), size, overlap))})
+    """entries with all that is worked out of an article's text in its place: content_hash, chunks, their number, and whether it is too short."""
+    made = entries.withColumns({"content_hash": t.content_hash(F.col("text")), "_short": _short(entries)})
+    made = made.withColumn("chunks", F.when(~F.col("_short"), t.chunks(F.col("text"), size, overlap)))
+    return made.withColumn("_chunks", F.size("chunks")).drop("text")
+
+
+def beside(rows: DataFrame) -> DataFrame:
+    """rows, a written table of a few short columns, as the side of a join with texts: sent to all tasks if they are few, else hashed, so that texts are moved at most once and never sorted."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows.hint("shuffle_hash")
 
 
 def run_counts(batch: DataFrame, inserted: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -109,7 +117,7 @@ def run_counts(batch: DataFrame, inserted: DataFrame, known: DataFrame | None =
         rows = rows.join(known.select("source_id", "url").distinct().withColumn("_seen", F.lit(True)), ["source_id", "url"], "left")
     seen = F.coalesce("_seen", F.lit(False)) if known is not None else F.lit(False)
     # What is told of an entry.
-    wrong = F.when(seen, None).when(F.col("error").isNotNull(), F.concat_ws(": ", "url", "error")).when(_short(), F.concat(F.lit("no extractable text: "), F.coalesce("url", F.lit(""))))
+    wrong = F.when(seen, None).when(F.col("error").isNotNull(), F.concat_ws(": ", "url", "error")).when(_short(rows), F.concat(F.lit("no extractable text: "), F.coalesce("url", F.lit(""))))
     rows = rows.withColumns({"_wrong": wrong, "_feed": F.when(F.col("url").isNull(), F.col("error"))})
     order = Window.partitionBy("source_id", F.col("_wrong").isNull()).orderBy(F.asc_nulls_last("position"), "url", "_wrong")
     rows = rows.withColumn("_rank", F.row_number().over(order))
@@ -176,7 +184,8 @@ class Worker:
         own = eligible.join(companies, "company_id", "left").select(F.col("id").alias("source_id"), "source_type", F.col("url").alias("source_url"), "ticker", "company_name")
         batch = shaped(batch)
         again = self._due("entry").select(F.from_json("entry", batch.schema).alias("e")).select("e.*")
-        batch = store.kept(first_entries(batch.unionByName(again).join(own.select("source_id"), "source_id", "left_semi"), self.limit))
+        batch = first_entries(batch.unionByName(again).join(own.select("source_id"), "source_id", "left_semi"), self.limit)
+        batch = store.kept(batch.withColumn("_row", F.monotonically_increasing_id()))
         start = store.kept(batch.select("source_id").distinct().withColumns({"status": F.lit("running"), "started_at": F.current_timestamp()}))
         if start.isEmpty():
             store.done(batch, start)
@@ -195,6 +204,7 @@ class Worker:
         return counts
 
     def _ingested(self, batch: DataFrame, own: DataFrame) -> DataFrame:
+        """Which entries are new is found on short rows; texts and chunks are read from where they were written once, by the number of their row."""
         store = self.store
         owner = F.concat_ws("|", "source_id", "url")
         owned = batch.withColumn("owner", F.coalesce(owner, F.lit("")))
@@ -203,28 +213,37 @@ class Worker:
         if failed:
             told_of = self.spark.createDataFrame(failed, "owner string, told string")
             lost = owned.join(told_of, "owner")
-            self._failed("entry", failed, lost.select("owner", F.to_json(F.struct(*batch.columns)).alias("entry")))
-            lost = lost.withColumn("error", F.col("told")).drop("told").withColumns({"text": F.lit(None).cast("string"), "content_hash": F.lit(None).cast("string"), "chunks": F.lit(None).cast("array<string>")})
-            good.append(store.kept(lost))
+            self._failed("entry", failed, lost.select("owner", F.to_json(F.struct(*(c for c in batch.columns if c != "_row"))).alias("entry")))
+            lost = lost.withColumn("error", F.col("told")).drop("told").drop("text")
+            nothing = {"content_hash": "string", "chunks": "array<string>", "_chunks": "int"}
+            good.append(store.kept(lost.withColumns({"_short": F.lit(True), **{c: F.lit(None).cast(k) for c, k in nothing.items()}})))
         entries = good[0]
         for more in good[1:]:
             entries = entries.unionByName(more.select(*entries.columns))
         before = store.read("documents")
-        fresh = new_articles(entries, before).drop("position", "owner").join(own, "source_id")
+        narrow = entries.drop("chunks")
+        fresh = new_articles(narrow, before).drop("position", "owner").join(own, "source_id")
         text_path = F.concat(F.lit("sources/"), F.col("source_id").cast("string"), F.lit("/"), F.substring("content_hash", 1, 16), F.lit(".txt"))
         told_by = F.create_map(F.lit("ticker"), F.col("ticker"), F.lit("company_name"), F.col("company_name"), F.lit("source_url"), F.col("source_url"))
         made = fresh.withColumns(
             {"fetched_at": F.current_timestamp(), "clean_text_path": text_path, "document_type": u.document_type(F.col("source_type")), "metadata_json": F.to_json(F.map_concat(told_by, F.coalesce("metadata", F.create_map().cast("map<string,string>"))))}
         )
         made = store.kept(made)
-        counts = store.kept(run_counts(entries, made, before))  # before its tables change
-        store.keep_texts(made.select(F.col("clean_text_path").alias("path"), "text"))
-        store.upsert("documents", made.drop("text", "chunks"))
-        ids = store.read("documents").select(F.col("id").alias("document_id"), "source_id", "url").join(made.select("source_id", "url", "chunks"), ["source_id", "url"])
-        cut = ids.select("document_id", F.posexplode("chunks").alias("chunk_index", "text")).withColumn("char_count", F.length("text"))
+        counts = store.kept(run_counts(narrow, made, before))  # before its tables change
+        store.keep_texts(batch.select("_row", "text").join(beside(made.select("_row", F.col("clean_text_path").alias("path"))), "_row"))
+        store.upsert("documents", made)
         if not made.isEmpty():
-            store.exchange("document_chunks", cut, ["document_id"], ids.select("document_id"))
-        self._recovered("entry", entries.join(self.spark.createDataFrame(failed, "owner string, told string"), "owner", "left_anti"))
+            ids = store.read("documents").select(F.col("id").alias("document_id"), "source_id", "url").join(made.select("source_id", "url", "_row", "_chunks"), ["source_id", "url"])
+            ids = store.counted(ids.select("document_id", "_row", "_chunks"), "document_id", "_chunks")
+            placed = store.kept(ids.select("document_id", "_row", "_before"))
+
+            def cut(first: int) -> DataFrame:
+                own = entries.select("_row", "chunks").join(beside(placed), "_row").select("document_id", "_before", F.posexplode("chunks").alias("chunk_index", "text"))
+                return own.select((F.col("_before") + F.col("chunk_index") + first).alias("id"), "document_id", "chunk_index", "text", F.length("text").alias("char_count"))
+
+            store.exchange("document_chunks", cut, ["document_id"], placed)
+            store.done(ids, placed)
+        self._recovered("entry", narrow.join(self.spark.createDataFrame(failed, "owner string, told string"), "owner", "left_anti"))
         store.done(*good, made)
         return counts
 

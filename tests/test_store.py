@@ -246,3 +246,38 @@ def test_time_of_claims(spark, tmp_path):
     began = time.monotonic()
     assert [store._claim("companies", 1, {"base": True, "n": k}) for k in range(20)] == [True] + [False] * 19
     assert time.monotonic() - began < 5 and store._entry("companies", 1)["n"] == 0
+
+
+def test_ids_follow_counts(spark, tmp_path):
+    """Numbers before a row in the order of one column, over many files; against a plain loop."""
+    store = Store(spark, str(tmp_path))
+    sizes = {k: k * 7 % 5 for k in range(1, 400)}
+    made = store.counted(spark.createDataFrame(sorted(sizes.items(), key=lambda x: x[0] * 37 % 401), "k long, n int").repartition(5), "k", "n")
+    assert {r.k: r["_before"] for r in made.collect()} == {k: sum(n for j, n in sizes.items() if j < k) for k in sizes}
+    store.done(made)
+
+
+def test_texts_are_written_and_moved_few_times(spark, tmp_path, monkeypatch):
+    """A batch keeps its texts once and their chunks once; what is new is found on short rows. Repeated entries come in once, chunks have ids in the order of documents."""
+    from tesserae.streaming import ingest
+
+    store = Store(spark, str(tmp_path / "catalog"))
+    store.append("sources", spark.createDataFrame([(1, "https://a.com/", "newsroom", "approved", True)], "id long, url string, source_type string, discovery_status string, enabled boolean"))
+    kept, first = [], store.kept
+
+    def told(rows):
+        kept.append(set(rows.columns) & {"text", "chunks"})
+        return first(rows)
+
+    monkeypatch.setattr(store, "kept", told)
+    worker = ingest.Worker(spark, store, str(tmp_path / "vectors"), size=200, overlap=20)
+    entries = [(1, f"https://a.com/{k}", f"{k} " + "some words " * (12 + 9 * k)) for k in range(20)]
+    worker.ingest(spark.createDataFrame(entries + entries[:5] + [(1, "https://a.com/x", entries[3][2])], "source_id long, url string, text string").repartition(3))
+    assert sorted(map(sorted, filter(None, kept))) == [["chunks"], ["text"]]
+    documents = {r.url: r for r in store.read("documents").collect()}
+    assert sorted(documents) == sorted(e[1] for e in entries)
+    texts = {r.path: r.text for r in store.texts().collect()}
+    assert all(texts[documents[url].clean_text_path] == text for _, url, text in entries) and len(texts) == 20
+    chunks = store.read("document_chunks").orderBy("document_id", "chunk_index").collect()
+    assert [c.id for c in chunks] == list(range(1, len(chunks) + 1)) and {c.document_id for c in chunks} == {d.id for d in documents.values()}
+    assert worker.ingest(spark.createDataFrame(entries, "source_id long, url string, text string")).first().inserted_count == 0
