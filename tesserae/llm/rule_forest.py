@@ -6,11 +6,11 @@ isolation forest: trees of random splits, in which a document that few others re
 few of them. Its score is 2 ** (-mean path length / expected path length), as usual; it is dropped above a
 threshold that is calibrated on labelled rows.
 
-The forest is fitted on at most MAX_RATED labelled rows that pass the rules (the lowest by a hash of
-doc_id), each tree on SAMPLE of them. For the calibration a labelled row is scored only by trees that
-haven't seen it. The statistics are written once, a short row a document; the fit gathers a bounded
-number of these, the trees (some hundred kB) are broadcast, and every document is scored where it lies,
-without a shuffle. The forest splits by few statistics: each one in which junk and good documents are
+The forest is fitted on all labelled rows that pass the rules: as the method has it, each tree is grown on
+SAMPLE rows of its own, drawn from all of them. All labelled rows calibrate the threshold, each scored only by
+trees that haven't seen it. The statistics are written once, a short row a document; labelled rows are numbered and
+scored in their partitions, and only the rows drawn for the trees (TREES * SAMPLE at most) are gathered. The trees
+(some hundred kB) are broadcast, and every document is scored where it lies, without a shuffle. The forest splits by few statistics: each one in which junk and good documents are
 alike costs it precision, so repeated lines and windows, capitals and digits were left to the rules.
 
 The threshold is that of the labelled scores where bad rows dropped less COST times the good rows
@@ -21,24 +21,23 @@ Defined results: a null or empty text has no words and fails the rules; labels t
 one id are documents each, and each is judged by its own text; without usable labels of both kinds
 nothing is dropped but by the rules; a score at the threshold is kept; documents of equal texts have
 equal rows but for their ids; an empty table gives no rows; further columns go, whatever their names;
-ties at the bound of the labelled rows are broken by the id and then by the statistics.
+labelled rows are numbered by a hash of the id, then by the id and the statistics.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lowest, picked, table
+from .common import bounded_batches, cut, picked, table
 
 SYMBOLS = b"#*$%&|<>"
 FEWEST_WORDS, MOST_REPEATED = 20, 30  #: the rules: words, and percent of words in repeated windows
 WINDOW = 8
-MAX_RATED = 20_000  #: the bound of the sample of labelled rows
 TREES, SAMPLE, SEED = 200, 256, 12
 COST = 5  #: a share of good documents dropped weighs as much as so many times that share of bad ones
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -108,14 +107,20 @@ def expected(n: np.ndarray | int) -> np.ndarray:
 
 
 class Forest:
-    """Trees as flat arrays: for each node its statistic, split and left child (the right one is next), or its path length."""
+    """Trees as flat arrays: for each node its statistic, split and left child (the right one is next), or its path length.
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> None:
+    rows are the fitted rows, or a function that gives, of n rows in all, those of the numbers it is called with, in that order.
+    """
+
+    def __init__(self, rows: np.ndarray | Callable[[np.ndarray], np.ndarray], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, n: int | None = None) -> None:
         rng = np.random.default_rng(seed)
-        self.seen = [rng.choice(len(rows), min(sample, len(rows)), replace=False) for _ in range(trees)]
-        self.depth = max(1, int(np.ceil(np.log2(max(2, min(sample, len(rows)))))))
-        self.norm = float(expected(min(sample, len(rows)))) or 1.0
-        self.trees = [self._grown(rows[s], rng) for s in self.seen]
+        n = len(rows) if n is None else n
+        self.seen = [rng.choice(n, min(sample, n), replace=False) for _ in range(trees)]
+        self.depth = max(1, int(np.ceil(np.log2(max(2, min(sample, n))))))
+        self.norm = float(expected(min(sample, n))) or 1.0
+        drawn, at = np.unique(np.concatenate(self.seen), return_inverse=True)
+        own = rows(drawn) if callable(rows) else rows[drawn]
+        self.trees = [self._grown(own[s], rng) for s in np.split(at, trees)]
 
     def _grown(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         by, split, left, path = [0], [np.inf], [0], [0.0]
@@ -168,18 +173,55 @@ def threshold(scores: np.ndarray, good: np.ndarray, cost: float = COST) -> float
     return float((scores[best] + scores[best + 1]) / 2) if best + 1 < len(scores) else float("-inf")
 
 
-def fit(stats: DataFrame, labels: DataFrame, most: int = MAX_RATED) -> tuple[Forest, float] | None:
+def rows_before(rows: DataFrame, n: str, *order: Column) -> DataFrame:
+    """rows, written by range of this order, with `_before`, the sum of n over the rows before; n 1 numbers them from 0."""
+    placed = cut(rows.repartitionByRange(*order), "rules-ordered").withColumn("_file", F.col("_metadata.file_name"))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_file").agg(F.sum(n).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(until(Window.orderBy("_file"))), F.lit(0)).alias("_files"))  # a row a file
+    within = F.coalesce(F.sum(n).over(until(Window.partitionBy("_file").orderBy(*order))), F.lit(0))
+    return placed.withColumn("_within", within).join(F.broadcast(sums), "_file").withColumn("_before", F.col("_files") + F.col("_within")).drop("_file", "_files", "_within")
+
+
+def threshold_of(scored: DataFrame, cost: float = COST) -> float:
+    """threshold() of scored(score, good), by sums over ranges of scores: no task holds more than a range."""
+    by_score = scored.groupBy((-F.col("score")).alias("_key")).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    by_score = cut(by_score, "rules-scores")
+    all_good, all_bad = (max(1, x or 0) for x in by_score.agg(F.sum("g"), F.sum("b")).first())
+    goods = rows_before(by_score, "g", F.col("_key")).withColumn("_g", F.col("_before") + F.col("g")).drop("_before")
+    both = rows_before(goods, "b", F.col("_key")).withColumn("_b", F.col("_before") + F.col("b"))
+    gain = F.col("_b").cast("double") / F.lit(float(all_bad)) - F.lit(float(cost)) * F.col("_g") / F.lit(float(all_good))
+    best = both.select("_key", gain.alias("gain")).agg(F.max_by(F.struct("_key", "gain"), F.struct("gain", (-F.col("_key")).alias("first"))).alias("x")).first()["x"]
+    if best is None or best["gain"] <= 0:
+        return float("inf")
+    after = by_score.where(F.col("_key") > F.lit(best["_key"])).agg(F.min("_key")).first()[0]
+    return (-best["_key"] - after) / 2 if after is not None else float("-inf")
+
+
+def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float] | None:
     """A forest and its threshold from stats, as measured() gives them, and labels(doc_id, quality); None without good and bad rows."""
     marks = picked(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("quality"))
     marks = marks.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rated = cut(stats.where(~failed()).join(marks, "doc_id").select("doc_id", "quality", *SHARES), "rules-rated")
-    rows = lowest(rated, most, "doc_id", *SHARES).select("quality", *SHARES).collect()
-    good = np.array([r[0] == 1 for r in rows], bool)
-    values = np.array([r[1:] for r in rows], np.float64).reshape(-1, len(SHARES))
-    if not good.any() or good.all():
+    rated = stats.where(~failed()).join(marks, "doc_id").select("doc_id", "quality", *SHARES, F.lit(1).alias("one"))
+    rated = cut(rows_before(rated, "one", F.xxhash64("doc_id"), F.col("doc_id"), *map(F.col, SHARES)).select(F.col("_before").alias("place"), "quality", *SHARES), "rules-rated")
+    n, good = rated.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
+    if good in (0, n):
         return None
-    forest = Forest(values)
-    return forest, threshold(forest.scores(values, np.arange(len(values))), good)
+
+    def drawn(places: np.ndarray) -> np.ndarray:
+        wanted = rated.sparkSession.createDataFrame([(int(p),) for p in places], "place long")
+        found = sorted(map(tuple, rated.join(F.broadcast(wanted), "place").select("place", *SHARES).collect()))  # TREES * SAMPLE rows at most
+        return np.array([r[1:] for r in found], np.float64)
+
+    forest = Forest(drawn, n=n)
+    shared = rated.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.column_stack([b.column(2 + i).to_numpy() for i in range(len(SHARES))])
+            scores = shared.value.scores(rows, b.column(0).to_numpy()) if len(rows) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), pa.array(b.column(1).to_numpy() == 1)], names=["score", "good"])
+
+    return forest, threshold_of(rated.mapInArrow(run, "score double, good boolean"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

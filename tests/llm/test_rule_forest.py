@@ -98,3 +98,29 @@ def test_odd_rows(spark):
     for none in (rated.limit(0), rated.where("quality = 1")):
         assert all(r.kept != r.base_failed and r.anomaly is None for r in rule_forest.judged(frame, none).collect())
     assert rule_forest.judged(frame.limit(0), rated).count() == 0
+
+
+def test_fit_is_of_all_labelled_rows(spark):
+    """However many labelled rows: trees draw from all of them and all calibrate the threshold; against the same in one array."""
+    rng = np.random.default_rng(8)
+    good = rng.random(21_000) < 0.9
+    values = np.where(good[:, None], rng.normal(0, 1, (21_000, 6)), rng.normal(2, 2, (21_000, 6))).round(3)
+    rows = [(i, 100, 0, *map(float, v)) for i, v in enumerate(values)]
+    columns = ", ".join(["doc_id long, n_words long, n_repeat_words long", *(f"{c} double" for c in rule_forest.SHARES)])
+    stats = spark.createDataFrame(rows, columns)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    forest, limit = rule_forest.fit(stats, labels)
+    order = [r.doc_id for r in stats.select("doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    want = rule_forest.Forest(values[order])
+    assert max(s.max() for s in forest.seen) > 20_500
+    assert all((a == b).all() for x, y in zip(forest.trees, want.trees, strict=True) for a, b in zip(x, y, strict=True))
+    assert limit == rule_forest.threshold(want.scores(values[order], np.arange(21_000)), good[order])
+
+
+def test_threshold_of_ranges(spark):
+    rng = random.Random(3)
+    for cost in (0, 1, 5):
+        for odd in ([], [(0.5, True)] * 4 + [(0.5, False)], [(0.9, False)] * 3, [(0.1 * k, k > 5) for k in range(9)], [(rng.random().__round__(2), rng.random() < 0.6) for _ in range(500)]):
+            if odd:
+                scores, good = np.array([x for x, _ in odd]), np.array([g for _, g in odd])
+                assert rule_forest.threshold_of(spark.createDataFrame(odd, "score double, good boolean"), cost) == rule_forest.threshold(scores, good, cost), (cost, odd[:9])
