@@ -19,7 +19,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, heapreplace
 from pathlib import Path
 
 import numpy as np
@@ -108,34 +108,38 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     }
 
 
-def merge(ids: list[int], rank_of: Callable[[int], int | None]) -> list[int]:
-    """Merge the linked parts `ids`, at first one id a byte, by a heap: lowest rank and then leftmost first."""
+def merge(ids: list[int], rank_of: Callable[[int], int | None], now: list[int | None] | None = None) -> list[int]:
+    """Merge the linked parts `ids`, at first one id a byte, by a heap: lowest rank and then leftmost first. now: the ranks of neighbours, if known."""
     n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n))
-    now = [rank_of(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False)]  # rank of a part and the next; None: no token
-    heap = [r << 32 | i for i, r in enumerate(now) if r is not None]
+    if now is None:
+        now = [rank_of(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False)]  # rank of a part and the next; None: no token
+    heap = [r * n + i for i, r in enumerate(now) if r is not None]
     heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n))
     now.append(None)
     while heap:
-        i = heappop(heap)
-        r, i = i >> 32, i & 0xFFFFFFFF
+        r, i = divmod(heap[0], n)
         if now[i] != r:
+            heappop(heap)
             continue  # one of the two parts has gone into another
         j = after[i]
         k = after[i] = after[j]
         ids[i], ids[j], now[j] = r, -1, None
         before[k] = i
-        if k < n:
-            now[i] = c = rank_of(r << 32 | ids[k])
-            if c is not None:
-                heappush(heap, c << 32 | i)
-        else:
-            now[i] = None
+        now[i] = c = rank_of(r << 32 | ids[k]) if k < n else None
+        if c is not None:
+            heapreplace(heap, c * n + i)
         if i:
             h = before[i]
-            now[h] = c = rank_of(ids[h] << 32 | r)
-            if c is not None:
-                heappush(heap, c << 32 | h)
+            now[h] = d = rank_of(ids[h] << 32 | r)
+            if d is not None:
+                if c is None:
+                    heapreplace(heap, d * n + h)
+                else:
+                    heappush(heap, d * n + h)
+                continue
+        if c is None:
+            heappop(heap)
     return [x for x in ids if x >= 0]
 
 
@@ -152,6 +156,8 @@ class Encoder:
     def __init__(self, whole: TokenHash, pairs: dict[int, int], pattern: str):
         self.whole, self.pair_rank, self.split = whole, pairs.get, regex.compile(pattern).findall
         self.byte_ids = [whole.get(bytes([i])) for i in range(256)]
+        rank = lambda a, b: None if a is None or b is None else pairs.get(a << 32 | b)
+        self.byte_pairs = [[rank(a, b) for b in self.byte_ids] for a in self.byte_ids]  # ranks by two bytes
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -165,7 +171,10 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.whole.get(raw)
-        return array("i", [rank] if rank is not None else merge([self.byte_ids[b] for b in raw], self.pair_rank)).tobytes()
+        if rank is not None:
+            return array("i", [rank]).tobytes()
+        pairs, ids = self.byte_pairs, self.byte_ids
+        return array("i", merge([ids[b] for b in raw], self.pair_rank, [pairs[a][b] for a, b in zip(raw, raw[1:], strict=False)])).tobytes()
 
     def word(self, word: str) -> bytes:
         if (ids := self.new.get(word) or self.old.get(word)) is not None:

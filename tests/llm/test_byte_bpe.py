@@ -50,3 +50,22 @@ def test_edges(spark, tool):
 def test_extra_columns_pass(spark, tool):
     frame = spark.range(2).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit(7).alias("other"))
     assert b.encode(frame, tool[0], tool[1]).columns == ["doc_id", "text", "other", "ids"]
+
+
+def test_merge_is_the_plain_rule(tool):
+    """Lowest rank first, leftmost on ties, whether the first ranks are given or not; against a plain loop."""
+    ranks = b.load_ranks(tool[0])
+    pairs, rng = b.pair_ranks(ranks), random.Random(6)
+    whole, seen = b.TokenHash(ranks), []
+    encoder = b.Encoder(whole, pairs, tool[1])
+    for raw in [b"aaaaaaa", b"zq" * 40, *(bytes(rng.choices(b"abcdefghijkl0123", k=rng.randrange(2, 60))) for _ in range(200))]:
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while found := [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in ranks]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        want = [ranks[p] for p in parts]
+        ids = [ranks[bytes([c])] for c in raw]
+        first = [encoder.byte_pairs[x][y] for x, y in zip(raw, raw[1:], strict=False)]
+        assert b.merge(list(ids), pairs.get) == b.merge(list(ids), pairs.get, first) == want
+        seen.append(len(want) < len(raw))
+    assert any(seen)
